@@ -1,0 +1,23 @@
+"""Size checks that gate broadcast joins.
+
+A side is broadcast only after a bounded count proves it small; otherwise the caller gets the
+plain DataFrame back and Spark plans a shuffle join (AQE may still convert it at runtime from
+measured shuffle sizes).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True iff ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` only when a bounded count proves it has <= ``max_rows`` rows."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
