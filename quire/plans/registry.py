@@ -29,6 +29,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from quire.plans import (  # noqa: F401
         search_queries,
+        text_queries,
     )
 
 
