@@ -68,3 +68,12 @@ def js_trim(s: Column) -> Column:
 
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it for ``body`` (a one-argument lambda over columns).
+
+    Spark re-evaluates an expression each time a higher-order-function lambda refers to it;
+    routing it through a one-element ``transform`` binds it to a lambda variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import ws_tokens
+from quire.functions.text import let, ws_tokens
 
 # Tokens per chunk and characters kept for embedding.
 TOKENS_PER_CHUNK = 400
@@ -22,10 +22,12 @@ def truncate_for_embedding(content: Column, n: int = EMBED_CHARS) -> Column:
 
 def token_windows(content: Column, size: int = TOKENS_PER_CHUNK) -> Column:
     """Array of chunks: runs of non-whitespace, ``size`` per chunk, joined by one space."""
-    toks = ws_tokens(content)
-    n_chunks = F.ceil(F.size(toks) / F.lit(size)).cast("int")
-    starts = F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(toks, i * size + 1, size), " "))
+    def windows(toks: Column) -> Column:
+        n_chunks = F.ceil(F.size(toks) / F.lit(size)).cast("int")
+        starts = F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i * size + 1, size), " "))
+
+    return let(ws_tokens(content), windows)
 
 
 def token_chunks(df: DataFrame, content_col: str = "content", size: int = TOKENS_PER_CHUNK, keep=("path",)) -> DataFrame:

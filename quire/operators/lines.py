@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
 from quire.functions.text import lines as split_lines
 
 ColumnOrValue = Column | int | str | None
@@ -49,14 +50,21 @@ def line_chunks(
         .when(start > total, F.format_string("start line %d is past the last line %d", start, total))
     )
     offsets = F.when(error.isNull() & (n_req > 0), F.sequence(F.lit(0), n_req - 1, size))
-    chunk = lambda i: F.struct(
-        (i / size).cast("int").alias("chunk_index"),
-        (start + i).alias("start_line"),
-        F.least(start + i + F.least(size, n_req - i) - 1, end).alias("end_line"),
-        F.array_join(F.slice(lines, start + i, F.least(size, n_req - i)), "\n").alias("content"),
-        F.least(size, n_req - i).alias("line_count"),
-    )
-    chunks = F.transform(offsets, chunk)
+
+    def chunk_list(ls: Column) -> Column:
+        # ``ls`` is the line array bound once per row (see ``let``)
+        return F.transform(
+            offsets,
+            lambda i: F.struct(
+                (i / size).cast("int").alias("chunk_index"),
+                (start + i).alias("start_line"),
+                F.least(start + i + F.least(size, n_req - i) - 1, end).alias("end_line"),
+                F.array_join(F.slice(ls, start + i, F.least(size, n_req - i)), "\n").alias("content"),
+                F.least(size, n_req - i).alias("line_count"),
+            ),
+        )
+
+    chunks = let(lines, chunk_list)
     out = df.select(
         *keep,
         error.isNull().alias("success"),

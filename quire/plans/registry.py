@@ -30,6 +30,7 @@ def load_all() -> None:
     from quire.plans import (  # noqa: F401
         search_queries,
         text_queries,
+        vector_queries,
     )
 
 
