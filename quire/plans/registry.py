@@ -31,6 +31,7 @@ def load_all() -> None:
         search_queries,
         text_queries,
         vector_queries,
+        state_queries,
     )
 
 
