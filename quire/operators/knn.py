@@ -133,3 +133,41 @@ def topk(
     order = order.desc() if metric == "cosine" else order.asc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("key").asc())
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def grouped_topk(
+    corpus: DataFrame,
+    queries: DataFrame,
+    group: str,
+    k: int,
+    metric: str = "cosine",
+    corpus_block_rows: int = CORPUS_BLOCK_ROWS,
+    query_block_rows: int = QUERY_BLOCK_ROWS,
+) -> DataFrame:
+    """Top-k per query restricted to the corpus rows of the same ``group`` value.
+
+    corpus(key, embedding, group) and queries(query_id, embedding, group). Groups are split
+    into blocks on both sides (hash of the row key), so a hot group becomes many tiles.
+    Returns partial (query_id, key, score) rows, at most k per query per tile."""
+    c = corpus.select(F.col("key").cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).alias("g"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).alias("g"))
+    c, q = c.where(F.col("vec").isNotNull()), q.where(F.col("vec").isNotNull())
+    # blocks per group come from the group's own row counts (an aggregate, joined back)
+    c_sizes = c.groupBy("g").agg(F.count(F.lit(1)).alias("nc"))
+    q_sizes = q.groupBy("g").agg(F.count(F.lit(1)).alias("nq"))
+    sizes = c_sizes.join(q_sizes, "g").select(
+        "g",
+        F.greatest(F.ceil(F.col("nc") / corpus_block_rows), F.lit(1)).cast("int").alias("ncb"),
+        F.greatest(F.ceil(F.col("nq") / query_block_rows), F.lit(1)).cast("int").alias("nqb"),
+    )
+    c_rep = c.join(sizes, "g").select(
+        "key", "vec", "g", F.pmod(F.xxhash64("key"), F.col("ncb")).alias("cb"), F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)).alias("qb")
+    )
+    q_rep = q.join(sizes, "g").select(
+        "query_id", "vec", "g", F.pmod(F.xxhash64("query_id"), F.col("nqb")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ncb") - 1)).alias("cb")
+    )
+    return (
+        q_rep.groupBy("g", "qb", "cb")
+        .cogroup(c_rep.groupBy("g", "qb", "cb"))
+        .applyInPandas(_tile_topk(k, metric), "query_id long, key long, score double")
+    )

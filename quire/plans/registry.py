@@ -32,6 +32,7 @@ def load_all() -> None:
         text_queries,
         vector_queries,
         state_queries,
+        retrieval_queries,
     )
 
 
