@@ -33,6 +33,7 @@ def load_all() -> None:
         vector_queries,
         state_queries,
         retrieval_queries,
+        io_queries,
     )
 
 
