@@ -21,3 +21,14 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast-hint ``df`` only when a bounded count proves it has <= ``max_rows`` rows."""
     return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition ``df`` on ``keys`` when its scan yields fewer partitions than the
+    cluster has cores (one large row group is one task), so CPU-heavy row work that follows
+    runs on every core. At scale the scan already has many splits and this is a no-op —
+    no extra shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)

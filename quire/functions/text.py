@@ -70,6 +70,12 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
 
 
+# Note on exploding computed arrays: operators use explode_outer / posexplode_outer /
+# inline_outer followed by a NOT NULL filter. The inner variants make the optimizer infer a
+# ``size(array) > 0`` filter and push it below the exchange, so the whole array expression
+# (tokenising, embedding) would be computed twice, the first time before any repartition.
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and bind it for ``body`` (a one-argument lambda over columns).
 

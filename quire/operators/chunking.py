@@ -32,7 +32,8 @@ def token_windows(content: Column, size: int = TOKENS_PER_CHUNK) -> Column:
 
 def token_chunks(df: DataFrame, content_col: str = "content", size: int = TOKENS_PER_CHUNK, keep=("path",)) -> DataFrame:
     """(keep..., chunk_id, text); empty text yields no chunk."""
-    return df.select(*keep, F.posexplode(token_windows(F.col(content_col), size)).alias("chunk_id", "text"))
+    rows = df.select(*keep, F.posexplode_outer(token_windows(F.col(content_col), size)).alias("chunk_id", "text"))
+    return rows.where(F.col("chunk_id").isNotNull())
 
 
 # File suffixes that go through a parser; for every other suffix (and for files
@@ -70,8 +71,8 @@ def structural_chunks(df: DataFrame, size: int = TOKENS_PER_CHUNK) -> DataFrame:
     parsed = files.where(is_parsed).mapInPandas(_definitions_batches, "path string, content string, defs array<string>")
     chosen = F.when(F.size("defs") > 0, F.col("defs")).otherwise(token_windows(F.col("content"), size))
     method = F.when(F.size("defs") > 0, F.lit("structural")).otherwise(F.lit("tokens"))
-    a = parsed.select("path", method.alias("method"), F.posexplode(chosen).alias("chunk_id", "text"))
+    a = parsed.select("path", method.alias("method"), F.posexplode_outer(chosen).alias("chunk_id", "text"))
     b = files.where(~is_parsed).select(
-        "path", F.lit("tokens").alias("method"), F.posexplode(token_windows(F.col("content"), size)).alias("chunk_id", "text")
+        "path", F.lit("tokens").alias("method"), F.posexplode_outer(token_windows(F.col("content"), size)).alias("chunk_id", "text")
     )
-    return a.unionByName(b).select("path", "chunk_id", "text", "method")
+    return a.unionByName(b).where(F.col("chunk_id").isNotNull()).select("path", "chunk_id", "text", "method")

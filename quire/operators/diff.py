@@ -26,7 +26,7 @@ def line_diff(pairs: DataFrame, c1: str = "content_1", c2: str = "content_2", ke
     """One row per differing line (first 100 per pair): kind = modified / deleted / added,
     where an empty left line counts as absent (so it reports 'added')."""
     listed = F.slice(_differences(F.col(c1), F.col(c2)), 1, MAX_LISTED)
-    rows = pairs.select(*keep, F.inline(listed))
+    rows = pairs.select(*keep, F.inline_outer(listed)).where(F.col("line_number").isNotNull())
     kind = (
         F.when(F.col("line_1") == "", F.lit("added"))
         .when(F.col("line_2") == "", F.lit("deleted"))

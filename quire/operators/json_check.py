@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _reject_constant(name: str):
@@ -28,7 +29,7 @@ def _json_error(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a DataType, not DDL: importable before a session exists
 def json_error(texts: pd.Series) -> pd.Series:
     return texts.map(_json_error)
 

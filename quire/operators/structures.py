@@ -47,7 +47,7 @@ def code_structures(df: DataFrame, structure_type: str = "all", content_col: str
         )
 
     found = F.filter(F.flatten(F.transform(split_lines(F.col(content_col)), per_line)), lambda s: s.isNotNull())
-    return df.select(*keep, F.inline(found))
+    return df.select(*keep, F.inline_outer(found)).where(F.col("line").isNotNull())
 
 
 def structure_summary(structures: DataFrame, keys=("path",)) -> DataFrame:

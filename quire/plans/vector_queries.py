@@ -100,7 +100,7 @@ FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM n) WHERE nrm > 0"""
 )
 def l2_normalize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir).select("vec_id", l2_normalize(F.col("embedding")).alias("v"))
-    return e.select("vec_id", F.posexplode("v").alias("dim", "value")).select("vec_id", "dim", rounded(F.col("value")).alias("value"))
+    return e.select("vec_id", F.posexplode_outer("v").alias("dim", "value")).where(F.col("dim").isNotNull()).select("vec_id", "dim", rounded(F.col("value")).alias("value"))
 
 
 @register(
@@ -114,7 +114,7 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = with_index_dim(inputs.files(spark, sf_dir), spark, sf_dir)
     text = chunking.truncate_for_embedding(F.col("content"))
     v = f.select("doc_id", hashed_embedding(text, F.col("_dim")).alias("e"))
-    return v.select("doc_id", F.posexplode("e").alias("dim", "value")).select("doc_id", "dim", rounded(F.col("value")).alias("value"))
+    return v.select("doc_id", F.posexplode_outer("e").alias("dim", "value")).where(F.col("dim").isNotNull()).select("doc_id", "dim", rounded(F.col("value")).alias("value"))
 
 
 def cosine_hits(spark: SparkSession, sf_dir: str, k: int = SEARCH_K) -> DataFrame:
