@@ -1,9 +1,9 @@
 """Approximate nearest neighbours with an inverted-file (IVF) index, built from Spark joins.
 
-  * ``n_lists`` centroids are a deterministic sample of the corpus (smallest key hashes);
-  * every corpus vector is assigned to its nearest centroid and every query probes its
-    ``n_probe`` nearest centroids — both are exact k-NN problems against the small centroid
-    table, solved with the blocked plan of ``quire.operators.knn``;
+  * ``n_lists`` centroids are trained with Spark ML's distributed k-means (seeded, so the
+    index is reproducible); every corpus vector belongs to its nearest centroid;
+  * every query probes its ``n_probe`` nearest centroids — an exact k-NN problem against the
+    small centroid table, solved with the blocked plan of ``quire.operators.knn``;
   * the search itself runs the same tile scorer over (cell, block) groups: a query meets
     only the vectors of the cells it probes, so work per query is ~n_probe / n_lists of
     the corpus; a hot cell is split into blocks like any other large group.
@@ -24,15 +24,23 @@ def default_lists(n: int) -> int:
     return max(1, int(math.sqrt(max(n, 1))))
 
 
-def build_ivf(corpus: DataFrame, n_lists: int, key: str = "vec_id", vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(centroids(cell, embedding), assignment(key, cell, embedding))."""
+def build_ivf(
+    corpus: DataFrame, n_lists: int, key: str = "vec_id", vec: str = "embedding", seed: int = 7, max_iter: int = 20
+) -> tuple[DataFrame, DataFrame]:
+    """(centroids(cell, embedding), assignment(key, cell, embedding)).
+
+    The trained model holds ``n_lists`` x dim numbers — bounded by the parameter, not by the
+    corpus — and comes back as a small DataFrame."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
     c = corpus.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("embedding"))
-    centroids = (
-        c.orderBy(F.xxhash64("key"), "key").limit(n_lists)  # top-n: bounded by n_lists
-        .select(F.col("key").alias("cell"), "embedding")
-    )
-    nearest = knn.topk(centroids, c.withColumnRenamed("key", "query_id"), 1, "l2", corpus_key="cell")
-    assignment = nearest.select(F.col("query_id").alias("key"), F.col("key").alias("cell")).join(c, "key")
+    feats = c.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(feats)
+    spark = corpus.sparkSession
+    centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]
+    centroids = spark.createDataFrame(centers, "cell long, embedding array<double>")
+    assignment = model.transform(feats).select("key", F.col("cell").cast("long").alias("cell"), "embedding")
     return centroids, assignment
 
 
