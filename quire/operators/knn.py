@@ -26,8 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK_ROWS = 1024
+# Tile shape: a tile holds up to QUERY_BLOCK_ROWS queries and CORPUS_BLOCK_ROWS vectors; it
+# is scored QUERY_CHUNK_ROWS x SUB_BLOCK_ROWS at a time (a 64 MB score matrix at most).
+# Larger tiles mean less replication (each side is copied once per block of the other).
+QUERY_BLOCK_ROWS = 16384
 CORPUS_BLOCK_ROWS = 65536
+QUERY_CHUNK_ROWS = 1024
 SUB_BLOCK_ROWS = 8192
 TIE_DECIMALS = 9
 
@@ -55,37 +59,59 @@ def _normalized(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _select_k(o: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Column indices of the k best per row by (o ascending, key ascending).
+
+    ``argpartition`` finds each row's k-th value in O(m); only rows whose k-th value is tied
+    with an unselected entry fall back to an exact sort of their tied candidates."""
+    n, m = o.shape
+    if m <= k:
+        return np.lexsort((keys, o), axis=1)
+    part = np.argpartition(o, k - 1, axis=1)[:, :k]
+    po = np.take_along_axis(o, part, axis=1)
+    kth = po.max(axis=1)
+    sel = np.take_along_axis(part, np.lexsort((np.take_along_axis(keys, part, axis=1), po), axis=1), axis=1)
+    tied = np.nonzero((o <= kth[:, None]).sum(axis=1) > k)[0]
+    for r in tied:
+        cand = np.nonzero(o[r] <= kth[r])[0]
+        sel[r] = cand[np.lexsort((keys[r, cand], o[r, cand]))][:k]
+    return sel
+
+
 def _tile_topk(k: int, metric: str):
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "key": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype="float64")})
+        cols = {"query_id": "int64", "key": "int64", "score": "float64"}
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return empty
-        qk = qpdf["query_id"].to_numpy(dtype=np.int64)
-        q = _matrix(qpdf["vec"])
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in cols.items()})
         ck_all = cpdf["key"].to_numpy(dtype=np.int64)
         c_all = _matrix(cpdf["vec"])
+        qk_all = qpdf["query_id"].to_numpy(dtype=np.int64)
+        q_all = _matrix(qpdf["vec"])
         if metric == "cosine":
-            q, c_all = _normalized(q), _normalized(c_all)
-        sign = -1.0 if metric == "cosine" else 1.0  # sort ascending on sign * score
-        best_o = np.full((len(qk), 0), np.inf)  # ordering value: sign * score rounded at 1e-9
-        best_s = np.full((len(qk), 0), np.nan)  # raw score, reported
-        best_k = np.zeros((len(qk), 0), dtype=np.int64)
-        for lo in range(0, len(ck_all), SUB_BLOCK_ROWS):
-            ck, c = ck_all[lo : lo + SUB_BLOCK_ROWS], c_all[lo : lo + SUB_BLOCK_ROWS]
-            raw = _score_tile(q, c, metric)
-            o = sign * np.round(raw, TIE_DECIMALS)
-            o = np.where(np.isnan(o), np.inf, o)
-            all_o = np.concatenate([best_o, o], axis=1)
-            all_s = np.concatenate([best_s, raw], axis=1)
-            all_k = np.concatenate([best_k, np.broadcast_to(ck, o.shape)], axis=1)
-            order = np.lexsort((all_k, all_o), axis=1)[:, :k]
-            best_o = np.take_along_axis(all_o, order, axis=1)
-            best_s = np.take_along_axis(all_s, order, axis=1)
-            best_k = np.take_along_axis(all_k, order, axis=1)
-        keep = np.isfinite(best_o)
-        rows_q = np.broadcast_to(qk[:, None], best_o.shape)[keep]
-        return pd.DataFrame({"query_id": rows_q, "key": best_k[keep], "score": best_s[keep]})
+            q_all, c_all = _normalized(q_all), _normalized(c_all)
+        sign = -1.0 if metric == "cosine" else 1.0  # select ascending on sign * score
+        out = []
+        for qlo in range(0, len(qk_all), QUERY_CHUNK_ROWS):
+            qk, q = qk_all[qlo : qlo + QUERY_CHUNK_ROWS], q_all[qlo : qlo + QUERY_CHUNK_ROWS]
+            best_o = np.full((len(qk), 0), np.inf)  # ordering value: sign * score rounded at 1e-9
+            best_s = np.full((len(qk), 0), np.nan)  # raw score, reported
+            best_k = np.zeros((len(qk), 0), dtype=np.int64)
+            for lo in range(0, len(ck_all), SUB_BLOCK_ROWS):
+                ck, c = ck_all[lo : lo + SUB_BLOCK_ROWS], c_all[lo : lo + SUB_BLOCK_ROWS]
+                raw = _score_tile(q, c, metric)
+                o = sign * np.round(raw, TIE_DECIMALS)
+                o = np.where(np.isnan(o), np.inf, o)
+                all_o = np.concatenate([best_o, o], axis=1)
+                all_s = np.concatenate([best_s, raw], axis=1)
+                all_k = np.concatenate([best_k, np.broadcast_to(ck, o.shape)], axis=1)
+                order = _select_k(all_o, all_k, k)
+                best_o = np.take_along_axis(all_o, order, axis=1)
+                best_s = np.take_along_axis(all_s, order, axis=1)
+                best_k = np.take_along_axis(all_k, order, axis=1)
+            keep = np.isfinite(best_o)
+            rows_q = np.broadcast_to(qk[:, None], best_o.shape)[keep]
+            out.append(pd.DataFrame({"query_id": rows_q, "key": best_k[keep], "score": best_s[keep]}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 

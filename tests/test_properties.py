@@ -159,3 +159,28 @@ def test_streaming_index_equals_batch(spark):
     latest = f.select("path", F.when(F.col("doc_id") < 20, F.concat("content", F.lit(" extra"))).otherwise(F.col("content")).alias("content"))
     batch = chunking.token_chunks(latest).select("path", "chunk_id", "text")
     assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+
+
+def test_tile_sub_blocks_and_query_chunks(spark, monkeypatch):
+    """Small sub-blocks and query chunks exercise the running top-k merge inside a tile."""
+    monkeypatch.setattr(knn, "SUB_BLOCK_ROWS", 11)
+    monkeypatch.setattr(knn, "QUERY_CHUNK_ROWS", 3)
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    rows = e.orderBy("vec_id").collect()
+    ck = [r.vec_id for r in rows]
+    c = np.array([r.embedding for r in rows], dtype=np.float64)
+    q = e.where(F.col("label") == 5).withColumnRenamed("vec_id", "query_id")
+    qrows = q.orderBy("query_id").collect()
+    res = knn.topk(e, q, 5, "l2", corpus_block_rows=200)
+    got = {}
+    for r in res.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.key)
+    want = _brute(np.array([r.embedding for r in qrows], dtype=np.float64), [r.query_id for r in qrows], c, ck, 5, "l2")
+    assert got == want
+
+
+def test_select_k_resolves_boundary_ties():
+    o = np.array([[3.0, 1.0, 2.0, 2.0, 2.0, 0.5]])
+    keys = np.array([[10, 11, 15, 12, 14, 13]])
+    sel = knn._select_k(o, keys, 3)
+    assert keys[0, sel[0]].tolist() == [13, 11, 12]
