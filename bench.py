@@ -18,6 +18,7 @@ from quire.session import build_session  # noqa: E402
 
 HEADLINE = [
     "bm25_batch",
+    "bm25_index_write",
     "bm25_search_indexed",
     "term_frequency",
     "cosine_topk",

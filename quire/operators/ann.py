@@ -24,19 +24,28 @@ def default_lists(n: int) -> int:
     return max(1, int(math.sqrt(max(n, 1))))
 
 
+# Fixed value: k-means trains on about this many vectors per list (all vectors are assigned).
+TRAIN_ROWS_PER_LIST = 256
+
+
 def build_ivf(
     corpus: DataFrame, n_lists: int, key: str = "vec_id", vec: str = "embedding", seed: int = 7, max_iter: int = 20
 ) -> tuple[DataFrame, DataFrame]:
     """(centroids(cell, embedding), assignment(key, cell, embedding)).
 
-    The trained model holds ``n_lists`` x dim numbers — bounded by the parameter, not by the
-    corpus — and comes back as a small DataFrame."""
+    Centroids are trained on a seeded sample of about ``TRAIN_ROWS_PER_LIST * n_lists``
+    vectors (the usual IVF practice); every vector is then assigned, none is dropped. The
+    model holds ``n_lists`` x dim numbers — bounded by the parameter, not by the corpus — and
+    comes back as a small DataFrame."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     c = corpus.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("embedding"))
     feats = c.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(feats)
+    n = c.count()
+    fraction = min(1.0, TRAIN_ROWS_PER_LIST * n_lists / max(n, 1))
+    train = feats if fraction >= 1.0 else feats.sample(fraction=fraction, seed=seed)
+    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(train)
     spark = corpus.sparkSession
     centers = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centers, "cell long, embedding array<double>")

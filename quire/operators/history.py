@@ -80,6 +80,5 @@ def stats(history: DataFrame, last_n: int = 10) -> DataFrame:
     recent = history.select("operation_id", "type", "ts", "seq", F.col("backup_path").isNotNull().alias("has_backup"))
     recent = recent.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(last_n)
     last = recent.withColumn("recent_rank", F.row_number().over(Window.orderBy(F.col("ts").desc(), F.col("seq").desc())))
-    return last.withColumn("total_operations", totals.select("total_operations").scalar()).withColumn(
-        "oldest_operation", totals.select("oldest_operation").scalar()
-    ).withColumn("newest_operation", totals.select("newest_operation").scalar())
+    t = totals.select(F.struct("total_operations", "oldest_operation", "newest_operation")).scalar()  # one subquery
+    return last.withColumn("_t", t).select(*last.columns, "_t.*")

@@ -63,10 +63,18 @@ def read_documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMOKE_QUERY, SMOKE_LIMIT = "function", 5
 
 
-def _written_index(spark: SparkSession, sf_dir: str) -> str:
-    out = shared_dir(spark, "bm25-index")
-    index_store.write_bm25_index(bm25.build_index(_documents(spark, sf_dir)), out)
-    return out
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _written_index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> str:
+    """Folder of the persisted index for ``sf_dir``; built once per application (an index is
+    written once and searched many times), or again when ``rebuild``."""
+    memo = (spark.sparkContext.applicationId, sf_dir)
+    if rebuild or memo not in _BUILT:
+        out = shared_dir(spark, "bm25-index")
+        index_store.write_bm25_index(bm25.build_index(_documents(spark, sf_dir)), out)
+        _BUILT[memo] = out
+    return _BUILT[memo]
 
 
 @register(
@@ -81,7 +89,7 @@ FROM stats""",
 )
 def bm25_index_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build, persist, reopen, and report the metadata row with a smoke search."""
-    index, stats = index_store.read_bm25_index(spark, _written_index(spark, sf_dir))
+    index, stats = index_store.read_bm25_index(spark, _written_index(spark, sf_dir, rebuild=True))
     q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(SMOKE_QUERY).alias("text"))
     hits = bm25.search(index, q, SMOKE_LIMIT, term_bucket=lambda t: index_store.term_bucket(t, index_store.DEFAULT_TERM_BUCKETS))
     return stats.select(
@@ -208,7 +216,7 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         os.path.join(src, "round=2")
     )
     dim = table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0]
-    stream = spark.readStream.schema("path string, content string, version int").option("maxFilesPerTrigger", "4").json(src)
+    stream = spark.readStream.schema("path string, content string, version int").option("maxFilesPerTrigger", "8").json(src)
     incremental.start_incremental_index(stream, idx, ckpt, dim).awaitTermination()
     live = incremental.current_chunks(spark, idx)
     return live.select("path", "chunk_id", "text", F.size("embedding").alias("dimension"))

@@ -55,9 +55,8 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH p AS (SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id),
 a AS (SELECT c.conv_id, c.turn, c.text, p.prompt FROM conversations c JOIN p ON p.conv_id = c.conv_id WHERE c.role = 'assistant'),
 s AS (SELECT *, list_distinct({bm25_tokens('prompt')}) AS q, list_distinct({bm25_tokens('text')}) AS d FROM a),
-r AS (SELECT conv_id, turn, text, prompt, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0.0 END AS score,
-             count(*) OVER (PARTITION BY conv_id) AS n FROM s),
-b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN n > 1 THEN round(score, 9) ELSE 0 END DESC, turn) AS rk FROM r)
+r AS (SELECT conv_id, turn, text, prompt, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0.0 END AS score FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, turn) AS rk FROM r)
 SELECT conv_id, turn AS best_turn, round(score, 6) AS score, len({ws_tokens_sql('prompt')}) AS prompt_tokens,
        len({ws_tokens_sql('text')}) AS completion_tokens, len({ws_tokens_sql('prompt')}) + len({ws_tokens_sql('text')}) AS total_tokens
 FROM b WHERE rk = 1""",
@@ -70,10 +69,9 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     prompts = c.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
     cand = c.where(F.col("role") == "assistant").join(prompts, "conv_id")
-    n = cand.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    scored = cand.join(n, "conv_id").withColumn("score", overlap_score(F.col("prompt"), F.col("text")))
-    # best = max (rounded score if several candidates, else 0), then the earliest turn
-    rank_key = F.struct(F.when(F.col("n") > 1, F.round("score", 9)).otherwise(F.lit(0.0)).alias("s"), (-F.col("turn")).alias("t"))
+    scored = cand.withColumn("score", overlap_score(F.col("prompt"), F.col("text")))
+    # best = highest score, then the earliest turn; a lone candidate wins unscored either way
+    rank_key = F.struct(F.round("score", 9).alias("s"), (-F.col("turn")).alias("t"))
     best = scored.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text", "prompt", "score"), rank_key).alias("b"))
     pt, ct = F.size(ws_tokens(F.col("b.prompt"))), F.size(ws_tokens(F.col("b.text")))
     return best.select(

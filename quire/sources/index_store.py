@@ -23,12 +23,18 @@ def term_bucket(term, n_buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(n_buckets)).cast("int")
 
 
+def _write_by_bucket(df: DataFrame, path: str, n_buckets: int) -> None:
+    """Range-partition on (bucket, term): each writer task covers a contiguous slice of one
+    or two buckets, so a bucket is spread over as many files as its size needs (a hot bucket
+    is never one task) and every file is sorted by term (row-group min/max prune on term)."""
+    out = df.withColumn("bucket", term_bucket(F.col("term"), n_buckets))
+    out = out.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+    out.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def write_bm25_index(index: Bm25Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
-    # repartition on the bucket so each bucket directory gets one file per writer task set
-    post = index.postings.withColumn("bucket", term_bucket(F.col("term"), n_buckets))
-    post.repartition(n_buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    terms = index.terms.withColumn("bucket", term_bucket(F.col("term"), n_buckets))
-    terms.repartition(n_buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    _write_by_bucket(index.postings, f"{path}/postings", n_buckets)
+    _write_by_bucket(index.terms, f"{path}/terms", n_buckets)
     index.stats.withColumn("n_buckets", F.lit(n_buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
