@@ -72,7 +72,7 @@ def _written_index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> s
     memo = (spark.sparkContext.applicationId, sf_dir)
     if rebuild or memo not in _BUILT:
         out = shared_dir(spark, "bm25-index")
-        index_store.write_bm25_index(bm25.build_index(_documents(spark, sf_dir)), out)
+        index_store.build_and_write_bm25_index(_documents(spark, sf_dir), out)
         _BUILT[memo] = out
     return _BUILT[memo]
 

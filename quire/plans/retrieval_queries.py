@@ -153,8 +153,8 @@ SELECT source, id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank, (SELEC
 )
 def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and vector candidates of the fixed query in one list tagged by ``source``."""
-    index = bm25.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text_hits = bm25.search(index, fixed_query(spark)).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text_hits = bm25.search_documents(docs, fixed_query(spark)).select(
         F.lit("bm25").alias("source"), F.col("doc_id").alias("id"), F.col("bm25_score").alias("score"), "rank"
     )
     q = with_index_dim(fixed_query(spark), spark, sf_dir).select("query_id", hashed_embedding(F.col("text"), F.col("_dim")).alias("embedding"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from quire.operators import bm25
 from quire.operators.bm25 import Bm25Index
 
 DEFAULT_TERM_BUCKETS = 64
@@ -38,6 +39,30 @@ def write_bm25_index(index: Bm25Index, path: str, n_buckets: int = DEFAULT_TERM_
     index.stats.withColumn("n_buckets", F.lit(n_buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def build_and_write_bm25_index(docs: DataFrame, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS,
+                               id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Build the index from documents with the postings written first: document frequencies
+    and corpus statistics are then computed from the written postings (lineage cut at a
+    stored table), so the corpus is tokenised only for the postings write."""
+    spark = docs.sparkSession
+    postings = bm25.term_frequency(bm25.tokenized(docs, id_col, text_col))
+    _write_by_bucket(postings, f"{path}/postings", n_buckets)
+    stored = spark.read.parquet(f"{path}/postings")
+    n_docs = docs.select(F.count(F.lit(1)))  # no tokenising: a row count of the source
+    terms = bm25.document_frequency_idf(stored.drop("bucket"), n_docs)
+    _write_by_bucket(terms, f"{path}/terms", n_buckets)
+    n = n_docs.scalar()
+    vocab = spark.read.parquet(f"{path}/terms").select(F.count(F.lit(1))).scalar()
+    stats = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("total_len")).select(
+        n.alias("n_docs"),
+        "total_len",
+        F.when(n > 0, F.col("total_len") / n).otherwise(F.lit(0.0)).alias("avg_doc_len"),
+        vocab.alias("vocab_size"),
+        F.lit(n_buckets).alias("n_buckets"),
+    )
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
 def read_bm25_index(spark: SparkSession, path: str) -> tuple[Bm25Index, DataFrame]:
     """(index, stats row with n_buckets)."""
     stats = spark.read.parquet(f"{path}/stats")

@@ -151,8 +151,8 @@ def test_streaming_index_equals_batch(spark):
 
     src, idx, ckpt = shared_dir(spark, "t-src"), shared_dir(spark, "t-idx"), shared_dir(spark, "t-ckpt")
     f = inputs.files(spark, SMALL)
-    f.select("path", "content", F.lit(1).alias("version")).repartition(3).write.json(os.path.join(src, "r1"))
-    f.select("path", F.concat("content", F.lit(" extra")).alias("content"), F.lit(2).alias("version")).where(F.col("doc_id") < 20).write.json(os.path.join(src, "r2"))
+    f.select("path", "content", F.lit(1).alias("version")).repartition(3).write.json(os.path.join(src, "round=1"))
+    f.select("path", F.concat("content", F.lit(" extra")).alias("content"), F.lit(2).alias("version")).where(F.col("doc_id") < 20).write.json(os.path.join(src, "round=2"))
     stream = spark.readStream.schema("path string, content string, version int").option("maxFilesPerTrigger", "2").json(src)
     incremental.start_incremental_index(stream, idx, ckpt, 8).awaitTermination()
     live = incremental.current_chunks(spark, idx).select("path", "chunk_id", "text")
