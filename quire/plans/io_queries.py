@@ -144,7 +144,7 @@ def vector_index_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "cache_append",
     f"""WITH {CACHE_CTES}
-SELECT cache_type, count(*) AS entries, sum(size_bytes) AS total_bytes FROM live GROUP BY cache_type""",
+SELECT cache_type, count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM live GROUP BY cache_type""",
 )
 def cache_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "cache")

@@ -32,9 +32,9 @@ from quire.plans.vector_queries import (
 @register(
     "token_usage",
     f"""SELECT conv_id, count(*) AS turns,
-       sum(CASE WHEN role <> 'assistant' THEN len({ws_tokens_sql('text')}) ELSE 0 END) AS prompt_tokens,
-       sum(CASE WHEN role = 'assistant' THEN len({ws_tokens_sql('text')}) ELSE 0 END) AS completion_tokens,
-       sum(len({ws_tokens_sql('text')})) AS total_tokens
+       CAST(sum(CASE WHEN role <> 'assistant' THEN len({ws_tokens_sql('text')}) ELSE 0 END) AS BIGINT) AS prompt_tokens,
+       CAST(sum(CASE WHEN role = 'assistant' THEN len({ws_tokens_sql('text')}) ELSE 0 END) AS BIGINT) AS completion_tokens,
+       CAST(sum(len({ws_tokens_sql('text')})) AS BIGINT) AS total_tokens
 FROM conversations GROUP BY conv_id""",
 )
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ a AS (SELECT c.conv_id, c.turn, c.text, p.prompt FROM conversations c JOIN p ON
 s AS (SELECT *, list_distinct({bm25_tokens('prompt')}) AS q, list_distinct({bm25_tokens('text')}) AS d FROM a),
 r AS (SELECT conv_id, turn, text, prompt, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0.0 END AS score FROM s),
 b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, turn) AS rk FROM r)
-SELECT conv_id, turn AS best_turn, round(score, 6) AS score, len({ws_tokens_sql('prompt')}) AS prompt_tokens,
-       len({ws_tokens_sql('text')}) AS completion_tokens, len({ws_tokens_sql('prompt')}) + len({ws_tokens_sql('text')}) AS total_tokens
+SELECT conv_id, turn AS best_turn, round(score, 6) AS score, CAST(len({ws_tokens_sql('prompt')}) AS INTEGER) AS prompt_tokens,
+       CAST(len({ws_tokens_sql('text')}) AS INTEGER) AS completion_tokens,
+       CAST(len({ws_tokens_sql('prompt')}) + len({ws_tokens_sql('text')}) AS INTEGER) AS total_tokens
 FROM b WHERE rk = 1""",
 )
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:

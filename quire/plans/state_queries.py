@@ -271,8 +271,8 @@ def rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "history_retention",
-    f"""SELECT count_if(ts < {NOW_SQL} - INTERVAL 24 HOURS) AS cleaned_count,
-       count_if(NOT (ts < {NOW_SQL} - INTERVAL 24 HOURS)) AS remaining_count,
+    f"""SELECT CAST(count_if(ts < {NOW_SQL} - INTERVAL 24 HOURS) AS BIGINT) AS cleaned_count,
+       CAST(count_if(NOT (ts < {NOW_SQL} - INTERVAL 24 HOURS)) AS BIGINT) AS remaining_count,
        strftime({NOW_SQL} - INTERVAL 24 HOURS, '{ISO_SQL}') AS cutoff
 FROM events""",
 )
@@ -349,8 +349,8 @@ def apply_path_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "batch_summary",
-    """SELECT CAST(ts AS DATE) AS batch_date, count(*) AS total_operations, count_if(event_type <> 'error') AS successful_operations,
-       count_if(event_type = 'error') AS failed_operations, round(avg(value), 6) AS average_time_ms
+    """SELECT CAST(ts AS DATE) AS batch_date, count(*) AS total_operations, CAST(count_if(event_type <> 'error') AS BIGINT) AS successful_operations,
+       CAST(count_if(event_type = 'error') AS BIGINT) AS failed_operations, round(avg(value), 6) AS average_time_ms
 FROM events GROUP BY CAST(ts AS DATE)""",
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

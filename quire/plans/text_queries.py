@@ -286,8 +286,9 @@ def code_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "structure_summary",
     f"""WITH {_structures_sql()}
-SELECT path, count(*) AS total_structures, count_if(type = 'function') AS functions, count_if(type = 'class') AS classes,
-       count_if(type = 'method') AS methods, count_if(type = 'arrow_function') AS arrow_functions
+SELECT path, count(*) AS total_structures, CAST(count_if(type = 'function') AS BIGINT) AS functions,
+       CAST(count_if(type = 'class') AS BIGINT) AS classes, CAST(count_if(type = 'method') AS BIGINT) AS methods,
+       CAST(count_if(type = 'arrow_function') AS BIGINT) AS arrow_functions
 FROM s GROUP BY path""",
 )
 def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

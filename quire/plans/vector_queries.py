@@ -265,8 +265,8 @@ def vector_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VSTATS_SQL = f"""WITH {VINDEX_CTE},
 s AS (SELECT count(*) AS total_vectors,
-             count_if(EXISTS (SELECT 1 FROM files f WHERE f.path = v.path)) AS existing_files,
-             count_if(NOT EXISTS (SELECT 1 FROM files f WHERE f.path = v.path)) AS missing_files,
+             CAST(count_if(EXISTS (SELECT 1 FROM files f WHERE f.path = v.path)) AS BIGINT) AS existing_files,
+             CAST(count_if(NOT EXISTS (SELECT 1 FROM files f WHERE f.path = v.path)) AS BIGINT) AS missing_files,
              CAST(max(len(embedding)) AS INTEGER) AS dimension
       FROM vindex v)"""
 
