@@ -144,10 +144,12 @@ def topk(
     parallelism = spark.sparkContext.defaultParallelism
     n_qb = _blocks(n_q, query_block_rows)
     n_cb = _blocks(n_c, corpus_block_rows, min_blocks=max(parallelism // n_qb, 1))
-    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb))).withColumn(
+    # Block ids are ints on both sides: cogroup co-locates groups by hashing the key values,
+    # so the two sides' key types must be identical.
+    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb)).cast("int")).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))
     )
-    c_rep = c.withColumn("cb", F.pmod(F.xxhash64("key"), F.lit(n_cb))).withColumn(
+    c_rep = c.withColumn("cb", F.pmod(F.xxhash64("key"), F.lit(n_cb)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))
     )
     partial = (
@@ -175,8 +177,8 @@ def grouped_topk(
     corpus(key, embedding, group) and queries(query_id, embedding, group). Groups are split
     into blocks on both sides (hash of the row key), so a hot group becomes many tiles.
     Returns partial (query_id, key, score) rows, at most k per query per tile."""
-    c = corpus.select(F.col("key").cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).alias("g"))
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).alias("g"))
+    c = corpus.select(F.col("key").cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).cast("long").alias("g"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).cast("long").alias("g"))
     c, q = c.where(F.col("vec").isNotNull()), q.where(F.col("vec").isNotNull())
     # blocks per group come from the group's own row counts (an aggregate, joined back)
     c_sizes = c.groupBy("g").agg(F.count(F.lit(1)).alias("nc"))
@@ -187,10 +189,12 @@ def grouped_topk(
         F.greatest(F.ceil(F.col("nq") / query_block_rows), F.lit(1)).cast("int").alias("nqb"),
     )
     c_rep = c.join(sizes, "g").select(
-        "key", "vec", "g", F.pmod(F.xxhash64("key"), F.col("ncb")).alias("cb"), F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)).alias("qb")
+        "key", "vec", "g", F.pmod(F.xxhash64("key"), F.col("ncb")).cast("int").alias("cb"),
+        F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)).alias("qb"),
     )
     q_rep = q.join(sizes, "g").select(
-        "query_id", "vec", "g", F.pmod(F.xxhash64("query_id"), F.col("nqb")).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ncb") - 1)).alias("cb")
+        "query_id", "vec", "g", F.pmod(F.xxhash64("query_id"), F.col("nqb")).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("ncb") - 1)).alias("cb"),
     )
     return (
         q_rep.groupBy("g", "qb", "cb")

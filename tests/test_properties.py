@@ -184,3 +184,12 @@ def test_select_k_resolves_boundary_ties():
     keys = np.array([[10, 11, 15, 12, 14, 13]])
     sel = knn._select_k(o, keys, 3)
     assert keys[0, sel[0]].tolist() == [13, 11, 12]
+
+
+def test_all_pairs_self_match_at_larger_scale(spark):
+    """Regression: both cogroup sides must hash identical block-key types, or tiles split and
+    results go missing. Every vector's best match over the whole sf0.1 table is itself."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    top = knn.topk(e, e.withColumnRenamed("vec_id", "query_id"), 1, "cosine")
+    assert top.count() == e.count()
+    assert top.where(F.col("query_id") != F.col("key")).count() == 0
