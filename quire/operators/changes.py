@@ -69,18 +69,12 @@ def apply_path_changes(files: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     return result.drop("_src_content"), kept.unionByName(added)
 
 
-def apply_edit_batch(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits(path, seq, op, start_line, end_line, new_content) with op in replace/delete/insert
-    (insert uses start_line as the 'after' line). Each edit sees the result of the previous
-    one; an invalid edit fails the file (content unchanged, error names the edit seq).
+# Fixed value: edits folded per file per round (bounds the array one row carries).
+EDITS_PER_ROUND = 256
 
-    Edits are grouped per file (one shuffle on path) and folded with ``aggregate`` over the
-    ordered edit array inside the row; the file's lines never leave the JVM."""
-    per_file = edits.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "op", "start_line", "end_line", "new_content"))).alias("edits")
-    )
-    j = files.select("path", "content").join(per_file, "path", "inner")
-    init = F.struct(split_lines(F.col("content")).alias("lines"), F.lit(None).cast("string").alias("error"))
+
+def _fold_round(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """state(path, lines, error, edits_applied) + batch(path, edits) -> next state."""
 
     def step(acc, e):
         ls, n = acc["lines"], F.size(acc["lines"])
@@ -98,12 +92,56 @@ def apply_edit_batch(files: DataFrame, edits: DataFrame) -> DataFrame:
             F.when(failed, acc["error"]).when(bad, F.format_string("edit %d is invalid", e["seq"])).alias("error"),
         )
 
-    folded = F.aggregate("edits", init, step)
-    ok = folded["error"].isNull()
+    j = state.join(batch, "path", "left")
+    init = F.struct(F.col("lines").alias("lines"), F.col("error").alias("error"))
+    folded = F.when(F.col("edits").isNull(), init).otherwise(F.aggregate("edits", init, step))
     return j.select(
         "path",
-        ok.alias("success"),
+        folded["lines"].alias("lines"),
         folded["error"].alias("error"),
-        F.size("edits").alias("edits_applied"),
-        F.when(ok, F.array_join(folded["lines"], "\n")).otherwise(F.col("content")).alias("content"),
+        (F.col("edits_applied") + F.coalesce(F.size("edits"), F.lit(0))).alias("edits_applied"),
+    )
+
+
+def apply_edit_batch(files: DataFrame, edits: DataFrame, edits_per_round: int = EDITS_PER_ROUND) -> DataFrame:
+    """edits(path, seq, op, start_line, end_line, new_content) with op in replace/delete/insert
+    (insert uses start_line as the 'after' line). Each edit sees the result of the previous
+    one; an invalid edit fails the file (content unchanged, error names the edit seq).
+
+    Edits are numbered per file in ``seq`` order and folded in rounds of at most
+    ``edits_per_round`` per file: each round groups only that slice of edits (a bounded
+    array per row, whatever one file's total) and folds it with ``aggregate`` over the
+    file's line array. The round count is the largest per-file edit count / round size;
+    the state is checkpointed between rounds so lineage stays short."""
+    from pyspark.sql import Window
+
+    from quire.session import shared_dir
+
+    spark = files.sparkSession
+    ranked = edits.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("seq")))
+    longest = ranked.agg(F.max("_n")).first()[0] or 0  # one number
+    touched = files.select("path", "content").join(edits.select("path").distinct(), "path", "left_semi")
+    state = touched.select(
+        "path", split_lines(F.col("content")).alias("lines"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("edits_applied")
+    )
+    rounds = -(-longest // edits_per_round)
+    if rounds > 1:
+        shared_dir(spark, "edit-rounds")  # makes sure a checkpoint folder is configured
+    for r in range(rounds):
+        lo, hi = r * edits_per_round, (r + 1) * edits_per_round
+        part = ranked.where((F.col("_n") > lo) & (F.col("_n") <= hi))
+        batch = part.groupBy("path").agg(
+            F.array_sort(F.collect_list(F.struct("seq", "op", "start_line", "end_line", "new_content"))).alias("edits")
+        )
+        state = _fold_round(state, batch)
+        if rounds > 1 and r % 4 == 3:
+            state = state.checkpoint()
+    out = state.join(touched, "path")
+    ok = F.col("error").isNull()
+    return out.select(
+        "path",
+        ok.alias("success"),
+        "error",
+        "edits_applied",
+        F.when(ok, F.array_join("lines", "\n")).otherwise(F.col("content")).alias("content"),
     )

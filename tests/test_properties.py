@@ -193,3 +193,16 @@ def test_all_pairs_self_match_at_larger_scale(spark):
     top = knn.topk(e, e.withColumnRenamed("vec_id", "query_id"), 1, "cosine")
     assert top.count() == e.count()
     assert top.where(F.col("query_id") != F.col("key")).count() == 0
+
+
+def test_edit_batch_rounds_equal_single_round(spark):
+    """Folding in rounds of 1 edit (plus checkpoints) gives the same files as one round."""
+    from quire.plans.state_queries import edit_requests
+
+    f = inputs.files(spark, SMALL)
+    edits = edit_requests(spark, SMALL)
+    one = changes.apply_edit_batch(f, edits)
+    many = changes.apply_edit_batch(f, edits, edits_per_round=1)
+    cols = ["path", "success", "error", "edits_applied", "content"]
+    assert one.select(cols).exceptAll(many.select(cols)).count() == 0
+    assert many.select(cols).exceptAll(one.select(cols)).count() == 0
