@@ -87,13 +87,13 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 RERANK_SQL = f"""WITH {QV_CTE},
 pairs AS (SELECT q.query_id AS qid, q.text AS qtext, e.vec_id AS key, list_distance(q.embedding, e.embedding::DOUBLE[]) ** 2 AS score
           FROM qv q, embeddings e WHERE q.embedding IS NOT NULL),
-cand AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), key) AS faiss_rank FROM pairs),
+cand AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), key) AS vector_rank FROM pairs),
 c2 AS (SELECT c.*, coalesce(d.text, '') AS dtext, count(*) OVER (PARTITION BY qid) AS n
-       FROM cand c LEFT JOIN documents d ON d.doc_id = c.key WHERE faiss_rank <= {2 * SEARCH_K}),
+       FROM cand c LEFT JOIN documents d ON d.doc_id = c.key WHERE vector_rank <= {2 * SEARCH_K}),
 s AS (SELECT *, CASE WHEN n > 1 THEN (SELECT CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0.0 END
                                      FROM (SELECT list_distinct({bm25_tokens('qtext')}) AS q, list_distinct({bm25_tokens('dtext')}) AS d)) END AS rs FROM c2),
-f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rs DESC NULLS LAST, faiss_rank) AS final_rank FROM s)
-SELECT qid AS query_id, key AS vec_id, CAST(faiss_rank AS INTEGER) AS faiss_rank, round(rs, 6) AS rerank_score,
+f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rs DESC NULLS LAST, vector_rank) AS final_rank FROM s)
+SELECT qid AS query_id, key AS vec_id, CAST(vector_rank AS INTEGER) AS vector_rank, round(rs, 6) AS rerank_score,
        CAST(final_rank AS INTEGER) AS final_rank
 FROM f WHERE final_rank <= {SEARCH_K}"""
 
@@ -108,7 +108,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = hits.join(qv.select("query_id", F.col("text").alias("qtext")), "query_id").join(docs, "key", "left")
     cand = cand.withColumn("dtext", F.coalesce("dtext", F.lit("")))
     out = rerank.rerank(cand, overlap_score(F.col("qtext"), F.col("dtext")), SEARCH_K)
-    return out.select("query_id", F.col("key").alias("vec_id"), F.col("rank").alias("faiss_rank"),
+    return out.select("query_id", F.col("key").alias("vec_id"), F.col("rank").alias("vector_rank"),
                       rounded(F.col("rerank_score")).alias("rerank_score"), "final_rank")
 
 

@@ -138,11 +138,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "l2_topk",
     f"WITH {QV_CTE},\n"
-    + _topk_sql(L2_PAIRS, "ASC", SEARCH_K, "qid AS query_id, key AS vec_id, round(score, 6) AS faiss_score, CAST(rnk AS INTEGER) AS faiss_rank"),
+    + _topk_sql(L2_PAIRS, "ASC", SEARCH_K, "qid AS query_id, key AS vec_id, round(score, 6) AS vector_score, CAST(rnk AS INTEGER) AS vector_rank"),
 )
 def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = l2_hits(spark, sf_dir)
-    return h.select("query_id", F.col("key").alias("vec_id"), rounded(F.col("score")).alias("faiss_score"), F.col("rank").alias("faiss_rank"))
+    return h.select("query_id", F.col("key").alias("vec_id"), rounded(F.col("score")).alias("vector_score"), F.col("rank").alias("vector_rank"))
 
 
 @register(
