@@ -28,7 +28,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cluster has cores (one large row group is one task), so CPU-heavy row work that follows
     runs on every core. At scale the scan already has many splits and this is a no-op —
     no extra shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    from quire.session import parallelism
+
+    want = parallelism(df.sparkSession)
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD view on this client: leave the plan as is)
+        return df
+    if have >= want:
         return df
     return df.repartition(want, *keys)

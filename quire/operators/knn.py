@@ -141,7 +141,9 @@ def topk(
     c = c.where(F.col("vec").isNotNull())
     q = q.where(F.col("vec").isNotNull())
     n_q, n_c = q.count(), c.count()
-    parallelism = spark.sparkContext.defaultParallelism
+    from quire.session import parallelism as cores
+
+    parallelism = cores(spark)
     n_qb = _blocks(n_q, query_block_rows)
     n_cb = _blocks(n_c, corpus_block_rows, min_blocks=max(parallelism // n_qb, 1))
     # Block ids are ints on both sides: cogroup co-locates groups by hashing the key values,

@@ -19,7 +19,7 @@ from quire.plans.search_queries import FIXED_QUERIES_CTE, TOK_CTE, _documents, _
 from quire.plans.sqltext import FILES_CTE, bm25_tokens, lit
 from quire.plans.state_queries import CACHE_CTES, live_cache
 from quire.plans.vector_queries import VSTATS_SQL, vector_index
-from quire.session import shared_dir
+from quire.session import app_id, shared_dir
 from quire.sources import corpus, documents_json, index_store
 from quire.streaming import incremental, watch
 
@@ -69,7 +69,7 @@ _BUILT: dict[tuple[str, str], str] = {}
 def _written_index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> str:
     """Folder of the persisted index for ``sf_dir``; built once per application (an index is
     written once and searched many times), or again when ``rebuild``."""
-    memo = (spark.sparkContext.applicationId, sf_dir)
+    memo = (app_id(spark), sf_dir)
     if rebuild or memo not in _BUILT:
         out = shared_dir(spark, "bm25-index")
         index_store.build_and_write_bm25_index(_documents(spark, sf_dir), out)

@@ -28,6 +28,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def parallelism(spark: SparkSession, default: int = 8) -> int:
+    """Cores available to the application (falls back to ``default`` where the session has
+    no SparkContext, e.g. a Spark Connect client)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.default.parallelism", str(default)))
+
+
+def app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return str(id(spark))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
@@ -37,6 +53,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = os.path.join(tempfile.gettempdir(), "quire-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
+    except Exception:  # noqa: BLE001  (no SparkContext on this client: nothing to set)
+        pass
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
