@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.embed import hashed_embedding
 from quire.functions.text import rounded, utf16_length
-from quire.operators import cache, changes, chunking, history
+from quire.operators import cache, changes, history
 from quire.plans import inputs
 from quire.plans.registry import register, table
 from quire.plans.sqltext import FILES_CTE, utf16_length as utf16_sql
@@ -139,14 +139,13 @@ def cache_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aside_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = inputs.files(spark, sf_dir)
-    text = chunking.truncate_for_embedding(F.col("content"))
-    return f.select("doc_id", F.md5(text).alias("key"), text.alias("text"))
+    return f.select("doc_id", F.md5("content").alias("key"), F.col("content").alias("text"))
 
 
 @register(
     "cache_aside",
     f"""WITH {FILES_CTE},
-req AS (SELECT doc_id, md5(substring(content, 1, {chunking.EMBED_CHARS})) AS key, substring(content, 1, {chunking.EMBED_CHARS}) AS text FROM files),
+req AS (SELECT doc_id, md5(content) AS key, content AS text FROM files),
 cached AS (SELECT key, arg_min(embedding, vec_id)::DOUBLE[] AS value FROM req r JOIN embeddings e ON e.vec_id = r.doc_id GROUP BY key),
 {embed_ctes("gen", "SELECT key, any_value(text) AS text FROM req WHERE key NOT IN (SELECT key FROM cached) GROUP BY key")},
 filled AS (

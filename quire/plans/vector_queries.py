@@ -9,7 +9,7 @@ from quire.functions.embed import hashed_embedding, overlap_score
 from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import rounded
 from quire.functions.vectors import l2_normalize
-from quire.operators import chunking, knn, vectors
+from quire.operators import knn, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
 from quire.plans.sqltext import FILES_CTE, bm25_tokens
@@ -47,11 +47,11 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, path, text, force): every file, forced when labelled low quality."""
+    """(doc_id, path, text, force): every file (whole text), forced when labelled low quality."""
     f = inputs.files(spark, sf_dir)
     lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("low_quality"))
     j = f.join(lab, "doc_id", "left")
-    return j.select("doc_id", "path", chunking.truncate_for_embedding(F.col("content")).alias("text"),
+    return j.select("doc_id", "path", F.col("content").alias("text"),
                     F.coalesce("low_quality", F.lit(False)).alias("force"))
 
 
@@ -106,14 +106,13 @@ def l2_normalize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "embed_text",
     f"""WITH {FILES_CTE},
-{embed_ctes("v", f"SELECT doc_id, substring(content, 1, {chunking.EMBED_CHARS}) AS text FROM files")}
+{embed_ctes("v", "SELECT doc_id, content AS text FROM files")}
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS dim, round(embedding[i], 6) AS value
 FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM v)""",
 )
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = with_index_dim(inputs.files(spark, sf_dir), spark, sf_dir)
-    text = chunking.truncate_for_embedding(F.col("content"))
-    v = f.select("doc_id", hashed_embedding(text, F.col("_dim")).alias("e"))
+    v = f.select("doc_id", hashed_embedding(F.col("content"), F.col("_dim")).alias("e"))
     return v.select("doc_id", F.posexplode_outer("e").alias("dim", "value")).where(F.col("dim").isNotNull()).select("doc_id", "dim", rounded(F.col("value")).alias("value"))
 
 
@@ -225,7 +224,7 @@ def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "vector_upsert",
     f"""WITH {VINDEX_CTE},
-{embed_ctes("req", f"SELECT f.path, {LABELS_FORCE} AS force, substring(f.content, 1, {chunking.EMBED_CHARS}) AS text FROM files f")},
+{embed_ctes("req", f"SELECT f.path, {LABELS_FORCE} AS force, f.content AS text FROM files f")},
 j AS (SELECT coalesce(v.path, r.path) AS path, v.embedding::DOUBLE[] AS old_embedding, r.embedding AS new_embedding, r.force,
              r.path IS NOT NULL AS in_new, v.path IS NOT NULL AS in_old
       FROM vindex v FULL OUTER JOIN req r ON v.path = r.path),
