@@ -36,7 +36,8 @@ def line_chunks(
     """Read a line range in chunks of ``chunk_size`` lines.
 
     end = min(end or total, total); start = max(1, start); start > total -> error;
-    end < start -> success with no chunk (one row, chunk columns NULL).
+    end < start -> success with no chunk (one row, chunk columns NULL). A negative end counts
+    as end < start.
     """
     lines = split_lines(F.col(content_col))
     total = F.size(lines)
