@@ -23,3 +23,10 @@ def l2_normalize(v: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def array_size(c) -> Column:
+    """Length of an array column, NULL for a NULL array whatever ``spark.sql.legacy.sizeOfNull``
+    / ANSI settings say (the legacy setting returns -1)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.size(c))

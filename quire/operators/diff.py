@@ -36,8 +36,9 @@ def line_diff(pairs: DataFrame, c1: str = "content_1", c2: str = "content_2", ke
 
 
 def diff_summary(pairs: DataFrame, c1: str = "content_1", c2: str = "content_2", keep=("path_1", "path_2")) -> DataFrame:
-    total = F.size(_differences(F.col(c1), F.col(c2)))
-    return pairs.select(
+    staged = pairs.select(*keep, c1, c2, F.size(_differences(F.col(c1), F.col(c2))).alias("_total"))
+    total = F.col("_total")
+    return staged.select(
         *keep,
         total.alias("total_differences"),
         (total == 0).alias("identical"),

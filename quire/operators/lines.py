@@ -39,7 +39,8 @@ def line_chunks(
     end < start -> success with no chunk (one row, chunk columns NULL). A negative end counts
     as end < start.
     """
-    lines = split_lines(F.col(content_col))
+    df = df.withColumn("_lines", split_lines(F.col(content_col)))  # split once, used below
+    lines = F.col("_lines")
     total = F.size(lines)
     size = _c(chunk_size).cast("int")
     req_end = _c(end_line).cast("int")
@@ -85,14 +86,16 @@ def _range_error(start: Column, end: Column, total: Column) -> Column:
 
 def _result(df: DataFrame, keep, error: Column, new_lines: Column, lines: Column, extra: list[Column]) -> DataFrame:
     ok = error.isNull()
-    result_lines = F.when(ok, new_lines).otherwise(lines)
-    return df.select(
+    staged = df.select(*keep, ok.alias("success"), error.alias("error"), *extra, F.when(ok, new_lines).alias("_res"))
+    res = F.col("_res")
+    extra_names = [c for c in staged.columns if c not in (*keep, "success", "error", "_res")]
+    return staged.select(
         *keep,
-        ok.alias("success"),
-        error.alias("error"),
-        *extra,
-        F.when(ok, F.size(result_lines)).alias("total_lines"),
-        F.when(ok, F.array_join(result_lines, "\n")).alias("new_content"),
+        "success",
+        "error",
+        *extra_names,
+        F.when(res.isNotNull(), F.size(res)).alias("total_lines"),
+        F.array_join(res, "\n").alias("new_content"),
     ).withColumn("file_hash", F.md5("new_content"))
 
 
@@ -105,7 +108,8 @@ def replace_lines(
     keep: tuple[str, ...] = ("path",),
 ) -> DataFrame:
     """Replace the inclusive 1-based range [start, end] by ``new_content`` split on '\\n'."""
-    lines = split_lines(F.col(content_col))
+    df = df.withColumn("_lines", split_lines(F.col(content_col)))
+    lines = F.col("_lines")
     total = F.size(lines)
     s, e = _c(start_line).cast("int"), _c(end_line).cast("int")
     new = _new_lines(new_content)
@@ -123,7 +127,8 @@ def delete_lines(
     keep: tuple[str, ...] = ("path",),
 ) -> DataFrame:
     """Delete the inclusive range; deleting every line leaves empty content."""
-    lines = split_lines(F.col(content_col))
+    df = df.withColumn("_lines", split_lines(F.col(content_col)))
+    lines = F.col("_lines")
     total = F.size(lines)
     s, e = _c(start_line).cast("int"), _c(end_line).cast("int")
     error = _range_error(s, e, total)
@@ -140,7 +145,8 @@ def insert_lines(
     keep: tuple[str, ...] = ("path",),
 ) -> DataFrame:
     """Insert after line k (0 = top, total = bottom)."""
-    lines = split_lines(F.col(content_col))
+    df = df.withColumn("_lines", split_lines(F.col(content_col)))
+    lines = F.col("_lines")
     total = F.size(lines)
     k = _c(after_line).cast("int")
     new = _new_lines(new_content)

@@ -52,13 +52,15 @@ def strip_ratio(original: Column, stripped: Column) -> Column:
 def strip(df: DataFrame, level: str = "medium", content_col: str = "content", keep=("path",)) -> DataFrame:
     if level not in STRIP_STEPS:
         raise ValueError(f"unknown level {level!r}")
-    stripped = strip_content(F.col(content_col), level)
-    return df.select(
+    # two projections: the stripped text is computed once and referenced three times (the
+    # optimizer does not inline a non-trivial expression that has several consumers)
+    staged = df.select(*keep, F.col(content_col).alias("_c"), strip_content(F.col(content_col), level).alias("_s"))
+    return staged.select(
         *keep,
-        utf16_length(F.col(content_col)).alias("original_size"),
-        utf16_length(stripped).alias("compressed_size"),
-        strip_ratio(F.col(content_col), stripped).alias("compression_ratio"),
-        stripped.alias("compressed_content"),
+        utf16_length(F.col("_c")).alias("original_size"),
+        utf16_length(F.col("_s")).alias("compressed_size"),
+        strip_ratio(F.col("_c"), F.col("_s")).alias("compression_ratio"),
+        F.col("_s").alias("compressed_content"),
     )
 
 

@@ -65,7 +65,7 @@ def vector_stats(index: DataFrame, files: DataFrame, key: str = "path") -> DataF
         F.count(F.lit(1)).alias("total_vectors"),
         F.count_if(F.col("_exists").isNotNull()).alias("existing_files"),
         F.count_if(F.col("_exists").isNull()).alias("missing_files"),
-        F.max(F.size("embedding")).alias("dimension"),
+        F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).alias("dimension"),
     )
 
 

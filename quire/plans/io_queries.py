@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import rounded
+from quire.functions.vectors import array_size
 from quire.operators import bm25, cache, chunking, json_check, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
@@ -135,7 +136,7 @@ def vector_index_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def vector_index_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = _vector_roundtrip(spark, sf_dir)
-    return idx.agg(F.count(F.lit(1)).alias("total_vectors"), F.max(F.size("embedding")).alias("dimension"))
+    return idx.agg(F.count(F.lit(1)).alias("total_vectors"), F.max(array_size("embedding")).alias("dimension"))
 
 
 # ---------------------------------------------------------------------------- cache sink
@@ -215,8 +216,8 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled.select("path", F.concat("content", F.lit("\nrevised")).alias("content"), F.lit(2).alias("version")).write.json(
         os.path.join(src, "round=2")
     )
-    dim = table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0]
+    dim = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()[0]
     stream = spark.readStream.schema("path string, content string, version int").option("maxFilesPerTrigger", "8").json(src)
     incremental.start_incremental_index(stream, idx, ckpt, dim).awaitTermination()
     live = incremental.current_chunks(spark, idx)
-    return live.select("path", "chunk_id", "text", F.size("embedding").alias("dimension"))
+    return live.select("path", "chunk_id", "text", array_size("embedding").alias("dimension"))

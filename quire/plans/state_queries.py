@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.embed import hashed_embedding
 from quire.functions.text import rounded, utf16_length
+from quire.functions.vectors import array_size
 from quire.operators import cache, changes, history
 from quire.plans import inputs
 from quire.plans.registry import register, table
@@ -167,7 +168,7 @@ def cache_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = cache.cache_aside(req, cached, compute)
     checksum = F.aggregate("value", F.lit(0.0), lambda a, x: a + x)
-    return out.select("doc_id", "key", "source", F.size("value").alias("dimension"), rounded(checksum).alias("checksum"))
+    return out.select("doc_id", "key", "source", array_size("value").alias("dimension"), rounded(checksum).alias("checksum"))
 
 
 @register(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.embed import hashed_embedding, overlap_score
 from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import rounded
-from quire.functions.vectors import l2_normalize
+from quire.functions.vectors import array_size, l2_normalize
 from quire.operators import knn, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
@@ -26,7 +26,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_index_dim(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds ``_dim``: the index dimension read from one index row (a scalar subquery, so it
     is never a constant and costs one row); ``vector_stats`` checks it over the whole index."""
-    dim = embeddings(spark, sf_dir).select(F.size("embedding")).limit(1).scalar()
+    dim = embeddings(spark, sf_dir).where(F.col("embedding").isNotNull()).select(F.size("embedding")).limit(1).scalar()
     return df.withColumn("_dim", dim)
 
 
@@ -239,7 +239,7 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = vector_index(spark, sf_dir).select("path", F.col("embedding").cast("array<double>").alias("embedding"))
     out = vectors.vector_upsert(idx, batch)
     checksum = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
-    return out.select("path", "action", F.size("embedding").alias("dimension"), rounded(checksum).alias("checksum"))
+    return out.select("path", "action", array_size("embedding").alias("dimension"), rounded(checksum).alias("checksum"))
 
 
 REMOVE_REQ_CTE = """req AS (SELECT f.path FROM files f JOIN labels l ON l.doc_id = f.doc_id WHERE l.toxic = 1)"""
