@@ -16,7 +16,7 @@ from quire.functions.vectors import array_size
 from quire.operators import bm25, cache, chunking, json_check, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
-from quire.plans.search_queries import FIXED_QUERIES_CTE, TOK_CTE, _documents, _search_sql, fixed_query
+from quire.plans.search_queries import FIXED_QUERIES_CTE, TOK_CTE, _documents, search_sql, fixed_query
 from quire.plans.sqltext import FILES_CTE, bm25_tokens, lit
 from quire.plans.state_queries import CACHE_CTES, live_cache
 from quire.plans.vector_queries import VSTATS_SQL, vector_index
@@ -108,7 +108,7 @@ def bm25_index_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.stats.select("n_docs", "total_len", rounded(F.col("avg_doc_len")).alias("avg_doc_len"), "vocab_size")
 
 
-@register("bm25_search_indexed", _search_sql(FIXED_QUERIES_CTE, bm25.DEFAULT_LIMIT))
+@register("bm25_search_indexed", search_sql(FIXED_QUERIES_CTE, bm25.DEFAULT_LIMIT))
 def bm25_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, stats = index_store.read_bm25_index(spark, _written_index(spark, sf_dir))
     n = index_store.DEFAULT_TERM_BUCKETS

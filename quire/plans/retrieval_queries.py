@@ -11,7 +11,7 @@ from quire.functions.text import rounded, ws_tokens
 from quire.operators import ann, bm25, knn, lines, rerank, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
-from quire.plans.search_queries import FIXED_QUERIES_CTE, _search_sql, fixed_query
+from quire.plans.search_queries import FIXED_QUERIES_CTE, fixed_query, search_ctes
 from quire.plans.sqltext import bm25_tokens, lit
 from quire.plans.sqltext import ws_tokens as ws_tokens_sql
 from quire.plans.vector_queries import (
@@ -139,18 +139,13 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "hybrid_union",
-    _search_sql(FIXED_QUERIES_CTE, bm25.DEFAULT_LIMIT).replace(
-        f"SELECT query_id, doc_id, round(bm25_score, 6) AS bm25_score, CAST(rank AS INTEGER) AS rank\nFROM ranked WHERE rank <= {bm25.DEFAULT_LIMIT}",
-        f""",
+    f"""{search_ctes(FIXED_QUERIES_CTE)},
 {embed_ctes("fq", f"SELECT CAST(-1 AS BIGINT) AS query_id, {lit(inputs.FIXED_QUERY)} AS text")},
 vec AS (SELECT e.vec_id, list_distance(fq.embedding, e.embedding::DOUBLE[]) ** 2 AS score FROM fq, embeddings e WHERE fq.embedding IS NOT NULL),
 vr AS (SELECT *, row_number() OVER (ORDER BY round(score, 9), vec_id) AS rk FROM vec),
 u AS (SELECT 'bm25' AS source, doc_id AS id, bm25_score AS score, rank AS rk FROM ranked WHERE rank <= {bm25.DEFAULT_LIMIT}
       UNION ALL SELECT 'vector', vec_id, score, rk FROM vr WHERE rk <= {SEARCH_K})
-SELECT source, id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank, (SELECT count(*) FROM u) AS total_found FROM u""".replace(
-            ") AS rank\n", ") AS rank\n"
-        ),
-    ).replace("WITH tok AS", "WITH tok AS", 1).replace("ranked AS (\n  SELECT query_id", "ranked AS (\n  SELECT query_id", 1),
+SELECT source, id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank, (SELECT count(*) FROM u) AS total_found FROM u""",
 )
 def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and vector candidates of the fixed query in one list tagged by ``source``."""

@@ -79,10 +79,15 @@ vindex AS (SELECT coalesce(f.path, '/corpus/missing/' || CAST(e.vec_id AS VARCHA
            FROM embeddings e LEFT JOIN files f ON f.doc_id = e.vec_id)"""
 
 
-def _topk_sql(pairs_sql: str, better: str, k: int, cols: str) -> str:
+def _ranked_cte(pairs_sql: str, better: str) -> str:
+    """``ranked(qid, key, score, rnk)`` over candidate pairs; ties at 1e-9 go to the smaller key."""
     return f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) {better}, key) AS rnk
-  FROM ({pairs_sql}) WHERE score IS NOT NULL AND NOT isnan(score))
+  FROM ({pairs_sql}) WHERE score IS NOT NULL AND NOT isnan(score))"""
+
+
+def _topk_sql(pairs_sql: str, better: str, k: int, cols: str) -> str:
+    return f"""{_ranked_cte(pairs_sql, better)}
 SELECT {cols} FROM ranked WHERE rnk <= {k}"""
 
 
@@ -162,14 +167,11 @@ def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "hit_metadata_join",
-    f"WITH {QV_CTE},\n"
-    + _topk_sql(COSINE_PAIRS, "DESC", SEARCH_K, "qid, key, score, rnk").replace(
-        f"SELECT qid, key, score, rnk FROM ranked WHERE rnk <= {SEARCH_K}",
-        f""",
+    f"""WITH {QV_CTE},
+{_ranked_cte(COSINE_PAIRS, "DESC")},
 hits AS (SELECT qid, key, score, rnk FROM ranked WHERE rnk <= {SEARCH_K})
 SELECT h.qid AS query_id, h.key AS vec_id, round(h.score, 6) AS score, CAST(h.rnk AS INTEGER) AS rank, d.lang, d.source, d.n_chars
 FROM hits h JOIN documents d ON d.doc_id = h.key""",
-    ),
 )
 def hit_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     # hits are bounded by (#queries x k); the size check proves it before broadcasting
