@@ -34,10 +34,12 @@ def json_error(texts: pd.Series) -> pd.Series:
     return texts.map(_json_error)
 
 
-def validate_json(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, is_valid, errors, language)."""
+def validate_json(df: DataFrame, path: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., path, is_valid, errors, language)."""
     is_json = F.lower(F.col(path)).endswith(".json")
     err = F.when(is_json, json_error(F.col(content)))
     language = F.when(is_json, F.lit("json")).otherwise(F.lower(F.regexp_extract(F.col(path), r"\.([^./]+)$", 1)))
-    return df.select(path, err.isNull().alias("is_valid"), err.alias("errors"), language.alias("language"))
+    # the error text is computed once and referenced twice
+    staged = df.select(*keep, path, err.alias("errors"), language.alias("language"))
+    return staged.select(*keep, path, F.col("errors").isNull().alias("is_valid"), "errors", "language")
 
