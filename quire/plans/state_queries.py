@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.embed import hashed_embedding
+from quire.functions.embed import hashed_embedding, overlap_score
 from quire.functions.text import rounded, utf16_length
 from quire.functions.vectors import array_size
 from quire.operators import cache, changes, history
@@ -173,13 +173,37 @@ def cache_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "cache_warmup",
-    f"""WITH {embed_ctes("w", "SELECT item_id, text FROM benchmark")}
-SELECT 'embeddings' AS kind, count(*) AS items_requested, count(embedding) AS items_computed FROM w""",
+    f"""WITH {embed_ctes("w", "SELECT item_id, text FROM benchmark")},
+pairs AS (
+  SELECT u.text AS q, a.text AS d FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
+prompts AS (SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY conv_id),
+answered AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant')
+SELECT 'embeddings' AS kind, count(*) AS items_requested, count(embedding) AS items_computed FROM w
+UNION ALL SELECT 'reranking', count(*), count(*) FROM pairs
+UNION ALL SELECT 'llm_responses', (SELECT count(*) FROM prompts), (SELECT count(*) FROM prompts p WHERE p.conv_id IN (SELECT conv_id FROM answered))""",
 )
 def cache_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Force-compute each cache kind for a given request list and count per kind:
+    embeddings of the benchmark texts, scores of every (user turn, answer) pair, and a
+    selected answer for every conversation prompt (the candidate pool stands in for the model)."""
+    from quire.plans.vector_queries import turn_pairs
+    from quire.plans.retrieval_queries import best_candidate
+
     b = with_index_dim(table(spark, sf_dir, "benchmark"), spark, sf_dir)
-    v = b.select(hashed_embedding(F.col("text"), F.col("_dim")).alias("embedding"))
-    return v.agg(F.lit("embeddings").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("embedding").alias("items_computed"))
+    emb = b.select(hashed_embedding(F.col("text"), F.col("_dim")).alias("v")).agg(
+        F.lit("embeddings").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("v").alias("items_computed")
+    )
+    pairs = turn_pairs(spark, sf_dir).select(overlap_score(F.col("query"), F.col("doc")).alias("s")).agg(
+        F.lit("reranking").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("s").alias("items_computed")
+    )
+    c = table(spark, sf_dir, "conversations")
+    prompts = c.where(F.col("role") == "user").select("conv_id").distinct()
+    answers = best_candidate(spark, sf_dir).select("conv_id", F.lit(True).alias("_answered"))
+    llm = prompts.join(answers, "conv_id", "left").agg(
+        F.lit("llm_responses").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("_answered").alias("items_computed")
+    )
+    return emb.unionByName(pairs).unionByName(llm)
 
 
 # ---------------------------------------------------------------------------- history
