@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.embed import hashed_embedding, overlap_score
+from quire.functions.embed import embed, overlap_score
 from quire.functions.text import rounded, ws_tokens
 from quire.operators import ann, bm25, knn, lines, rerank, vectors
 from quire.plans import inputs
@@ -153,7 +153,7 @@ def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_hits = bm25.search_documents(docs, fixed_query(spark)).select(
         F.lit("bm25").alias("source"), F.col("doc_id").alias("id"), F.col("bm25_score").alias("score"), "rank"
     )
-    q = with_index_dim(fixed_query(spark), spark, sf_dir).select("query_id", hashed_embedding(F.col("text"), F.col("_dim")).alias("embedding"))
+    q = with_index_dim(fixed_query(spark), spark, sf_dir).select("query_id", embed(F.col("text"), F.col("_dim")).alias("embedding"))
     vec_hits = knn.topk(embeddings(spark, sf_dir), q, SEARCH_K, "l2").select(
         F.lit("vector").alias("source"), F.col("key").alias("id"), "score", "rank"
     )
@@ -171,7 +171,7 @@ def process_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = inputs.files(spark, sf_dir)
     chunks = lines.line_chunks(files, "content", 50).groupBy("path").agg(F.count("chunk_index").alias("chunk_count"))
     req = with_index_dim(embed_requests(spark, sf_dir), spark, sf_dir)
-    batch = req.select("path", hashed_embedding(F.col("text"), F.col("_dim")).alias("embedding"), "force")
+    batch = req.select("path", embed(F.col("text"), F.col("_dim")).alias("embedding"), "force")
     idx = vector_index(spark, sf_dir).select("path", F.col("embedding").cast("array<double>").alias("embedding"))
     upsert = vectors.vector_upsert(idx, batch).where(F.col("action") != "unchanged")
     keyed = vector_index(spark, sf_dir)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.embed import hashed_embedding, overlap_score
+from quire.functions.embed import embed, overlap_score
 from quire.functions.text import rounded, utf16_length
 from quire.functions.vectors import array_size
 from quire.operators import cache, changes, history
@@ -164,7 +164,7 @@ def cache_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def compute(misses: DataFrame) -> DataFrame:
         m = with_index_dim(misses, spark, sf_dir)
-        return m.select("key", hashed_embedding(F.col("text"), F.col("_dim")).alias("value"))
+        return m.select("key", embed(F.col("text"), F.col("_dim")).alias("value"))
 
     out = cache.cache_aside(req, cached, compute)
     checksum = F.aggregate("value", F.lit(0.0), lambda a, x: a + x)
@@ -191,7 +191,7 @@ def cache_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.plans.retrieval_queries import best_candidate
 
     b = with_index_dim(table(spark, sf_dir, "benchmark"), spark, sf_dir)
-    emb = b.select(hashed_embedding(F.col("text"), F.col("_dim")).alias("v")).agg(
+    emb = b.select(embed(F.col("text"), F.col("_dim")).alias("v")).agg(
         F.lit("embeddings").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("v").alias("items_computed")
     )
     pairs = turn_pairs(spark, sf_dir).select(overlap_score(F.col("query"), F.col("doc")).alias("s")).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.embed import hashed_embedding, overlap_score
+from quire.functions.embed import embed, overlap_score
 from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import rounded
 from quire.functions.vectors import array_size, l2_normalize
@@ -43,7 +43,7 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts embedded with the default embedder at the index dimension."""
     b = with_index_dim(table(spark, sf_dir, "benchmark"), spark, sf_dir)
-    return b.select(F.col("item_id").alias("query_id"), "text", hashed_embedding(F.col("text"), F.col("_dim")).alias("embedding"))
+    return b.select(F.col("item_id").alias("query_id"), "text", embed(F.col("text"), F.col("_dim")).alias("embedding"))
 
 
 def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM v)""",
 )
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = with_index_dim(inputs.files(spark, sf_dir), spark, sf_dir)
-    v = f.select("doc_id", hashed_embedding(F.col("content"), F.col("_dim")).alias("e"))
+    v = f.select("doc_id", embed(F.col("content"), F.col("_dim")).alias("e"))
     return v.select("doc_id", F.posexplode_outer("e").alias("dim", "value")).where(F.col("dim").isNotNull()).select("doc_id", "dim", rounded(F.col("value")).alias("value"))
 
 
@@ -237,7 +237,7 @@ FROM a""",
 )
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = with_index_dim(embed_requests(spark, sf_dir), spark, sf_dir)
-    batch = r.select("path", hashed_embedding(F.col("text"), F.col("_dim")).alias("embedding"), "force")
+    batch = r.select("path", embed(F.col("text"), F.col("_dim")).alias("embedding"), "force")
     idx = vector_index(spark, sf_dir).select("path", F.col("embedding").cast("array<double>").alias("embedding"))
     out = vectors.vector_upsert(idx, batch)
     checksum = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)

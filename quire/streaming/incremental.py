@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.embed import hashed_embedding
+from quire.functions.embed import embed
 from quire.operators.chunking import token_chunks
 
 
@@ -21,7 +21,7 @@ def index_batch(batch: DataFrame, batch_id: int, index_path: str, dim: int) -> N
     latest = batch.groupBy("path").agg(F.max_by("content", "version").alias("content"))
     chunks = token_chunks(latest, "content")
     rows = chunks.select(
-        "path", "chunk_id", "text", hashed_embedding(F.col("text"), dim).cast("array<float>").alias("embedding"),
+        "path", "chunk_id", "text", embed(F.col("text"), dim).cast("array<float>").alias("embedding"),
         F.lit(int(batch_id)).cast("long").alias("batch_id"),
     )
     (

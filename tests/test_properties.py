@@ -206,3 +206,14 @@ def test_edit_batch_rounds_equal_single_round(spark):
     cols = ["path", "success", "error", "edits_applied", "content"]
     assert one.select(cols).exceptAll(many.select(cols)).count() == 0
     assert many.select(cols).exceptAll(one.select(cols)).count() == 0
+
+
+def test_embedding_model_udf_equals_jvm_expression(spark):
+    from quire.functions.embed import embed
+
+    f = inputs.files(spark, MEDIUM)
+    rows = f.select("doc_id", hashed_embedding(F.col("content"), 64).alias("a"), embed(F.col("content"), 64).alias("b")).collect()
+    for r in rows:
+        assert (r.a is None) == (r.b is None)
+        if r.a is not None:
+            assert np.allclose(r.a, r.b, rtol=0, atol=1e-12)
