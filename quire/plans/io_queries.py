@@ -110,9 +110,7 @@ def bm25_index_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bm25_search_indexed", search_sql(FIXED_QUERIES_CTE, bm25.DEFAULT_LIMIT))
 def bm25_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, stats = index_store.read_bm25_index(spark, _written_index(spark, sf_dir))
-    n = index_store.DEFAULT_TERM_BUCKETS
-    hits = bm25.search(index, fixed_query(spark), term_bucket=lambda t: index_store.term_bucket(t, n))
+    hits = index_store.search_bm25_index(spark, _written_index(spark, sf_dir), fixed_query(spark))
     return hits.select("query_id", "doc_id", rounded(F.col("bm25_score")).alias("bm25_score"), "rank")
 
 

@@ -89,3 +89,43 @@ def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
 def append_cache(entries: DataFrame, path: str) -> None:
     """Append cache writes partitioned by type; concurrent appends land in new files."""
     entries.write.mode("append").partitionBy("cache_type").parquet(path)
+
+
+def search_bm25_index(
+    spark: SparkSession,
+    path: str,
+    queries: DataFrame,
+    limit: int | None = bm25.DEFAULT_LIMIT,
+    id_col: str = "query_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """BM25 search on a persisted index that lists and reads only the query's buckets.
+
+    One small job returns, per bucket, the number of query-term rows (at most the bucket
+    count of the index): it gives both the buckets to open — a path glob over just those
+    bucket directories, so neither listing nor scanning touches the rest of the index — and
+    the size of the query side for the broadcast decision."""
+    stats = spark.read.parquet(f"{path}/stats")
+    n_buckets = stats.select("n_buckets").first()[0]
+    qt = bm25.query_terms(queries, id_col, text_col).withColumn("bucket", term_bucket(F.col("term"), n_buckets))
+    per_bucket = qt.groupBy("bucket").count().collect()
+    buckets = sorted(r[0] for r in per_bucket)
+    n_rows = sum(r[1] for r in per_bucket)
+    empty = spark.createDataFrame([], "query_id long, doc_id long, bm25_score double, rank int")
+    if not buckets:
+        return empty
+    glob = "{" + ",".join(str(b) for b in buckets) + "}"
+    try:
+        postings = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/bucket={glob}")
+        terms = spark.read.option("basePath", f"{path}/terms").parquet(f"{path}/terms/bucket={glob}")
+    except AnalysisException:  # none of the query's buckets holds any term of the corpus
+        return empty
+    qt = F.broadcast(qt) if n_rows <= bounded_rows() else qt
+    index = Bm25Index(postings, terms, stats.drop("n_buckets"))
+    return bm25.score(index, qt, ["bucket", "term"], postings, terms, limit)
+
+
+def bounded_rows() -> int:
+    from quire.functions.sizing import DEFAULT_BROADCAST_ROWS
+
+    return DEFAULT_BROADCAST_ROWS
