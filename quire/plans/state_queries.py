@@ -403,7 +403,38 @@ def edit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("path", F.inline(e))
 
 
-@register("apply_edit_batch")
+_EDIT_STEP = """CASE
+      WHEN acc.error IS NOT NULL THEN acc
+      WHEN CASE WHEN x.op IN ('replace', 'delete')
+                THEN x.s IS NULL OR x.s < 1 OR x.s > len(acc.lines) OR x.e IS NULL OR x.e < x.s OR x.e > len(acc.lines)
+                WHEN x.op = 'insert' THEN x.s IS NULL OR x.s < 0 OR x.s > len(acc.lines)
+                ELSE true END
+        THEN {'lines': acc.lines, 'error': printf('edit %d is invalid', x.seq)}
+      WHEN x.op = 'delete'
+        THEN {'lines': list_concat(list_slice(acc.lines, 1, x.s - 1), list_slice(acc.lines, x.e + 1, len(acc.lines))), 'error': NULL::VARCHAR}
+      WHEN x.op = 'insert'
+        THEN {'lines': list_concat(list_slice(acc.lines, 1, x.s), string_split(coalesce(x.new, ''), chr(10)), list_slice(acc.lines, x.s + 1, len(acc.lines))), 'error': NULL::VARCHAR}
+      ELSE {'lines': list_concat(list_slice(acc.lines, 1, x.s - 1), string_split(coalesce(x.new, ''), chr(10)), list_slice(acc.lines, x.e + 1, len(acc.lines))), 'error': NULL::VARCHAR}
+    END"""
+
+
+@register(
+    "apply_edit_batch",
+    f"""WITH {FILES_CTE},
+e AS (
+  SELECT path, content, [
+    {{'seq': 1, 'op': 'insert', 's': 0, 'e': NULL::INTEGER, 'new': 'header ' || CAST(doc_id AS VARCHAR)}},
+    {{'seq': 2, 'op': 'replace', 's': 2, 'e': 2, 'new': 'second'}},
+    {{'seq': 3, 'op': 'delete', 's': CAST(1 + doc_id % 4 AS INTEGER), 'e': CAST(1 + doc_id % 4 + doc_id % 2 * 30 AS INTEGER), 'new': NULL::VARCHAR}}
+  ] AS edits FROM files),
+r AS (
+  SELECT path, content,
+         list_reduce(edits, lambda acc, x: {_EDIT_STEP}, {{'lines': string_split(content, chr(10)), 'error': NULL::VARCHAR}}) AS res
+  FROM e)
+SELECT path, res.error IS NULL AS success, res.error AS error, CAST(3 AS INTEGER) AS edits_applied,
+       md5(CASE WHEN res.error IS NULL THEN array_to_string(res.lines, chr(10)) ELSE content END) AS md5
+FROM r""",
+)
 def apply_edit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = changes.apply_edit_batch(inputs.files(spark, sf_dir), edit_requests(spark, sf_dir))
     return out.select("path", "success", "error", "edits_applied", F.md5("content").alias("md5"))
