@@ -16,10 +16,10 @@ from quire.plans.sqltext import bm25_tokens, lit
 from quire.plans.sqltext import ws_tokens as ws_tokens_sql
 from quire.plans.vector_queries import (
     QV_CTE,
+    VINDEX_CTE,
     SEARCH_K,
     SIMILAR_K,
     embed_ctes,
-    embed_requests,
     embeddings,
     query_vectors,
     vector_index,
@@ -164,23 +164,55 @@ def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------- per-file pipeline
 
 
-@register("process_corpus")
+PROCESS_SQL = f"""WITH {VINDEX_CTE},
+{embed_ctes("nv", "SELECT doc_id, path, content AS text FROM files")},
+up AS (
+  SELECT vec_id AS key, path, embedding::DOUBLE[] AS embedding FROM vindex
+  UNION ALL SELECT doc_id, path, embedding FROM nv WHERE path NOT IN (SELECT path FROM vindex)),
+pairs AS (
+  SELECT q.doc_id AS qid, u.key, u.path AS similar_path, list_cosine_similarity(q.embedding, u.embedding) AS score
+  FROM nv q, up u WHERE q.embedding IS NOT NULL AND u.embedding IS NOT NULL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, key) AS rnk
+  FROM pairs WHERE score IS NOT NULL AND NOT isnan(score)),
+sim AS (
+  SELECT qid, max(CASE WHEN rnk = 1 THEN similar_path END) AS similar_1, max(CASE WHEN rnk = 2 THEN similar_path END) AS similar_2,
+         max(CASE WHEN rnk = 3 THEN similar_path END) AS similar_3, count(*) AS similar_files_found
+  FROM ranked WHERE rnk <= {SIMILAR_K} GROUP BY qid)
+SELECT f.path, CAST(ceil(len(string_split(f.content, chr(10))) / 50) AS BIGINT) AS chunk_count,
+       CASE WHEN f.path IN (SELECT path FROM vindex) THEN 'skipped' ELSE 'created' END AS embedding_action,
+       s.similar_1, s.similar_2, s.similar_3, coalesce(s.similar_files_found, 0) AS similar_files_found
+FROM files f LEFT JOIN sim s ON s.qid = f.doc_id"""
+
+
+@register("process_corpus", PROCESS_SQL)
 def process_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per file one row: chunk count (50-line chunks), embedding action (upsert of the default
-    embedding, forced for low-quality files) and up to 3 most similar indexed files."""
+    """Per file one row, as a corpus-wide job: the number of 50-line chunks, the embedding
+    action (upsert of the default embedding without forcing: existing vectors are kept) and
+    the 3 most similar files of the updated index for the file's own embedding (the file
+    itself included, as a similarity search over an index that holds it)."""
     files = inputs.files(spark, sf_dir)
     chunks = lines.line_chunks(files, "content", 50).groupBy("path").agg(F.count("chunk_index").alias("chunk_count"))
-    req = with_index_dim(embed_requests(spark, sf_dir), spark, sf_dir)
-    batch = req.select("path", embed(F.col("text"), F.col("_dim")).alias("embedding"), "force")
-    idx = vector_index(spark, sf_dir).select("path", F.col("embedding").cast("array<double>").alias("embedding"))
-    upsert = vectors.vector_upsert(idx, batch).where(F.col("action") != "unchanged")
-    keyed = vector_index(spark, sf_dir)
-    sim = knn.topk(keyed, keyed.withColumnRenamed("vec_id", "query_id"), SIMILAR_K + 1, "cosine")
-    sim = sim.where(F.col("query_id") != F.col("key"))
-    paths = keyed.select(F.col("vec_id").alias("key"), F.col("path").alias("similar_path"))
-    sim = sim.join(paths, "key").join(keyed.select(F.col("vec_id").alias("query_id"), "path"), "query_id")
-    similar = sim.groupBy("path").agg(
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "similar_path"))), 1, SIMILAR_K), lambda s: s["similar_path"]).alias("similar_files")
+    q = with_index_dim(files, spark, sf_dir).select("doc_id", "path", embed(F.col("content"), F.col("_dim")).alias("embedding"))
+    idx = vector_index(spark, sf_dir).select("vec_id", "path", F.col("embedding").cast("array<double>").alias("embedding"))
+    batch = q.select("path", "embedding", F.lit(False).alias("force"))
+    upsert = vectors.vector_upsert(idx.select("path", "embedding"), batch)
+    # every vector keeps a numeric key: the document id (index rows of existing files carry it
+    # as vec_id), or the vec_id of an index row whose file is gone
+    keys = idx.select("path", F.col("vec_id").alias("key")).unionByName(
+        q.join(idx.select("path"), "path", "left_anti").select("path", F.col("doc_id").alias("key"))
+    )
+    updated = upsert.join(keys, "path").select("key", "path", "embedding")
+    sim = knn.topk(updated, q.withColumnRenamed("doc_id", "query_id"), SIMILAR_K, "cosine", corpus_key="key")
+    sim = sim.join(updated.select("key", F.col("path").alias("similar_path")), "key")
+    similar = sim.groupBy("query_id").agg(
+        *[F.max(F.when(F.col("rank") == i, F.col("similar_path"))).alias(f"similar_{i}") for i in range(1, SIMILAR_K + 1)],
+        F.count(F.lit(1)).alias("similar_files_found"),
+    )
+    actions = upsert.join(files.select("path"), "path", "left_semi").select("path", F.col("action").alias("embedding_action"))
+    out = files.select("doc_id", "path").join(chunks, "path", "left").join(actions, "path", "left")
+    out = out.join(similar, out["doc_id"] == similar["query_id"], "left")
+    return out.select(
+        "path", "chunk_count", "embedding_action", *[f"similar_{i}" for i in range(1, SIMILAR_K + 1)],
+        F.coalesce("similar_files_found", F.lit(0)).alias("similar_files_found"),
     )
-    out = files.select("path").join(chunks, "path", "left").join(upsert.select("path", F.col("action").alias("embedding_action")), "path", "left")
-    return out.join(similar, "path", "left")
