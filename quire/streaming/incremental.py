@@ -17,6 +17,17 @@ from quire.functions.embed import embed
 from quire.operators.chunking import token_chunks
 
 
+def file_records(file_events: DataFrame, decode_policy: str = "drop") -> DataFrame:
+    """Adapt a ``watch_corpus`` stream (path, modificationTime, length, content bytes) to the
+    record shape the index consumes: (path, content, version = modification time)."""
+    from quire.sources.corpus import decode
+
+    text = decode(F.col("content"), decode_policy)
+    return file_events.select("path", text.alias("content"), F.unix_micros("modificationTime").alias("version")).where(
+        F.col("content").isNotNull()
+    )
+
+
 def index_batch(batch: DataFrame, batch_id: int, index_path: str, dim: int) -> None:
     latest = batch.groupBy("path").agg(F.max_by("content", "version").alias("content"))
     chunks = token_chunks(latest, "content")
