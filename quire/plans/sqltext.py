@@ -6,7 +6,7 @@ definition of every regex class.
 
 from __future__ import annotations
 
-from quire.functions.text import BM25_DROP, JS_DOT, JS_WS, PY_WS_RUN  # noqa: F401
+from quire.functions.text import BM25_DROP, JS_DOT, JS_WS, PY_WS_RUN  # noqa: F401  (re-exported for the query modules)
 
 
 def lit(s: str) -> str:

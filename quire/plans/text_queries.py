@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import PY_WS_RUN
 from quire.operators import chunking, diff, lines, metrics, paths, rewrite, structures
 from quire.plans import inputs
 from quire.plans.registry import register, table
@@ -390,5 +389,3 @@ def normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = path_requests(spark, sf_dir)
     return r.select("doc_id", "raw_path", paths.normalize_path(F.col("raw_path"), PROJECT_ROOT).alias("normalized"))
 
-
-_ = PY_WS_RUN
