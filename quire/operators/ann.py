@@ -65,7 +65,8 @@ def search(
 ) -> DataFrame:
     """(query_id, key, score, rank) from the probed cells only."""
     q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(query_vec).alias("embedding"))
-    probes = knn.topk(centroids, q, n_probe, "l2", corpus_key="cell").select("query_id", F.col("key").alias("cell"))
+    probes = knn.topk(centroids, q, n_probe, "l2", corpus_key="cell", n_corpus=centroids.count())
+    probes = probes.select("query_id", F.col("key").alias("cell"))
     # Per cell: the probing queries against that cell's vectors, one tile scorer per (cell, block).
     q_in_cell = probes.join(q, "query_id")
     partial = knn.grouped_topk(assignment, q_in_cell, "cell", k, metric)

@@ -131,8 +131,14 @@ def topk(
     query_vec: str = "embedding",
     query_block_rows: int = QUERY_BLOCK_ROWS,
     corpus_block_rows: int = CORPUS_BLOCK_ROWS,
+    n_queries: int | None = None,
+    n_corpus: int | None = None,
 ) -> DataFrame:
-    """(query_id, key, score, rank) — the k best corpus rows per query (k = min(k, n))."""
+    """(query_id, key, score, rank) — the k best corpus rows per query (k = min(k, n)).
+
+    Block counts come from the row counts of both sides. Pass ``n_queries`` / ``n_corpus``
+    (an upper bound is enough, e.g. the row count of the source table) when a side is
+    expensive to compute, so it is not evaluated once just to be counted."""
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     spark = corpus.sparkSession
@@ -140,7 +146,8 @@ def topk(
     q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec"))
     c = c.where(F.col("vec").isNotNull())
     q = q.where(F.col("vec").isNotNull())
-    n_q, n_c = q.count(), c.count()
+    n_q = n_queries if n_queries is not None else q.count()
+    n_c = n_corpus if n_corpus is not None else c.count()
     from quire.session import parallelism as cores
 
     parallelism = cores(spark)

@@ -103,7 +103,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over-fetch 2k by squared L2, score (query text, document text) with the default scorer,
     keep k. Candidate texts come from a join on the hit keys (bounded: queries x 2k)."""
     qv = query_vectors(spark, sf_dir)
-    hits = knn.topk(embeddings(spark, sf_dir), qv, 2 * SEARCH_K, "l2")
+    hits = knn.topk(embeddings(spark, sf_dir), qv, 2 * SEARCH_K, "l2", n_queries=table(spark, sf_dir, "benchmark").count())
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("dtext"))
     cand = hits.join(qv.select("query_id", F.col("text").alias("qtext")), "query_id").join(docs, "key", "left")
     cand = cand.withColumn("dtext", F.coalesce("dtext", F.lit("")))
@@ -127,7 +127,7 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     centroids, assignment = ann.build_ivf(e, n_lists)
     qv = query_vectors(spark, sf_dir)
     approx = ann.search(assignment, centroids, qv, SEARCH_K, ANN_PROBES, "cosine")
-    exact = knn.topk(e, qv, SEARCH_K, "cosine")
+    exact = knn.topk(e, qv, SEARCH_K, "cosine", n_queries=table(spark, sf_dir, "benchmark").count())
     rec = ann.recall_at_k(approx, exact)
     return approx.join(rec, "query_id", "left").select(
         "query_id", F.col("key").alias("vec_id"), rounded(F.col("score")).alias("score"), "rank", rounded(F.col("recall")).alias("recall")
@@ -154,7 +154,7 @@ def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bm25").alias("source"), F.col("doc_id").alias("id"), F.col("bm25_score").alias("score"), "rank"
     )
     q = with_index_dim(fixed_query(spark), spark, sf_dir).select("query_id", embed(F.col("text"), F.col("_dim")).alias("embedding"))
-    vec_hits = knn.topk(embeddings(spark, sf_dir), q, SEARCH_K, "l2").select(
+    vec_hits = knn.topk(embeddings(spark, sf_dir), q, SEARCH_K, "l2", n_queries=1).select(
         F.lit("vector").alias("source"), F.col("key").alias("id"), "score", "rank"
     )
     u = text_hits.unionByName(vec_hits)
@@ -203,7 +203,10 @@ def process_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.join(idx.select("path"), "path", "left_anti").select("path", F.col("doc_id").alias("key"))
     )
     updated = upsert.join(keys, "path").select("key", "path", "embedding")
-    sim = knn.topk(updated, q.withColumnRenamed("doc_id", "query_id"), SIMILAR_K, "cosine", corpus_key="key")
+    n_files = table(spark, sf_dir, "documents").count()
+    n_index = embeddings(spark, sf_dir).count()
+    sim = knn.topk(updated, q.withColumnRenamed("doc_id", "query_id"), SIMILAR_K, "cosine", corpus_key="key",
+                   n_queries=n_files, n_corpus=n_files + n_index)  # parquet counts bound both sides
     sim = sim.join(updated.select("key", F.col("path").alias("similar_path")), "key")
     similar = sim.groupBy("query_id").agg(
         *[F.max(F.when(F.col("rank") == i, F.col("similar_path"))).alias(f"similar_{i}") for i in range(1, SIMILAR_K + 1)],

@@ -121,12 +121,17 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", F.posexplode_outer("e").alias("dim", "value")).where(F.col("dim").isNotNull()).select("doc_id", "dim", rounded(F.col("value")).alias("value"))
 
 
+def _bench_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Row count of the query table (a parquet count), an upper bound for its vectors."""
+    return table(spark, sf_dir, "benchmark").count()
+
+
 def cosine_hits(spark: SparkSession, sf_dir: str, k: int = SEARCH_K) -> DataFrame:
-    return knn.topk(embeddings(spark, sf_dir), query_vectors(spark, sf_dir), k, "cosine")
+    return knn.topk(embeddings(spark, sf_dir), query_vectors(spark, sf_dir), k, "cosine", n_queries=_bench_rows(spark, sf_dir))
 
 
 def l2_hits(spark: SparkSession, sf_dir: str, k: int = SEARCH_K) -> DataFrame:
-    return knn.topk(embeddings(spark, sf_dir), query_vectors(spark, sf_dir), k, "l2")
+    return knn.topk(embeddings(spark, sf_dir), query_vectors(spark, sf_dir), k, "l2", n_queries=_bench_rows(spark, sf_dir))
 
 
 @register(
