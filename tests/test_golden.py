@@ -151,3 +151,16 @@ def test_line_count(spark, content, expected):
     from quire.operators.metrics import file_metrics
 
     assert file_metrics(one(spark, content)).collect()[0].line_count == expected
+
+
+def test_structural_chunks(spark):
+    py = "import os\n\n@dec\ndef hidden():\n    pass\n\ndef top(x):\n    def inner():\n        return 1\n    return x\n\nclass K:\n    a = 'é'\n"
+    rows = [("/r/m.py", py), ("/r/bad.py", "def (:\n  x y"), ("/r/a.js", "function f() {}\nclass X {}"), ("/r/e.py", "x = 1\n")]
+    df = spark.createDataFrame(rows, "path string, content string")
+    got = {}
+    for r in chunking.structural_chunks(df).collect():
+        got.setdefault(r.path, []).append((r.chunk_id, r.method, r.text))
+    assert sorted(got["/r/m.py"]) == [(0, "structural", "def top(x):\n    def inner():\n        return 1\n    return x"), (1, "structural", "class K:\n    a = 'é'")]
+    assert got["/r/bad.py"] == [(0, "tokens", "def (: x y")]
+    assert got["/r/a.js"] == [(0, "tokens", "function f() {} class X {}")]
+    assert got["/r/e.py"] == [(0, "tokens", "x = 1")]
