@@ -16,11 +16,13 @@ RETENTION_HOURS = 24
 
 def snapshot(requests: DataFrame, files: DataFrame, now: Column, path: str = "path") -> DataFrame:
     """Before-image per request path: content, md5, UTF-16 size, timestamp; missing -> error."""
-    f = files.select(F.col("path").alias(path), F.col("content").alias("_content"))
+    # hash and size once per file, before the join (a file can be requested many times)
+    f = files.select(F.col("path").alias(path), F.col("content").alias("_content"), F.md5("content").alias("_hash"),
+                     utf16_length(F.col("content")).alias("_size"), F.lit(True).alias("_exists"))
     j = requests.join(f, path, "left")
-    ok = F.col("_content").isNotNull()
-    snap = F.when(ok, F.struct(F.col("_content").alias("content"), F.md5("_content").alias("hash"),
-                               utf16_length(F.col("_content")).alias("size"), now.alias("timestamp")))
+    ok = F.col("_exists").isNotNull()
+    snap = F.when(ok, F.struct(F.col("_content").alias("content"), F.col("_hash").alias("hash"),
+                               F.col("_size").alias("size"), now.alias("timestamp")))
     return j.select(
         *[c for c in requests.columns],
         ok.alias("success"),

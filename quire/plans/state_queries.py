@@ -212,12 +212,16 @@ def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """history rows, one per event: the file is document ``user_id`` (absent -> /corpus/missing),
     error events carry no backup and no snapshot."""
     e = table(spark, sf_dir, "events")
-    f = inputs.files(spark, sf_dir).select(F.col("doc_id").alias("user_id"), "path", "content")
+    # hash and size are computed once per file, before the join; the content itself only
+    # flows through the join for consumers that read snapshot.content (nested-column pruning)
+    f = inputs.files(spark, sf_dir).select(
+        F.col("doc_id").alias("user_id"), "path", "content", F.md5("content").alias("_hash"), utf16_length(F.col("content")).alias("_size")
+    )
     j = e.join(f, "user_id", "left")
     path = F.coalesce(F.col("path"), F.concat(F.lit("/corpus/missing/"), F.col("user_id").cast("string"), F.lit(".txt")))
     backup = F.col("event_type") != "error"
-    snap = F.when(backup & F.col("content").isNotNull(), F.struct(
-        F.col("content").alias("content"), F.md5("content").alias("hash"), utf16_length(F.col("content")).alias("size")))
+    snap = F.when(backup & F.col("path").isNotNull(), F.struct(
+        F.col("content").alias("content"), F.col("_hash").alias("hash"), F.col("_size").alias("size")))
     return j.select(
         F.concat(F.lit("op-"), F.col("event_id").cast("string")).alias("operation_id"),
         _case("event_type", OPERATION_OF_EVENT, F.lit("unknown")).alias("type"),
