@@ -59,12 +59,20 @@ def lookup(requests: DataFrame, entries: DataFrame, config: DataFrame, now: Colu
 def cache_aside(requests: DataFrame, cached: DataFrame, compute) -> DataFrame:
     """requests(id..., key, text) + cached(key, value) -> every request with ``value`` and
     ``source`` cache/generated. Misses are deduplicated on key so identical texts are
-    computed once; ``compute(df)`` adds ``value`` to a (key, text) DataFrame."""
-    hits = requests.join(cached, "key", "inner").withColumn("source", F.lit("cache"))
-    misses = requests.join(cached.select("key"), "key", "left_anti")
-    generated = compute(misses.select("key", "text").dropDuplicates(["key"]))
-    filled = misses.join(generated.select("key", "value"), "key").withColumn("source", F.lit("generated"))
-    return hits.unionByName(filled)
+    computed once; ``compute(df)`` adds ``value`` to a (key, text) DataFrame.
+
+    One left join on ``key`` classifies every request; the misses branch and the final
+    join both read that join's key-partitioned exchanges, so requests are scanned once."""
+    j = requests.join(cached, "key", "left")
+    misses = j.where(F.col("value").isNull()).select("key", "text").dropDuplicates(["key"])
+    generated = compute(misses).select("key", F.col("value").alias("_generated"))
+    out = j.join(generated, "key", "left")
+    hit = F.col("value").isNotNull()
+    return out.select(
+        *[c for c in requests.columns],
+        F.when(hit, F.col("value")).otherwise(F.col("_generated")).alias("value"),
+        F.when(hit, F.lit("cache")).otherwise(F.lit("generated")).alias("source"),
+    )
 
 
 def stats(entries: DataFrame, config: DataFrame) -> DataFrame:
