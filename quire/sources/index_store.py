@@ -1,10 +1,11 @@
 """Persisted indexes as plain parquet tables.
 
-BM25: ``postings`` and ``terms`` are partitioned by ``bucket = pmod(xxhash64(term), n)``; a
-search joins its query terms on (bucket, term), so dynamic partition pruning reads only the
-buckets of the query's terms. ``stats`` is one row. Vectors: ``(path, embedding)``; an absent
-or unreadable index reads as an empty table with the same schema.
-Every write goes to a fresh directory (a version); a reader is given that directory.
+BM25: ``postings`` and ``terms`` are partitioned by ``bucket = pmod(xxhash64(term), n)``
+and sorted by term inside each file; ``search_bm25_index`` finds the buckets of the query's
+terms first and opens only those directories, joining on (bucket, term). ``stats`` is one
+row (with the bucket count). Vectors: ``(path, embedding)``; an absent or unreadable index
+reads as an empty table with the same schema. Every write goes to a fresh directory (a
+version); a reader is given that directory.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from quire.functions.sizing import DEFAULT_BROADCAST_ROWS
 from quire.operators import bm25
 from quire.operators.bm25 import Bm25Index
 
@@ -120,12 +122,8 @@ def search_bm25_index(
         terms = spark.read.option("basePath", f"{path}/terms").parquet(f"{path}/terms/bucket={glob}")
     except AnalysisException:  # none of the query's buckets holds any term of the corpus
         return empty
-    qt = F.broadcast(qt) if n_rows <= bounded_rows() else qt
+    qt = F.broadcast(qt) if n_rows <= DEFAULT_BROADCAST_ROWS else qt
     index = Bm25Index(postings, terms, stats.drop("n_buckets"))
     return bm25.score(index, qt, ["bucket", "term"], postings, terms, limit)
 
 
-def bounded_rows() -> int:
-    from quire.functions.sizing import DEFAULT_BROADCAST_ROWS
-
-    return DEFAULT_BROADCAST_ROWS
