@@ -112,3 +112,39 @@ def test_corpus_insert_and_changes(spark):
     res, after = changes.apply_path_changes(files, ch)
     assert {r.change_id: r.success for r in res.collect()} == {1: True, 2: True, 3: False, 4: False}
     assert {r.path: r.content for r in after.collect()} == {"/r/a": "x", "/r/a2": "x", "/r/b2": "y"}
+
+
+def test_cache_clear_by_type_and_all(spark):
+    entries = spark.createDataFrame(
+        [("embeddings", "a", "p", 1024 * 1024, NOW), ("reranking", "b", "p", 3 * 1024 * 1024, NOW), ("reranking", "c", "p", 0, NOW)],
+        "cache_type string, key string, payload string, size_bytes long, created_at timestamp",
+    )
+    cfg = cache.cache_config(spark)
+    report, survivors = cache.clear(entries, cfg, "reranking")
+    assert {(r.cache_type, r.files_deleted, r.space_freed_mb) for r in report.collect()} == {("reranking", 2, 3.0)}
+    assert [r.key for r in survivors.collect()] == ["a"]
+    report, survivors = cache.clear(entries, cfg, "all")
+    assert {r.cache_type: r.files_deleted for r in report.collect()} == {"embeddings": 1, "reranking": 2, "llm_responses": 0}
+    assert survivors.count() == 0
+
+
+def test_history_retention_boundary(spark):
+    from quire.operators import history
+
+    h = spark.createDataFrame(
+        [("op-1", NOW - dt.timedelta(hours=24)), ("op-2", NOW - dt.timedelta(hours=24, seconds=1)), ("op-3", NOW)],
+        "operation_id string, ts timestamp",
+    )
+    report, kept = history.retention(h, F.lit(NOW))
+    r = report.first()
+    assert (r.cleaned_count, r.remaining_count) == (1, 2)
+    assert sorted(x.operation_id for x in kept.collect()) == ["op-1", "op-3"]
+
+
+def test_missing_embeddings_with_force(spark):
+    files = spark.createDataFrame([("a", False), ("b", True), ("c", False)], "path string, force boolean")
+    idx = spark.createDataFrame([("a", [1.0]), ("b", [1.0])], "path string, embedding array<double>")
+    got = sorted(r.path for r in vectors.missing_embeddings(files, idx, force="force").collect())
+    assert got == ["b", "c"]
+    flags = {r.path: r.has_embedding for r in vectors.has_embedding(files, idx.unionByName(idx)).collect()}
+    assert flags == {"a": True, "b": True, "c": False}  # duplicate index rows do not duplicate files
