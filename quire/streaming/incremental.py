@@ -59,3 +59,12 @@ def current_chunks(spark: SparkSession, index_path: str) -> DataFrame:
     all_rows = spark.read.parquet(index_path)
     latest = all_rows.groupBy("path").agg(F.max("batch_id").alias("batch_id"))
     return all_rows.join(latest, ["path", "batch_id"], "left_semi")
+
+
+def compact(spark: SparkSession, index_path: str, out_path: str) -> None:
+    """Write the live view (latest batch per path) to ``out_path`` as one batch. Readers of the
+    compacted copy no longer resolve versions over the whole history; streaming can continue
+    into the compacted folder with batch ids above the one recorded here."""
+    live = current_chunks(spark, index_path)
+    top = live.agg(F.max("batch_id")).first()[0]  # one number
+    live.withColumn("batch_id", F.lit(top).cast("long")).write.mode("overwrite").partitionBy("batch_id").parquet(out_path)

@@ -237,3 +237,19 @@ def test_watched_files_stream_into_the_index(spark, tmp_path):
     incremental.start_incremental_index(stream, idx, ckpt, 8).awaitTermination()
     live = {(os.path.basename(r.path), r.chunk_id): r.text for r in incremental.current_chunks(spark, idx).collect()}
     assert live == {("a.txt", 0): "alpha beta gamma", ("b.py", 0): "def f(): return 1"}
+
+
+def test_compacted_index_equals_live_view(spark):
+    import os
+
+    src, idx, ckpt, out = (shared_dir(spark, n) for n in ("c-src", "c-idx", "c-ckpt", "c-out"))
+    f = inputs.files(spark, SMALL).where(F.col("doc_id") < 30)
+    f.select("path", "content", F.lit(1).alias("version")).write.json(os.path.join(src, "round=1"))
+    f.select("path", F.lit("new text").alias("content"), F.lit(2).alias("version")).where(F.col("doc_id") < 5).write.json(os.path.join(src, "round=2"))
+    stream = spark.readStream.schema("path string, content string, version int").option("maxFilesPerTrigger", "1").json(src)
+    incremental.start_incremental_index(stream, idx, ckpt, 8).awaitTermination()
+    incremental.compact(spark, idx, out)
+    live = incremental.current_chunks(spark, idx).select("path", "chunk_id", "text")
+    compacted = spark.read.parquet(out).select("path", "chunk_id", "text")
+    assert live.exceptAll(compacted).count() == 0 and compacted.exceptAll(live).count() == 0
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 1
