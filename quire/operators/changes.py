@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import lines as split_lines
 
 
@@ -17,7 +18,10 @@ def corpus_insert(files: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
     """batch(path, content, overwrite) -> (per request result, new file table).
     An existing path is rejected unless ``overwrite``; results carry UTF-8 size, line count
     and md5 of the written content."""
-    exists = files.select("path").distinct().withColumn("_exists", F.lit(True))
+    # Only the batch's own paths are looked up: the (size-checked) request paths are the
+    # build side and the file table streams past them, instead of shuffling every file path.
+    wanted = bounded_broadcast(batch.select("path").distinct())
+    exists = files.select("path").join(wanted, "path").distinct().withColumn("_exists", F.lit(True))
     j = batch.join(exists, "path", "left")
     ok = F.col("_exists").isNull() | F.coalesce(F.col("overwrite"), F.lit(False))
     result = j.select(
@@ -45,8 +49,12 @@ def apply_path_changes(files: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     delete: target must exist; any other type fails. Success counts come from the result.
     """
     f = files.select("path", "content")
-    src = f.select(F.col("path").alias("_src"), F.col("content").alias("_src_content"))
-    tgt = f.select(F.col("path").alias("_tgt")).withColumn("_tgt_exists", F.lit(True))
+    # Only files named by the change set are read into the joins: the (size-checked) set of
+    # source/target paths is the build side and the file table streams past it.
+    named = changes.select(F.col("source").alias("path")).unionByName(changes.select(F.col("target").alias("path")))
+    touched = f.join(bounded_broadcast(named.where(F.col("path").isNotNull()).distinct()), "path")
+    src = touched.select(F.col("path").alias("_src"), F.col("content").alias("_src_content"))
+    tgt = touched.select(F.col("path").alias("_tgt")).distinct().withColumn("_tgt_exists", F.lit(True))
     j = changes.join(src, changes["source"] == src["_src"], "left").join(tgt, changes["target"] == tgt["_tgt"], "left")
     t = F.col("type")
     error = (
