@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import utf16_length
 
 # Fixed value: history entries older than this many hours are dropped.
@@ -19,6 +20,8 @@ def snapshot(requests: DataFrame, files: DataFrame, now: Column, path: str = "pa
     # hash and size once per file, before the join (a file can be requested many times)
     f = files.select(F.col("path").alias(path), F.col("content").alias("_content"), F.md5("content").alias("_hash"),
                      utf16_length(F.col("content")).alias("_size"), F.lit(True).alias("_exists"))
+    # only requested files are read into the join (size-checked request paths are the build side)
+    f = f.join(bounded_broadcast(requests.select(path).distinct()), path)
     j = requests.join(f, path, "left")
     ok = F.col("_exists").isNotNull()
     snap = F.when(ok, F.struct(F.col("_content").alias("content"), F.col("_hash").alias("hash"),
@@ -36,6 +39,8 @@ def rollback(requests: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFr
     Restores ``snapshot.content`` to ``original_path``; unknown id or missing snapshot -> error.
     Later edits to the same file are not undone."""
     h = history.select("operation_id", "type", "original_path", "snapshot")
+    # only the requested operations' before-images are read into the join
+    h = h.join(bounded_broadcast(requests.select("operation_id").distinct()), "operation_id")
     j = requests.select("operation_id").join(h, "operation_id", "left")
     error = F.when(F.col("type").isNull(), F.concat(F.lit("operation not found: "), F.col("operation_id"))).when(
         F.col("snapshot").isNull(), F.concat(F.lit("no snapshot for operation "), F.col("operation_id"))

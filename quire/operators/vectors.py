@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.sizing import bounded_broadcast
+
 
 def has_embedding(files: DataFrame, index: DataFrame, key: str = "path") -> DataFrame:
     """files + ``has_embedding`` flag (left join on the distinct index keys)."""
@@ -49,7 +51,8 @@ def vector_upsert(index: DataFrame, batch: DataFrame, key: str = "path", force:
 
 def vector_remove(index: DataFrame, requests: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:
     """Returns (per-request result with action removed/skipped, remaining index)."""
-    present = index.select(key).distinct().withColumn("_present", F.lit(True))
+    wanted = bounded_broadcast(requests.select(key).distinct())
+    present = index.select(key).join(wanted, key).distinct().withColumn("_present", F.lit(True))
     result = requests.select(key).join(present, key, "left").select(
         key, F.when(F.col("_present"), F.lit("removed")).otherwise(F.lit("skipped")).alias("action")
     )
