@@ -63,3 +63,11 @@ def test_watch_stream_emits_files_not_dirs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.length for r in spark.sql("SELECT * FROM watch_t").collect()) == [2, 5]
+
+
+def test_read_corpus_glob_and_sizes(spark, tmp_path):
+    root = str(tmp_path / "g")
+    _write_bytes(root, "a.py", "x = 'é'\n".encode())
+    _write_bytes(root, "b.txt", b"skip me")
+    rows = corpus.read_corpus(spark, root, "replace", glob="*.py").collect()
+    assert [(os.path.basename(r.path), r.content, r.size_bytes) for r in rows] == [("a.py", "x = 'é'\n", 9)]
