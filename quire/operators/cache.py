@@ -75,29 +75,46 @@ def cache_aside(requests: DataFrame, cached: DataFrame, compute) -> DataFrame:
     )
 
 
+def _per_type(entries: DataFrame) -> DataFrame:
+    """Entries aggregated per type first (partial + final aggregate): everything after this
+    joins tables with one row per cache type."""
+    return entries.groupBy("cache_type").agg(
+        F.count("key").alias("_n"), F.sum("size_bytes").alias("_bytes"), F.min("created_at").alias("_oldest"), F.max("created_at").alias("_newest")
+    )
+
+
+def _mb(c):
+    return F.round(F.coalesce(c, F.lit(0)) / 1024 / 1024, 2)
+
+
 def stats(entries: DataFrame, config: DataFrame) -> DataFrame:
     """Per configured type (listed even when empty) plus a total row (cache_type 'all'):
     files_count, total_size_mb (2 dp), oldest, newest, ttl_days."""
-    j = config.join(entries, "cache_type", "left")
-    g = j.rollup("cache_type").agg(
-        F.count("key").alias("files_count"),
-        F.round(F.coalesce(F.sum("size_bytes"), F.lit(0)) / 1024 / 1024, 2).alias("total_size_mb"),
-        F.min("created_at").alias("oldest"),
-        F.max("created_at").alias("newest"),
-        F.max("ttl_days").alias("ttl_days"),
+    j = config.join(_per_type(entries), "cache_type", "left")
+    by_type = j.select(
+        "cache_type",
+        F.coalesce("_n", F.lit(0)).cast("long").alias("files_count"),
+        _mb(F.col("_bytes")).alias("total_size_mb"),
+        F.col("_oldest").alias("oldest"),
+        F.col("_newest").alias("newest"),
+        "ttl_days",
     )
-    return g.withColumn("ttl_days", F.when(F.col("cache_type").isNotNull(), F.col("ttl_days"))).withColumn(
-        "cache_type", F.coalesce("cache_type", F.lit("all"))
+    total = j.agg(
+        F.lit("all").alias("cache_type"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("files_count"),
+        _mb(F.sum("_bytes")).alias("total_size_mb"),
+        F.min("_oldest").alias("oldest"),
+        F.max("_newest").alias("newest"),
+        F.lit(None).cast("int").alias("ttl_days"),
     )
+    return by_type.unionByName(total)
 
 
 def clear(entries: DataFrame, config: DataFrame, cache_type: str = "all") -> tuple[DataFrame, DataFrame]:
     """Returns (per cleared type: files_deleted, space_freed_mb; surviving entries)."""
     types = config.select("cache_type") if cache_type == "all" else config.where(F.col("cache_type") == cache_type).select("cache_type")
-    hit = entries.join(F.broadcast(types), "cache_type", "left_semi")
-    report = types.join(hit, "cache_type", "left").groupBy("cache_type").agg(
-        F.count("key").alias("files_deleted"),
-        F.round(F.coalesce(F.sum("size_bytes"), F.lit(0)) / 1024 / 1024, 2).alias("space_freed_mb"),
+    report = types.join(_per_type(entries), "cache_type", "left").select(
+        "cache_type", F.coalesce("_n", F.lit(0)).cast("long").alias("files_deleted"), _mb(F.col("_bytes")).alias("space_freed_mb")
     )
     survivors = entries.join(F.broadcast(types), "cache_type", "left_anti")
     return report, survivors
