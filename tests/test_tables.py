@@ -148,3 +148,13 @@ def test_missing_embeddings_with_force(spark):
     assert got == ["b", "c"]
     flags = {r.path: r.has_embedding for r in vectors.has_embedding(files, idx.unionByName(idx)).collect()}
     assert flags == {"a": True, "b": True, "c": False}  # duplicate index rows do not duplicate files
+
+
+def test_cache_stats_ignore_unconfigured_types(spark):
+    entries = spark.createDataFrame(
+        [("embeddings", "a", "p", 1024 * 1024, NOW), ("sessions", "b", "p", 5 * 1024 * 1024, NOW - dt.timedelta(days=9))],
+        "cache_type string, key string, payload string, size_bytes long, created_at timestamp",
+    )
+    got = {r.cache_type: (r.files_count, r.total_size_mb, r.oldest, r.ttl_days) for r in cache.stats(entries, cache.cache_config(spark)).collect()}
+    assert got["all"] == (1, 1.0, NOW, None) and "sessions" not in got
+    assert got["embeddings"] == (1, 1.0, NOW, 7) and got["reranking"] == (0, 0.0, None, 1)
