@@ -47,11 +47,14 @@ def app_id(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach; we only fall back to a
-    local scratch folder when the session leaves it unset (local tests).
+    ``spark.checkpoint.dir`` names storage every executor can reach. Where it is unset, a
+    single-process session (``local[N]``) gets a folder of its own; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "quire-checkpoints")
     try:
         if spark.sparkContext.getCheckpointDir() is None:
