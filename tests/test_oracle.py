@@ -37,9 +37,10 @@ def con():
 
 
 def _names():
-    import __spark_entry__ as E
+    from quire.plans import registry
 
-    return sorted(E.queries())
+    registry.load_all()
+    return sorted(registry.QUERIES)
 
 
 @pytest.mark.parametrize("name", _names())
