@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_count, common, entropy_mix, host_reputation, lexical_pack, merkle, substring_dedup, wavelet
+from quire.llm import bpe_count, common, entropy_mix, host_reputation, inverted_multi_index, language_id, lexical_pack, merkle, ngram_join, substring_dedup, wavelet
 from quire.plans.registry import table
 
 QUERIES = {}
@@ -23,6 +23,17 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op2_inverted_multi_index")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = inverted_multi_index.InvertedMultiIndex(table(spark, sf_dir, "embeddings"))
+    return index.search(F.col("id") % 100 == 0, k=10)
+
+
 @_query("op3_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents")).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
@@ -42,6 +53,21 @@ def lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@_query("op6_language_id")
+def documents_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = language_id.identify(docs, language_id.fit(docs), F.col("text"), F.col("lang"), F.lit(None), F.col("source"))
+    return out.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
+
+
+@_query("pages_language_id")
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text, html, url = F.regexp_replace("html", "<[^>]*>", " "), F.col("html"), F.col("url")
+    out = language_id.identify(pages, language_id.fit(table(spark, sf_dir, "documents")), text, language_id.markup_language(html), language_id.address_language(url), host_reputation.host_and_path(url)[0])
+    return out.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
+
+
 @_query("op7_substring_dedup")
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
