@@ -138,7 +138,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         C.block_of(bounds)(F.col("row")[id_col].cast("long")).alias("block"), F.col("row")[id_col].cast("long").alias("id"),
         F.col("row")[text_col].alias("text"), "row",
     ).repartition(parts, "block")
-    sent = dealt.groupBy("block").applyInArrow(_hash_side(width, 4 * parts), "hash_range int, block long, hashes binary")
+    sent = dealt.groupBy("block").applyInArrow(_hash_side(width, parts), "hash_range int, block long, hashes binary")
     flags = sent.groupBy("hash_range").applyInArrow(_first_blocks, "block long, hashes binary")
     out = T.StructType([
         T.StructField("row", rows.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
