@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_count, common, entropy_mix, host_reputation, inverted_multi_index, language_id, lexical_pack, merkle, ngram_join, substring_dedup, wavelet
+from quire.llm import bpe_count, common, entropy_mix, host_reputation, inverted_multi_index, language_id, lexical_pack, merkle, ngram_join, sql, substring_dedup, wavelet
 from quire.plans.registry import table
 
 QUERIES = {}
@@ -23,7 +23,7 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-@_query("op1_ngram_jaccard_join")
+@_query("op1_ngram_jaccard_join", sql.NGRAM_JOIN)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -68,7 +68,7 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
 
 
-@_query("op7_substring_dedup")
+@_query("op7_substring_dedup", sql.SUBSTRING_DEDUP)
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -87,7 +87,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-@_query("op10_url_filter")
+@_query("op10_url_filter", sql.URL_FILTER)
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
