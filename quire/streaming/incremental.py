@@ -1,11 +1,12 @@
 """Incremental chunk index maintained by a streaming query.
 
-Each micro-batch of file records ``(path, content, version)`` keeps the latest version per
-path, chunks it (token windows), embeds the chunks with the default embedder and writes them
-under ``batch_id=<id>`` with dynamic partition overwrite — a replayed batch rewrites its own
-partition only, so the sink is idempotent. The current index is, per path, the chunks of the
-highest batch that wrote that path (stale chunks of a re-indexed file are never returned).
-Errors in one file never stop the stream: an empty file simply yields no chunk.
+Each micro-batch of file records ``(path, content, version)`` keeps the latest version per path and
+writes two tables under ``batch_id=<id>`` with dynamic partition overwrite: ``versions`` (path,
+version), one row for every path of the batch, and ``chunks``, its token windows with the default
+embedding and the same version. A replayed batch rewrites its own partitions only, so the sink is
+idempotent. The live index is, per path, the chunks of its highest version (the later batch, if a
+version comes twice): an emptied or deleted file (NULL content) has a version and no chunks, so it
+drops out, and an old version that arrives late changes nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from quire.operators.chunking import token_chunks
 
 def file_records(file_events: DataFrame, decode_policy: str = "drop") -> DataFrame:
     """Adapt a ``watch_corpus`` stream (path, modificationTime, length, content bytes) to the
-    record shape the index consumes: (path, content, version = modification time)."""
+    record shape the index consumes: (path, content, version = modification time). Files that
+    the policy drops have no record."""
     from quire.sources.corpus import decode
 
     text = decode(F.col("content"), decode_policy)
@@ -28,19 +30,28 @@ def file_records(file_events: DataFrame, decode_policy: str = "drop") -> DataFra
     )
 
 
+def change_records(spark: SparkSession, changes: DataFrame, root: str, now_version: int, decode_policy: str = "drop") -> DataFrame:
+    """Records of ``changed_files`` below ``root``: created and modified files with their content
+    now, deleted ones with NULL content at ``now_version``."""
+    from quire.streaming.watch import read_files
+
+    events = file_records(read_files(spark, root).join(changes.where("event <> 'deleted'").select("path"), "path", "left_semi"), decode_policy)
+    gone = changes.where("event = 'deleted'").select("path", F.lit(None).cast("string").alias("content"), F.lit(now_version).cast("long").alias("version"))
+    return events.unionByName(gone)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 def index_batch(batch: DataFrame, batch_id: int, index_path: str, dim: int) -> None:
-    latest = batch.groupBy("path").agg(F.max_by("content", "version").alias("content"))
-    chunks = token_chunks(latest, "content")
-    rows = chunks.select(
-        "path", "chunk_id", "text", embed(F.col("text"), dim).cast("array<float>").alias("embedding"),
-        F.lit(int(batch_id)).cast("long").alias("batch_id"),
-    )
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(index_path)
-    )
+    newest = F.max_by(F.struct("content", "version"), "version").alias("f")
+    latest = batch.select("path", "content", F.col("version").cast("long")).groupBy("path").agg(newest).select("path", "f.*")
+    number = F.lit(int(batch_id)).cast("long").alias("batch_id")
+    chunks = token_chunks(latest.where(F.col("content").isNotNull()), "content", keep=("path", "version"))
+    _write(chunks.select("path", "version", "chunk_id", "text", embed(F.col("text"), dim).cast("array<float>").alias("embedding"), number), f"{index_path}/chunks")
+    # written last: a path counts as indexed once its chunks are there
+    _write(latest.select("path", "version", number), f"{index_path}/versions")
 
 
 def start_incremental_index(
@@ -54,17 +65,23 @@ def start_incremental_index(
     return writer.start()
 
 
+def _current(spark: SparkSession, index_path: str) -> DataFrame:
+    versions = spark.read.parquet(f"{index_path}/versions")
+    return versions.groupBy("path").agg(F.max(F.struct("version", "batch_id")).alias("v")).select("path", "v.*")
+
+
 def current_chunks(spark: SparkSession, index_path: str) -> DataFrame:
-    """The live index: per path, only the chunks written by its latest batch."""
-    all_rows = spark.read.parquet(index_path)
-    latest = all_rows.groupBy("path").agg(F.max("batch_id").alias("batch_id"))
-    return all_rows.join(latest, ["path", "batch_id"], "left_semi")
+    """The live index: per path, only the chunks of its highest version."""
+    chunks = spark.read.schema("path string, version long, chunk_id int, text string, embedding array<float>, batch_id long").parquet(f"{index_path}/chunks")
+    return chunks.join(_current(spark, index_path), ["path", "version", "batch_id"], "left_semi")
 
 
 def compact(spark: SparkSession, index_path: str, out_path: str) -> None:
-    """Write the live view (latest batch per path) to ``out_path`` as one batch. Readers of the
+    """Write the live view to ``out_path`` as one batch, versions included. Readers of the
     compacted copy no longer resolve versions over the whole history; streaming can continue
     into the compacted folder with batch ids above the one recorded here."""
-    live = current_chunks(spark, index_path)
-    top = live.agg(F.max("batch_id")).first()[0]  # one number
-    live.withColumn("batch_id", F.lit(top).cast("long")).write.mode("overwrite").partitionBy("batch_id").parquet(out_path)
+    versions = _current(spark, index_path)
+    top = versions.agg(F.max("batch_id")).first()[0]  # one number
+    number = F.lit(top).cast("long")
+    current_chunks(spark, index_path).withColumn("batch_id", number).write.mode("overwrite").partitionBy("batch_id").parquet(f"{out_path}/chunks")
+    versions.withColumn("batch_id", number).write.mode("overwrite").partitionBy("batch_id").parquet(f"{out_path}/versions")

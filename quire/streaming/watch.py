@@ -31,19 +31,24 @@ def watch_corpus(spark: SparkSession, root: str, glob: str | None = None, max_fi
     return reader.load(root)
 
 
-def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, modificationTime, length) of every file now below ``root`` (no content read)."""
+def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """Every file now below ``root`` as the same events, as a batch."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).select("path", "modificationTime", "length")
+    return reader.load(root)
+
+
+def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path, modificationTime, length) of every file now below ``root`` (no content read)."""
+    return read_files(spark, root, glob).select("path", "modificationTime", "length")
 
 
 def changed_files(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(path, event) with event created / modified, from two listings (full outer join)."""
+    """(path, event) with event created / modified / deleted, from two listings (full outer join)."""
     p = previous.select("path", F.col("modificationTime").alias("p_mtime"), F.col("length").alias("p_len"))
-    j = current.join(p, "path", "left")
-    event = F.when(F.col("p_mtime").isNull(), F.lit("created")).when(
+    j = current.join(p, "path", "full")
+    event = F.when(F.col("p_mtime").isNull(), F.lit("created")).when(F.col("modificationTime").isNull(), F.lit("deleted")).when(
         (F.col("modificationTime") != F.col("p_mtime")) | (F.col("length") != F.col("p_len")), F.lit("modified")
     )
     return j.select("path", "modificationTime", "length", event.alias("event")).where(F.col("event").isNotNull())
