@@ -1,31 +1,33 @@
 """Change sets applied to the corpus table: inserts, copy/move/delete, batched line edits.
 
 Each is set-at-a-time: a request table joined to ``files(path, content)``, a per-request
-``success``/``error`` result, and the new file table. Requests in one batch must touch
-distinct paths (then order does not matter); edits to one file are folded in ``seq`` order.
+``success``/``error`` result, and the new file table. Requests see what the requests before them
+did: inserts by ``seq``, path changes by ``change_id``, edits of one file by ``seq``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import lines as split_lines
+from quire.functions.text import utf16_length
+from quire.session import stored
 
 
 def corpus_insert(files: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """batch(path, content, overwrite) -> (per request result, new file table).
-    An existing path is rejected unless ``overwrite``; results carry UTF-8 size, line count
-    and md5 of the written content."""
-    # Only the batch's own paths are looked up: the (size-checked) request paths are the
-    # build side and the file table streams past them, instead of shuffling every file path.
-    wanted = bounded_broadcast(batch.select("path").distinct())
-    exists = files.select("path").join(wanted, "path").distinct().withColumn("_exists", F.lit(True))
-    j = batch.join(exists, "path", "left")
-    ok = F.col("_exists").isNull() | F.coalesce(F.col("overwrite"), F.lit(False))
+    """batch(path, content, overwrite, seq) -> (per request result, new file table).
+    An existing path is rejected unless ``overwrite``; a path that an earlier request of the
+    batch wrote exists. Results carry UTF-8 size, line count and md5 of the written content."""
+    exists = files.join(batch.select("path").distinct(), "path", "left_semi").select("path").distinct().withColumn("_exists", F.lit(True))
+    # A first request on a new path always succeeds, so every later one finds the path there.
+    place = F.row_number().over(Window.partitionBy("path").orderBy("seq"))
+    j = batch.withColumn("_place", place).join(exists, "path", "left")
+    ok = (F.col("_exists").isNull() & (F.col("_place") == 1)) | F.coalesce(F.col("overwrite"), F.lit(False))
     result = j.select(
         "path",
+        "seq",
         ok.alias("success"),
         F.when(~ok, F.concat(F.lit("file already exists: "), F.col("path"))).alias("error"),
         F.when(ok, F.octet_length("content").cast("long")).alias("size_bytes"),
@@ -33,7 +35,7 @@ def corpus_insert(files: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
         F.when(ok, F.md5("content")).alias("md5"),
         F.when(ok, F.col("content")).alias("_content"),
     )
-    written = result.where("success").select("path", F.col("_content").alias("content"))
+    written = result.where("success").groupBy("path").agg(F.max_by("_content", "seq").alias("content"))
     new_files = files.select("path", "content").join(written.select("path"), "path", "left_anti").unionByName(written)
     return result.drop("_content"), new_files
 
@@ -42,47 +44,80 @@ def corpus_insert(files: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
 CHANGE_TYPES = ("copy", "move", "delete")
 
 
+def _linked(pairs: DataFrame) -> DataFrame:
+    """(path, label): the smallest path that pairs(a, b) connect to each path, by rounds of
+    neighbour minima; the rounds are as many as the longest chain of distinct paths."""
+    edges = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "path-links")
+    labels = edges.select(F.col("a").alias("path")).distinct().withColumn("label", F.col("path"))
+    while True:
+        near = edges.join(labels, edges["b"] == labels["path"]).groupBy("a").agg(F.min("label").alias("near"))
+        new = labels.join(near, labels["path"] == near["a"]).select("path", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
+        new = stored(new, "path-labels")
+        labels = new.drop("moved")
+        if not new.where("moved").head(1):
+            return labels
+
+
+def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Runs one linked set of changes in order over names only: ``origin`` is the file whose content
+    a path holds. A row of type 'file' says that its path exists."""
+    holds = {p: p for p in pdf.loc[pdf["type"] == "file", "source"]}
+    out = []
+    for r in pdf[pdf["type"] != "file"].sort_values("change_id").itertuples():
+        error = origin = None
+        if r.type in ("copy", "move"):
+            origin = holds.get(r.source)
+            if origin is None:
+                error = f"no such file: {r.source}"
+            else:
+                if r.type == "move":
+                    del holds[r.source]
+                holds[r.destination] = origin
+        elif r.target in holds:
+            del holds[r.target]
+        else:
+            error = f"no such file: {r.target}"
+        out.append((r.change_id, None, None, error is None, error, origin if r.type == "copy" else None))
+    out += [(None, p, o, True, None, None) for p, o in holds.items()]
+    return pd.DataFrame(out, columns=["change_id", "path", "origin", "success", "error", "copied"]).astype({"change_id": "Int64"})
+
+
 def apply_path_changes(files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """changes(change_id, type, source, destination, target) -> (per change result, new files).
 
-    copy: source must exist, destination gets its content; move: same, source removed;
-    delete: target must exist; any other type fails. Success counts come from the result.
-    """
+    In order of ``change_id`` (a number), each change seeing the ones before it. copy: source must
+    exist, destination gets its content; move: same, source removed; delete: target must exist; any
+    other type fails. Changes that share paths, directly or through others, are replayed together
+    and only by name: contents join back at the end. ``size`` counts UTF-16 units of a copy."""
     f = files.select("path", "content")
-    # Only files named by the change set are read into the joins: the (size-checked) set of
-    # source/target paths is the build side and the file table streams past it.
-    named = changes.select(F.col("source").alias("path")).unionByName(changes.select(F.col("target").alias("path")))
-    touched = f.join(bounded_broadcast(named.where(F.col("path").isNotNull()).distinct()), "path")
-    src = touched.select(F.col("path").alias("_src"), F.col("content").alias("_src_content"))
-    tgt = touched.select(F.col("path").alias("_tgt")).distinct().withColumn("_tgt_exists", F.lit(True))
-    j = changes.join(src, changes["source"] == src["_src"], "left").join(tgt, changes["target"] == tgt["_tgt"], "left")
-    t = F.col("type")
-    error = (
-        F.when(~t.isin(*CHANGE_TYPES), F.concat(F.lit("Unknown operation type: "), t))
-        .when(t.isin("copy", "move") & F.col("_src_content").isNull(), F.concat(F.lit("no such file: "), F.col("source")))
-        .when((t == "delete") & F.col("_tgt_exists").isNull(), F.concat(F.lit("no such file: "), F.col("target")))
-    )
+    known = changes.where(F.col("type").isin(*CHANGE_TYPES))
+    ends = known.select("change_id", "type", "source", "destination", "target", F.coalesce("source", "target").alias("a"), F.coalesce("destination", "source", "target").alias("b"))
+    labels = _linked(ends.select("a", "b").where("a is not null and b is not null"))
+    present = f.select("path").join(labels, "path").select(F.lit(None).cast("long").alias("change_id"), F.lit("file").alias("type"), F.col("path").alias("source"), F.lit(None).cast("string").alias("destination"), F.lit(None).cast("string").alias("target"), "label")
+    todo = ends.join(labels, ends["a"] == labels["path"]).select(F.col("change_id").cast("long"), "type", "source", "destination", "target", "label")
+    done = present.unionByName(todo).groupBy("label").applyInPandas(_replay, "change_id long, path string, origin string, success boolean, error string, copied string")
+    done = stored(done, "path-changes")
+    sizes = f.join(done.where("copied is not null").select(F.col("copied").alias("path")).distinct(), "path", "left_semi").select(F.col("path").alias("copied"), utf16_length(F.col("content")).alias("size"))
+    told = done.where("change_id is not null").join(sizes, "copied", "left").select(F.col("change_id").alias("_id"), F.col("success").alias("_ok"), F.col("error").alias("_error"), "size")
+    j = changes.join(told, F.col("change_id").cast("long") == F.col("_id"), "left")
+    unknown = F.when(F.col("type").isin(*CHANGE_TYPES), F.lit("no such file: ")).otherwise(F.concat(F.lit("Unknown operation type: "), F.coalesce("type", F.lit(""))))
     result = j.select(
         "change_id", "type", "source", "destination", "target",
-        error.isNull().alias("success"), error.alias("error"),
-        F.when(error.isNull() & (t == "copy"), F.length("_src_content")).alias("size"),
-        "_src_content",
-    )
-    ok = result.where("success")
-    removed = ok.where(F.col("type") == "move").select(F.col("source").alias("path")).unionByName(
-        ok.where(F.col("type") == "delete").select(F.col("target").alias("path"))
+        F.coalesce("_ok", F.lit(False)).alias("success"), F.when(F.col("_ok").isNull(), unknown).otherwise(F.col("_error")).alias("error"), "size",
     )
-    added = ok.where(F.col("type").isin("copy", "move")).select(F.col("destination").alias("path"), F.col("_src_content").alias("content"))
-    kept = f.join(removed.unionByName(added.select("path")), "path", "left_anti")
-    return result.drop("_src_content"), kept.unionByName(added)
+    held = done.where("path is not null").select("path", "origin")
+    moved = held.join(f.select(F.col("path").alias("origin"), "content"), "origin").select("path", "content")
+    new_files = f.join(labels.select("path"), "path", "left_anti").unionByName(moved)
+    return result, new_files
 
 
-# Fixed value: edits folded per file per round (bounds the array one row carries).
-EDITS_PER_ROUND = 256
-
-
-def _fold_round(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """state(path, lines, error, edits_applied) + batch(path, edits) -> next state."""
+def apply_edit_batch(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits(path, seq, op, start_line, end_line, new_content) with op in replace/delete/insert
+    (insert uses start_line as the 'after' line). Edits of a file apply one after another in
+    ``seq`` order, each on the result of those before it; an invalid one changes nothing and the
+    next goes on. Per edited file: success (no edit failed), error (the first failed edit),
+    edits_applied (those that succeeded) and the content. A file's edits meet in its row, as its
+    lines do; nothing else is grouped."""
 
     def step(acc, e):
         ls, n = acc["lines"], F.size(acc["lines"])
@@ -94,63 +129,19 @@ def _fold_round(state: DataFrame, batch: DataFrame) -> DataFrame:
         tail_from = F.when(op == "insert", s + 1).otherwise(en + 1)
         tail = F.slice(ls, F.greatest(tail_from, F.lit(1)), F.greatest(n - tail_from + 1, F.lit(0)))
         edited = F.when(op == "delete", F.concat(head, tail)).otherwise(F.concat(head, new, tail))
-        failed = acc["error"].isNotNull()
         return F.struct(
-            F.when(failed | bad, ls).otherwise(edited).alias("lines"),
-            F.when(failed, acc["error"]).when(bad, F.format_string("edit %d is invalid", e["seq"])).alias("error"),
+            F.when(bad, ls).otherwise(edited).alias("lines"),
+            F.coalesce(acc["error"], F.when(bad, F.format_string("edit %d is invalid", e["seq"]))).alias("error"),
+            (acc["applied"] + F.when(bad, 0).otherwise(1)).alias("applied"),
         )
 
-    j = state.join(batch, "path", "left")
-    init = F.struct(F.col("lines").alias("lines"), F.col("error").alias("error"))
-    folded = F.when(F.col("edits").isNull(), init).otherwise(F.aggregate("edits", init, step))
-    return j.select(
-        "path",
-        folded["lines"].alias("lines"),
-        folded["error"].alias("error"),
-        (F.col("edits_applied") + F.coalesce(F.size("edits"), F.lit(0))).alias("edits_applied"),
-    )
-
-
-def apply_edit_batch(files: DataFrame, edits: DataFrame, edits_per_round: int = EDITS_PER_ROUND) -> DataFrame:
-    """edits(path, seq, op, start_line, end_line, new_content) with op in replace/delete/insert
-    (insert uses start_line as the 'after' line). Each edit sees the result of the previous
-    one; an invalid edit fails the file (content unchanged, error names the edit seq).
-
-    Edits are numbered per file in ``seq`` order and folded in rounds of at most
-    ``edits_per_round`` per file: each round groups only that slice of edits (a bounded
-    array per row, whatever one file's total) and folds it with ``aggregate`` over the
-    file's line array. The round count is the largest per-file edit count / round size;
-    the state is checkpointed between rounds so lineage stays short."""
-    from pyspark.sql import Window
-
-    from quire.session import shared_dir
-
-    spark = files.sparkSession
-    ranked = edits.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("seq")))
-    # one number: the most edits any file has (an aggregate, no sort)
-    longest = edits.groupBy("path").count().agg(F.max("count")).first()[0] or 0
-    touched = files.select("path", "content").join(edits.select("path").distinct(), "path", "left_semi")
-    state = touched.select(
-        "path", split_lines(F.col("content")).alias("lines"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("edits_applied")
-    )
-    rounds = -(-longest // edits_per_round)
-    if rounds > 1:
-        shared_dir(spark, "edit-rounds")  # makes sure a checkpoint folder is configured
-    for r in range(rounds):
-        lo, hi = r * edits_per_round, (r + 1) * edits_per_round
-        part = ranked.where((F.col("_n") > lo) & (F.col("_n") <= hi))
-        batch = part.groupBy("path").agg(
-            F.array_sort(F.collect_list(F.struct("seq", "op", "start_line", "end_line", "new_content"))).alias("edits")
-        )
-        state = _fold_round(state, batch)
-        if rounds > 1 and r % 4 == 3:
-            state = state.checkpoint()
-    out = state.join(touched, "path")
-    ok = F.col("error").isNull()
+    batch = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "start_line", "end_line", "new_content"))).alias("edits"))
+    start = F.struct(split_lines(F.col("content")).alias("lines"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("applied"))
+    out = files.select("path", "content").join(batch, "path").withColumn("_done", F.aggregate("edits", start, step))
     return out.select(
         "path",
-        ok.alias("success"),
-        "error",
-        "edits_applied",
-        F.when(ok, F.array_join("lines", "\n")).otherwise(F.col("content")).alias("content"),
+        F.col("_done.error").isNull().alias("success"),
+        F.col("_done.error").alias("error"),
+        F.col("_done.applied").alias("edits_applied"),
+        F.array_join("_done.lines", "\n").alias("content"),
     )

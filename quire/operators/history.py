@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import utf16_length
 
 # Fixed value: history entries older than this many hours are dropped.
@@ -20,8 +19,6 @@ def snapshot(requests: DataFrame, files: DataFrame, now: Column, path: str = "pa
     # hash and size once per file, before the join (a file can be requested many times)
     f = files.select(F.col("path").alias(path), F.col("content").alias("_content"), F.md5("content").alias("_hash"),
                      utf16_length(F.col("content")).alias("_size"), F.lit(True).alias("_exists"))
-    # only requested files are read into the join (size-checked request paths are the build side)
-    f = f.join(bounded_broadcast(requests.select(path).distinct()), path)
     j = requests.join(f, path, "left")
     ok = F.col("_exists").isNotNull()
     snap = F.when(ok, F.struct(F.col("_content").alias("content"), F.col("_hash").alias("hash"),
@@ -37,10 +34,8 @@ def snapshot(requests: DataFrame, files: DataFrame, now: Column, path: str = "pa
 def rollback(requests: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requests(operation_id) -> (per request result, history without rolled-back rows).
     Restores ``snapshot.content`` to ``original_path``; unknown id or missing snapshot -> error.
-    Later edits to the same file are not undone."""
-    h = history.select("operation_id", "type", "original_path", "snapshot")
-    # only the requested operations' before-images are read into the join
-    h = h.join(bounded_broadcast(requests.select("operation_id").distinct()), "operation_id")
+    Later edits to the same file are not undone. ``ts`` and the numeric ``seq`` order operations."""
+    h = history.select("operation_id", "type", "original_path", "snapshot", "ts", "seq")
     j = requests.select("operation_id").join(h, "operation_id", "left")
     error = F.when(F.col("type").isNull(), F.concat(F.lit("operation not found: "), F.col("operation_id"))).when(
         F.col("snapshot").isNull(), F.concat(F.lit("no snapshot for operation "), F.col("operation_id"))
@@ -53,20 +48,33 @@ def rollback(requests: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFr
         F.when(ok, F.col("original_path")).alias("restored_file"),
         F.when(ok, F.col("type")).alias("original_operation"),
         F.when(ok, F.col("snapshot.content")).alias("restored_content"),
+        "ts",
+        "seq",
     )
     done = result.where("success").select("operation_id")
     return result, history.join(done, "operation_id", "left_anti")
 
 
 def restore(files: DataFrame, rollback_result: DataFrame) -> DataFrame:
-    """Apply restored contents to the file table (the latest rollback per path wins)."""
-    r = rollback_result.where("success").groupBy(F.col("restored_file").alias("path")).agg(
-        F.max_by("restored_content", "operation_id").alias("_restored")
-    )
-    j = files.join(r, "path", "left")
+    """Apply restored contents to the file table: of several rolled-back operations on a path the
+    latest, by time and then sequence number, wins. A restored path that is gone comes back."""
+    latest = F.max_by(F.col("restored_content"), F.struct("ts", "seq"))
+    r = rollback_result.where("success").groupBy(F.col("restored_file").alias("path")).agg(latest.alias("_restored"))
+    j = files.join(r, "path", "full")
     return j.withColumn("content", F.coalesce("_restored", "content")).drop("_restored")
 
 
+def record(history: DataFrame, requests: DataFrame, files: DataFrame) -> DataFrame:
+    """``history`` with one row for each request (operation_id, type, path, ts, seq) on a file that
+    exists: the file's content now is the before-image."""
+    snap = snapshot(requests, files, F.col("ts")).where("success")
+    rows = snap.select(
+        "operation_id", "type", F.col("path").alias("original_path"), F.concat("path", F.lit(".backup."), F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).alias("backup_path"),
+        F.struct(F.col("snapshot.content").alias("content"), F.col("snapshot.hash").alias("hash"), F.col("snapshot.size").alias("size")).alias("snapshot"), "ts", "seq",
+    )
+    return rows if history is None else history.unionByName(rows)
+
+
 def retention(history: DataFrame, now: Column, hours: int = RETENTION_HOURS) -> tuple[DataFrame, DataFrame]:
     """(one row: cleaned_count, remaining_count, cutoff; surviving history)."""
     cutoff = now - F.expr(f"INTERVAL {int(hours)} HOURS")
