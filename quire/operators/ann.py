@@ -17,6 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.vectors import l2_normalize
 from quire.operators import knn
 
 
@@ -24,26 +25,32 @@ def default_lists(n: int) -> int:
     return max(1, int(math.sqrt(max(n, 1))))
 
 
-# Fixed value: k-means trains on about this many vectors per list (all vectors are assigned).
-TRAIN_ROWS_PER_LIST = 256
+# Centroids are fitted on about this many vectors; every vector is indexed.
+FIT_ROWS = 1_000_000
 
 
 def build_ivf(
-    corpus: DataFrame, n_lists: int, key: str = "vec_id", vec: str = "embedding", seed: int = 7, max_iter: int = 20
+    corpus: DataFrame, n_lists: int, key: str = "vec_id", vec: str = "embedding", seed: int = 7, max_iter: int = 20,
+    metric: str = "cosine", fit_rows: int = FIT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(centroids(cell, embedding), assignment(key, cell, embedding)).
 
-    Centroids are trained on a seeded sample of about ``TRAIN_ROWS_PER_LIST * n_lists``
-    vectors (the usual IVF practice); every vector is then assigned, none is dropped. The
+    Centroids are fitted on a seeded sample of about ``fit_rows`` vectors; every vector that is
+    not NULL is assigned. Cells follow the metric: for cosine, vectors are normalised first
+    (zero vectors match nothing and are left out). The
     model holds ``n_lists`` x dim numbers — bounded by the parameter, not by the corpus — and
     comes back as a small DataFrame."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    c = corpus.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("embedding"))
-    feats = c.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    c = corpus.select(F.col(key).alias("key"), F.col(vec).alias("embedding")).where(F.col("embedding").isNotNull())
+    point = F.col("embedding").cast("array<double>")
+    if metric == "cosine":
+        c = c.where(F.exists("embedding", lambda x: x != 0))
+        point = l2_normalize(point)
+    feats = c.withColumn("features", array_to_vector(point))
     n = c.count()
-    fraction = min(1.0, TRAIN_ROWS_PER_LIST * n_lists / max(n, 1))
+    fraction = min(1.0, fit_rows / max(n, 1))
     train = feats if fraction >= 1.0 else feats.sample(fraction=fraction, seed=seed)
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(train)
     spark = corpus.sparkSession
@@ -64,8 +71,9 @@ def search(
     query_vec: str = "embedding",
 ) -> DataFrame:
     """(query_id, key, score, rank) from the probed cells only."""
-    q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(query_vec).alias("embedding"))
-    probes = knn.topk(centroids, q, n_probe, "l2", corpus_key="cell", n_corpus=centroids.count())
+    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("embedding")).where(F.col("embedding").isNotNull())
+    near = q.withColumn("embedding", l2_normalize(F.col("embedding").cast("array<double>"))) if metric == "cosine" else q
+    probes = knn.topk(centroids, near, n_probe, "l2", corpus_key="cell", n_corpus=centroids.count())
     probes = probes.select("query_id", F.col("key").alias("cell"))
     # Per cell: the probing queries against that cell's vectors, one tile scorer per (cell, block).
     q_in_cell = probes.join(q, "query_id")

@@ -47,7 +47,7 @@ def _age_seconds(now: Column, created: Column) -> Column:
 def lookup(requests: DataFrame, entries: DataFrame, config: DataFrame, now: Column, force: str | None = None) -> DataFrame:
     """Per request (cache_type, key): status hit / expired / miss / bypassed.
     A hit needs ``now - created_at < ttl`` (strict); a type without TTL never expires."""
-    j = requests.join(entries, ["cache_type", "key"], "left").join(F.broadcast(_ttl_seconds(config)), "cache_type", "left")
+    j = requests.join(entries, ["cache_type", "key"], "left").join(_ttl_seconds(config), "cache_type", "left")
     age = _age_seconds(now, F.col("created_at"))
     status = F.when(F.col("created_at").isNull(), F.lit("miss"))
     if force is not None:
@@ -116,5 +116,5 @@ def clear(entries: DataFrame, config: DataFrame, cache_type: str = "all") -> tup
     report = types.join(_per_type(entries), "cache_type", "left").select(
         "cache_type", F.coalesce("_n", F.lit(0)).cast("long").alias("files_deleted"), _mb(F.col("_bytes")).alias("space_freed_mb")
     )
-    survivors = entries.join(F.broadcast(types), "cache_type", "left_anti")
+    survivors = entries.join(types, "cache_type", "left_anti")
     return report, survivors

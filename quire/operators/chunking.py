@@ -1,22 +1,18 @@
-"""Text chunking for retrieval: whitespace-token windows, structural chunks, truncation."""
+"""Text chunking for retrieval: whitespace-token windows, truncation."""
 
 from __future__ import annotations
 
-import ast
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import let, ws_tokens
 
-# Tokens per chunk and characters kept for embedding.
+# Fixed value: tokens per chunk.
 TOKENS_PER_CHUNK = 400
-EMBED_CHARS = 1000
 
 
-def truncate_for_embedding(content: Column, n: int = EMBED_CHARS) -> Column:
-    """First ``n`` code points."""
+def truncate_for_embedding(content: Column, n: int) -> Column:
+    """First ``n`` code points: the caller's own limit of an embedding request."""
     return F.substring(content, 1, n)
 
 
@@ -34,45 +30,3 @@ def token_chunks(df: DataFrame, content_col: str = "content", size: int = TOKENS
     """(keep..., chunk_id, text); empty text yields no chunk."""
     rows = df.select(*keep, F.posexplode_outer(token_windows(F.col(content_col), size)).alias("chunk_id", "text"))
     return rows.where(F.col("chunk_id").isNotNull())
-
-
-# File suffixes that go through a parser; for every other suffix (and for files
-# whose root has no definition) the token windows apply. Only Python has a parser here
-# (stdlib ``ast``); other grammars fall back to token windows.
-PARSED_SUFFIXES = (".py",)
-
-
-def _python_definitions(code: str) -> list[str]:
-    """Source text of every top-level, undecorated function/class definition."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
-        return []
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-    return [
-        ast.get_source_segment(code, node) or ""
-        for node in tree.body
-        if isinstance(node, kinds) and not node.decorator_list
-    ]
-
-
-def _definitions_batches(batches):
-    for pdf in batches:
-        defs = [_python_definitions(c) if isinstance(c, str) else [] for c in pdf["content"]]
-        yield pd.DataFrame({"path": pdf["path"], "content": pdf["content"], "defs": defs})
-
-
-def structural_chunks(df: DataFrame, size: int = TOKENS_PER_CHUNK) -> DataFrame:
-    """(path, chunk_id, text, method). Parsed files run through an Arrow-batched Python
-    worker; everything else stays a JVM expression. Python ast gives code-point offsets, so
-    no byte/char confusion."""
-    files = df.select("path", "content")
-    is_parsed = F.lower(F.col("path")).rlike("(" + "|".join(s.replace(".", r"\.") for s in PARSED_SUFFIXES) + ")$")
-    parsed = files.where(is_parsed).mapInPandas(_definitions_batches, "path string, content string, defs array<string>")
-    chosen = F.when(F.size("defs") > 0, F.col("defs")).otherwise(token_windows(F.col("content"), size))
-    method = F.when(F.size("defs") > 0, F.lit("structural")).otherwise(F.lit("tokens"))
-    a = parsed.select("path", method.alias("method"), F.posexplode_outer(chosen).alias("chunk_id", "text"))
-    b = files.where(~is_parsed).select(
-        "path", F.lit("tokens").alias("method"), F.posexplode_outer(token_windows(F.col("content"), size)).alias("chunk_id", "text")
-    )
-    return a.unionByName(b).where(F.col("chunk_id").isNotNull()).select("path", "chunk_id", "text", "method")

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from quire.functions.text import lines as split_lines
 from quire.functions.text import utf16_length
 
-# Fixed value: how many differing lines a diff lists (the total is counted before the cap).
-MAX_LISTED = 100
-
 
 def _differences(c1, c2):
     z = F.zip_with(split_lines(c1), split_lines(c2), lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")))
@@ -22,10 +19,11 @@ def _differences(c1, c2):
     return F.filter(numbered, lambda x: x["line_1"] != x["line_2"])
 
 
-def line_diff(pairs: DataFrame, c1: str = "content_1", c2: str = "content_2", keep=("path_1", "path_2")) -> DataFrame:
-    """One row per differing line (first 100 per pair): kind = modified / deleted / added,
-    where an empty left line counts as absent (so it reports 'added')."""
-    listed = F.slice(_differences(F.col(c1), F.col(c2)), 1, MAX_LISTED)
+def line_diff(pairs: DataFrame, c1: str = "content_1", c2: str = "content_2", keep=("path_1", "path_2"), limit: int | None = None) -> DataFrame:
+    """One row per differing line (the first ``limit`` per pair, if given): kind = modified /
+    deleted / added, where an empty left line counts as absent (so it reports 'added')."""
+    listed = _differences(F.col(c1), F.col(c2))
+    listed = listed if limit is None else F.slice(listed, 1, limit)
     rows = pairs.select(*keep, F.inline_outer(listed)).where(F.col("line_number").isNotNull())
     kind = (
         F.when(F.col("line_1") == "", F.lit("added"))

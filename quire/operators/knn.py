@@ -78,14 +78,22 @@ def _select_k(o: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     return sel
 
 
+def _key(df: DataFrame, name: str):
+    """The key as long if it is a whole number, else as string."""
+    return F.col(name).cast("long" if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string")
+
+
+def _keys(col: pd.Series) -> np.ndarray:
+    return col.to_numpy(dtype=np.int64) if col.dtype != object else col.to_numpy(dtype=str)
+
+
 def _tile_topk(k: int, metric: str):
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        cols = {"query_id": "int64", "key": "int64", "score": "float64"}
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in cols.items()})
-        ck_all = cpdf["key"].to_numpy(dtype=np.int64)
+            return pd.DataFrame({"query_id": qpdf["query_id"][:0], "key": cpdf["key"][:0], "score": pd.Series([], dtype="float64")})
+        ck_all = _keys(cpdf["key"])
         c_all = _matrix(cpdf["vec"])
-        qk_all = qpdf["query_id"].to_numpy(dtype=np.int64)
+        qk_all = _keys(qpdf["query_id"])
         q_all = _matrix(qpdf["vec"])
         if metric == "cosine":
             q_all, c_all = _normalized(q_all), _normalized(c_all)
@@ -95,7 +103,7 @@ def _tile_topk(k: int, metric: str):
             qk, q = qk_all[qlo : qlo + QUERY_CHUNK_ROWS], q_all[qlo : qlo + QUERY_CHUNK_ROWS]
             best_o = np.full((len(qk), 0), np.inf)  # ordering value: sign * score rounded at 1e-9
             best_s = np.full((len(qk), 0), np.nan)  # raw score, reported
-            best_k = np.zeros((len(qk), 0), dtype=np.int64)
+            best_k = np.zeros((len(qk), 0), dtype=ck_all.dtype)
             for lo in range(0, len(ck_all), SUB_BLOCK_ROWS):
                 ck, c = ck_all[lo : lo + SUB_BLOCK_ROWS], c_all[lo : lo + SUB_BLOCK_ROWS]
                 raw = _score_tile(q, c, metric)
@@ -120,6 +128,10 @@ def _blocks(n: int, rows_per_block: int, min_blocks: int = 1) -> int:
     return max(min(max(math.ceil(n / rows_per_block), min_blocks), max(n, 1)), 1)
 
 
+def _result(q: DataFrame, c: DataFrame) -> str:
+    return f"query_id {dict(q.dtypes)['query_id']}, key {dict(c.dtypes)['key']}, score double"
+
+
 def topk(
     corpus: DataFrame,
     queries: DataFrame,
@@ -142,8 +154,8 @@ def topk(
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     spark = corpus.sparkSession
-    c = corpus.select(F.col(corpus_key).cast("long").alias("key"), F.col(corpus_vec).cast("array<double>").alias("vec"))
-    q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec"))
+    c = corpus.select(_key(corpus, corpus_key).alias("key"), F.col(corpus_vec).cast("array<double>").alias("vec"))
+    q = queries.select(_key(queries, query_key).alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec"))
     c = c.where(F.col("vec").isNotNull())
     q = q.where(F.col("vec").isNotNull())
     n_q = n_queries if n_queries is not None else q.count()
@@ -164,7 +176,7 @@ def topk(
     partial = (
         q_rep.groupBy("qb", "cb")
         .cogroup(c_rep.groupBy("qb", "cb"))
-        .applyInPandas(_tile_topk(k, metric), "query_id long, key long, score double")
+        .applyInPandas(_tile_topk(k, metric), _result(q, c))
     )
     order = F.round("score", TIE_DECIMALS)
     order = order.desc() if metric == "cosine" else order.asc()
@@ -186,8 +198,8 @@ def grouped_topk(
     corpus(key, embedding, group) and queries(query_id, embedding, group). Groups are split
     into blocks on both sides (hash of the row key), so a hot group becomes many tiles.
     Returns partial (query_id, key, score) rows, at most k per query per tile."""
-    c = corpus.select(F.col("key").cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).cast("long").alias("g"))
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).cast("long").alias("g"))
+    c = corpus.select(_key(corpus, "key").alias("key"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).cast("long").alias("g"))
+    q = queries.select(_key(queries, "query_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col(group).cast("long").alias("g"))
     c, q = c.where(F.col("vec").isNotNull()), q.where(F.col("vec").isNotNull())
     # blocks per group come from the group's own row counts (an aggregate, joined back)
     c_sizes = c.groupBy("g").agg(F.count(F.lit(1)).alias("nc"))
@@ -208,5 +220,5 @@ def grouped_topk(
     return (
         q_rep.groupBy("g", "qb", "cb")
         .cogroup(c_rep.groupBy("g", "qb", "cb"))
-        .applyInPandas(_tile_topk(k, metric), "query_id long, key long, score double")
+        .applyInPandas(_tile_topk(k, metric), _result(q, c))
     )

@@ -10,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.sizing import bounded_broadcast
+
+
+def dimension(index: DataFrame, vec: str = "embedding") -> DataFrame:
+    """One row, one column: the size that all vectors of ``index`` share; mixed sizes fail."""
+    size = F.size(F.col(vec))
+    sizes = index.where(F.col(vec).isNotNull()).agg(F.min(size).alias("least"), F.max(size).alias("most"))
+    mixed = F.raise_error(F.lit("vectors of different sizes in one index"))
+    return sizes.select(F.when(F.col("least").eqNullSafe(F.col("most")), F.col("most")).otherwise(mixed).alias("dimension"))
 
 
 def has_embedding(files: DataFrame, index: DataFrame, key: str = "path") -> DataFrame:
@@ -51,7 +58,7 @@ def vector_upsert(index: DataFrame, batch: DataFrame, key: str = "path", force:
 
 def vector_remove(index: DataFrame, requests: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:
     """Returns (per-request result with action removed/skipped, remaining index)."""
-    wanted = bounded_broadcast(requests.select(key).distinct())
+    wanted = requests.select(key).distinct()
     present = index.select(key).join(wanted, key).distinct().withColumn("_present", F.lit(True))
     result = requests.select(key).join(present, key, "left").select(
         key, F.when(F.col("_present"), F.lit("removed")).otherwise(F.lit("skipped")).alias("action")

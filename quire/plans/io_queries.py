@@ -1,4 +1,4 @@
-"""Registered queries: sources, sinks, persisted indexes, streaming and Python-worker operators.
+"""Registered queries: sources, sinks, persisted indexes and streaming.
 
 Writes go to fresh folders under the session's ``spark.checkpoint.dir`` (shared storage on a
 cluster); each query then reads back what it wrote.
@@ -11,16 +11,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.embed import embed, overlap_score
 from quire.functions.text import rounded
 from quire.functions.vectors import array_size
-from quire.operators import bm25, cache, chunking, json_check, vectors
+from quire.operators import bm25, cache, chunking, knn, rerank, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
 from quire.plans.search_queries import FIXED_QUERIES_CTE, TOK_CTE, _documents, search_sql, fixed_query
-from quire.plans.sqltext import FILES_CTE, bm25_tokens, lit
+from quire.plans.sqltext import FILES_CTE, bm25_tokens, lit, ws_tokens
 from quire.plans.state_queries import CACHE_CTES, live_cache
-from quire.plans.vector_queries import VSTATS_SQL, vector_index
-from quire.session import app_id, shared_dir
+from quire.plans.vector_queries import QV_CTE, VSTATS_SQL, embed_ctes, query_vectors, vector_index, with_index_dim
+from quire.session import app_id, shared_dir, stored
 from quire.sources import corpus, documents_json, index_store
 from quire.streaming import incremental, watch
 
@@ -60,18 +61,19 @@ def read_documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------- BM25 index
 
-# The smoke query run after an index build, and its result limit.
-SMOKE_QUERY, SMOKE_LIMIT = "function", 5
+# The term searched for after an index build.
+SMOKE_QUERY = "qui"
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
 
 
-def _written_index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> str:
-    """Folder of the persisted index for ``sf_dir``; built once per application (an index is
-    written once and searched many times), or again when ``rebuild``."""
-    memo = (app_id(spark), sf_dir)
-    if rebuild or memo not in _BUILT:
+def _written_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the persisted index of the documents as they are now: an index is written once
+    and searched many times, and again once a file of the table changes."""
+    files = watch.listing(spark, f"{sf_dir.rstrip('/')}/documents.parquet").orderBy("path").collect()
+    memo = (app_id(spark), *(tuple(r) for r in files))
+    if memo not in _BUILT:
         out = shared_dir(spark, "bm25-index")
         index_store.build_and_write_bm25_index(_documents(spark, sf_dir), out)
         _BUILT[memo] = out
@@ -85,14 +87,16 @@ qt AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({bm25_tokens(lit(SMOKE_Q
 sc AS (SELECT p.doc_id, sum(qt.qtf * t.idf * p.tf * {bm25.K1 + 1.0} / (p.tf + {bm25.K1} * ({1.0 - bm25.B} + {bm25.B} * p.doc_len / (SELECT avg_doc_len FROM stats)))) AS s
        FROM post p JOIN qt ON qt.term = p.term JOIN terms t ON t.term = qt.term GROUP BY p.doc_id)
 SELECT 'bm25' AS index_type, n_docs AS total_documents, round(avg_doc_len, 6) AS avg_doc_len, vocab_size,
-       CAST(least((SELECT count(*) FROM sc WHERE s > 0), {SMOKE_LIMIT}) AS BIGINT) AS smoke_hits
+       (SELECT count(*) FROM sc WHERE s > 0) AS smoke_hits
 FROM stats""",
 )
 def bm25_index_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build, persist, reopen, and report the metadata row with a smoke search."""
-    index, stats = index_store.read_bm25_index(spark, _written_index(spark, sf_dir, rebuild=True))
+    """Build, persist, reopen, and report the metadata row with the hits of a smoke search."""
+    out = shared_dir(spark, "bm25-index")
+    index_store.build_and_write_bm25_index(_documents(spark, sf_dir), out)
+    _, stats = index_store.read_bm25_index(spark, out)
     q = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(SMOKE_QUERY).alias("text"))
-    hits = bm25.search(index, q, SMOKE_LIMIT, term_bucket=lambda t: index_store.term_bucket(t, index_store.DEFAULT_TERM_BUCKETS))
+    hits = index_store.search_bm25_index(spark, out, q, limit=None)
     return stats.select(
         F.lit("bm25").alias("index_type"), F.col("n_docs").alias("total_documents"), rounded(F.col("avg_doc_len")).alias("avg_doc_len"),
         "vocab_size", hits.select(F.count(F.lit(1))).scalar().alias("smoke_hits"),
@@ -152,40 +156,6 @@ def cache_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("cache_type").agg(F.count(F.lit(1)).alias("entries"), F.sum("size_bytes").alias("total_bytes"))
 
 
-# ---------------------------------------------------------------------------- Python-worker operators
-
-
-@register(
-    "validate_json",
-    "SELECT event_id, json_valid(props) AS is_valid, CASE WHEN json_valid(props) THEN NULL ELSE 'invalid' END AS errors, 'json' AS language FROM events",
-)
-def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's ``props`` checked as a .json file."""
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/events/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), "props")
-    v = json_check.validate_json(e.withColumnRenamed("props", "content"), keep=("event_id",))
-    return v.select("event_id", "is_valid", F.when(~F.col("is_valid"), F.lit("invalid")).alias("errors"), "language")
-
-
-@register("structural_chunks")
-def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus files (token windows) plus every part rendered as a Python module (parsed)."""
-    f = inputs.files(spark, sf_dir).select("path", "content")
-    p = table(spark, sf_dir, "part")
-    py = p.select(
-        F.concat(F.lit("/code/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"),
-        F.concat_ws(
-            "\n",
-            F.lit("import os"),
-            F.concat(F.lit("def part_"), F.col("p_partkey").cast("string"), F.lit("(x):")),
-            F.concat(F.lit("    return x * "), F.col("p_size").cast("string")),
-            F.lit(""),
-            F.concat(F.lit("class Brand"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(":")),
-            F.concat(F.lit("    name = '"), F.col("p_name"), F.lit("'")),
-        ).alias("content"),
-    )
-    return chunking.structural_chunks(f.unionByName(py))
-
-
 # ---------------------------------------------------------------------------- streaming
 
 
@@ -202,19 +172,72 @@ def watch_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@register("incremental_index")
+def _chunk_sql(content: str, where: str = "true") -> str:
+    """(path, chunk_id, text) of the token windows of ``content`` over ``files``."""
+    n = chunking.TOKENS_PER_CHUNK
+    return f"""SELECT path, CAST(chunk_id AS INTEGER) AS chunk_id, array_to_string(list_slice(toks, chunk_id * {n} + 1, (chunk_id + 1) * {n}), ' ') AS text
+FROM (SELECT path, toks, unnest(generate_series(0, CAST(ceil(len(toks) / {n}) AS BIGINT) - 1)) AS chunk_id
+      FROM (SELECT path, {ws_tokens(content)} AS toks FROM files WHERE {where}))"""
+
+
+@register(
+    "incremental_index",
+    f"""WITH {FILES_CTE},
+l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id)
+SELECT *, (SELECT max(len(embedding)) FROM embeddings) AS dimension FROM ({_chunk_sql(
+        "CASE WHEN doc_id IN (SELECT doc_id FROM l WHERE toxic = 1) THEN '' WHEN doc_id IN (SELECT doc_id FROM l) THEN content || chr(10) || 'revised' ELSE content END")})""",
+)
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds of file records (every document, then a new version of the labelled ones)
-    streamed into the chunk index; returns the live index: path, chunk_id, text, dimension."""
+    """Rounds of file records streamed into the chunk index: every document (version 2), labelled
+    ones revised (version 3), toxic ones emptied (version 4), and an old version (1) of every seventh
+    document that arrives last. Returns the live index: path, chunk_id, text, dimension."""
     src, idx, ckpt = shared_dir(spark, "inc-src"), shared_dir(spark, "inc-index"), shared_dir(spark, "inc-ckpt")
     f = inputs.files(spark, sf_dir)
-    f.select("path", "content", F.lit(1).alias("version")).write.json(os.path.join(src, "round=1"))
-    labelled = f.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    labelled.select("path", F.concat("content", F.lit("\nrevised")).alias("content"), F.lit(2).alias("version")).write.json(
-        os.path.join(src, "round=2")
-    )
-    dim = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()[0]
-    stream = spark.readStream.schema("path string, content string, version int").option("maxFilesPerTrigger", "8").json(src)
-    incremental.start_incremental_index(stream, idx, ckpt, dim).awaitTermination()
-    live = incremental.current_chunks(spark, idx)
-    return live.select("path", "chunk_id", "text", array_size("embedding").alias("dimension"))
+    labels = table(spark, sf_dir, "labels")
+    rounds = [
+        (f, F.col("content"), 2),
+        (f.join(labels.select("doc_id"), "doc_id", "left_semi"), F.concat("content", F.lit("\nrevised")), 3),
+        (f.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), F.lit(""), 4),
+        (f.where(F.col("doc_id") % 7 == 0), F.lit("an old version"), 1),
+    ]
+    dim = vectors.dimension(table(spark, sf_dir, "embeddings")).first()[0]
+    for i, (rows, content, version) in enumerate(rounds):
+        rows.select("path", content.alias("content"), F.lit(version).alias("version")).write.json(os.path.join(src, f"round={i}"))
+        stream = spark.readStream.schema("path string, content string, version int").json(src)
+        incremental.start_incremental_index(stream, idx, ckpt, dim).awaitTermination()
+    return incremental.current_chunks(spark, idx).select("path", "chunk_id", "text", array_size("embedding").alias("dimension"))
+
+
+# ---------------------------------------------------------------------------- search over chunks
+
+# Candidates fetched and kept by the chunk search.
+CHUNK_FETCH, CHUNK_KEEP = 20, 10
+
+
+@register(
+    "chunk_search",
+    f"""WITH {FILES_CTE},
+ch AS ({_chunk_sql("content")}),
+{embed_ctes("cv", "SELECT path || '#' || CAST(chunk_id AS VARCHAR) AS key, text FROM ch")},
+{QV_CTE},
+cand AS (
+  SELECT q.query_id, q.text AS qtext, c.key, c.text AS dtext, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_distance(q.embedding, c.embedding) ** 2, 9), c.key) AS vector_rank
+  FROM qv q, cv c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
+s AS (
+  SELECT *, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0.0 END AS score
+  FROM (SELECT *, list_distinct({bm25_tokens('qtext')}) AS q, list_distinct({bm25_tokens('dtext')}) AS d FROM cand WHERE vector_rank <= {CHUNK_FETCH})),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank) AS final_rank FROM s)
+SELECT query_id, key, CAST(vector_rank AS INTEGER) AS vector_rank, round(score, 6) AS rerank_score, CAST(final_rank AS INTEGER) AS final_rank, dtext AS text
+FROM r WHERE final_rank <= {CHUNK_KEEP}""",
+)
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into chunks, embedded and stored; every benchmark text fetches its nearest
+    chunks by squared L2, reranked by the default scorer on the chunk text."""
+    chunks = chunking.token_chunks(inputs.files(spark, sf_dir))
+    chunks = with_index_dim(chunks, spark, sf_dir).select(F.concat("path", F.lit("#"), F.col("chunk_id").cast("string")).alias("key"), "text", embed(F.col("text"), F.col("_dim")).alias("embedding"))
+    index = stored(chunks, "chunk-index")
+    q = query_vectors(spark, sf_dir)
+    hits = stored(knn.topk(index, q, CHUNK_FETCH, "l2", corpus_key="key"), "chunk-hits")
+    cand = hits.join(index.select("key", F.col("text").alias("dtext")), "key").join(q.select("query_id", F.col("text").alias("qtext")), "query_id")
+    out = rerank.rerank(cand, overlap_score(F.col("qtext"), F.col("dtext")), CHUNK_KEEP)
+    return out.select("query_id", "key", F.col("rank").alias("vector_rank"), rounded(F.col("rerank_score")).alias("rerank_score"), "final_rank", F.col("dtext").alias("text"))

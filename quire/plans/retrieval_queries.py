@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.embed import embed, overlap_score
-from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import rounded, ws_tokens
 from quire.operators import ann, bm25, knn, lines, rerank, vectors
 from quire.plans import inputs
@@ -109,7 +108,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The candidates (queries x 2k, size-checked) are the build side of an inner join that
     # documents stream through, so the corpus text is never shuffled (an outer join would have
     # to build the documents side). Candidates without a document get empty text.
-    hits = bounded_broadcast(hits.join(qv.select("query_id", F.col("text").alias("qtext")), "query_id"))
+    hits = hits.join(qv.select("query_id", F.col("text").alias("qtext")), "query_id")
     matched = docs.join(hits, "key")
     missing = hits.join(matched.select("query_id", "key"), ["query_id", "key"], "left_anti").withColumn("dtext", F.lit(""))
     cand = matched.unionByName(missing)

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.embed import embed, overlap_score
+from quire.functions.embed import embed
 from quire.functions.text import rounded, utf16_length
 from quire.functions.vectors import array_size
 from quire.operators import cache, changes, history
 from quire.plans import inputs
 from quire.plans.registry import register, table
+from quire.session import stored
 from quire.plans.sqltext import FILES_CTE, utf16_length as utf16_sql
 from quire.plans.vector_queries import embed_ctes, with_index_dim
 
@@ -171,41 +172,6 @@ def cache_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "key", "source", array_size("value").alias("dimension"), rounded(checksum).alias("checksum"))
 
 
-@register(
-    "cache_warmup",
-    f"""WITH {embed_ctes("w", "SELECT item_id, text FROM benchmark")},
-pairs AS (
-  SELECT u.text AS q, a.text AS d FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'),
-prompts AS (SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY conv_id),
-answered AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant')
-SELECT 'embeddings' AS kind, count(*) AS items_requested, count(embedding) AS items_computed FROM w
-UNION ALL SELECT 'reranking', count(*), count(*) FROM pairs
-UNION ALL SELECT 'llm_responses', (SELECT count(*) FROM prompts), (SELECT count(*) FROM prompts p WHERE p.conv_id IN (SELECT conv_id FROM answered))""",
-)
-def cache_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Force-compute each cache kind for a given request list and count per kind:
-    embeddings of the benchmark texts, scores of every (user turn, answer) pair, and a
-    selected answer for every conversation prompt (the candidate pool stands in for the model)."""
-    from quire.plans.vector_queries import turn_pairs
-    from quire.plans.retrieval_queries import best_candidate
-
-    b = with_index_dim(table(spark, sf_dir, "benchmark"), spark, sf_dir)
-    emb = b.select(embed(F.col("text"), F.col("_dim")).alias("v")).agg(
-        F.lit("embeddings").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("v").alias("items_computed")
-    )
-    pairs = turn_pairs(spark, sf_dir).select(overlap_score(F.col("query"), F.col("doc")).alias("s")).agg(
-        F.lit("reranking").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("s").alias("items_computed")
-    )
-    c = table(spark, sf_dir, "conversations")
-    prompts = c.where(F.col("role") == "user").select("conv_id").distinct()
-    answers = best_candidate(spark, sf_dir).select("conv_id", F.lit(True).alias("_answered"))
-    llm = prompts.join(answers, "conv_id", "left").agg(
-        F.lit("llm_responses").alias("kind"), F.count(F.lit(1)).alias("items_requested"), F.count("_answered").alias("items_computed")
-    )
-    return emb.unionByName(pairs).unionByName(llm)
-
-
 # ---------------------------------------------------------------------------- history
 
 def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +246,7 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "rollback",
     f"""WITH {HISTORY_CTE},
-req AS (SELECT operation_id FROM history WHERE type = 'delete_lines')
+req AS (SELECT operation_id FROM history UNION ALL SELECT 'op-none-' || CAST(item_id AS VARCHAR) FROM benchmark)
 SELECT r.operation_id, h.snap_content IS NOT NULL AS success,
        CASE WHEN h.operation_id IS NULL THEN 'operation not found: ' || r.operation_id
             WHEN h.snap_content IS NULL THEN 'no snapshot for operation ' || r.operation_id END AS error,
@@ -290,13 +256,47 @@ SELECT r.operation_id, h.snap_content IS NOT NULL AS success,
 FROM req r LEFT JOIN history h ON h.operation_id = r.operation_id""",
 )
 def rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every operation of every type asked back, and ids that no operation has."""
     h = history_table(spark, sf_dir)
-    req = h.where(F.col("type") == "delete_lines").select("operation_id")
-    result, _remaining = history.rollback(req, h)
+    unknown = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("op-none-"), F.col("item_id").cast("string")).alias("operation_id"))
+    result, _remaining = history.rollback(h.select("operation_id").unionByName(unknown), h)
     return result.select("operation_id", "success", "error", "restored_file", "original_operation",
                          F.md5("restored_content").alias("restored_hash"))
 
 
+@register(
+    "history_chain",
+    f"""WITH {FILES_CTE},
+e1 AS (SELECT doc_id, path, content AS c0, 'first ' || CAST(doc_id AS VARCHAR) || chr(10) || content AS c1 FROM files),
+e2 AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN c1 || chr(10) || 'second' ELSE c1 END AS c2 FROM e1)
+SELECT path, md5(CASE WHEN doc_id % 6 = 0 THEN c1 WHEN doc_id % 5 = 0 THEN c0 ELSE c2 END) AS md5,
+       CAST(1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END - CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END - CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS operations_left
+FROM e2""",
+)
+def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits write their before-images to the history, rollbacks restore files and drop theirs:
+    every file gets a first line (op-<id>), every third then a last line (op-<id + 10^9>); the first
+    edit of every fifth and the second of every sixth file are rolled back."""
+    f = inputs.files(spark, sf_dir).select("doc_id", "path", "content")
+    at = lambda n: F.timestamp_seconds(F.lit(1_700_000_000 + n))
+
+    def edit(kind: str, rows: DataFrame, seq, ts):
+        return rows.select(F.concat(F.lit("op-"), seq.cast("string")).alias("operation_id"), F.lit(kind).alias("type"), "path", ts.alias("ts"), seq.alias("seq"))
+
+    d = F.col("doc_id")
+    h = stored(history.record(None, edit("insert_lines", f, d, at(0)), f.select("path", "content")), "history")
+    f = f.withColumn("content", F.concat(F.lit("first "), d.cast("string"), F.lit("\n"), F.col("content")))
+    h = history.record(h, edit("insert_lines", f.where(d % 3 == 0), d + 1_000_000_000, at(1)), f.select("path", "content"))
+    f = f.withColumn("content", F.when(d % 3 == 0, F.concat("content", F.lit("\nsecond"))).otherwise(F.col("content")))
+    asked = f.where(d % 5 == 0).select(F.concat(F.lit("op-"), d.cast("string")).alias("operation_id")).unionByName(
+        f.where(d % 6 == 0).select(F.concat(F.lit("op-"), (d + 1_000_000_000).cast("string")).alias("operation_id")))
+    h = stored(h, "history")
+    result, left = history.rollback(asked, h)
+    restored = history.restore(f.select("path", "content"), result)
+    counts = left.groupBy(F.col("original_path").alias("path")).agg(F.count(F.lit(1)).alias("operations_left"))
+    return restored.join(counts, "path", "left").select("path", F.md5("content").alias("md5"), F.coalesce("operations_left", F.lit(0)).alias("operations_left"))
+
+
 @register(
     "history_retention",
     f"""SELECT CAST(count_if(ts < {NOW_SQL} - INTERVAL 24 HOURS) AS BIGINT) AS cleaned_count,
@@ -312,67 +312,107 @@ def history_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------- change sets
 
+INSERT_CTE = f"""{FILES_CTE},
+batch AS (
+  SELECT coalesce(f.path, '/corpus/new/' || CAST(b.item_id AS VARCHAR) || '.txt') AS path, b.text || CASE WHEN t = 0 THEN '' ELSE ' again' END AS content,
+         (b.item_id + t) % 2 = 0 AS overwrite, b.item_id + 1000000 * t AS seq
+  FROM (SELECT item_id, text, unnest([0, 1, 2]) AS t FROM benchmark) b LEFT JOIN files f ON f.doc_id = b.item_id + 150
+  WHERE t = 0 OR b.item_id % 3 = t),
+j AS (
+  SELECT *, overwrite OR (NOT EXISTS (SELECT 1 FROM files f WHERE f.path = b.path) AND NOT EXISTS (SELECT 1 FROM batch e WHERE e.path = b.path AND e.seq < b.seq)) AS ok
+  FROM batch b)"""
+
+
+def insert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts for existing and new paths, some paths asked for twice."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("t"))
+    b = b.where((F.col("t") == 0) | (F.col("item_id") % 3 == F.col("t")))
+    f = inputs.files(spark, sf_dir).select((F.col("doc_id") - 150).alias("item_id"), "path")
+    return b.join(f, "item_id", "left").select(
+        F.coalesce("path", F.concat(F.lit("/corpus/new/"), F.col("item_id").cast("string"), F.lit(".txt"))).alias("path"),
+        F.when(F.col("t") == 0, F.col("text")).otherwise(F.concat("text", F.lit(" again"))).alias("content"),
+        ((F.col("item_id") + F.col("t")) % 2 == 0).alias("overwrite"), (F.col("item_id") + 1_000_000 * F.col("t")).alias("seq"),
+    )
+
+
 @register(
     "corpus_insert",
-    f"""WITH {FILES_CTE},
-batch AS (
-  SELECT coalesce(f.path, '/corpus/new/' || CAST(b.item_id AS VARCHAR) || '.txt') AS path, b.text AS content,
-         b.item_id % 2 = 0 AS overwrite
-  FROM benchmark b LEFT JOIN files f ON f.doc_id = b.item_id),
-j AS (SELECT b.*, EXISTS (SELECT 1 FROM files f WHERE f.path = b.path) AS present FROM batch b)
-SELECT path, (NOT present OR overwrite) AS success,
-       CASE WHEN NOT (NOT present OR overwrite) THEN 'file already exists: ' || path END AS error,
-       CASE WHEN NOT present OR overwrite THEN CAST(strlen(content) AS BIGINT) END AS size_bytes,
-       CASE WHEN NOT present OR overwrite THEN CAST(len(string_split(content, chr(10))) AS INTEGER) END AS line_count,
-       CASE WHEN NOT present OR overwrite THEN md5(content) END AS md5
+    f"""WITH {INSERT_CTE}
+SELECT path, seq, ok AS success, CASE WHEN NOT ok THEN 'file already exists: ' || path END AS error,
+       CASE WHEN ok THEN CAST(strlen(content) AS BIGINT) END AS size_bytes,
+       CASE WHEN ok THEN CAST(len(string_split(content, chr(10))) AS INTEGER) END AS line_count,
+       CASE WHEN ok THEN md5(content) END AS md5
 FROM j""",
 )
 def corpus_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = inputs.files(spark, sf_dir)
-    b = table(spark, sf_dir, "benchmark")
-    batch = b.join(files.select(F.col("doc_id").alias("item_id"), "path"), "item_id", "left").select(
-        F.coalesce("path", F.concat(F.lit("/corpus/new/"), F.col("item_id").cast("string"), F.lit(".txt"))).alias("path"),
-        F.col("text").alias("content"),
-        (F.col("item_id") % 2 == 0).alias("overwrite"),
-    )
-    result, _new_files = changes.corpus_insert(files, batch)
-    return result
+    return changes.corpus_insert(inputs.files(spark, sf_dir), insert_requests(spark, sf_dir))[0]
+
+
+@register(
+    "corpus_insert_files",
+    f"""WITH {INSERT_CTE}
+SELECT path, md5(content) AS md5 FROM files WHERE path NOT IN (SELECT path FROM j WHERE ok)
+UNION ALL SELECT path, md5(arg_max(content, seq)) FROM j WHERE ok GROUP BY path""",
+)
+def corpus_insert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = changes.corpus_insert(inputs.files(spark, sf_dir), insert_requests(spark, sf_dir))[1]
+    return files.select("path", F.md5("content").alias("md5"))
 
 
 def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five changes for each file, by doc_id modulo 4: copy, move the copy, delete the moved one;
+    move onto the next file's path and copy from there; delete twice; copies of a missing file and
+    an unknown type."""
     f = inputs.files(spark, sf_dir)
-    k = F.col("doc_id") % 5
-    ctype = F.when(k == 0, "copy").when(k == 1, "move").when(k.isin(2, 3), "delete").otherwise("archive")
-    source = F.when(k.isin(0, 1, 4), F.col("path"))
-    dest = F.when(k == 0, F.concat("path", F.lit(".copy"))).when(
-        k == 1, F.concat(F.lit("/corpus/moved/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    )
-    target = F.when(k == 2, F.col("path")).when(k == 3, F.concat(F.lit("/corpus/missing/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return f.select(F.col("doc_id").alias("change_id"), ctype.alias("type"), source.alias("source"), dest.alias("destination"), target.alias("target"))
+    d, p = F.col("doc_id"), F.col("path")
+    k = d % 4
+    g, h = F.concat(p, F.lit(".g")), F.concat(p, F.lit(".h"))
+    none = F.lit(None).cast("string")
+
+    def change(n, kind, source, destination, target):
+        return F.struct((d * 10 + n).alias("change_id"), kind.alias("type"), source.alias("source"), destination.alias("destination"), target.alias("target"))
+
+    lit = F.lit
+    zero = [change(1, lit("copy"), p, g, none), change(2, lit("move"), g, h, none), change(3, lit("delete"), none, none, h)]
+    one = [change(1, lit("move"), p, g, none), change(2, lit("copy"), g, h, none), change(3, lit("copy"), p, h, none)]
+    two = [change(1, lit("delete"), none, none, p), change(2, lit("delete"), none, none, p), change(3, lit("archive"), p, none, none)]
+    three = [change(1, lit("copy"), g, p, none), change(2, lit("copy"), p, p, none), change(3, lit("move"), p, h, none)]
+    return f.select(F.inline(F.when(k == 0, F.array(*zero)).when(k == 1, F.array(*one)).when(k == 2, F.array(*two)).otherwise(F.array(*three))))
+
+
+CHANGE_CTE = f"""{FILES_CTE},
+n AS (SELECT *, unnest([1, 2, 3]) AS n, CAST({utf16_sql('content')} AS BIGINT) AS units FROM files),
+c AS (
+  SELECT doc_id, path, content, doc_id * 10 + n AS change_id, doc_id % 4 AS k, n, units,
+    [['copy', 'move', 'delete'], ['move', 'copy', 'copy'], ['delete', 'delete', 'archive'], ['copy', 'copy', 'move']][doc_id % 4 + 1][n] AS type,
+    [[path, path || '.g', NULL], [path, path || '.g', path], [NULL, NULL, path], [path || '.g', path, path]][doc_id % 4 + 1][n] AS source,
+    [[path || '.g', path || '.h', NULL], [path || '.g', path || '.h', path || '.h'], [NULL, NULL, NULL], [path, path, path || '.h']][doc_id % 4 + 1][n] AS destination,
+    [[NULL, NULL, path || '.h'], [NULL, NULL, NULL], [path, path, NULL], [NULL, NULL, NULL]][doc_id % 4 + 1][n] AS target
+  FROM n)"""
 
 
 @register(
     "apply_path_changes",
-    f"""WITH {FILES_CTE},
-c AS (
-  SELECT doc_id AS change_id,
-         CASE doc_id % 5 WHEN 0 THEN 'copy' WHEN 1 THEN 'move' WHEN 2 THEN 'delete' WHEN 3 THEN 'delete' ELSE 'archive' END AS type,
-         CASE WHEN doc_id % 5 IN (0, 1, 4) THEN path END AS source,
-         CASE doc_id % 5 WHEN 0 THEN path || '.copy' WHEN 1 THEN '/corpus/moved/' || CAST(doc_id AS VARCHAR) || '.txt' END AS destination,
-         CASE doc_id % 5 WHEN 2 THEN path WHEN 3 THEN '/corpus/missing/' || CAST(doc_id AS VARCHAR) || '.txt' END AS target
-  FROM files),
-j AS (SELECT c.*, s.content AS src_content, t.path IS NOT NULL AS tgt_exists
-      FROM c LEFT JOIN files s ON s.path = c.source LEFT JOIN files t ON t.path = c.target),
-e AS (SELECT *, CASE WHEN type NOT IN ('copy', 'move', 'delete') THEN 'Unknown operation type: ' || type
-                     WHEN type IN ('copy', 'move') AND src_content IS NULL THEN 'no such file: ' || source
-                     WHEN type = 'delete' AND NOT tgt_exists THEN 'no such file: ' || target END AS error FROM j)
-SELECT change_id, type, source, destination, target, error IS NULL AS success, error,
-       CASE WHEN error IS NULL AND type = 'copy' THEN CAST(length(src_content) AS INTEGER) END AS size
-FROM e""",
+    f"""WITH {CHANGE_CTE}
+SELECT change_id, type, source, destination, target, NOT (k = 1 AND n = 3 OR k = 2 AND n >= 2 OR k = 3 AND n = 1) AS success,
+       CASE WHEN k = 1 AND n = 3 THEN 'no such file: ' || source WHEN k = 2 AND n = 2 THEN 'no such file: ' || target
+            WHEN k = 2 AND n = 3 THEN 'Unknown operation type: archive' WHEN k = 3 AND n = 1 THEN 'no such file: ' || source END AS error,
+       CASE WHEN k = 0 AND n = 1 OR k = 1 AND n = 2 OR k = 3 AND n = 2 THEN units END AS size
+FROM c""",
 )
 def apply_path_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result, _new_files = changes.apply_path_changes(inputs.files(spark, sf_dir), change_requests(spark, sf_dir))
-    return result
+    return changes.apply_path_changes(inputs.files(spark, sf_dir), change_requests(spark, sf_dir))[0]
+
+
+@register(
+    "apply_path_changes_files",
+    f"""WITH {FILES_CTE}
+SELECT path || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN unnest(['.g', '.h']) ELSE '.h' END AS path, md5(content) AS md5 FROM files WHERE doc_id % 4 = 1
+UNION ALL SELECT CASE doc_id % 4 WHEN 3 THEN path || '.h' ELSE path END, md5(content) FROM files WHERE doc_id % 4 IN (0, 3)""",
+)
+def apply_path_changes_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = changes.apply_path_changes(inputs.files(spark, sf_dir), change_requests(spark, sf_dir))[1]
+    return files.select("path", F.md5("content").alias("md5"))
 
 
 @register(
@@ -408,17 +448,16 @@ def edit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDIT_STEP = """CASE
-      WHEN acc.error IS NOT NULL THEN acc
       WHEN CASE WHEN x.op IN ('replace', 'delete')
                 THEN x.s IS NULL OR x.s < 1 OR x.s > len(acc.lines) OR x.e IS NULL OR x.e < x.s OR x.e > len(acc.lines)
                 WHEN x.op = 'insert' THEN x.s IS NULL OR x.s < 0 OR x.s > len(acc.lines)
                 ELSE true END
-        THEN {'lines': acc.lines, 'error': printf('edit %d is invalid', x.seq)}
+        THEN {'lines': acc.lines, 'error': coalesce(acc.error, printf('edit %d is invalid', x.seq)), 'applied': acc.applied}
       WHEN x.op = 'delete'
-        THEN {'lines': list_concat(list_slice(acc.lines, 1, x.s - 1), list_slice(acc.lines, x.e + 1, len(acc.lines))), 'error': NULL::VARCHAR}
+        THEN {'lines': list_concat(list_slice(acc.lines, 1, x.s - 1), list_slice(acc.lines, x.e + 1, len(acc.lines))), 'error': acc.error, 'applied': acc.applied + 1}
       WHEN x.op = 'insert'
-        THEN {'lines': list_concat(list_slice(acc.lines, 1, x.s), string_split(coalesce(x.new, ''), chr(10)), list_slice(acc.lines, x.s + 1, len(acc.lines))), 'error': NULL::VARCHAR}
-      ELSE {'lines': list_concat(list_slice(acc.lines, 1, x.s - 1), string_split(coalesce(x.new, ''), chr(10)), list_slice(acc.lines, x.e + 1, len(acc.lines))), 'error': NULL::VARCHAR}
+        THEN {'lines': list_concat(list_slice(acc.lines, 1, x.s), string_split(coalesce(x.new, ''), chr(10)), list_slice(acc.lines, x.s + 1, len(acc.lines))), 'error': acc.error, 'applied': acc.applied + 1}
+      ELSE {'lines': list_concat(list_slice(acc.lines, 1, x.s - 1), string_split(coalesce(x.new, ''), chr(10)), list_slice(acc.lines, x.e + 1, len(acc.lines))), 'error': acc.error, 'applied': acc.applied + 1}
     END"""
 
 
@@ -433,10 +472,9 @@ e AS (
   ] AS edits FROM files),
 r AS (
   SELECT path, content,
-         list_reduce(edits, lambda acc, x: {_EDIT_STEP}, {{'lines': string_split(content, chr(10)), 'error': NULL::VARCHAR}}) AS res
+         list_reduce(edits, lambda acc, x: {_EDIT_STEP}, {{'lines': string_split(content, chr(10)), 'error': NULL::VARCHAR, 'applied': 0}}) AS res
   FROM e)
-SELECT path, res.error IS NULL AS success, res.error AS error, CAST(3 AS INTEGER) AS edits_applied,
-       md5(CASE WHEN res.error IS NULL THEN array_to_string(res.lines, chr(10)) ELSE content END) AS md5
+SELECT path, res.error IS NULL AS success, res.error AS error, res.applied AS edits_applied, md5(array_to_string(res.lines, chr(10))) AS md5
 FROM r""",
 )
 def apply_edit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

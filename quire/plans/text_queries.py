@@ -56,11 +56,11 @@ def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "truncate_for_embedding",
-    f"WITH {FILES_CTE} SELECT path, substring(content, 1, {chunking.EMBED_CHARS}) AS text FROM files",
+    f"WITH {FILES_CTE} SELECT path, substring(content, 1, 1000) AS text FROM files",
 )
 def truncate_for_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = inputs.files(spark, sf_dir)
-    return f.select("path", chunking.truncate_for_embedding(F.col("content")).alias("text"))
+    return f.select("path", chunking.truncate_for_embedding(F.col("content"), 1000).alias("text"))
 
 
 @register(
@@ -315,10 +315,10 @@ d AS (SELECT path_1, path_2, i AS line_number, coalesce(l1[i], '') AS line_1, co
 @register(
     "line_diff",
     f"""WITH {PAIRS_CTE},
-f AS (SELECT *, row_number() OVER (PARTITION BY path_1, path_2 ORDER BY line_number) AS rn FROM d WHERE line_1 <> line_2)
+f AS (SELECT * FROM d WHERE line_1 <> line_2)
 SELECT path_1, path_2, CAST(line_number AS INTEGER) AS line_number,
        CASE WHEN line_1 = '' THEN 'added' WHEN line_2 = '' THEN 'deleted' ELSE 'modified' END AS kind, line_1, line_2
-FROM f WHERE rn <= {diff.MAX_LISTED}""",
+FROM f""",
 )
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.line_diff(file_pairs(spark, sf_dir))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.embed import embed, overlap_score
-from quire.functions.sizing import bounded_broadcast
 from quire.functions.text import rounded
 from quire.functions.vectors import array_size, l2_normalize
 from quire.operators import knn, vectors
@@ -24,10 +23,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_index_dim(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds ``_dim``: the index dimension read from one index row (a scalar subquery, so it
-    is never a constant and costs one row); ``vector_stats`` checks it over the whole index."""
-    dim = embeddings(spark, sf_dir).where(F.col("embedding").isNotNull()).select(F.size("embedding")).limit(1).scalar()
-    return df.withColumn("_dim", dim)
+    """Adds ``_dim``: the dimension of the whole index (a scalar subquery); vectors of mixed
+    sizes fail."""
+    return df.withColumn("_dim", vectors.dimension(embeddings(spark, sf_dir)).scalar())
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +177,8 @@ SELECT h.qid AS query_id, h.key AS vec_id, round(h.score, 6) AS score, CAST(h.rn
 FROM hits h JOIN documents d ON d.doc_id = h.key""",
 )
 def hit_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # hits are bounded by (#queries x k); the size check proves it before broadcasting
-    hits = bounded_broadcast(cosine_hits(spark, sf_dir))
+    # hits are at most #queries x k rows; adaptive execution picks the join from their real size
+    hits = cosine_hits(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "source", "n_chars")
     j = docs.join(hits, "key")
     return j.select("query_id", F.col("key").alias("vec_id"), rounded(F.col("score")).alias("score"), "rank", "lang", "source", "n_chars")

@@ -1,9 +1,9 @@
 """Persisted indexes as plain parquet tables.
 
 BM25: ``postings`` and ``terms`` are partitioned by ``bucket = pmod(xxhash64(term), n)``
-and sorted by term inside each file; ``search_bm25_index`` finds the buckets of the query's
-terms first and opens only those directories, joining on (bucket, term). ``stats`` is one
-row (with the bucket count). Vectors: ``(path, embedding)``; an absent or unreadable index
+and sorted by term inside each file; n follows the size of the corpus. ``search_bm25_index``
+takes the terms of the request, opens only their bucket directories, and pushes the terms into
+the scan, where the sorted row groups prune. ``stats`` is one row (with the bucket count). Vectors: ``(path, embedding)``; an absent or unreadable index
 reads as an empty table with the same schema. Every write goes to a fresh directory (a
 version); a reader is given that directory.
 """
@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from quire.functions.sizing import DEFAULT_BROADCAST_ROWS
 from quire.operators import bm25
 from quire.operators.bm25 import Bm25Index
 
-DEFAULT_TERM_BUCKETS = 64
+#: Text bytes that one bucket of postings stands for.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+    """Bucket count by corpus size: one scan of the text column's lengths."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-size // BUCKET_BYTES))
 
 
 def term_bucket(term, n_buckets: int):
@@ -36,18 +42,19 @@ def _write_by_bucket(df: DataFrame, path: str, n_buckets: int) -> None:
     out.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def write_bm25_index(index: Bm25Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
+def write_bm25_index(index: Bm25Index, path: str, n_buckets: int) -> None:
     _write_by_bucket(index.postings, f"{path}/postings", n_buckets)
     _write_by_bucket(index.terms, f"{path}/terms", n_buckets)
     index.stats.withColumn("n_buckets", F.lit(n_buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def build_and_write_bm25_index(docs: DataFrame, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS,
+def build_and_write_bm25_index(docs: DataFrame, path: str, n_buckets: int | None = None,
                                id_col: str = "doc_id", text_col: str = "text") -> None:
     """Build the index from documents with the postings written first: document frequencies
     and corpus statistics are then computed from the written postings (lineage cut at a
     stored table), so the corpus is tokenised only for the postings write."""
     spark = docs.sparkSession
+    n_buckets = n_buckets or buckets_for(docs, text_col)
     postings = bm25.term_frequency(bm25.tokenized(docs, id_col, text_col))
     _write_by_bucket(postings, f"{path}/postings", n_buckets)
     stored = spark.read.parquet(f"{path}/postings")
@@ -101,29 +108,23 @@ def search_bm25_index(
     id_col: str = "query_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """BM25 search on a persisted index that lists and reads only the query's buckets.
+    """BM25 search on a persisted index for a request batch.
 
-    One small job returns, per bucket, the number of query-term rows (at most the bucket
-    count of the index): it gives both the buckets to open — a path glob over just those
-    bucket directories, so neither listing nor scanning touches the rest of the index — and
-    the size of the query side for the broadcast decision."""
+    The request's terms (not the index) come to the driver: their buckets name the directories
+    to list and read, the terms themselves are a pushed filter on the sorted files."""
     stats = spark.read.parquet(f"{path}/stats")
     n_buckets = stats.select("n_buckets").first()[0]
     qt = bm25.query_terms(queries, id_col, text_col).withColumn("bucket", term_bucket(F.col("term"), n_buckets))
-    per_bucket = qt.groupBy("bucket").count().collect()
-    buckets = sorted(r[0] for r in per_bucket)
-    n_rows = sum(r[1] for r in per_bucket)
+    wanted = qt.select("bucket", "term").distinct().collect()
     empty = spark.createDataFrame([], "query_id long, doc_id long, bm25_score double, rank int")
-    if not buckets:
+    if not wanted:
         return empty
-    glob = "{" + ",".join(str(b) for b in buckets) + "}"
+    glob = "{" + ",".join(str(b) for b in sorted({r["bucket"] for r in wanted})) + "}"
+    named = F.col("term").isin(sorted(r["term"] for r in wanted))
     try:
-        postings = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/bucket={glob}")
-        terms = spark.read.option("basePath", f"{path}/terms").parquet(f"{path}/terms/bucket={glob}")
+        postings = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/bucket={glob}").where(named)
+        terms = spark.read.option("basePath", f"{path}/terms").parquet(f"{path}/terms/bucket={glob}").where(named)
     except AnalysisException:  # none of the query's buckets holds any term of the corpus
         return empty
-    qt = F.broadcast(qt) if n_rows <= DEFAULT_BROADCAST_ROWS else qt
     index = Bm25Index(postings, terms, stats.drop("n_buckets"))
     return bm25.score(index, qt, ["bucket", "term"], postings, terms, limit)
-
-

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import bm25_tokens, clean_for_bm25
 from quire.operators import bm25, chunking, diff, lines, paths, rewrite, structures
-from quire.operators.json_check import validate_json
 
 
 def one(spark, content, path="/r/a.txt"):
@@ -98,11 +97,11 @@ def test_diff_empty_left_line_is_added(spark):
     assert [(x.line_number, x.kind) for x in r] == [(1, "added")]
 
 
-def test_diff_cap_and_total(spark):
+def test_diff_limit_and_total(spark):
     left = "\n".join(f"a{i}" for i in range(150))
     right = "\n".join(f"b{i}" for i in range(150))
     pairs = spark.createDataFrame([("a", left, "b", right)], "path_1 string, content_1 string, path_2 string, content_2 string")
-    assert diff.line_diff(pairs).count() == 100
+    assert diff.line_diff(pairs).count() == 150 and diff.line_diff(pairs, limit=100).count() == 100
     s = diff.diff_summary(pairs).collect()[0]
     assert s.total_differences == 150 and s.identical is False
 
@@ -139,28 +138,8 @@ def test_negative_idf_and_positive_scores_only(spark):
     assert [h.doc_id for h in hits] == [0]
 
 
-def test_json_validation(spark):
-    rows = [("/a.json", '{"a":1,}'), ("/b.json", "NaN"), ("/c.json", '{"a":1} x'), ("/d.json", '{"a":1,"a":2}'), ("/e.txt", "{")]
-    df = spark.createDataFrame(rows, "path string, content string")
-    got = {r.path: r.is_valid for r in validate_json(df).collect()}
-    assert got == {"/a.json": False, "/b.json": False, "/c.json": False, "/d.json": True, "/e.txt": True}
-
-
 @pytest.mark.parametrize("content,expected", [("", 1), ("a\n", 2), ("a\n\n", 3)])
 def test_line_count(spark, content, expected):
     from quire.operators.metrics import file_metrics
 
     assert file_metrics(one(spark, content)).collect()[0].line_count == expected
-
-
-def test_structural_chunks(spark):
-    py = "import os\n\n@dec\ndef hidden():\n    pass\n\ndef top(x):\n    def inner():\n        return 1\n    return x\n\nclass K:\n    a = 'é'\n"
-    rows = [("/r/m.py", py), ("/r/bad.py", "def (:\n  x y"), ("/r/a.js", "function f() {}\nclass X {}"), ("/r/e.py", "x = 1\n")]
-    df = spark.createDataFrame(rows, "path string, content string")
-    got = {}
-    for r in chunking.structural_chunks(df).collect():
-        got.setdefault(r.path, []).append((r.chunk_id, r.method, r.text))
-    assert sorted(got["/r/m.py"]) == [(0, "structural", "def top(x):\n    def inner():\n        return 1\n    return x"), (1, "structural", "class K:\n    a = 'é'")]
-    assert got["/r/bad.py"] == [(0, "tokens", "def (: x y")]
-    assert got["/r/a.js"] == [(0, "tokens", "function f() {} class X {}")]
-    assert got["/r/e.py"] == [(0, "tokens", "x = 1")]

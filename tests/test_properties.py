@@ -28,7 +28,7 @@ def test_edit_then_rollback_is_identity(spark):
     f = inputs.files(spark, SMALL).select("path", "content")
     hist = f.select(F.concat(F.lit("op-"), F.col("path")).alias("operation_id"), F.lit("replace_lines").alias("type"),
                     F.col("path").alias("original_path"), F.lit(None).cast("string").alias("backup_path"),
-                    F.struct(F.col("content").alias("content")).alias("snapshot"), F.current_timestamp().alias("ts"))
+                    F.struct(F.col("content").alias("content")).alias("snapshot"), F.current_timestamp().alias("ts"), F.lit(1).alias("seq"))
     edited = lines.replace_lines(f, 1, 1, "CHANGED").select("path", F.coalesce("new_content", F.lit("x")).alias("content"))
     result, remaining = history.rollback(hist.select("operation_id"), hist)
     restored = history.restore(edited, result)
@@ -37,35 +37,75 @@ def test_edit_then_rollback_is_identity(spark):
 
 
 def _py_apply(lines_, edits):
-    for seq, op, s, e, new in sorted(edits):
+    """(lines, number applied, first failed seq) of edits applied one after another."""
+    applied, failed = 0, None
+    for seq, op, s, e, new in sorted(edits, key=lambda x: x[0]):
         n = len(lines_)
-        if op in ("replace", "delete") and (s < 1 or s > n or e is None or e < s or e > n):
-            return None
-        if op == "insert" and (s < 0 or s > n):
-            return None
+        if (op in ("replace", "delete") and (s < 1 or s > n or e is None or e < s or e > n)) or (op == "insert" and (s < 0 or s > n)):
+            failed = failed if failed is not None else seq
+            continue
         if op == "replace":
             lines_ = lines_[: s - 1] + new.split("\n") + lines_[e:]
         elif op == "delete":
             lines_ = lines_[: s - 1] + lines_[e:]
         else:
             lines_ = lines_[:s] + new.split("\n") + lines_[s:]
-    return lines_
+        applied += 1
+    return lines_, applied, failed
 
 
 def test_edit_batch_matches_sequential_python(spark):
     from quire.plans.state_queries import edit_requests
 
     f = inputs.files(spark, SMALL)
-    edits = edit_requests(spark, SMALL)
-    got = {r.path: (r.success, r.content) for r in changes.apply_edit_batch(f, edits).collect()}
+    more = f.select("path", F.lit(9).alias("seq"), F.lit("insert").alias("op"), F.lit(0).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit("last\nedit").alias("new_content"))
+    edits = edit_requests(spark, SMALL).unionByName(more)
+    got = {r.path: (r.success, r.content, r.edits_applied, r.error) for r in changes.apply_edit_batch(f, edits).collect()}
     per_file = {}
     for r in edits.collect():
         per_file.setdefault(r.path, []).append((r.seq, r.op, r.start_line, r.end_line, r.new_content))
     for r in f.collect():
-        want = _py_apply(r.content.split("\n"), per_file[r.path])
-        ok, content = got[r.path]
-        assert ok == (want is not None)
-        assert content == ("\n".join(want) if want is not None else r.content)
+        want, applied, failed = _py_apply(r.content.split("\n"), per_file[r.path])
+        assert got[r.path] == (failed is None, "\n".join(want), applied, None if failed is None else f"edit {failed} is invalid")
+
+
+def test_rollback_of_the_latest_operation_wins(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("op-9", "x", "/a", ("nine",), t, 9), ("op-10", "x", "/a", ("ten",), t, 10), ("op-2", "x", "/b", ("late",), t + dt.timedelta(days=1), 2), ("op-30", "x", "/b", ("early",), t, 30)]
+    h = spark.createDataFrame(rows, "operation_id string, type string, original_path string, snapshot struct<content: string>, ts timestamp, seq long")
+    result, left = history.rollback(h.select("operation_id"), h)
+    files = spark.createDataFrame([("/a", "now"), ("/c", "other")], "path string, content string")
+    assert {r.path: r.content for r in history.restore(files, result).collect()} == {"/a": "ten", "/b": "late", "/c": "other"}
+    assert left.count() == 0
+
+
+def test_path_changes_see_the_ones_before(spark):
+    files = spark.createDataFrame([("/f", "a😀"), ("/z", "z")], "path string, content string")
+    rows = [(1, "copy", "/f", "/g", None), (2, "move", "/g", "/h", None), (3, "delete", None, None, "/h"), (4, "delete", None, None, "/h"), (10, "move", "/f", "/g", None), (9, "copy", "/f", "/k", None), (11, None, "/f", None, None), (12, "copy", None, "/q", None)]
+    ch = spark.createDataFrame(rows, "change_id int, type string, source string, destination string, target string")
+    result, after = changes.apply_path_changes(files, ch)
+    got = {r.change_id: (r.success, r.size) for r in result.collect()}
+    assert got == {1: (True, 3), 2: (True, None), 3: (True, None), 4: (False, None), 9: (True, 3), 10: (True, None), 11: (False, None), 12: (False, None)}
+    assert {r.path: r.content for r in after.collect()} == {"/k": "a😀", "/g": "a😀", "/z": "z"}
+
+
+def test_inserts_of_one_path_twice(spark):
+    files = spark.createDataFrame([("/a", "x")], "path string, content string")
+    rows = [("/n", "1", False, 1), ("/n", "2", False, 2), ("/n", "3", True, 3), ("/a", "4", False, 4), ("/a", "5", True, 5), ("/a", "6", False, 6)]
+    result, after = changes.corpus_insert(files, spark.createDataFrame(rows, "path string, content string, overwrite boolean, seq int"))
+    assert {r.seq: r.success for r in result.collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
+    assert {r.path: r.content for r in after.collect()} == {"/n": "3", "/a": "5"}
+
+
+def test_vectors_keyed_by_path(spark):
+    rows = [("/b", [1.0, 0.0]), ("/a", [1.0, 0.0]), ("/ü", [0.0, 1.0]), ("/n", None)]
+    index = spark.createDataFrame(rows, "path string, embedding array<double>")
+    got = knn.topk(index, index, 2, "cosine", corpus_key="path", query_key="path").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.key, r.rank) for r in got if r.query_id != "/ü"] == [("/a", "/a", 1), ("/a", "/b", 2), ("/b", "/a", 1), ("/b", "/b", 2)]
+    cents, assign = ann.build_ivf(index.withColumnRenamed("path", "vec_id"), 2)
+    assert {r.key for r in assign.collect()} == {"/a", "/b", "/ü"}
 
 
 def test_indexed_bm25_equals_direct(spark):
@@ -74,8 +114,7 @@ def test_indexed_bm25_equals_direct(spark):
     direct = bm25.search(bm25.build_index(docs), q)
     path = shared_dir(spark, "test-bm25")
     index_store.write_bm25_index(bm25.build_index(docs), path, n_buckets=8)
-    idx, _ = index_store.read_bm25_index(spark, path)
-    indexed = bm25.search(idx, q, term_bucket=lambda t: index_store.term_bucket(t, 8))
+    indexed = index_store.search_bm25_index(spark, path, q)
     cols = ["query_id", "doc_id", "rank", F.round("bm25_score", 9).alias("s")]
     assert direct.select(cols).exceptAll(indexed.select(cols)).count() == 0
     assert indexed.select(cols).exceptAll(direct.select(cols)).count() == 0
@@ -195,19 +234,6 @@ def test_all_pairs_self_match_at_larger_scale(spark):
     assert top.where(F.col("query_id") != F.col("key")).count() == 0
 
 
-def test_edit_batch_rounds_equal_single_round(spark):
-    """Folding in rounds of 1 edit (plus checkpoints) gives the same files as one round."""
-    from quire.plans.state_queries import edit_requests
-
-    f = inputs.files(spark, SMALL)
-    edits = edit_requests(spark, SMALL)
-    one = changes.apply_edit_batch(f, edits)
-    many = changes.apply_edit_batch(f, edits, edits_per_round=1)
-    cols = ["path", "success", "error", "edits_applied", "content"]
-    assert one.select(cols).exceptAll(many.select(cols)).count() == 0
-    assert many.select(cols).exceptAll(one.select(cols)).count() == 0
-
-
 def test_embedding_model_udf_equals_jvm_expression(spark):
     from quire.functions.embed import embed
 
@@ -250,6 +276,35 @@ def test_compacted_index_equals_live_view(spark):
     incremental.start_incremental_index(stream, idx, ckpt, 8).awaitTermination()
     incremental.compact(spark, idx, out)
     live = incremental.current_chunks(spark, idx).select("path", "chunk_id", "text")
-    compacted = spark.read.parquet(out).select("path", "chunk_id", "text")
+    compacted = incremental.current_chunks(spark, out).select("path", "chunk_id", "text")
     assert live.exceptAll(compacted).count() == 0 and compacted.exceptAll(live).count() == 0
-    assert spark.read.parquet(out).select("batch_id").distinct().count() == 1
+    assert spark.read.parquet(f"{out}/chunks").select("batch_id").distinct().count() == 1
+
+
+def test_emptied_and_late_versions(spark):
+    idx = shared_dir(spark, "t-versions")
+    schema = "path string, content string, version int"
+    for i, rows in enumerate([[("/a", "one", 1), ("/b", "b two", 2), ("/c", "c", 1)], [("/a", "", 2), ("/b", "b one", 1)], [("/c", None, 5), ("/a", "old", 1)]]):
+        incremental.index_batch(spark.createDataFrame(rows, schema), i, idx, 4)
+    assert {r.path: r.text for r in incremental.current_chunks(spark, idx).collect()} == {"/b": "b two"}
+    incremental.index_batch(spark.createDataFrame([("/a", "back", 9)], schema), 3, idx, 4)
+    incremental.index_batch(spark.createDataFrame([("/a", "back", 9)], schema), 3, idx, 4)  # replayed
+    assert sorted((r.path, r.text) for r in incremental.current_chunks(spark, idx).collect()) == [("/a", "back"), ("/b", "b two")]
+
+
+def test_changed_files_feed_the_index(spark, tmp_path):
+    from quire.streaming import watch
+
+    root, idx = tmp_path / "w", shared_dir(spark, "t-changes")
+    root.mkdir()
+    for name, text in (("a.txt", "alpha"), ("b.txt", "beta"), ("c.txt", "gamma")):
+        (root / name).write_text(text)
+    before = spark.createDataFrame([], "path string, modificationTime timestamp, length long")
+    now = spark.createDataFrame(watch.listing(spark, str(root)).collect(), before.schema)
+    incremental.index_batch(incremental.change_records(spark, watch.changed_files(now, before), str(root), 0), 0, idx, 4)
+    (root / "a.txt").write_text("alpha two")
+    (root / "b.txt").write_text("")
+    (root / "c.txt").unlink()
+    later = watch.listing(spark, str(root))
+    incremental.index_batch(incremental.change_records(spark, watch.changed_files(later, now), str(root), 2**60), 1, idx, 4)
+    assert [r.text for r in incremental.current_chunks(spark, idx).collect()] == ["alpha two"]

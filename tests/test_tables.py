@@ -101,7 +101,7 @@ def test_vector_remove(spark):
 
 def test_corpus_insert_and_changes(spark):
     files = spark.createDataFrame([("/r/a", "x"), ("/r/b", "y")], "path string, content string")
-    batch = spark.createDataFrame([("/r/a", "new", False), ("/r/b", "new\nb", True), ("/r/c", "c", False)], "path string, content string, overwrite boolean")
+    batch = spark.createDataFrame([("/r/a", "new", False, 1), ("/r/b", "new\nb", True, 2), ("/r/c", "c", False, 3)], "path string, content string, overwrite boolean, seq int")
     res, new_files = changes.corpus_insert(files, batch)
     assert {r.path: (r.success, r.line_count) for r in res.collect()} == {"/r/a": (False, None), "/r/b": (True, 2), "/r/c": (True, 1)}
     assert {r.path: r.content for r in new_files.collect()} == {"/r/a": "x", "/r/b": "new\nb", "/r/c": "c"}
