@@ -10,15 +10,16 @@ every pair of subparts are the set's signatures, and linked sets share one.
 Steps, each a Spark job over written tables:
 
 1. Nodes: equal sets collapse to one node (64-bit set hash), so copies cost nothing further. A node
-   carries a 2,048-bit parity sketch; sketches of two sets differ in at most as many bits as the
-   sets have differing elements, which refutes false candidates without loss.
+   carries a parity sketch of at least four bits an element; sketches of two sets, folded to one
+   length, differ in at most as many bits as the sets have differing elements and in hardly fewer,
+   which refutes nearly all false candidates without loss.
 2. Groups: signatures, packed, are dealt by hash range; those of one set only fall away, and groups
    with the same members collapse.
 3. Rounds: first every node is paired with the most connected member of each of its groups; then
    groups that still span several components compare sketches within the group and name only edges
    that would join components. Named edges are verified on the real sets; components follow from
-   large-star/small-star rounds. A group whose edge was refuted is compared again without it, until
-   none is left. So each link is covered by a path of verified links, and no group emits its pairs.
+   large-star/small-star rounds. A group whose edge was refuted is compared again without it, and
+   names twice as many edges for each member, until none is left. So each link is covered by a path of verified links, and no group emits its pairs.
 
 Hot centres of verification are split by salt. Nothing is capped, and nothing but counts of rows
 reaches the driver.
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 from quire.llm import common as C
 
 WIDTH, PERCENT = 4, 85
-SKETCH_BITS = 2048
+#: Sketch bits an element, rounded up to a power of two.
+SKETCH_BITS = 4
 #: Signatures a task holds before it sends them on (bounds worker memory).
 FLUSH = 1 << 20
 #: Members that one verification group takes before its centre is salted.
@@ -88,9 +90,18 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of SKETCH_BITS cells."""
-    cell = (s >> np.uint64(40)) % np.uint64(SKETCH_BITS)
-    return np.packbits(np.bincount(cell.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """Parity of the number of elements in each cell, a power of two of cells."""
+    cells = 1 << max(6, (SKETCH_BITS * len(s) - 1).bit_length())
+    cell = (s >> np.uint64(20)) & np.uint64(cells - 1)
+    return np.packbits(np.bincount(cell.astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """The sketches as rows of ``size`` bytes, longer ones folded onto themselves."""
+    out = np.empty((len(sketches), size // 8), dtype=np.uint64)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, size // 8), axis=0)
+    return out
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -205,8 +216,12 @@ def _passing(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("sketch_a", "sketch_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            x, y = batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist()
+            size = np.array([min(len(i), len(j)) for i, j in zip(x, y)])
+            apart = np.empty(len(x), dtype=np.int64)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n).tolist()
+                apart[at] = np.bitwise_count(folded([x[i] for i in at], n) ^ folded([y[i] for i in at], n)).sum(axis=1, dtype=np.int64)
             a, b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
             near = np.maximum(apart, np.abs(a - b)) <= _most(percent, a, b)
             yield batch.select(["a", "b", "weight"]).filter(pa.array(near))
@@ -214,12 +229,14 @@ def _passing(percent: int):
     return run
 
 
-def _compare(percent: int):
-    """Within one group: edges between components that sketches allow and nothing refuted."""
+def _compare(percent: int, each: int):
+    """Within one group: edges between components that sketches allow and nothing refuted, up to
+    ``each`` for a member, nearest first."""
 
     def run(table: pa.Table) -> pa.Table:
         node, n = table["node"].to_numpy(), table["n"].to_numpy()
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        sketches = table["sketch"].to_pylist()
+        bits = folded(sketches, min(map(len, sketches)))
         refuted = [set(x or ()) for x in table["refuted"].to_pylist()]
         _, part, size = np.unique(table["component"].to_numpy(), return_inverse=True, return_counts=True)
         main = int(np.argmax(size))
@@ -232,11 +249,17 @@ def _compare(percent: int):
             at = np.flatnonzero(apart)
             most = _most(percent, n[at], n[i])
             at = at[np.abs(n[at] - n[i]) <= most]
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= _most(percent, n[at], n[i])]
-            for j in at.tolist():
-                if part[j] != part[i] and int(node[j]) not in refuted[i] and int(node[i]) not in refuted[j]:
+            far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = far <= _most(percent, n[at], n[i])
+            named, mine = 0, part[i]
+            for j in at[near][np.argsort(far[near], kind="stable")].tolist():
+                if (part[j] != part[i] or named) and int(node[j]) not in refuted[i] and int(node[i]) not in refuted[j]:
                     out.append((max(node[i], node[j]), min(node[i], node[j])))
-                    part[part == part[j]] = part[i]
+                    if not named:
+                        part[part == part[j]] = mine
+                    named += 1
+                    if named == each:
+                        break
         grp = table["grp"][0].as_py()
         return pa.table({"grp": pa.array([grp] * len(out), pa.int64()), "a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
 
@@ -332,14 +355,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(percent), "a long, b long, weight long")
     named = C.stored(near.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "named")
-    links = refuted = found = None
+    checked = found = None
+    each = 1
     while True:
         if named.head(1):
-            checked = C.stored(_verified(named.select("a", "b").distinct(), nodes, rows, width, percent), "checked")
-            good, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
-            links = good if links is None else links.unionByName(good)
-            refuted = bad if refuted is None else refuted.unionByName(bad)
-            found = C.stored(components(links), "components")
+            now = _verified(named.select("a", "b").distinct(), nodes, rows, width, percent)
+            checked = C.stored(now if checked is None else now.unionByName(checked), "checked")
+            bad = checked.filter("not ok").select("a", "b")
+            found = C.stored(components(checked.filter("ok").select("a", "b")), "components")
             if "grp" in named.columns:  # only groups with a refuted edge can still hold one
                 groups = groups.join(named.join(bad, ["a", "b"], "left_semi").select("grp").distinct(), "grp", "left_semi")
         elif "grp" in named.columns:
@@ -347,11 +370,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         active = groups.withColumn("component", F.col("node")) if found is None else groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = active.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("grp")
         active = active.join(spans, "grp", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
-        if refuted is None:
+        if checked is None:
             active = active.withColumn("refuted", F.array().cast("array<bigint>"))
         else:
-            active = active.join(refuted.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refuted")), "node", "left")
-        named = C.stored(active.select("grp", "node", "n", "sketch", "component", "refuted").groupBy("grp").applyInArrow(_compare(percent), "grp long, a long, b long"), "named")
+            active = active.join(bad.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refuted")), "node", "left")
+        named = C.stored(active.select("grp", "node", "n", "sketch", "component", "refuted").groupBy("grp").applyInArrow(_compare(percent, each), "grp long, a long, b long"), "named")
+        each *= 2
     return _labelled(every, nodes, found)
 
 
