@@ -36,6 +36,8 @@ HEADLINE = [
     "history_stats",
     "best_candidate",
     "incremental_index",
+    "process_corpus",
+    "ann_topk",
     "read_corpus",
 ]
 

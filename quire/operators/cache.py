@@ -56,23 +56,18 @@ def lookup(requests: DataFrame, entries: DataFrame, config: DataFrame, now: Colu
     return j.withColumn("age_seconds", age).withColumn("status", status)
 
 
-def cache_aside(requests: DataFrame, cached: DataFrame, compute) -> DataFrame:
-    """requests(id..., key, text) + cached(key, value) -> every request with ``value`` and
-    ``source`` cache/generated. Misses are deduplicated on key so identical texts are
-    computed once; ``compute(df)`` adds ``value`` to a (key, text) DataFrame.
-
-    One left join on ``key`` classifies every request; the misses branch and the final
-    join both read that join's key-partitioned exchanges, so requests are scanned once."""
-    j = requests.join(cached, "key", "left")
-    misses = j.where(F.col("value").isNull()).select("key", "text").dropDuplicates(["key"])
-    generated = compute(misses).select("key", F.col("value").alias("_generated"))
-    out = j.join(generated, "key", "left")
-    hit = F.col("value").isNotNull()
-    return out.select(
-        *[c for c in requests.columns],
-        F.when(hit, F.col("value")).otherwise(F.col("_generated")).alias("value"),
-        F.when(hit, F.lit("cache")).otherwise(F.lit("generated")).alias("source"),
-    )
+def cache_aside(requests: DataFrame, cached: DataFrame, compute, id_col: str = "doc_id") -> DataFrame:
+    """requests(id, key, text) + cached(key, value) -> (id, key, value, source cache/generated).
+
+    Requests are classified on (id, key) alone; texts are read only for one request of each
+    missing key, so identical texts are computed once and copies never meet. ``compute(df)``
+    turns (key, text) into (key, value)."""
+    slim = requests.select(id_col, "key")
+    misses = slim.join(cached.select("key"), "key", "left_anti").groupBy("key").agg(F.min(id_col).alias(id_col))
+    texts = requests.select(id_col, "key", "text").join(misses, [id_col, "key"], "left_semi").select("key", "text")
+    known = cached.select("key", "value", F.lit("cache").alias("source"))
+    generated = compute(texts).select("key", "value", F.lit("generated").alias("source"))
+    return slim.join(known.unionByName(generated), "key").select(id_col, "key", "value", "source")
 
 
 def _per_type(entries: DataFrame) -> DataFrame:

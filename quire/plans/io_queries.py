@@ -32,7 +32,7 @@ from quire.streaming import incremental, watch
 def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table files themselves read as a corpus of files (whole-file rows, decoded with
     U+FFFD replacement): name, bytes, decoded line count, md5 of the raw bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir)
+    files = watch.read_files(spark, sf_dir, glob="*.parquet")
     text = corpus.decode(F.col("content"), "replace")
     return files.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
@@ -42,6 +42,36 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "read_corpus_text",
+    f"""WITH {FILES_CTE},
+w AS (SELECT doc_id, strlen(content) = length(content) AND doc_id % 3 = 0 AS odd, content FROM files),
+p AS (SELECT w.*, unnest(['replace', 'latin1', 'drop']) AS policy FROM w),
+t AS (
+  SELECT policy, doc_id, strlen(content) + CASE WHEN odd THEN 7 ELSE 1 END AS size_bytes,
+         CASE WHEN odd THEN content || chr(13) || chr(10) || 'caf' || CASE policy WHEN 'replace' THEN chr(65533) ELSE chr(233) END || chr(10) ELSE content || chr(10) END AS text
+  FROM p WHERE policy <> 'drop' OR NOT odd)
+SELECT policy, doc_id, CAST(size_bytes AS BIGINT) AS size_bytes,
+       md5(CASE policy WHEN 'latin1' THEN regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') ELSE text END) AS md5
+FROM t""",
+)
+def read_corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a text file of its own, every third plain ASCII one with a CRLF
+    line that ends in a Latin-1 byte, and read back under each decode policy."""
+    out = shared_dir(spark, "corpus-text")
+    f = inputs.files(spark, sf_dir)
+    odd = (F.octet_length("content") == F.length("content")) & (F.col("doc_id") % 3 == 0)
+    tail = F.unhex(F.lit("0D0A636166E9"))
+    raw = F.when(odd, F.concat(F.col("content").cast("binary"), tail)).otherwise(F.col("content").cast("binary"))
+    f.select("doc_id", raw.cast("string").alias("value")).write.partitionBy("doc_id").text(out)
+    parts = []
+    for policy in corpus.DECODE_POLICIES:
+        files = corpus.read_corpus(spark, out, policy, glob="*.txt")
+        name = F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long")
+        parts.append(files.select(F.lit(policy).alias("policy"), name.alias("doc_id"), "size_bytes", F.md5("content").alias("md5")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register(
     "read_documents_json",
     f"""WITH {FILES_CTE}
@@ -150,8 +180,13 @@ def vector_index_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT cache_type, count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM live GROUP BY cache_type""",
 )
 def cache_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of cache writes, the second one written twice."""
     out = shared_dir(spark, "cache")
-    index_store.append_cache(live_cache(spark, sf_dir), out)
+    live = live_cache(spark, sf_dir)
+    first = F.substring("key", 1, 1) < "8"
+    index_store.append_cache(live.where(first), out, 0)
+    for _ in range(2):
+        index_store.append_cache(live.where(~first), out, 1)
     back = spark.read.parquet(out)
     return back.groupBy("cache_type").agg(F.count(F.lit(1)).alias("entries"), F.sum("size_bytes").alias("total_bytes"))
 

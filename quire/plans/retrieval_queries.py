@@ -25,6 +25,7 @@ from quire.plans.vector_queries import (
     vector_index,
     with_index_dim,
 )
+from quire.session import stored
 
 # ---------------------------------------------------------------------------- token usage
 
@@ -105,10 +106,9 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     qv = query_vectors(spark, sf_dir)
     hits = knn.topk(embeddings(spark, sf_dir), qv, 2 * SEARCH_K, "l2", n_queries=table(spark, sf_dir, "benchmark").count())
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("dtext"))
-    # The candidates (queries x 2k, size-checked) are the build side of an inner join that
-    # documents stream through, so the corpus text is never shuffled (an outer join would have
-    # to build the documents side). Candidates without a document get empty text.
-    hits = hits.join(qv.select("query_id", F.col("text").alias("qtext")), "query_id")
+    # The candidates (queries x 2k) are written once, so the search runs once and the planner
+    # knows their size: documents stream past them. Candidates without a document get empty text.
+    hits = stored(hits.join(qv.select("query_id", F.col("text").alias("qtext")), "query_id"), "rerank-hits")
     matched = docs.join(hits, "key")
     missing = hits.join(matched.select("query_id", "key"), ["query_id", "key"], "left_anti").withColumn("dtext", F.lit(""))
     cand = matched.unionByName(missing)
@@ -130,7 +130,7 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IVF search of the benchmark queries, with per-query recall@k against the exact search."""
     e = embeddings(spark, sf_dir)
     n_lists = ann.default_lists(e.count())
-    centroids, assignment = ann.build_ivf(e, n_lists)
+    centroids, assignment = (stored(t, "ivf") for t in ann.build_ivf(e, n_lists))
     qv = query_vectors(spark, sf_dir)
     approx = ann.search(assignment, centroids, qv, SEARCH_K, ANN_PROBES, "cosine")
     exact = knn.topk(e, qv, SEARCH_K, "cosine", n_queries=table(spark, sf_dir, "benchmark").count())
@@ -163,7 +163,7 @@ def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_hits = knn.topk(embeddings(spark, sf_dir), q, SEARCH_K, "l2", n_queries=1).select(
         F.lit("vector").alias("source"), F.col("key").alias("id"), "score", "rank"
     )
-    u = text_hits.unionByName(vec_hits)
+    u = stored(text_hits.unionByName(vec_hits), "hybrid-hits")  # read twice below
     return u.select("source", "id", rounded(F.col("score")).alias("score"), "rank", u.select(F.count(F.lit(1))).scalar().alias("total_found"))
 
 
@@ -200,6 +200,7 @@ def process_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = inputs.files(spark, sf_dir)
     chunks = lines.line_chunks(files, "content", 50).groupBy("path").agg(F.count("chunk_index").alias("chunk_count"))
     q = with_index_dim(files, spark, sf_dir).select("doc_id", "path", embed(F.col("content"), F.col("_dim")).alias("embedding"))
+    q = stored(q, "file-embeddings")  # every text is embedded once
     idx = vector_index(spark, sf_dir).select("vec_id", "path", F.col("embedding").cast("array<double>").alias("embedding"))
     batch = q.select("path", "embedding", F.lit(False).alias("force"))
     upsert = vectors.vector_upsert(idx.select("path", "embedding"), batch)
@@ -208,7 +209,7 @@ def process_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = idx.select("path", F.col("vec_id").alias("key")).unionByName(
         q.join(idx.select("path"), "path", "left_anti").select("path", F.col("doc_id").alias("key"))
     )
-    updated = upsert.join(keys, "path").select("key", "path", "embedding")
+    updated = stored(upsert.join(keys, "path").select("key", "path", "embedding"), "updated-index")
     n_files = table(spark, sf_dir, "documents").count()
     n_index = embeddings(spark, sf_dir).count()
     sim = knn.topk(updated, q.withColumnRenamed("doc_id", "query_id"), SIMILAR_K, "cosine", corpus_key="key",

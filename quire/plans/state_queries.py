@@ -91,18 +91,19 @@ def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "cache_lookup",
     f"""WITH {CACHE_CTES},
-req AS (SELECT DISTINCT cache_type, key FROM cache_log),
+req AS (SELECT cache_type, key FROM cache_log UNION SELECT 'llm_responses', md5('llm_responses:' || CAST(doc_id AS VARCHAR)) FROM documents),
 j AS (SELECT r.cache_type, r.key, l.created_at, c.ttl_days * 86400 AS ttl_s,
              (epoch_us({NOW_SQL}) - epoch_us(l.created_at)) / 1e6 AS age
       FROM req r LEFT JOIN live l ON l.cache_type = r.cache_type AND l.key = r.key LEFT JOIN config c ON c.cache_type = r.cache_type)
 SELECT cache_type, key, round(age, 6) AS age_seconds,
-       CASE WHEN created_at IS NULL THEN 'miss' WHEN ttl_s IS NULL OR age < ttl_s THEN 'hit' ELSE 'expired' END AS status
+       CASE WHEN created_at IS NULL THEN 'miss' WHEN key < '2' THEN 'bypassed' WHEN ttl_s IS NULL OR age < ttl_s THEN 'hit' ELSE 'expired' END AS status
 FROM j""",
 )
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = cache_log(spark, sf_dir)
-    req = log.select("cache_type", "key").distinct()
-    out = cache.lookup(req, cache.live_entries(log), cache.cache_config(spark), now_of(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.lit("llm_responses").alias("cache_type"), F.md5(F.concat(F.lit("llm_responses:"), F.col("doc_id").cast("string"))).alias("key"))
+    req = log.select("cache_type", "key").unionByName(docs).distinct().withColumn("force", F.col("key") < "2")
+    out = cache.lookup(req, cache.live_entries(log), cache.cache_config(spark), now_of(spark, sf_dir), force="force")
     return out.select("cache_type", "key", rounded(F.col("age_seconds")).alias("age_seconds"), "status")
 
 
@@ -139,6 +140,17 @@ def cache_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
+@register(
+    "cache_clear_type",
+    f"""WITH {CACHE_CTES}
+SELECT cache_type, count(*) AS entries, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM live WHERE cache_type <> 'reranking' GROUP BY cache_type""",
+)
+def cache_clear_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one type's clearing leaves, per type."""
+    _report, survivors = cache.clear(live_cache(spark, sf_dir), cache.cache_config(spark), "reranking")
+    return survivors.groupBy("cache_type").agg(F.count(F.lit(1)).alias("entries"), F.sum("size_bytes").alias("size_bytes"))
+
+
 def _aside_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = inputs.files(spark, sf_dir)
     return f.select("doc_id", F.md5("content").alias("key"), F.col("content").alias("text"))

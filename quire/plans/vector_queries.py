@@ -239,9 +239,12 @@ SELECT path, action, CAST(len(CASE WHEN action IN ('created', 'recreated') THEN
 FROM a""",
 )
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = with_index_dim(embed_requests(spark, sf_dir), spark, sf_dir)
-    batch = r.select("path", embed(F.col("text"), F.col("_dim")).alias("embedding"), "force")
+    """Only files without a vector and forced ones are embedded."""
+    r = embed_requests(spark, sf_dir)
     idx = vector_index(spark, sf_dir).select("path", F.col("embedding").cast("array<double>").alias("embedding"))
+    todo = with_index_dim(vectors.missing_embeddings(r, idx, force="force"), spark, sf_dir)
+    fresh = todo.select("path", embed(F.col("text"), F.col("_dim")).alias("embedding"))
+    batch = r.select("path", "force").join(fresh, "path", "left")
     out = vectors.vector_upsert(idx, batch)
     checksum = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return out.select("path", "action", array_size("embedding").alias("dimension"), rounded(checksum).alias("checksum"))

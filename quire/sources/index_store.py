@@ -95,9 +95,11 @@ def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], VECTOR_SCHEMA)
 
 
-def append_cache(entries: DataFrame, path: str) -> None:
-    """Append cache writes partitioned by type; concurrent appends land in new files."""
-    entries.write.mode("append").partitionBy("cache_type").parquet(path)
+def append_cache(entries: DataFrame, path: str, batch: int) -> None:
+    """Append one numbered batch of cache writes, partitioned by batch and type. Writing a batch
+    again replaces what it wrote before, so a retried append leaves no second copy."""
+    rows = entries.withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "cache_type").parquet(path)
 
 
 def search_bm25_index(

@@ -39,7 +39,7 @@ def test_cache_aside_computes_identical_texts_once(spark):
         calls.add(misses.count())
         return misses.select("key", F.lit(1.0).alias("value"))
 
-    out = {r.id: (r.source, r.value) for r in cache.cache_aside(req, cached, compute).collect()}
+    out = {r.id: (r.source, r.value) for r in cache.cache_aside(req, cached, compute, id_col="id").collect()}
     assert out == {1: ("generated", 1.0), 2: ("generated", 1.0), 3: ("cache", 7.0)}
     assert calls.value == 1
 
