@@ -33,20 +33,24 @@ WIDTH = 13
 _LAST = np.iinfo(np.int64).max
 
 
-def _windows(table: pa.Table, width: int):
+def _field(table: pa.Table, name: str) -> pa.Array:
+    return pa.chunked_array([c.field(name) for c in table["row"].chunks], table["row"].type.field(name).type)
+
+
+def _windows(table: pa.Table, id_col: str, text_col: str, width: int):
     """(words of each document, hashes of all windows, document of each window, documents' ids)."""
-    data, offsets = C.flat_bytes(table["text"])
+    data, offsets = C.flat_bytes(_field(table, text_col))
     starts, ends, counts = C.word_spans(data, offsets)
     rolled = C.rolling(C.span_hashes(data, starts, ends), width)
     owner = np.repeat(np.arange(len(counts)), counts)
     whole = owner[: len(rolled)] == owner[len(owner) - len(rolled) :]  # not across documents
-    order = table["id"].cast(pa.int64()).fill_null(_LAST).to_numpy()
+    order = _field(table, id_col).cast(pa.int64()).fill_null(_LAST).to_numpy()
     return counts, rolled[whole], owner[: len(rolled)][whole], order
 
 
-def _hash_side(width: int, ranges: int):
+def _hash_side(id_col: str, text_col: str, width: int, ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        _, hashes, _, _ = _windows(table, width)
+        _, hashes, _, _ = _windows(table, id_col, text_col, width)
         keys = np.unique(hashes)
         cut = list(C.key_ranges(keys, ranges))
         return pa.table({
@@ -92,9 +96,9 @@ def _spans(repeated: np.ndarray, width: int) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut_side(width: int):
+def _cut_side(id_col: str, text_col: str, width: int):
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        counts, hashes, owner, order = _windows(docs, width)
+        counts, hashes, owner, order = _windows(docs, id_col, text_col, width)
         removed = [C.unpack_sorted(x) for x in flags["hashes"].to_pylist()]
         gone = np.unique(np.concatenate(removed)) if removed else np.zeros(0, np.uint64)
         repeated = np.zeros(len(hashes), dtype=bool)
@@ -109,7 +113,7 @@ def _cut_side(width: int):
             repeated[by] |= mine[by] > least
         ends = np.cumsum(np.maximum(counts - width + 1, 0))
         spans, kept, lost = [], [], []
-        for i, text in enumerate(docs["text"].cast(pa.binary()).to_pylist()):
+        for i, text in enumerate(_field(docs, text_col).cast(pa.binary()).to_pylist()):
             words = (text or b"").split()
             s = _spans(repeated[(ends[i - 1] if i else 0) : ends[i]], width)
             spans.append([{"start": a, "end": b} for a, b in s])
@@ -134,14 +138,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = C.shuffle_partitions(spark)
     bounds = C.id_bounds(docs, id_col, 2 * parts)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    dealt = rows.select(
-        C.block_of(bounds)(F.col("row")[id_col].cast("long")).alias("block"), F.col("row")[id_col].cast("long").alias("id"),
-        F.col("row")[text_col].alias("text"), "row",
-    ).repartition(parts, "block")
-    sent = dealt.groupBy("block").applyInArrow(_hash_side(width, parts), "hash_range int, block long, hashes binary")
+    dealt = rows.select(C.block_of(bounds)(F.col("row")[id_col].cast("long")).alias("block"), "row").repartition(parts, "block")
+    sent = dealt.groupBy("block").applyInArrow(_hash_side(id_col, text_col, width, parts), "hash_range int, block long, hashes binary")
     flags = sent.groupBy("hash_range").applyInArrow(_first_blocks, "block long, hashes binary")
     out = T.StructType([
         T.StructField("row", rows.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType()),
     ])
-    return dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_cut_side(width), out)
+    return dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_cut_side(id_col, text_col, width), out)
