@@ -8,8 +8,8 @@ window. Without neighbours left, the next unused document follows. A shard's las
 into sequences of powers of two, so that no sequence holds padding.
 
 Shards are random samples of the corpus, so document frequencies of a shard estimate those of the
-whole; a shard's memory is its documents, and the number of shards follows the session's shuffle
-partitions.
+whole; a shard's memory is its documents, and there are twice as many shards as the session has
+shuffle partitions.
 
 Defined cases: a null or empty text is one piece holding just the end id; rows sharing an id are
 separate documents; a document longer than the window fills windows of its own first; an empty
@@ -149,7 +149,7 @@ def _shard(path: str, window: int, end_id: int):
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of all ``docs``: doc_id, start, length, doc_tokens, sequence_id, offset and the
     piece's ids (little-endian unsigned 32-bit)."""
-    shards = C.shuffle_partitions(docs.sparkSession)
+    shards = 2 * C.shuffle_partitions(docs.sparkSession)
     dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
     return dealt.groupBy("shard").applyInArrow(_shard(tokenizer_path, window, end_id), SCHEMA)
