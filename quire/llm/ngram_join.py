@@ -18,8 +18,8 @@ Steps, each a Spark job over written tables:
 3. Rounds: first every node is paired with the most connected member of each of its groups; then
    groups that still span several components compare sketches within the group and name only edges
    that would join components. Named edges are verified on the real sets; components follow from
-   large-star/small-star rounds. A group whose edge was refuted is compared again without it, and
-   names twice as many edges for each member, until none is left. So each link is covered by a path of verified links, and no group emits its pairs.
+   large-star/small-star rounds. A group whose edge was refuted is compared again without it, until
+   none is left. So each link is covered by a path of verified links, and no group emits its pairs.
 
 Hot centres of verification are split by salt. Nothing is capped, and nothing but counts of rows
 reaches the driver.
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.llm import common as C
@@ -229,9 +229,11 @@ def _passing(percent: int):
     return run
 
 
-def _compare(percent: int, each: int):
-    """Within one group: edges between components that sketches allow and nothing refuted, up to
-    ``each`` for a member, nearest first."""
+def _compare(percent: int):
+    """Within one group: edges between components that sketches allow and nothing refuted. Of a
+    member's edges the nearest to each new component counts as a join; further ones go to components
+    it has named already, so a refuted edge has the others beside it in the same round, while
+    members that all link name a spanning tree and not their pairs."""
 
     def run(table: pa.Table) -> pa.Table:
         node, n = table["node"].to_numpy(), table["n"].to_numpy()
@@ -239,27 +241,23 @@ def _compare(percent: int, each: int):
         bits = folded(sketches, min(map(len, sketches)))
         refuted = [set(x or ()) for x in table["refuted"].to_pylist()]
         _, part, size = np.unique(table["component"].to_numpy(), return_inverse=True, return_counts=True)
-        main = int(np.argmax(size))
+        main, joined = int(np.argmax(size)), part.copy()
         out = []
         # Every edge between components has an end outside the largest one.
         for i in np.flatnonzero(part != main).tolist():
-            apart = part != part[i]
-            if not apart.any():
-                break
-            at = np.flatnonzero(apart)
+            at = np.flatnonzero(part != part[i])
             most = _most(percent, n[at], n[i])
             at = at[np.abs(n[at] - n[i]) <= most]
             far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
             near = far <= _most(percent, n[at], n[i])
-            named, mine = 0, part[i]
+            named: set[int] = set()
             for j in at[near][np.argsort(far[near], kind="stable")].tolist():
-                if (part[j] != part[i] or named) and int(node[j]) not in refuted[i] and int(node[i]) not in refuted[j]:
+                fresh = joined[j] != joined[i]
+                if (fresh or part[j] in named) and int(node[j]) not in refuted[i] and int(node[i]) not in refuted[j]:
                     out.append((max(node[i], node[j]), min(node[i], node[j])))
-                    if not named:
-                        part[part == part[j]] = mine
-                    named += 1
-                    if named == each:
-                        break
+                    named.add(part[j])
+                    if fresh:
+                        joined[joined == joined[j]] = joined[i]
         grp = table["grp"][0].as_py()
         return pa.table({"grp": pa.array([grp] * len(out), pa.int64()), "a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
 
@@ -300,22 +298,27 @@ def _verify(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node of its component,
     by alternating large-star and small-star until nothing changes."""
-    now = C.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
 
-    def mark(df):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        """The written edges with their number and checksum, observed while writing."""
+        seen = Observation()
+        marked = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        return C.stored(marked, "edges"), seen.get
 
-    last = mark(now)
+    def least_of(df: DataFrame) -> DataFrame:
+        return df.groupBy("u").agg(F.min("v").alias("m"))
+
+    now, last = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        least = least_of(both).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
+        least = least_of(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = C.stored(small, "edges")
-        if (new := mark(now)) == last:
+        now, mark = kept(small)
+        if mark == last:
             break
-        last = new
+        last = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -325,7 +328,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     member = pairs.join(salts, "b").select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(True).alias("member"), F.col("a").alias("node"))
     centre = salts.select(F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("node"))
     wanted = C.stored(member.unionByName(centre).join(nodes.select("node", "rep_id", "rep_alt"), "node"), "wanted")
-    texts = docs.join(wanted, F.coalesce(docs["id"], F.lit(0)).eqNullSafe(F.coalesce(wanted["rep_id"], F.lit(0))) & (docs["alt"] == wanted["rep_alt"]))
+    # a shuffle at every size: what is wanted grows with the corpus
+    texts = docs.join(wanted.hint("merge"), F.coalesce(docs["id"], F.lit(0)).eqNullSafe(F.coalesce(wanted["rep_id"], F.lit(0))) & (docs["alt"] == wanted["rep_alt"]))
     sets = texts.select("centre", "salt", "member", "node", "text").mapInArrow(_sets(width), "centre long, salt long, member boolean, node long, elements binary")
     return sets.groupBy("centre", "salt").applyInArrow(_verify(percent), "a long, b long, ok boolean")
 
@@ -356,7 +360,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(percent), "a long, b long, weight long")
     named = C.stored(near.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "named")
     checked = found = None
-    each = 1
     while True:
         if named.head(1):
             now = _verified(named.select("a", "b").distinct(), nodes, rows, width, percent)
@@ -374,8 +377,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             active = active.withColumn("refuted", F.array().cast("array<bigint>"))
         else:
             active = active.join(bad.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refuted")), "node", "left")
-        named = C.stored(active.select("grp", "node", "n", "sketch", "component", "refuted").groupBy("grp").applyInArrow(_compare(percent, each), "grp long, a long, b long"), "named")
-        each *= 2
+        named = C.stored(active.select("grp", "node", "n", "sketch", "component", "refuted").groupBy("grp").applyInArrow(_compare(percent), "grp long, a long, b long"), "named")
     return _labelled(every, nodes, found)
 
 
