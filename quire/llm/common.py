@@ -23,8 +23,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Odd multipliers of the rolling hash and of the finalizer (public splitmix64 constants).
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Bytes hashed at once; bounds the working arrays, not the texts.
-HASH_BYTES = 1 << 22
+#: Bytes hashed and bytes of texts handled at once; they bound the working arrays, not the texts.
+HASH_BYTES, SLICE_BYTES = 1 << 20, 1 << 22
 _BYTE = np.uint64(0xD6E8FEB86659FD93)
 _BYTE_INVERSE = np.uint64(pow(int(_BYTE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
@@ -179,7 +179,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def slices(offsets: np.ndarray, size: int = HASH_BYTES) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes each (a longer row is a range of its own)."""
     at, n = 0, len(offsets) - 1
     while at < n:

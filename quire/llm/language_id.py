@@ -81,7 +81,7 @@ class TextModel:
         parts = []
         data, offsets = C.flat_bytes(column)
         column = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
-        for a, b in C.slices(offsets):
+        for a, b in C.slices(offsets, C.HASH_BYTES):
             mean, n = self.score(column.slice(a, b - a))
             best = np.argmax(mean, axis=1)
             rows = np.arange(len(n))

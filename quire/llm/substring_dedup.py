@@ -50,8 +50,7 @@ def _windows(table: pa.Table, id_col: str, text_col: str, width: int):
 
 def _hash_side(id_col: str, text_col: str, width: int, ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        _, hashes, _, _ = _windows(table, id_col, text_col, width)
-        keys = np.unique(hashes)
+        keys = np.unique(_windows(table, id_col, text_col, width)[1])
         cut = list(C.key_ranges(keys, ranges))
         return pa.table({
             "hash_range": pa.array([r for r, _, _ in cut], pa.int32()),
@@ -68,7 +67,8 @@ def _first_blocks(table: pa.Table) -> pa.Table:
     order = np.argsort(blocks, kind="stable")
     parts = [C.unpack_sorted(table["hashes"][int(i)].as_py()) for i in order]
     keys = np.concatenate(parts)
-    owner = np.repeat(blocks[order], [len(p) for p in parts])
+    owner = np.repeat(blocks[order].astype(np.int32), [len(p) for p in parts])
+    del parts
     by = np.argsort(keys, kind="stable")  # equal hashes stay in ascending order of blocks
     keys, owner = keys[by], owner[by]
     later = np.zeros(len(keys), dtype=bool)
@@ -111,6 +111,7 @@ def _cut_side(id_col: str, text_col: str, width: int):
             first = np.r_[True, hashes[by][1:] != hashes[by][:-1]]
             least = mine[by][np.flatnonzero(first)[np.cumsum(first) - 1]]
             repeated[by] |= mine[by] > least
+        del hashes, owner
         ends = np.cumsum(np.maximum(counts - width + 1, 0))
         spans, kept, lost = [], [], []
         for i, text in enumerate(_field(docs, text_col).cast(pa.binary()).to_pylist()):

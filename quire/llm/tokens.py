@@ -21,7 +21,7 @@ from quire.llm import common as C
 #: Chunks joined into one library call.
 CHUNKS_PER_CALL = 64
 #: Chunks a worker keeps; beyond that the cache starts afresh (bounds memory, not results).
-KEEP_CHUNKS = 1_000_000
+KEEP_CHUNKS = 500_000
 _CLOSING = np.isin(np.arange(256), [ord(c) for c in ".,;:!?|"])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
