@@ -174,11 +174,11 @@ class InvertedMultiIndex:
         for r in self.entries.groupBy("first", "second").count().collect():  # at most centroids squared
             self.counts[r["first"], r["second"]] = r["count"]
 
-    def search(self, wanted: Column, k: int = 10, share: float = SHARE) -> DataFrame:
+    def search(self, wanted: Column, k: int = 10, share: float = SHARE, least: int = LEAST_ENTRIES) -> DataFrame:
         """query_id, rank, vec_id, score for the indexed rows whose ``id`` is ``wanted``."""
         if self.entries is None:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        enough = max(LEAST_ENTRIES, int(share * self.size)) + 1  # the query's own row is no candidate
+        enough = max(least, int(share * self.size)) + 1  # the query's own row is no candidate
         kind = dict(self.entries.dtypes)["vector"]
         visits = self.entries.filter(wanted).select("id", "vector").mapInArrow(_visits(self.one, self.two, self.counts, enough), f"query_id long, query {kind}, first int, opened array<int>")
         splits = F.array(*[F.lit(int(-(-n // BLOCK_ENTRIES)) or 1) for n in self.counts.sum(axis=1)])

@@ -133,11 +133,11 @@ def test_join_empty(empty):
 def test_neighbours_recall_and_scores(spark):
     from quire.llm.inverted_multi_index import InvertedMultiIndex
 
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(6000)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = vectors.collect()
     x, ids = np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["vec_id"] for r in rows])
     got = defaultdict(list)
-    for r in InvertedMultiIndex(vectors).search(F.col("id") % 100 == 0, 10, share=0.6).collect():
+    for r in InvertedMultiIndex(vectors).search(F.col("id") % 100 == 0, 10, share=0.8, least=0).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
     for q, found in got.items():
