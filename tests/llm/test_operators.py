@@ -325,6 +325,34 @@ def test_packing_prefers_lexical_neighbours():
     assert list(groups.values()) == [{0, 2, 4}, {1, 3, 5}]
 
 
+def test_packing_neighbours_of_the_whole_corpus(spark, monkeypatch):
+    from quire.llm import lexical_pack as L
+
+    # a seed meets documents that share only weak terms of a long text, too
+    flat = np.array([*range(100, 140), *range(100, 118), 139, 139, *range(100, 139), 1, 1, 1])
+    index = L.Index(flat, np.array([40, 19, 1, 39, 1, 1, 1]))
+    assert set(index.neighbours(0, np.arange(7) == 0).tolist()) == {1, 2, 3}
+    # a third shard's documents count in the weights of this one
+    whole = L.Statistics(np.array([0, 1000, 2]), 1000, 4.0)
+    a = L.Index(np.array([1, 2, 1, 2]), np.array([2, 2]), whole)
+    assert a.weights[a.term_at[2]] > 100 * a.weights[a.term_at[1]]
+    # pairs with words of their own meet in one shard, at any number of partitions
+    monkeypatch.setattr(L, "SHARD_TOKENS", 4_000)
+    rng = random.Random(3)
+    topics = [["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(25)] for _ in range(20)]
+    rows = spark.createDataFrame([(i, " ".join(rng.choice(topics[i % 20]) for _ in range(60))) for i in range(400)], "doc_id long, text string")
+    got = []
+    for partitions in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got.append(sorted((r["doc_id"], r["start"], r["sequence_id"], r["offset"]) for r in L.pack_documents(rows, BPE).collect()))
+    assert got[0] == got[1]
+    shards = defaultdict(set)
+    for doc, _, sequence, _ in got[0]:
+        shards[doc % 20].add(sequence >> 32)
+    assert len(set().union(*shards.values())) > 5
+    assert sum(len(x) for x in shards.values()) < 60
+
+
 def test_wavelet_round_trip(spark, docs, empty, tmp_path):
     from quire.llm import wavelet
 
