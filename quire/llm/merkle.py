@@ -1,12 +1,18 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections. DataFrame operations only.
 
 Leaves are paragraphs: the text up to and including a line feed or the space after a closing mark.
-A leaf is a long whose high 48 bits hash the paragraph and whose low 16 bits hold its length (at
-most 65,535). Eight consecutive leaves make a section, whose node hashes them in order; the root
-is the SHA-256 of all section nodes and the text's length. Roots test equality; where sections of
-two trees differ their paragraphs are compared, so differing branches locate edits. Likeness is
-the share of characters in paragraphs common to both trees (Dice, each distinct paragraph once),
-1 for equal roots.
+A leaf is a long that hashes the paragraph. Eight consecutive leaves make a section, whose node
+hashes them in order; the root is the SHA-256 of all section nodes and the text's length. Roots
+test equality; where sections of two trees differ their paragraphs are compared, so differing
+branches locate edits.
+
+Below its paragraphs a tree has pieces: a paragraph of at most ``LONG`` characters is one piece, a
+longer one is cut where its own words say so (after a word, or a character of a script without
+spaces, whose hash is 0 modulo ``CUT``; words of over 64 characters are cut into runs of 64, pieces
+of over 256 such units into runs of 256). So an edit changes the pieces around it and not the
+rest, whatever marks the text has. A piece is a long whose high 48 bits hash it and whose low 16
+bits hold its length, which the bounds keep below 65,535. Likeness is the share of characters in
+pieces common to both trees (Dice, each distinct piece once), 1 for equal roots.
 
 The next document in ascending id order comes from a window over id ranges (bounds are quantiles
 of the ids), not over the whole table; the first document of a range is also dealt to the range
@@ -28,13 +34,43 @@ from quire.llm import common as C
 SECTION = 8
 #: Where paragraphs end: after a line feed, or after the space that follows a closing mark.
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?;|] )"
+#: Characters of a paragraph that stays one piece; one unit in CUT ends a piece; units of the longest piece.
+LONG, CUT, UNITS = 64, 4, 256
+#: Where the units of a long paragraph end: after white space, a character of a script without
+#: spaces, or 64 characters of neither.
+UNIT_END = r"(?<=\s)|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])|(?<=\G.{64})"
 _LENGTH = 0xFFFF
 
 
 def leaves(text: Column) -> Column:
     """array<bigint> of the text's paragraphs."""
-    code = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.least(F.char_length(p), F.lit(_LENGTH)).cast("long"))
-    return F.transform(F.split(text, PARAGRAPH_END, -1), code)
+    return F.transform(F.split(text, PARAGRAPH_END, -1), lambda p: F.xxhash64(p))
+
+
+def _code(piece: Column) -> Column:
+    return F.xxhash64(piece).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.char_length(piece).cast("long"))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pieces(text: Column) -> Column:
+    """array<bigint> of the pieces of the text's paragraphs."""
+
+    def joined(units: Column, start: Column, end: Column) -> Column:
+        run = lambda i: _code(F.array_join(F.slice(units, i + 1, F.least(F.lit(UNITS), end - i)), ""))
+        return F.transform(F.sequence(start, end - 1, F.lit(UNITS)), run)
+
+    def cut(units: Column) -> Column:
+        ends_before = lambda i: (i == 0) | (F.pmod(F.xxhash64(F.get(units, i - 1)), F.lit(CUT)) == 0)
+        starts = F.filter(F.sequence(F.lit(0), F.size(units) - 1), ends_before)
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(units)))
+        return _bound(starts, lambda s: F.flatten(F.zip_with(s, ends(s), lambda a, b: joined(units, a, b))))
+
+    of = lambda p: F.when(F.char_length(p) <= LONG, F.array(_code(p))).otherwise(_bound(F.split(p, UNIT_END, -1), cut))
+    return F.flatten(F.transform(F.split(text, PARAGRAPH_END, -1), of))
 
 
 def sections(leaf: Column) -> Column:
@@ -49,11 +85,12 @@ def fingerprint(section: Column, n_chars: Column) -> Column:
     return F.concat(F.sha2(F.concat_ws(":", n_chars.cast("string"), nodes), 256), F.lit(":"), nodes)
 
 
-def _length(leaf: Column) -> Column:
-    return F.aggregate(leaf, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(_LENGTH)))
+def _length(piece: Column) -> Column:
+    return F.aggregate(piece, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(_LENGTH)))
 
 
 def likeness(a: Column, b: Column, a_root: Column, b_root: Column) -> Column:
+    """Of two trees' pieces and roots."""
     total = _length(F.array_distinct(a)) + _length(F.array_distinct(b))
     shared = 2.0 * _length(F.array_intersect(a, b))
     return F.when(a_root == b_root, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(shared / total)
@@ -68,7 +105,7 @@ def changed_paragraphs(a: Column, a_section: Column, b: Column, b_section: Colum
 
 
 def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, leaves, next_text, next_leaves in ascending order of ids."""
+    """id, text, leaves, pieces and next_text, next_leaves, next_pieces in ascending order of ids."""
     spark = docs.sparkSession
     parts = C.shuffle_partitions(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -79,15 +116,16 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     firsts = {r["block"]: r["first"] for r in rows.groupBy(block.alias("block")).agg(F.min("id").alias("first")).collect()}
     order = sorted(firsts)
     if not order:
-        return rows.select("id", "text", leaves(F.col("text")).alias("leaves"), F.col("text").alias("next_text"), leaves(F.col("text")).alias("next_leaves"))
+        same = {"text": F.col("text"), "leaves": leaves(F.col("text")), "pieces": pieces(F.col("text"))}
+        return rows.select("id", *[v.alias(k) for k, v in same.items()], *[v.alias(f"next_{k}") for k, v in same.items()])
     sentinel = rows.filter(F.col("id").isin([x for x in firsts.values() if x is not None]) | (F.col("id").isNull() if None in firsts.values() else F.lit(False)))
     sentinel = sentinel.withColumn("at", block).groupBy("at").agg(F.min("text").alias("text"))
     before = F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, order[i - 1])])
     sentinel = sentinel.select(F.lit(None).cast("long").alias("id"), "text", F.element_at(before, F.col("at")).alias("block"), F.lit(True).alias("sentinel"))
     dealt = rows.select("id", "text", block.alias("block"), F.lit(False).alias("sentinel")).unionByName(sentinel)
-    dealt = dealt.repartition(parts, "block").withColumn("leaves", leaves(F.col("text")))
+    dealt = dealt.repartition(parts, "block").withColumns({"leaves": leaves(F.col("text")), "pieces": pieces(F.col("text"))})
     ahead = Window.partitionBy("block").orderBy("sentinel", F.col("id").asc_nulls_last(), "text")
-    out = dealt.withColumns({"next_text": F.lead("text").over(ahead), "next_leaves": F.lead("leaves").over(ahead)})
+    out = dealt.withColumns({f"next_{c}": F.lead(c).over(ahead) for c in ("text", "leaves", "pieces")})
     return out.filter(~F.col("sentinel")).drop("block", "sentinel")
 
 
@@ -97,7 +135,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _with_next(docs, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next_text", F.lit(1), quarter)))
-    rows = rows.withColumn("edited_leaves", leaves(F.col("edited")))
+    rows = rows.withColumns({"edited_leaves": leaves(F.col("edited")), "edited_pieces": pieces(F.col("edited"))})
     rows = rows.withColumns({"section": sections(F.col("leaves")), "edited_section": sections(F.col("edited_leaves")), "next_section": sections(F.col("next_leaves"))})
     rows = rows.withColumns({
         "fingerprint": fingerprint(F.col("section"), F.col("n_chars")),
@@ -106,7 +144,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     })
     return rows.select(
         F.col("id").alias("doc_id"), "n_chars", "edited", "fingerprint", "edited_fingerprint",
-        likeness(F.col("leaves"), F.col("edited_leaves"), F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next_leaves"), F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("pieces"), F.col("edited_pieces"), F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("pieces"), F.col("next_pieces"), F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         changed_paragraphs(F.col("leaves"), F.col("section"), F.col("edited_leaves"), F.col("edited_section")).alias("changed"),
     )

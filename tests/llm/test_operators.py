@@ -212,6 +212,18 @@ def test_fingerprints_locate_edits(spark):
     assert r[0] == [21] and r[1] == 1
 
 
+def test_fingerprints_of_text_without_marks(spark):
+    from quire.llm.merkle import fingerprints
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    han = lambda: "".join(chr(rng.randint(0x4E00, 0x4FFF)) for _ in range(2_000))
+    texts = [" ".join(word() for _ in range(800)), " ".join(word() for _ in range(20_000)), han(), "".join(word() for _ in range(500)), " ".join(word() for _ in range(50))]
+    got = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(0.5 < r["near_edited"] < 0.87 for r in got), [r["near_edited"] for r in got]
+    assert all(r["near_next"] < 0.1 for r in got)
+
+
 def test_fingerprints_small_tables(spark, empty):
     from quire.llm.merkle import fingerprints
 
