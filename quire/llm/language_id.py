@@ -2,16 +2,18 @@
 
 Evidence of a row: its text (likelihoods of hashed byte trigrams under one model per language), the
 language its markup declares, its address suffix, and its host. Text likelihoods come from a model
-fitted on a bounded sample of labelled rows (``FIT_ROWS`` by hash order of the id). Everything else
-is learnt from all rows by grouped aggregation of the text's verdicts: P(declared | language),
+fitted on a bounded sample of labelled rows (of each language about ``FIT_ROWS`` by hash of id and
+text, all where it has no more). Everything else is learnt from all rows by grouped aggregation of the text's verdicts: P(declared | language),
 P(suffix | language), and language priors of hosts, smoothed hierarchically from host to registered
 domain to top label to all rows. The posterior multiplies them. Only the aggregate by (host,
 declared, suffix) moves; its combined evidence is written and joined back, so a host with a third
 of all rows is a few rows.
 
 A row is rejected if no language reaches ``MIN_POSTERIOR``, if it has no text, or if its text is
-much less likely under the best language than text of that language ever was in the sample
-(``FOREIGN`` standard deviations below the mean log-likelihood, widened for short texts).
+much less likely under the best language than text of that language is that the model has not seen
+(``FOREIGN`` standard deviations below the mean log-likelihood of held-out folds of the sample,
+widened for short texts). A language with fewer than ``EVIDENCE`` held-out texts has no such bound:
+a row whose best or declared language it is is never rejected as foreign.
 
 Defined cases: null or empty text is no evidence and rejected; a null declaration, suffix or host
 is a value of its own; repeated rows count each; an empty table gives no rows; without labelled rows
@@ -21,6 +23,8 @@ replace columns of these names; helper columns cannot clash, all input travels i
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 
-FIT_ROWS = 4_000
+#: Rows of each language in the sample; folds that are held out in turn; held-out texts that make a bound.
+FIT_ROWS, FOLDS, EVIDENCE = 1_000, 10, 20
 BUCKETS = 1 << 16
 #: Trigrams beyond which more text adds little: neighbouring trigrams depend on each other.
 SATURATION = 200.0
@@ -51,21 +56,33 @@ def trigrams(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextModel:
-    """Log-likelihoods of trigrams for each language and what texts of it usually score."""
+    """Log-likelihoods of trigrams for each language and what texts of it score that it has not seen;
+    ``unsure`` are the languages with too few of them."""
 
     def __init__(self, texts: list[str], labels: list[str]) -> None:
         self.languages = sorted(set(labels))
         counts = np.ones((max(1, len(self.languages)), BUCKETS))
+        self.mean, self.sd = np.zeros(len(counts)), np.full(len(counts), np.inf)
+        self.unsure = set()
         for i, l in enumerate(self.languages):
-            gram, _ = trigrams(pa.array([t for t, x in zip(texts, labels) if x == l], pa.string()))
+            gram, offsets = trigrams(pa.array([t for t, x in zip(texts, labels) if x == l], pa.string()))
             counts[i] += np.bincount(gram, minlength=BUCKETS)
-        self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.mean, self.sd = np.zeros(len(counts)), np.ones(len(counts))
-        for i, l in enumerate(self.languages):
-            scores, n = self.score(pa.array([t for t, x in zip(texts, labels) if x == l], pa.string()))
-            usual = scores[n >= 50, i]
-            if len(usual) > 1:
+            n = np.diff(offsets)
+            fold = np.arange(len(n)) % FOLDS
+            usual = np.concatenate([self._held_out(counts[i], gram[np.repeat(fold == f, n)], n[fold == f]) for f in range(FOLDS)])
+            if len(usual) >= EVIDENCE:
                 self.mean[i], self.sd[i] = usual.mean(), max(0.05, float(usual.std()))
+            else:
+                self.unsure.add(l)
+        self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    @staticmethod
+    def _held_out(counts: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Mean log-likelihoods of a fold's texts of 50 trigrams or more under the other folds."""
+        other = counts - np.bincount(gram, minlength=BUCKETS)
+        row = np.log(other / other.sum())
+        sums = np.diff(np.r_[0.0, np.cumsum(row[gram])][np.r_[0, np.cumsum(n)]])
+        return sums[n >= 50] / n[n >= 50]
 
     def score(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(mean log-likelihood of each text under each language, number of trigrams)."""
@@ -93,10 +110,19 @@ class TextModel:
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
-    """A model from at most about FIT_ROWS labelled rows, whole texts, in hash order of the ids."""
-    rows = rows.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{label_col}`").alias("l")).filter("t is not null and l is not null")
-    edge = rows.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
-    sample = sorted((r["t"], r["l"]) for r in rows.filter(F.col("h") <= edge).limit(FIT_ROWS).collect()) if edge is not None else []
+    """A model from about FIT_ROWS labelled rows of each language, whole texts, by hash of id and
+    text; equal rows count once."""
+    label = F.col(f"`{label_col}`").alias("l")
+    sizes = {r["l"]: r["n"] for r in rows.select(label).filter("l is not null").groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return TextModel([], [])
+    rows = rows.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"), label).filter("t is not null and l is not null")
+    every = [l for l, n in sizes.items() if n <= FIT_ROWS]
+    chosen = F.col("l").isin(every)
+    for l, n in sizes.items():
+        if n > FIT_ROWS:
+            chosen = chosen | ((F.col("l") == l) & (F.col("h") < int(FIT_ROWS / n * (1 << 64)) - (1 << 63)))
+    sample = sorted((r["t"], r["l"]) for r in rows.filter(chosen).dropDuplicates(["h", "l"]).collect())
     return TextModel([t for t, _ in sample], [l for _, l in sample])
 
 
@@ -121,6 +147,12 @@ def _norm(c: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(c.cast("string"), r"^\s*([A-Za-z]{2,8})(?:[-_.].*)?\s*$", 1)), F.lit(""))
 
 
+def _primary(label: str) -> str:
+    """What _norm makes of a label."""
+    found = re.fullmatch(r"\s*([A-Za-z]{2,8})(?:[-_.].*)?\s*", label)
+    return found.group(1).lower() if found else ""
+
+
 def markup_language(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
 
@@ -172,7 +204,8 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         return rows.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(True).alias("rejected"))
     seen = rows.select(
         F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), _norm(declared).alias("declared"), _norm(suffix).alias("suffix"),
-        F.lower(F.coalesce(host.cast("string"), F.lit(""))).alias("host"), _text_evidence(model)(F.coalesce(text.cast("string"), F.lit(""))).alias("text"),
+        F.lower(F.coalesce(host.cast("string"), F.lit(""))).alias("host"),
+        (F.octet_length(F.coalesce(text.cast("string"), F.lit(""))) > 2).alias("has_text"), _text_evidence(model)(F.coalesce(text.cast("string"), F.lit(""))).alias("text"),
     )
     counts = C.stored(seen.groupBy("host", "declared", "suffix", _argmax(F.col("text.ll")).alias("best")).agg(F.count(F.lit(1)).alias("n")), "language-counts")
     if not counts.head(1):
@@ -182,5 +215,6 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     out = out.withColumn("fused", F.zip_with(F.col("text.ll"), F.col("prior"), lambda a, b: a + b))
     top = F.array_max("fused")
     posterior = 1.0 / F.aggregate("fused", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    unsure = F.col("declared").isin(sorted(model.unsure | {_primary(l) for l in model.unsure})) & (F.col("declared") != "") & F.col("has_text")
     language = F.get(F.array(*[F.lit(x) for x in model.languages]), _argmax(F.col("fused")))
-    return out.select(*back, language.alias("language"), posterior.alias("posterior"), (~F.col("text.alike") | (posterior < MIN_POSTERIOR)).alias("rejected"))
+    return out.select(*back, language.alias("language"), posterior.alias("posterior"), (~(F.col("text.alike") | unsure) | (posterior < MIN_POSTERIOR)).alias("rejected"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,6 +435,28 @@ def test_language_held_out(spark, docs, empty):
     assert len(nothing) == len(nasty()) and all(r["rejected"] and r["language"] is None for r in nothing)
 
 
+def test_language_keeps_rare_languages(spark, monkeypatch):
+    from quire.llm import language_id as L
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang in ('en', 'de', 'fr', 'es') and length(text) >= 200")
+    others = rows.filter("lang <> 'es' and doc_id % 10 = 0")
+    rare = rows.filter("lang = 'es'").orderBy("doc_id")
+    for n in (1, 2, 10, 40):
+        model = L.fit(others.unionByName(rare.limit(n)))
+        assert "es" in model.languages and ("es" in model.unsure) == (n < L.EVIDENCE)
+        text = pa.array([r["text"] for r in rare.offset(n).limit(150).collect()], pa.string())
+        declared = spark.createDataFrame([(i, t) for i, t in enumerate(text.to_pylist())], "doc_id long, text string")
+        out = L.identify(declared, model, F.col("text"), F.lit("es"), F.lit(None), F.lit(None)).collect()
+        assert sum(r["rejected"] for r in out) <= 3, n
+    # each language has rows of its own in the sample
+    monkeypatch.setattr(L, "FIT_ROWS", 30)
+    seen = []
+    monkeypatch.setattr(L, "TextModel", lambda texts, labels: seen.extend(labels))
+    L.fit(others.unionByName(rare.limit(12)))
+    count = Counter(seen)
+    assert count["es"] == 12 and all(10 <= count[l] <= 60 for l in ("en", "de", "fr"))
+
+
 def test_language_evidence_settles_short_texts(spark):
     from quire.llm import language_id as L
 
