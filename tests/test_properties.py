@@ -170,6 +170,16 @@ def test_ann_recall(spark):
     assert ann.recall_at_k(full, exact).agg(F.min("recall")).first()[0] == 1.0
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_ann_query_recall(spark, registry, size):
+    from quire.plans import retrieval_queries
+
+    rows = retrieval_queries.ann_topk(spark, f"/root/testdata/{size}").select("query_id", "recall").distinct().collect()
+    mean = sum(r.recall for r in rows) / len(rows)
+    print("recall", size, len(rows), mean)
+    assert mean >= 0.9
+
+
 _DROP = re.compile(r"[^\w\s\.\(\)\[\]{}=+\-*/<>!&|^%]")
 
 
