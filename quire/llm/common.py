@@ -137,9 +137,10 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end of every word, number of words of each row); no word crosses a row."""
-    blank = _SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, blanks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end of every word, number of words of each row); no word crosses a row. ``blanks``
+    marks the byte values between words."""
+    blank = blanks[data]
     n = len(data)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_count, common, entropy_mix, host_reputation, inverted_multi_index, language_id, lexical_pack, merkle, ngram_join, sql, substring_dedup, wavelet
+from quire.llm import bpe_count, common, entropy_mix, host_reputation, inverted_multi_index, language_id, lexical_pack, merkle, ngram_join, phrase_mining, source_divergence, sql, substring_dedup, toxicity, wavelet
 from quire.plans.registry import table
 
 QUERIES = {}
@@ -92,3 +92,20 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return host_reputation.judge_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict", "labelled", "bad")
+
+
+@_query("op11_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op12_source_divergence", sql.SOURCE_DIVERGENCE)
+def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@_query("op13_phrase_mining", sql.PHRASE_MINING)
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
