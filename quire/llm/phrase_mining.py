@@ -12,8 +12,9 @@ is frequent if it occurs ``least`` times. Its parts are then frequent too, so:
    of frequent phrases are then exact and complete, whatever the sample held.
 
 Proposals go to the tasks as one bitmap a length, of bounded size: a false positive only counts a phrase
-more, and a bitmap that fills up prunes less but loses nothing. Tasks count by 64-bit hashes (a slice of
-text at a time) and send the words themselves, which Spark sums.
+more, and a bitmap that fills up prunes less but loses nothing. Tasks count by 64-bit hashes, some slices
+of text at a time, and send the phrases themselves, packed by hash range; a range's task sums them by
+their words. Ranges follow from the bytes of text, so a range is of bounded size at any size of corpus.
 
 4. A candidate's cuts are joined with the counts of their parts; the lowest score counts, in exact
    integers (decimals). Candidates inside a longer one that is at least half as frequent drop.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ SHARE, MARGIN = 0.125, 0.8
 #: Most bits of a bitmap of proposals (16 MB), bits for each proposal below that, and bits of the
 #: segments that a bitmap is put together from.
 BITS, BITS_EACH, SEGMENT = 1 << 27, 16, 1 << 16
-#: Bytes of text whose phrases are counted at once.
-SLICE_BYTES = 1 << 22
+#: Bytes of text whose phrases are counted at once, distinct phrases that a task holds before it sends
+#: them, and bytes of text to a hash range.
+SLICE_BYTES, FLUSH, RANGE_BYTES = 1 << 21, 1 << 19, 1 << 24
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -123,19 +126,66 @@ def _due(grams: Grams, k: int, old: list[Proposals], new: Proposals) -> np.ndarr
     return at[~(has(old, k - 1, left) & has(old, k - 1, right))]
 
 
-def _counted(longest: int, old: list[Proposals], new: Proposals):
+def _counted(longest: int, old: list[Proposals], new: Proposals, ranges: int):
+    """Packed counts by hash range: language, line feed, phrase; the phrase of no words is all words."""
+
+    def pack(keys: list[np.ndarray], names: list[pa.Array], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+        name = pa.concat_arrays(names).take(pa.array(first))
+        rows = []
+        for r, a, b in C.key_ranges(key, ranges):
+            flat, offsets = C.flat_bytes(name.slice(a, b - a))
+            rows.append((r, C.pack_small(np.diff(offsets).astype(np.uint32)), C.pack_small(flat), C.pack_small(n[a:b])))
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_pydict({"hash_range": pa.array(cols[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("lengths", "phrases", "n"), cols[1:])}})
+
     def run(batches):
+        keys, names, counts, held = [], [], [], 0
+
+        def add(key, name, n):
+            nonlocal held
+            keys.append(key)
+            names.append(name)
+            counts.append(n)
+            held += len(key)
+
         for grams, langs in _slices(batches, longest):
-            names = pa.array(langs, pa.string())
-            if not old and len(grams.row):  # all words of a language, as the phrase of no words
+            heads = pa.array([x.encode() + b"\n" for x in langs], pa.binary())
+            if not old and len(grams.row):
                 own, where = np.unique(np.array(langs, dtype=str), return_inverse=True)
-                n = np.bincount(where[grams.row], minlength=len(own))
-                yield pa.RecordBatch.from_pydict({"lang": pa.array(own.tolist(), pa.string()), "words": pa.array(np.zeros(len(own)), pa.int32()), "phrase": pa.array([b""] * len(own), pa.binary()), "n": pa.array(n, pa.int64())})
+                add(C.mix(np.array([hash_text(x) for x in own.tolist()], dtype=np.uint64)), pa.array([x.encode() + b"\n" for x in own.tolist()], pa.binary()), np.bincount(where[grams.row], minlength=len(own)))
             for k in range(1, longest + 1):
                 due = _due(grams, k, old, new)
-                _, first, n = np.unique(grams.key[k][due], return_index=True, return_counts=True)
+                key, first, n = np.unique(grams.key[k][due], return_index=True, return_counts=True)
                 if len(first):
-                    yield pa.RecordBatch.from_pydict({"lang": names.take(pa.array(grams.row[due[first]])), "words": pa.array(np.full(len(first), k), pa.int32()), "phrase": grams.phrases(due[first], k), "n": pa.array(n, pa.int64())})
+                    at = due[first]
+                    add(key, pc.binary_join_element_wise(heads.take(pa.array(grams.row[at])), grams.phrases(at, k), b""), n)
+            if held >= FLUSH:
+                yield pack(keys, names, counts)
+                keys, names, counts, held = [], [], [], 0
+        if held:
+            yield pack(keys, names, counts)
+
+    return run
+
+
+def _summed(least: int):
+    """The counts of one hash range that reach ``least``, and those of all words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, counts = [], []
+        for lengths, phrases, n in zip(table["lengths"].to_pylist(), table["phrases"].to_pylist(), table["n"].to_pylist()):
+            ends = np.r_[0, np.cumsum(C.unpack_small(lengths, np.uint32))].astype(np.int32)
+            names.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(C.unpack_small(phrases, np.uint8))]))
+            counts.append(C.unpack_small(n, np.int64))
+        sums = pa.table({"name": pa.chunked_array(names), "n": np.concatenate(counts)}).group_by("name").aggregate([("n", "sum")])
+        kept = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), pc.ends_with(sums["name"], b"\n")))
+        pairs = [x.rpartition(b"\n") for x in kept["name"].to_pylist()]
+        return pa.table({
+            "lang": pa.array([x for x, _, _ in pairs], pa.binary()).cast(pa.string()), "words": pa.array([y.count(b" ") + 1 if y else 0 for _, _, y in pairs], pa.int32()),
+            "phrase": pa.array([y for _, _, y in pairs], pa.binary()), "n": kept["n_sum"],
+        })
 
     return run
 
@@ -183,14 +233,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     lang, text = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(lang.alias("lang"), text.alias("text"))
     draw = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 30)) < int(share * (1 << 30))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(C.shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES))
     low = max(2, int(margin * share * least))
     seen = rows.filter(draw).mapInArrow(_sampled(longest), "words int, key long, n long").groupBy("words", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= low)
     new, _ = _bitmaps(C.stored(seen.select("words", "key"), "proposals"), longest)
     old: list[Proposals] = []
     found = total = None
     while True:
-        counted = rows.mapInArrow(_counted(longest, old, new), "lang string, words int, phrase binary, n long")
-        sums = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
+        counted = rows.mapInArrow(_counted(longest, old, new, ranges), "hash_range int, lengths binary, phrases binary, n binary")
+        sums = counted.groupBy("hash_range").applyInArrow(_summed(least), "lang string, words int, phrase binary, n long")
         fresh = C.stored(sums.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "n"), "frequent")
         if found is None:
             total = fresh.filter("words = 0").select("lang", "n")
