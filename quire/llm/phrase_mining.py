@@ -41,7 +41,7 @@ SHARE, MARGIN = 0.125, 0.8
 BITS, BITS_EACH, SEGMENT = 1 << 27, 16, 1 << 16
 #: Bytes of text whose phrases are counted at once, distinct phrases that a task holds before it sends
 #: them, and bytes of text to a hash range.
-SLICE_BYTES, FLUSH, RANGE_BYTES = 1 << 21, 1 << 19, 1 << 24
+SLICE_BYTES, FLUSH, RANGE_BYTES = 1 << 20, 1 << 18, 1 << 24
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True

@@ -11,6 +11,10 @@ Plan (no cross join, no all-pairs rows):
 Block sizes cap the memory of one task whatever the table sizes; the number of tiles, not
 the size of one, grows with the data.
 
+``pruned_topk`` sends only the tiles that can hold a result: corpus and queries fall into cells around
+pivots, a block of a cell is bounded by its distances from the pivot, and by the triangle inequality
+a tile whose least possible distance exceeds the query block's k-th distance is never sent.
+
 Metrics: ``cosine`` (inner product of L2-normalised vectors, larger is better; zero
 vectors never match) and ``l2`` (squared Euclidean distance on raw vectors, smaller is
 better). Scores are compared at 1e-9 so float noise cannot reorder exact ties; ties go to
@@ -34,6 +38,9 @@ CORPUS_BLOCK_ROWS = 65536
 QUERY_CHUNK_ROWS = 1024
 SUB_BLOCK_ROWS = 8192
 TIE_DECIMALS = 9
+# Rows of a block in the pruned join, most pivots (one a block up to then; beyond, larger cells are split
+# and prune less) and vectors that each is chosen from; slack of a bound, far above the noise of double arithmetic.
+PIVOTS, SAMPLES, PRUNE_ROWS, SLACK = 1024, 4, 4096, 1e-6
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -222,3 +229,126 @@ def grouped_topk(
         .cogroup(c_rep.groupBy("g", "qb", "cb"))
         .applyInPandas(_tile_topk(k, metric), _result(q, c))
     )
+
+
+def _space(m: np.ndarray, metric: str) -> np.ndarray:
+    """Points whose Euclidean distance orders like the metric."""
+    return _normalized(m) if metric == "cosine" else m
+
+
+def _spread(points: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the points, each the farthest from those before it."""
+    at = [0]
+    far = np.linalg.norm(points - points[0], axis=1)
+    while len(at) < min(n, len(points)) and far.max() > 0:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(points - points[at[-1]], axis=1))
+    return points[at]
+
+
+def _to_pivots(pivots: np.ndarray, metric: str, name: str):
+    """Adds each vector's nearest pivot and its distance from it; vectors that match nothing go."""
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m = _space(_matrix(pdf["vec"]), metric)
+            real = np.isfinite(m).all(axis=1)
+            pdf, m = pdf[real], m[real]
+            if len(pdf):
+                d = _score_tile(m, pivots, "l2")
+                cell = d.argmin(axis=1)
+                # from the difference itself: the expanded square loses digits near 0
+                yield pdf.assign(cell=cell.astype("int64"), dist=np.linalg.norm(m - pivots[cell], axis=1))[[name, "vec", "cell", "dist"]]
+
+    return run
+
+
+def _bounds(k: int, pivots: np.ndarray, blocks: pd.DataFrame, second: bool):
+    """Corpus blocks to send to each query block. First those that hold k rows within the least upper
+    bound; then, once the k-th distances are known, all others whose lower bound does not exceed them."""
+    cells, lo, hi, rows = (blocks[c].to_numpy() for c in ("cell", "lo", "hi", "rows"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                apart = np.linalg.norm(pivots[cells] - pivots[row.cell], axis=1)
+                upper = apart + hi + row.hi
+                order = np.argsort(upper, kind="stable")
+                enough = int(np.searchsorted(np.cumsum(rows[order]), k)) + 1
+                first = order[:enough]
+                if not second:
+                    out += [(row.qb, int(b)) for b in first]
+                    continue
+                least = np.maximum(0.0, np.maximum(apart - row.hi - hi, lo - row.hi - apart))
+                send = np.flatnonzero(least <= row.kth + SLACK * (1 + abs(row.kth))) if np.isfinite(row.kth) else np.arange(len(rows))
+                out += [(row.qb, int(b)) for b in np.setdiff1d(send, first)]
+            yield pd.DataFrame(out, columns=["qb", "cb"]).astype("int64")
+
+    return run
+
+
+def _celled(df: DataFrame, name: str, pivots: np.ndarray, metric: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with its block, blocks with cell, rows and least and largest distance from the pivot)."""
+    from quire.session import stored
+
+    kind = dict(df.dtypes)[name]
+    df = stored(df.mapInPandas(_to_pivots(pivots, metric, name), f"{name} {kind}, vec array<double>, cell long, dist double"), "knn-cells")
+    parts = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
+    df = df.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(name), F.col("parts")))
+    blocks = df.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+    return df, stored(blocks, "knn-blocks")
+
+
+def _no_tiles(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("qb"), F.lit(0).cast("long").alias("cb"))
+
+
+def pruned_topk(
+    corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", corpus_key: str = "vec_id", corpus_vec: str = "embedding",
+    query_key: str = "query_id", query_vec: str = "embedding", pivots: int = PIVOTS, block_rows: int = PRUNE_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(what ``topk`` returns, exactly; the tiles (qb, cb) that were sent). The driver holds the pivots
+    and four numbers a block."""
+    from quire.session import stored
+
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric {metric!r}")
+    c = corpus.select(_key(corpus, corpus_key).alias("key"), F.col(corpus_vec).cast("array<double>").alias("vec")).where("vec is not null")
+    q = queries.select(_key(queries, query_key).alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec")).where("vec is not null")
+    wanted = min(pivots, math.ceil(c.count() / block_rows))
+    if wanted <= 1:  # one block: nothing to leave out
+        return topk(corpus, queries, k, metric, corpus_key, corpus_vec, query_key, query_vec), _no_tiles(corpus)
+    chosen = c.where(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("key"), "key").limit(SAMPLES * wanted).select("vec").collect()
+    if not chosen:  # no vector that anything is near to
+        none = q.select("query_id").limit(0)
+        return none.select("query_id", F.lit(None).cast(dict(c.dtypes)["key"]).alias("key"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")), _no_tiles(corpus)
+    points = _spread(_space(np.array([r["vec"] for r in chosen], dtype=np.float64), metric), wanted)
+    c, c_blocks = _celled(c, "key", points, metric, block_rows)
+    q, q_blocks = _celled(q, "query_id", points, metric, block_rows)
+    number = F.row_number().over(Window.orderBy("cell", "part")) - 1
+    c_blocks = stored(c_blocks.withColumn("cb", number.cast("long")), "knn-blocks")
+    q_blocks = stored(q_blocks.withColumn("qb", number.cast("long")), "knn-blocks")
+    c = c.join(c_blocks.select("cell", "part", "cb"), ["cell", "part"]).select("key", "vec", "cb")
+    q = q.join(q_blocks.select("cell", "part", "qb"), ["cell", "part"]).select("query_id", "vec", "qb")
+    blocks = c_blocks.orderBy("cb").toPandas()
+
+    def scored(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+        tiles = stored(tiles, "knn-tiles")
+        left, right = q.join(tiles, "qb"), c.join(tiles, "cb")
+        partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_tile_topk(k, metric), _result(q, c))
+        return stored(partial, "knn-partial"), tiles
+
+    first, sent = scored(q_blocks.mapInPandas(_bounds(k, points, blocks, False), "qb long, cb long"))
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) if metric == "cosine" else F.sqrt("score")
+    # the k-th distance of each query so far (infinite with fewer), the largest of a block
+    best = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(far))).where(F.col("n") == k)
+    kth = q.select("query_id", "qb").join(best.select("query_id", far.alias("far")), "query_id", "left")
+    kth = kth.groupBy("qb").agg(F.max(F.coalesce("far", F.lit(float("inf")))).alias("kth"))
+    second, more = scored(q_blocks.join(kth, "qb").mapInPandas(_bounds(k, points, blocks, True), "qb long, cb long"))
+    order = F.round("score", TIE_DECIMALS)
+    order = order.desc() if metric == "cosine" else order.asc()
+    w = Window.partitionBy("query_id").orderBy(order, F.col("key").asc())
+    return first.unionByName(second).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), sent.unionByName(more)

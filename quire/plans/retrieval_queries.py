@@ -3,14 +3,12 @@ answer selection and token accounting."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.embed import embed, overlap_score
 from quire.functions.text import rounded, ws_tokens
-from quire.operators import ann, bm25, knn, lines, rerank, vectors
+from quire.operators import ann, bm25, graph_ann, knn, lines, rerank, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
 from quire.plans.search_queries import FIXED_QUERIES_CTE, fixed_query, search_ctes
@@ -123,22 +121,18 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------- approximate search
 
 
-# Fixed value: share of the lists that a query probes, so that recall does not fall as lists grow.
-ANN_SHARE = 0.7
-
-
 @register("ann_topk")
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IVF search of the benchmark queries, with per-query recall@k against the exact search."""
+    """Graph search of the benchmark queries, with per-query recall@k against the exact search and
+    the numbers of adjacency lists and of vectors that its search read."""
     e = embeddings(spark, sf_dir)
-    n_lists = ann.default_lists(e.count())
-    centroids, assignment = (stored(t, "ivf") for t in ann.build_ivf(e, n_lists))
-    qv = query_vectors(spark, sf_dir)
-    approx = ann.search(assignment, centroids, qv, SEARCH_K, math.ceil(ANN_SHARE * n_lists), "cosine")
-    exact = knn.topk(e, qv, SEARCH_K, "cosine", n_queries=table(spark, sf_dir, "benchmark").count())
+    qv = stored(query_vectors(spark, sf_dir), "ann-queries")
+    codes = graph_ann.encode(e, "vec_id", "embedding")
+    approx = stored(graph_ann.search(graph_ann.build(codes), codes, e, qv, SEARCH_K), "ann-hits")
+    exact = knn.topk(e, qv, SEARCH_K, "cosine")
     rec = ann.recall_at_k(approx, exact)
     return approx.join(rec, "query_id", "left").select(
-        "query_id", F.col("key").alias("vec_id"), rounded(F.col("score")).alias("score"), "rank", rounded(F.col("recall")).alias("recall")
+        "query_id", F.col("key").alias("vec_id"), rounded(F.col("score")).alias("score"), "rank", rounded(F.col("recall")).alias("recall"), "visited", "opened"
     )
 
 
@@ -212,10 +206,7 @@ def process_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.join(idx.select("path"), "path", "left_anti").select("path", F.col("doc_id").alias("key"))
     )
     updated = stored(upsert.join(keys, "path").select("key", "path", "embedding"), "updated-index")
-    n_files = table(spark, sf_dir, "documents").count()
-    n_index = embeddings(spark, sf_dir).count()
-    sim = knn.topk(updated, q.withColumnRenamed("doc_id", "query_id"), SIMILAR_K, "cosine", corpus_key="key",
-                   n_queries=n_files, n_corpus=n_files + n_index)  # parquet counts bound both sides
+    sim, _ = knn.pruned_topk(updated, q.withColumnRenamed("doc_id", "query_id"), SIMILAR_K, "cosine", corpus_key="key")
     sim = sim.join(updated.select("key", F.col("path").alias("similar_path")), "key")
     similar = sim.groupBy("query_id").agg(
         *[F.max(F.when(F.col("rank") == i, F.col("similar_path"))).alias(f"similar_{i}") for i in range(1, SIMILAR_K + 1)],

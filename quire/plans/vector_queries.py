@@ -164,7 +164,7 @@ def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    h = knn.topk(e, e.withColumnRenamed("vec_id", "query_id"), SIMILAR_K, "cosine")
+    h, _ = knn.pruned_topk(e, e.withColumnRenamed("vec_id", "query_id"), SIMILAR_K, "cosine")
     return h.select(F.col("query_id").alias("vec_id"), F.col("key").alias("similar_vec_id"), rounded(F.col("score")).alias("score"), "rank")
 
 

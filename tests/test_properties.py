@@ -174,7 +174,10 @@ def test_ann_recall(spark):
 def test_ann_query_recall(spark, registry, size):
     from quire.plans import retrieval_queries
 
-    rows = retrieval_queries.ann_topk(spark, f"/root/testdata/{size}").select("query_id", "recall").distinct().collect()
+    n = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").count()
+    rows = retrieval_queries.ann_topk(spark, f"/root/testdata/{size}").select("query_id", "recall", "visited", "opened").distinct().collect()
+    if size == "sf0.1":
+        assert max(r.visited for r in rows) < 0.1 * n and max(r.opened for r in rows) < 0.1 * n
     mean = sum(r.recall for r in rows) / len(rows)
     print("recall", size, len(rows), mean)
     assert mean >= 0.9
