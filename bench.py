@@ -54,6 +54,9 @@ def main() -> None:
     if os.path.isdir(warm_dir):
         for name in names:
             registry.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    # A search is timed on the index as it lies there; building one is ``bm25_index_write``.
+    if "bm25_search_indexed" in names:
+        registry.QUERIES["bm25_index_read"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     timings = {}
     for name in names:
         t0 = time.perf_counter()

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.registry import table
+from quire.session import spread
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(doc_id, path, content) := documents with a path per source/lang."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select("doc_id", path.alias("path"), F.col("text").alias("content"))
 

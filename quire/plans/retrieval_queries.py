@@ -3,7 +3,7 @@ answer selection and token accounting."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.embed import embed, overlap_score
@@ -11,7 +11,7 @@ from quire.functions.text import rounded, ws_tokens
 from quire.operators import ann, bm25, graph_ann, knn, lines, rerank, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
-from quire.plans.search_queries import FIXED_QUERIES_CTE, fixed_query, search_ctes
+from quire.plans.search_queries import FIXED_QUERIES_CTE, _documents, fixed_query, search_ctes
 from quire.plans.sqltext import bm25_tokens, lit
 from quire.plans.sqltext import ws_tokens as ws_tokens_sql
 from quire.plans.vector_queries import (
@@ -51,33 +51,45 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------- best candidate
 
 
+#: Turns of a conversation that one window looks at.
+TURNS_A_SPAN = 1000
+
+
 @register(
     "best_candidate",
-    f"""WITH p AS (SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id),
-a AS (SELECT c.conv_id, c.turn, c.text, p.prompt FROM conversations c JOIN p ON p.conv_id = c.conv_id WHERE c.role = 'assistant'),
+    f"""WITH t AS (
+  SELECT conv_id, turn, role, text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt_turn FROM conversations),
+p AS (SELECT conv_id, turn AS prompt_turn, min(text) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+a AS (SELECT conv_id, prompt_turn, t.turn, t.text, p.prompt FROM t JOIN p USING (conv_id, prompt_turn) WHERE t.role = 'assistant'),
 s AS (SELECT *, list_distinct({bm25_tokens('prompt')}) AS q, list_distinct({bm25_tokens('text')}) AS d FROM a),
-r AS (SELECT conv_id, turn, text, prompt, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0.0 END AS score FROM s),
-b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, turn) AS rk FROM r)
-SELECT conv_id, turn AS best_turn, round(score, 6) AS score, CAST(len({ws_tokens_sql('prompt')}) AS INTEGER) AS prompt_tokens,
+r AS (SELECT conv_id, prompt_turn, turn, text, prompt, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0.0 END AS score FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, prompt_turn ORDER BY round(score, 9) DESC, turn) AS rk FROM r)
+SELECT conv_id, prompt_turn, turn AS best_turn, round(score, 6) AS score, CAST(len({ws_tokens_sql('prompt')}) AS INTEGER) AS prompt_tokens,
        CAST(len({ws_tokens_sql('text')}) AS INTEGER) AS completion_tokens,
        CAST(len({ws_tokens_sql('prompt')}) + len({ws_tokens_sql('text')}) AS INTEGER) AS total_tokens
 FROM b WHERE rk = 1""",
 )
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation: the opening user turn is the prompt, its assistant turns the candidate
-    answers; keep the best by the default scorer (the first when there is only one), with
-    whitespace token counts. A partial+final max_by aggregate, so a long conversation never
-    lands whole in one task."""
-    c = table(spark, sf_dir, "conversations")
-    prompts = c.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
-    cand = c.where(F.col("role") == "assistant").join(prompts, "conv_id")
+    """Every user turn is a prompt, the assistant turns up to the next one its candidate answers; keep
+    the best by the default scorer (the first when there is only one), with whitespace token
+    counts. A turn finds its prompt within a span of turns or, failing that, the last one of the spans
+    before, so no window holds a whole conversation; the best is a partial+final max_by."""
+    c = table(spark, sf_dir, "conversations").withColumn("span", F.floor(F.col("turn") / TURNS_A_SPAN))
+    asked = F.max(F.when(F.col("role") == "user", F.col("turn")))
+    spans = c.groupBy("conv_id", "span").agg(asked.alias("asked"))
+    earlier = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("conv_id", "span", F.max("asked").over(earlier).alias("before"))
+    within = Window.partitionBy("conv_id", "span").orderBy("turn")
+    turns = c.join(spans, ["conv_id", "span"]).withColumn("prompt_turn", F.coalesce(asked.over(within), F.col("before")))
+    prompts = c.where(F.col("role") == "user").groupBy("conv_id", F.col("turn").alias("prompt_turn")).agg(F.min("text").alias("prompt"))
+    cand = turns.where(F.col("role") == "assistant").join(prompts, ["conv_id", "prompt_turn"])
     scored = cand.withColumn("score", overlap_score(F.col("prompt"), F.col("text")))
     # best = highest score, then the earliest turn; a lone candidate wins unscored either way
     rank_key = F.struct(F.round("score", 9).alias("s"), (-F.col("turn")).alias("t"))
-    best = scored.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text", "prompt", "score"), rank_key).alias("b"))
+    best = scored.groupBy("conv_id", "prompt_turn").agg(F.max_by(F.struct("turn", "text", "prompt", "score"), rank_key).alias("b"))
     pt, ct = F.size(ws_tokens(F.col("b.prompt"))), F.size(ws_tokens(F.col("b.text")))
     return best.select(
-        "conv_id", F.col("b.turn").alias("best_turn"), rounded(F.col("b.score")).alias("score"),
+        "conv_id", "prompt_turn", F.col("b.turn").alias("best_turn"), rounded(F.col("b.score")).alias("score"),
         pt.alias("prompt_tokens"), ct.alias("completion_tokens"), (pt + ct).alias("total_tokens"),
     )
 
@@ -151,7 +163,7 @@ SELECT source, id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank, (SELEC
 )
 def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and vector candidates of the fixed query in one list tagged by ``source``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     text_hits = bm25.search_documents(docs, fixed_query(spark)).select(
         F.lit("bm25").alias("source"), F.col("doc_id").alias("id"), F.col("bm25_score").alias("score"), "rank"
     )

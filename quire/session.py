@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "quire") -> SparkSession:
@@ -65,6 +66,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over the cores if its scan fills fewer tasks than there are cores (a table
+    of one row group is one task, however long). Which tasks have rows is counted without reading a
+    column; a table of many files is not even counted. The rows are the same either way."""
+    cores = parallelism(df.sparkSession)
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared folder and read back: what follows reads
     the result instead of computing it again, after a lost executor too, and the planner knows
