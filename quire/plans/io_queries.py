@@ -17,12 +17,13 @@ from quire.functions.vectors import array_size
 from quire.operators import bm25, cache, chunking, knn, rerank, vectors
 from quire.plans import inputs
 from quire.plans.registry import register, table
-from quire.plans.search_queries import FIXED_QUERIES_CTE, TOK_CTE, _documents, search_sql, fixed_query
+from quire.plans.search_queries import BATCH_QUERIES_CTE, FIXED_QUERIES_CTE, TOK_CTE, _documents, search_sql, fixed_query
 from quire.plans.sqltext import FILES_CTE, bm25_tokens, lit, ws_tokens
 from quire.plans.state_queries import CACHE_CTES, live_cache
 from quire.plans.vector_queries import QV_CTE, VSTATS_SQL, embed_ctes, query_vectors, vector_index, with_index_dim
 from quire.session import app_id, shared_dir, stored
 from quire.sources import corpus, documents_json, index_store
+from quire.sources.segments import SegmentedIndex
 from quire.streaming import incremental, watch
 
 # ---------------------------------------------------------------------------- corpus files
@@ -148,6 +149,30 @@ def bm25_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "doc_id", rounded(F.col("bm25_score")).alias("bm25_score"), "rank")
 
 
+_REVISED_DOCS = f"""documents AS (
+  SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM main.labels WHERE quality = 0) THEN coalesce(text, '') || ' revised' ELSE text END AS text
+  FROM main.documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM main.labels WHERE toxic = 1)),
+"""
+
+
+@register("bm25_segments_search", search_sql(BATCH_QUERIES_CTE, bm25.DEFAULT_LIMIT).replace("WITH ", "WITH " + _REVISED_DOCS, 1))
+def bm25_segments_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of queries on an index kept by segments: the documents added in three parts, those
+    labelled low quality replaced by a revised text, toxic ones deleted, tiers merged, the index
+    opened again. Equal to a search of the final documents."""
+    d = _documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels")
+    index = SegmentedIndex(spark)
+    for i in range(3):
+        index.add(d.where(F.pmod("doc_id", F.lit(3)) == i))
+    revised = d.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    index.add(revised.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" revised")).alias("text")), replace=True)
+    index.delete(labels.where("toxic = 1"))
+    index.merge_tiers(fanout=3)
+    hits, _ = SegmentedIndex(spark, index.path).search(inputs.search_queries(spark, sf_dir))
+    return hits.select("query_id", "doc_id", rounded(F.col("bm25_score")).alias("bm25_score"), "rank")
+
+
 # ---------------------------------------------------------------------------- vector index
 
 
