@@ -7,6 +7,10 @@ are just a few kilobytes each instead of one key each, which divides shuffle vol
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,56 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_owner, _held = "", []
+
+
+def held_by_worker(clear):
+    """Registers a function that frees what a module keeps in a worker process between tasks."""
+    _held.append(clear)
+    return clear
+
+
+def enter(owner: str) -> None:
+    """A worker that another operator used before gives that operator's caches and free memory back, so
+    a session that runs several operators holds the caches of one."""
+    global _owner
+    if _owner != owner:
+        _owner = owner
+        for clear in _held:
+            clear()
+        trim()
+
+
+def trim() -> None:
+    """Unused memory of this process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a GNU libc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def worker(owner: str):
+    """For a function that runs in Python workers, on batches or on one group's table."""
+
+    def wrap(run):
+        if inspect.isgeneratorfunction(run):
+
+            def batches_run(batches):
+                enter(owner)
+                yield from run(batches)
+                trim()
+
+            return batches_run
+
+        def table_run(table: pa.Table) -> pa.Table:
+            enter(owner)
+            return run(table)
+
+        return table_run
+
+    return wrap
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` (shared by driver and executors)."""
     return shared_dir(spark, f"llm-{name}")
@@ -163,6 +217,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+@held_by_worker
+def _forget_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes: polynomials mod 2^64 from prefix sums, finalized.
     Spans are ascending and do not overlap."""

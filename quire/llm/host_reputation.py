@@ -96,9 +96,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     columns of these names)."""
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
     own = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host.alias("host"))
-    found = C.stored(host_posteriors(own, labels).select(F.col("host").alias("_host"), F.col("labelled").alias("_labelled"), F.col("bad").alias("_bad"), (F.col("mean") - z * F.col("sd")).alias("_bound")), "host-reputation")
-    out = pages.withColumns({"host": host, "path": path})
+    found = C.stored(host_posteriors(own, labels).select("host", "labelled", "bad", (F.col("mean") - z * F.col("sd")).alias("bound")), "host-reputation")
+    # the input travels in one struct, so no name of it can clash
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path")).join(found, "host")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    out = out.join(found, F.col("host") == F.col("_host"))
-    verdict = F.coalesce(verdict, F.when(F.col("_bound") > max_bad, "block").otherwise("allow"))
-    return out.withColumns({"rule": rule, "verdict": verdict, "labelled": F.col("_labelled"), "bad": F.col("_bad"), "bad_bound": F.col("_bound")}).drop("_host", "_labelled", "_bad", "_bound")
+    verdict = F.coalesce(verdict, F.when(F.col("bound") > max_bad, "block").otherwise("allow"))
+    added = {"host": F.col("host"), "path": F.col("path"), "rule": rule, "verdict": verdict, "labelled": F.col("labelled"), "bad": F.col("bad"), "bad_bound": F.col("bound")}
+    return rows.select(*[F.col("row")[c].alias(c) for c in pages.columns if c not in added], *[x.alias(c) for c, x in added.items()])

@@ -131,6 +131,7 @@ def _text_evidence(model: TextModel):
 
     @F.arrow_udf("struct<ll: array<double>, alike: boolean>")
     def evidence(column: pa.Array) -> pa.Array:
+        C.enter("language_id")
         ll, alike = model.evidence(column)
         values = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
         return pa.StructArray.from_arrays([values, pa.array(alike)], fields=list(kind))

@@ -152,6 +152,7 @@ def _powers(tail: list[tuple], sequence: int, total: int) -> list[tuple]:
 
 
 def _shard(whole: Statistics, window: int, end_id: int, kind: str):
+    @C.worker("lexical_pack")
     def run(table: pa.Table) -> pa.Table:
         ids, raw = table["id"].to_pylist(), table["tokens"].to_pylist()
         by = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
@@ -175,6 +176,7 @@ def _shard(whole: Statistics, window: int, end_id: int, kind: str):
 
 
 def _encoded(path: str, kind: str):
+    @C.worker("lexical_pack")
     def run(batches):
         for batch in batches:
             _, offsets = C.flat_bytes(batch["text"])
@@ -198,6 +200,7 @@ def _parts(batch: pa.RecordBatch, kind: str):
 
 
 def _frequencies(kind: str):
+    @C.worker("lexical_pack")
     def run(batches):
         df = np.zeros(0, np.int64)
         for batch in batches:
@@ -217,6 +220,9 @@ def _directions(terms: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((terms, DIM), dtype=np.float32)
 
 
+C.held_by_worker(_directions.cache_clear)
+
+
 def projected(flat: np.ndarray, lengths: np.ndarray, whole: Statistics) -> np.ndarray:
     """The documents' BM25 weights as unit vectors of DIM numbers, 0 without a shared term."""
     doc, term, tf = postings(flat, lengths)
@@ -231,6 +237,7 @@ def projected(flat: np.ndarray, lengths: np.ndarray, whole: Statistics) -> np.nd
 
 
 def _vectors(whole: Statistics, kind: str):
+    @C.worker("lexical_pack")
     def run(batches):
         for batch in batches:
             for _, _, flat, lengths in _parts(batch, kind):
@@ -242,6 +249,7 @@ def _vectors(whole: Statistics, kind: str):
 def _cells(whole: Statistics, centres: np.ndarray, kind: str):
     """Adds each document's cell, -1 without a shared term."""
 
+    @C.worker("lexical_pack")
     def run(batches):
         for batch in batches:
             for a, b, flat, lengths in _parts(batch, kind):

@@ -123,6 +123,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _nodes(width: int):
+    @C.worker("ngram_join")
     def run(batches):
         for batch in batches:
             sets = sets_of(batch["text"], width)
@@ -136,6 +137,7 @@ def _nodes(width: int):
 
 
 def _signature_side(width: int, percent: int, ranges: int):
+    @C.worker("ngram_join")
     def run(batches):
         bands = Bands(percent)
         found: list[np.ndarray] = []
@@ -212,6 +214,7 @@ def _most(percent: int, a, b):
 def _passing(percent: int):
     """Keeps pairs whose sizes and sketches allow a link."""
 
+    @C.worker("ngram_join")
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -235,6 +238,7 @@ def _compare(percent: int):
     it has named already, so a refuted edge has the others beside it in the same round, while
     members that all link name a spanning tree and not their pairs."""
 
+    @C.worker("ngram_join")
     def run(table: pa.Table) -> pa.Table:
         node, n = table["node"].to_numpy(), table["n"].to_numpy()
         sketches = table["sketch"].to_pylist()
@@ -265,6 +269,7 @@ def _compare(percent: int):
 
 
 def _sets(width: int):
+    @C.worker("ngram_join")
     def run(batches):
         for batch in batches:
             wanted = batch["node"].to_pylist()
@@ -277,6 +282,7 @@ def _sets(width: int):
 
 
 def _verify(percent: int):
+    @C.worker("ngram_join")
     def run(table: pa.Table) -> pa.Table:
         centre, out = None, {}
         rows = list(zip(table["member"].to_pylist(), table["node"].to_pylist(), table["elements"]))

@@ -93,6 +93,7 @@ def _slices(batches, longest: int):
 
 
 def _sampled(longest: int):
+    @C.worker("phrase_mining")
     def run(batches):
         for grams, _ in _slices(batches, longest - 1):
             for k in range(1, longest):
@@ -140,6 +141,7 @@ def _counted(longest: int, old: list[Proposals], new: Proposals, ranges: int):
         cols = list(zip(*rows))
         return pa.RecordBatch.from_pydict({"hash_range": pa.array(cols[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("lengths", "phrases", "n"), cols[1:])}})
 
+    @C.worker("phrase_mining")
     def run(batches):
         keys, names, counts, held = [], [], [], 0
 
@@ -173,6 +175,7 @@ def _counted(longest: int, old: list[Proposals], new: Proposals, ranges: int):
 def _summed(least: int):
     """The counts of one hash range that reach ``least``, and those of all words."""
 
+    @C.worker("phrase_mining")
     def run(table: pa.Table) -> pa.Table:
         names, counts = [], []
         for lengths, phrases, n in zip(table["lengths"].to_pylist(), table["phrases"].to_pylist(), table["n"].to_pylist()):
@@ -193,6 +196,7 @@ def _summed(least: int):
 def _failed(longest: int, proposed: list[Proposals]):
     """Keys of the counted phrases that could be part of longer ones and were not proposed."""
 
+    @C.worker("phrase_mining")
     def run(batches):
         for batch in batches:
             data, offsets = C.flat_bytes(batch["phrase"])

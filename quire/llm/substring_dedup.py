@@ -49,6 +49,7 @@ def _windows(table: pa.Table, id_col: str, text_col: str, width: int):
 
 
 def _hash_side(id_col: str, text_col: str, width: int, ranges: int):
+    @C.worker("substring_dedup")
     def run(table: pa.Table) -> pa.Table:
         keys = np.unique(_windows(table, id_col, text_col, width)[1])
         cut = list(C.key_ranges(keys, ranges))

@@ -22,6 +22,8 @@ from quire.llm import common as C
 CHUNKS_PER_CALL = 64
 #: Chunks a worker keeps; beyond that the cache starts afresh (bounds memory, not results).
 KEEP_CHUNKS = 500_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 1 << 21
 _CLOSING = np.isin(np.arange(256), [ord(c) for c in ".,;:!?|"])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
@@ -121,7 +123,7 @@ class ChunkEncoder:
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of an Arrow column one after another, number of ids of each)."""
         data, offsets = C.flat_bytes(column)
-        parts = [self._encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in C.slices(offsets)]
+        parts = [self._encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in C.slices(offsets, SLICE_BYTES)]
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -145,3 +147,6 @@ class ChunkEncoder:
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process and vocabulary; later tasks of the worker find it warm."""
     return ChunkEncoder(path)
+
+
+C.held_by_worker(encoder.cache_clear)

@@ -18,7 +18,7 @@ SMALL = "/root/testdata/sf0.001"
 BPE, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators might use for themselves.
-CLASH = "row string, id string, block string, size string, salt string, copies string, n_words string, spans string, kept string, language string, host string, draw string"
+CLASH = "row string, id string, block string, size string, salt string, copies string, n_words string, spans string, kept string, language string, host string, draw string, _host string, _labelled string, _bad string, _bound string, _id string, _hash string, _text_hash string"
 
 
 def words(text):
@@ -551,6 +551,27 @@ def test_url_rules(spark):
         assert (r["rule"], r["verdict"]) == (best, rules[best] if best else "allow")
 
 
+def test_urls_of_clashing_names(spark):
+    from quire.llm import host_reputation as H
+
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string")
+    marks = spark.createDataFrame([(1, True)], "page_id long, bad boolean")
+    got = H.judge_urls(clashing(pages), marks).collect()
+    assert len(got) == 2 and all(r[c] == str(i) for r in got for i, c in enumerate(x.split()[0] for x in CLASH.split(", ")) if c != "host")
+
+
+def test_worker_gives_memory_back():
+    """Another operator's caches go when an operator enters a worker."""
+    from quire.llm import common, lexical_pack, tokens
+
+    common.enter("one")
+    tokens.encoder(BPE), lexical_pack._directions(10)
+    common.enter("one")
+    assert tokens.encoder.cache_info().currsize == 1
+    common.enter("two")
+    assert tokens.encoder.cache_info().currsize == 0 and lexical_pack._directions.cache_info().currsize == 0
+
+
 def test_reputation_shrinks_and_blocks(spark):
     from quire.llm import host_reputation as H
 

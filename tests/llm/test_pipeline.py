@@ -94,3 +94,12 @@ def test_run(spark):
     out = P.run(spark, SMALL)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
     assert public_tokenizers.path(P.TOKENIZER).endswith(".json")
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    import corpus_pipeline as P
+
+    rows = [(1, "a b c d e f g h", "en", "s", 15, "keep", "i", "h"), (2, "a b c d e f g h", "en", "s", 15, "keep", "i", "h"), (3, None, None, None, None, "keep", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text_hash string, _id string, _hash string")
+    got = P.one_of_each_group(spark, docs, "").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [rows[0], rows[2]]
