@@ -41,9 +41,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     stay = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     alone = found.filter("class_id is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     stay = common.stored(stay.unionByName(alone).distinct(), "stay")
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*_columns(docs))
+    # the documents travel in one struct, so no name of theirs can clash
+    rows = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
