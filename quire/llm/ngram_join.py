@@ -44,6 +44,8 @@ WIDTH, PERCENT = 4, 85
 SKETCH_BITS = 4
 #: Signatures a task holds before it sends them on (bounds worker memory).
 FLUSH = 1 << 20
+#: Elements of all sets to a hash range of signatures (bounds the task that groups a range).
+RANGE_ELEMENTS = 1 << 19
 #: Members that one verification group takes before its centre is salted.
 MEMBERS = 500
 #: Bits of a signature that are dropped after ranging; a clash only makes a false candidate.
@@ -343,8 +345,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), class_id (the component,
     null for an empty set) and text_hash (xxhash64 of the text) of every row of ``docs``."""
-    spark = docs.sparkSession
-    ranges = C.shuffle_partitions(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("alt"), "text")
     every = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_nodes(width), "id long, alt long, text_hash long, n long, node long, sketch binary")
@@ -354,6 +354,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         every.filter("node is not null").groupBy("node").agg(rep.alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .select("node", F.col("r.id").alias("rep_id"), F.col("r.alt").alias("rep_alt"), "n", "sketch"), "nodes")
 
+    elements = every.agg(F.sum("n")).first()[0] or 0
+    ranges = max(C.shuffle_partitions(docs.sparkSession), -(-elements // RANGE_ELEMENTS))
     sent = rows.select("text").mapInArrow(_signature_side(width, percent, ranges), "hash_range int, keys binary, places binary, nodes binary")
     groups = C.stored(sent.groupBy("hash_range").applyInArrow(_group_side, "grp long, node long").distinct(), "groups")
 
