@@ -43,7 +43,7 @@ WIDTH, PERCENT = 4, 85
 #: Sketch bits an element, rounded up to a power of two.
 SKETCH_BITS = 4
 #: Signatures a task holds before it sends them on (bounds worker memory).
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Elements of all sets to a hash range of signatures (bounds the task that groups a range).
 RANGE_ELEMENTS = 1 << 19
 #: Members that one verification group takes before its centre is salted.
@@ -74,7 +74,7 @@ def sets_of(column, width: int) -> list[np.ndarray]:
     """The sorted n-gram hashes of each text."""
     data, offsets = C.flat_bytes(column)
     out: list[np.ndarray] = []
-    for a, b in C.slices(offsets):
+    for a, b in C.slices(offsets, C.HASH_BYTES):
         part = C.lowered(data[offsets[a] : offsets[b]])
         starts, ends, counts = C.word_spans(part, offsets[a : b + 1] - offsets[a])
         words = C.span_hashes(part, starts, ends)
