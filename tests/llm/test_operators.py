@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -177,17 +178,63 @@ def test_neighbours_cases(spark):
 # 3 -------------------------------------------------------------------------------------------
 
 
+def text_hash(t):
+    h = xxhash.xxh64_intdigest(t.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def piece_counts(text):
+    """The pieces of a text as (text of the piece): count, by a plain loop."""
+    blank = " \t\n\x0b\x0c\r"
+    script = lambda c: any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
+    out, paragraph = Counter(), ""
+    paragraphs = []
+    for c in text:
+        paragraph += c
+        if c == "\n" or (c == " " and paragraph[-2:-1] in tuple(".!?;|")):
+            paragraphs.append(paragraph)
+            paragraph = ""
+    for p in paragraphs + [paragraph]:
+        units, unit = [], ""
+        for c in p:
+            unit += c
+            if c in blank or script(c) or len(unit) == 64:
+                units.append(unit)
+                unit = ""
+        run = []
+        for u in units + [unit]:
+            run.append(u)
+            if len(p) <= 64:
+                continue
+            if text_hash(u) % 4 == 0 or len(run) == 63:
+                out["".join(run)] += 1
+                run = []
+        out["".join(run)] += 1
+    del out[""]
+    return out
+
+
+def dice(a, b):
+    if a == b:
+        return 1.0
+    x, y = piece_counts(a), piece_counts(b)
+    length = lambda c: sum(len(k) * n for k, n in c.items())
+    return 2 * length(x & y) / (length(x) + length(y))
+
+
 def test_fingerprints(spark, docs):
-    from quire.llm.merkle import fingerprints
+    from quire.llm.merkle import fingerprints, string_likeness
 
-    rows = sorted(((r[0], r[1] or "") for r in nasty()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = sorted(((r[0], r[1] or "") for r in nasty()), key=lambda r: (r[0] is None, r[0] or 0, text_hash(r[1]), r[1]))
     want = Counter()
     for i, (d, t) in enumerate(rows):
         after, k = rows[(i + 1) % len(rows)][1], len(t) // 4
-        want[d, len(t), t[: len(t) - k] + after[:k]] += 1
-    got = fingerprints(clashing(docs)).collect()
-    assert Counter((r["doc_id"], r["n_chars"], r["edited"]) for r in got) == want
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        edited = t[: len(t) - k] + after[:k]
+        want[d, len(t), edited, round(dice(t, edited), 9), round(dice(t, after), 9)] += 1
+    out = fingerprints(clashing(docs))
+    got = out.withColumn("again", string_likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    assert all(r["again"] == r["near_edited"] for r in got)
     by_text = defaultdict(set)
     text_of = defaultdict(set)
     for d, t in rows:
@@ -201,16 +248,43 @@ def test_fingerprints(spark, docs):
     assert all((r["fingerprint"] == r["edited_fingerprint"]) == (r["near_edited"] == 1.0) == (not r["changed"]) for r in got)
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of the rows without an id, a third under one: still one successor each, in order."""
+    from quire.llm.merkle import _ranges, fingerprints
+
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"Text number {i}. Of the {i % 50} others.") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, text_hash(r[1]), r[1]))
+    want = Counter((r[0], r[1][: len(r[1]) - len(r[1]) // 4] + order[(i + 1) % len(order)][1][: len(r[1]) // 4]) for i, r in enumerate(order))
+    assert Counter((r["doc_id"], r["edited"]) for r in fingerprints(df).select("doc_id", "edited").collect()) == want
+    keyed = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    sizes = [r["count"] for r in keyed.groupBy(_ranges(keyed, 32)).count().collect()]
+    assert max(sizes) < 3000 / 32 * 2 and len(sizes) > 24
+
+
 def test_fingerprints_locate_edits(spark):
     from quire.llm import merkle
 
     lines = [f"Paragraph {i} of the text.\n" for i in range(40)]
-    other = list(lines)
-    other[21] = "Another one.\n"
-    df = spark.createDataFrame([("".join(lines), "".join(other))], "a string, b string").withColumns({c: merkle.leaves(F.col(c)) for c in "ab"})
-    df = df.withColumns({f"s{c}": merkle.sections(F.col(c)) for c in "ab"})
-    r = df.select(merkle.changed_paragraphs(F.col("a"), F.col("sa"), F.col("b"), F.col("sb")), F.expr("size(filter(zip_with(sa, sb, (x, y) -> x <> y), z -> z))")).first()
-    assert r[0] == [21] and r[1] == 1
+    new = "Another one.\n"
+    edits = [
+        (lines, lines[:21] + [new] + lines[22:], [21]),
+        (lines, [new] + lines, [0]),
+        (lines, lines[:30] + [new, new] + lines[30:], [30, 31]),
+        (lines, lines[:5] + [new] + lines[6:33] + [new] + lines[33:], [5, 33]),
+        (lines, lines[:12] + lines[15:], [12]),
+        (lines, lines[:-1] + [new], [39]),
+        (lines, lines, []),
+        (lines[:1], [], [0]),
+    ]
+    df = spark.createDataFrame([(i, "".join(a), "".join(b)) for i, (a, b, _) in enumerate(edits)], "i int, a string, b string")
+    for c in "ab":
+        df = merkle.with_tree(df, c, c)
+        df = df.withColumn(f"{c}s", merkle.section_starts(F.col(f"{c}leaves"))).withColumn(f"{c}n", merkle.sections(F.col(f"{c}leaves"), F.col(f"{c}s")))
+        df = df.withColumn(f"{c}t", F.struct(F.col(f"{c}leaves").alias("leaves"), F.col(f"{c}s").alias("starts"), F.col(f"{c}n").alias("nodes")))
+    got = df.select("i", merkle.changed_paragraphs(F.col("at"), F.col("bt")).alias("changed"), "an", "bn").orderBy("i").collect()
+    assert [r["changed"] for r in got] == [w for _, _, w in edits]
+    assert len(got[1]["an"]) > 2 and len(set(got[1]["bn"]) - set(got[1]["an"])) == 1  # an insertion changes its own section
 
 
 def test_fingerprints_of_text_without_marks(spark):
