@@ -130,7 +130,7 @@ def _nodes(width: int):
         for batch in batches:
             sets = sets_of(batch["text"], width)
             yield pa.RecordBatch.from_pydict({
-                "id": batch["id"], "alt": batch["alt"], "text_hash": batch["text_hash"], "n": pa.array([len(s) for s in sets], pa.int64()),
+                "id": batch["id"], "text_hash": batch["text_hash"], "n": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
                 "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
             })
@@ -330,14 +330,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of one document of each node that is in a group: all texts cross an exchange
+    once, and the rounds after it read only these. Repeated rows of that document come along."""
+    members = groups.select("node").distinct().join(nodes.select("node", "rep_id", "rep_hash"), "node")
+    # a shuffle at every size: the members grow with the corpus
+    found = docs.join(members.hint("merge"), docs["id"].eqNullSafe(members["rep_id"]) & (docs["text_hash"] == members["rep_hash"]))
+    return C.stored(found.select("node", "text"), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, ok) of candidate pairs, on the real sets of one document of each node."""
     salts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("members")).select("b", F.ceil(F.col("members") / MEMBERS).alias("salts"))
     member = pairs.join(salts, "b").select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(True).alias("member"), F.col("a").alias("node"))
     centre = salts.select(F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("node"))
-    wanted = C.stored(member.unionByName(centre).join(nodes.select("node", "rep_id", "rep_alt"), "node"), "wanted")
-    # a shuffle at every size: what is wanted grows with the corpus
-    texts = docs.join(wanted.hint("merge"), F.coalesce(docs["id"], F.lit(0)).eqNullSafe(F.coalesce(wanted["rep_id"], F.lit(0))) & (docs["alt"] == wanted["rep_alt"]))
+    wanted = C.stored(member.unionByName(centre), "wanted")
+    texts = texts.join(wanted.hint("merge"), "node")
     sets = texts.select("centre", "salt", "member", "node", "text").mapInArrow(_sets(width), "centre long, salt long, member boolean, node long, elements binary")
     return sets.groupBy("centre", "salt").applyInArrow(_verify(percent), "a long, b long, ok boolean")
 
@@ -346,13 +354,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_shingles, component_id (smallest id reachable by links), class_id (the component,
     null for an empty set) and text_hash (xxhash64 of the text) of every row of ``docs``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("alt"), "text")
-    every = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_nodes(width), "id long, alt long, text_hash long, n long, node long, sketch binary")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    every = rows.mapInArrow(_nodes(width), "id long, text_hash long, n long, node long, sketch binary")
     every = C.stored(every, "sets")
-    rep = F.min(F.struct(F.col("id").isNull(), "id", "alt"))
+    rep = F.min(F.struct(F.col("id").isNull(), "id", "text_hash"))
     nodes = C.stored(
         every.filter("node is not null").groupBy("node").agg(rep.alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        .select("node", F.col("r.id").alias("rep_id"), F.col("r.alt").alias("rep_alt"), "n", "sketch"), "nodes")
+        .select("node", F.col("r.id").alias("rep_id"), F.col("r.text_hash").alias("rep_hash"), "n", "sketch"), "nodes")
 
     elements = every.agg(F.sum("n")).first()[0] or 0
     ranges = max(C.shuffle_partitions(docs.sparkSession), -(-elements // RANGE_ELEMENTS))
@@ -367,10 +375,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(percent), "a long, b long, weight long")
     named = C.stored(near.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "named")
+    texts = _texts(groups, nodes, rows)
     checked = found = None
     while True:
         if named.head(1):
-            now = _verified(named.select("a", "b").distinct(), nodes, rows, width, percent)
+            now = _verified(named.select("a", "b").distinct(), texts, width, percent)
             checked = C.stored(now if checked is None else now.unionByName(checked), "checked")
             bad = checked.filter("not ok").select("a", "b")
             found = C.stored(components(checked.filter("ok").select("a", "b")), "components")
