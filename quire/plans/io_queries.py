@@ -73,23 +73,41 @@ def read_corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register(
-    "read_documents_json",
-    f"""WITH {FILES_CTE}
+DOCUMENTS_JSON_SQL = f"""WITH {FILES_CTE}
 SELECT CAST(doc_id AS VARCHAR) AS id, path AS file_path, 'document' AS chunk_type, content AS text,
-       CAST(length(content) AS INTEGER) AS chunk_size FROM files""",
-)
-def read_documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+       CAST(length(content) AS INTEGER) AS chunk_size FROM files"""
+
+
+def _json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = inputs.files(spark, sf_dir)
-    docs = f.select(
+    return f.select(
         F.col("doc_id").cast("string").alias("id"), F.col("path").alias("file_path"), F.lit("document").alias("chunk_type"),
         F.col("content").alias("text"), F.length("content").alias("chunk_size"),
     )
+
+
+@register("read_documents_json", DOCUMENTS_JSON_SQL)
+def read_documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "documents-json")
-    documents_json.write_documents_json(docs, out)
+    documents_json.write_documents_json(_json_documents(spark, sf_dir), out)
     return documents_json.read_documents_json(spark, out)
 
 
+@register("read_json_array", DOCUMENTS_JSON_SQL)
+def read_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in files that hold one JSON array on one line each (a file a source), read back by ranges."""
+    out = shared_dir(spark, "documents-array")
+    docs = _json_documents(spark, sf_dir)
+    docs = docs.select(F.md5(F.regexp_extract("file_path", "^/corpus/(.*)/[^/]*/[^/]*$", 1)).alias("file"), "id", F.to_json(F.struct(*docs.columns)).alias("json"))
+    first = docs.groupBy("file").agg(F.min("id").alias("first"))
+    items = docs.join(first, "file").select("file", F.lit(1).alias("place"), F.concat(F.when(F.col("id") == F.col("first"), "").otherwise(","), "json").alias("value"), (F.col("id") != F.col("first")).alias("later"))
+    border = lambda place, mark: first.select("file", F.lit(place).alias("place"), F.lit(mark).alias("value"), F.lit(False).alias("later"))
+    lines = border(0, "[").unionByName(items).unionByName(border(2, "]"))
+    lines = lines.repartition("file").sortWithinPartitions("file", "place", "later")
+    lines.select("file", "value").write.partitionBy("file").option("lineSep", " ").text(out)
+    return documents_json.read_json_array(spark, out)
+
+
 # ---------------------------------------------------------------------------- BM25 index
 
 # The term searched for after an index build.

@@ -71,3 +71,30 @@ def test_read_corpus_glob_and_sizes(spark, tmp_path):
     _write_bytes(root, "b.txt", b"skip me")
     rows = corpus.read_corpus(spark, root, "replace", glob="*.py").collect()
     assert [(os.path.basename(r.path), r.content, r.size_bytes) for r in rows] == [("a.py", "x = 'é'\n", 9)]
+
+
+def test_json_array_read_by_ranges(spark, tmp_path):
+    """Borders of ranges fall everywhere: in strings, escapes, nested values and between elements."""
+    import json
+
+    odd = ['a}b', '}{', '"quoted" }', "back\\slash\\", 'end\\"}', "[{]", "line\nbreak\t}", "é日本😀}", "", "}" * 30, '\\"', "\\\\}"]
+    docs = [{"id": str(i), "file_path": odd[i % len(odd)], "chunk_type": odd[(i * 7 + 3) % len(odd)], "text": odd[(i * 5 + 1) % len(odd)] * (i % 9), "chunk_size": i} for i in range(400)]
+    extra = [d | {"more": {"deep": [{"x": [1, {"y": "}"}]}, "]"]}} for d in docs]
+    root = tmp_path / "arrays"
+    root.mkdir()
+    (root / "one_line.json").write_text(json.dumps(docs, ensure_ascii=False))
+    (root / "pretty.json").write_text(json.dumps(extra, indent=3))
+    (root / "empty.json").write_text(" [ ]\n")
+    (root / "single.json").write_text('[\n{"id": "only"}]')
+    key = lambda d: tuple(d.get(c) if c != "chunk_size" else d.get(c, -1) for c in ("id", "file_path", "chunk_type", "text", "chunk_size"))
+    want = sorted(map(repr, [key(d) for d in docs] * 2 + [("only", None, None, None, -1)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "5000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = documents_json.read_json_array(spark, str(root)).fillna({"chunk_size": -1}).collect()
+            assert sorted(repr(tuple(r)) for r in rows) == want
+            if size == "700":
+                assert spark.read.option("lineSep", "}").text(str(root / "one_line.json")).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
