@@ -73,6 +73,30 @@ def read_corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register(
+    "read_corpus_lines",
+    """WITH f AS (SELECT md5(coalesce(source, '')) AS file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+p AS (
+  SELECT policy, file, string_split(CASE WHEN file < '8' THEN 'caf' || chr(65533) || chr(13) || chr(10) ELSE '' END || body, chr(10)) AS lines,
+         CAST(strlen(body) + CASE WHEN file < '8' THEN 6 ELSE 0 END AS BIGINT) AS size_bytes
+  FROM f, (SELECT unnest(['replace', 'drop']) AS policy) WHERE policy = 'replace' OR file >= '8'),
+l AS (SELECT policy, file, size_bytes, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS content FROM p)
+SELECT policy, file, size_bytes, CAST(line AS BIGINT) AS line, md5(content) AS md5 FROM l""",
+)
+def read_corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each source as one text file, some with a line that is not UTF-8, read back as numbered
+    lines by byte ranges."""
+    out = shared_dir(spark, "corpus-lines")
+    docs = inputs.files(spark, sf_dir).select("doc_id", F.regexp_extract("path", "^/corpus/(.*)/[^/]*/[^/]*$", 1).alias("source"), F.coalesce("content", F.lit("")).alias("value"))
+    docs = docs.select(F.md5(F.coalesce("source", F.lit(""))).alias("file"), F.lit(1).alias("place"), "doc_id", "value")
+    odd = docs.filter("file < '8'").select("file").distinct().select("file", F.lit(0).alias("place"), F.lit(0).cast("long").alias("doc_id"), F.unhex(F.lit("636166E90D")).cast("string").alias("value"))
+    lines = docs.unionByName(odd).repartition("file").sortWithinPartitions("file", "place", "doc_id")
+    lines.select("file", "value").write.partitionBy("file").text(out)
+    found = [corpus.read_corpus_lines(spark, out, policy).withColumn("policy", F.lit(policy)) for policy in ("replace", "drop")]
+    name = F.regexp_extract("path", "file=([0-9a-f]{32})/", 1)
+    return found[0].unionByName(found[1]).select("policy", name.alias("file"), "size_bytes", "line", F.md5("content").alias("md5"))
+
+
 DOCUMENTS_JSON_SQL = f"""WITH {FILES_CTE}
 SELECT CAST(doc_id AS VARCHAR) AS id, path AS file_path, 'document' AS chunk_type, content AS text,
        CAST(length(content) AS INTEGER) AS chunk_size FROM files"""

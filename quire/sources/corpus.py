@@ -1,10 +1,13 @@
-"""Whole-file corpus reader (Spark's binaryFile source) with the three decode policies."""
+"""Corpus readers with the three decode policies: whole files as rows (Spark's binaryFile source), and
+files of any size as numbered lines, read by byte ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.ranges import ranged, with_sum_before
+
 DECODE_POLICIES = ("replace", "latin1", "drop")
 
 
@@ -36,3 +39,37 @@ def read_corpus(spark: SparkSession, root: str, decode_policy: str = "replace",
     if decode_policy == "drop":
         out = out.where(F.col("content").isNotNull())
     return out
+
+
+def read_corpus_lines(spark: SparkSession, root: str, decode_policy: str = "replace", glob: str | None = None) -> DataFrame:
+    """(path, size_bytes, line from 1, content) of the lines of every file below ``root``, as splitting the decoded
+    file at line feeds gives them: a file that ends with one has an empty last line. Files may be larger
+    than any row: ranges of bytes are read apart, a line that crosses a border by the range it begins in,
+    and lines are numbered by running sums. Whether a file is valid UTF-8 as a whole, which ``latin1`` and ``drop``
+    ask, is one aggregate. A byte order mark at the start is left out; an empty file has no rows."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    rows = ranged(reader, root)
+    read = F.sum(F.octet_length("value").cast("long") + 1)
+    last = F.max(F.struct("range", "seq"))
+    files = rows.groupBy("file").agg(F.min(F.is_valid_utf8("value")).alias("valid"), (read - F.first("size")).alias("over"), last.alias("last"))
+    # every line but an unfinished last one has its line feed in the file; a byte order mark is three bytes
+    files = files.select("file", "valid", F.col("over").isin(0, -3).alias("finished"), "last")
+    rows = rows.join(files, "file")
+    if decode_policy == "drop":
+        rows = rows.filter("valid")
+    is_last = (F.col("range") == F.col("last.range")) & (F.col("seq") == F.col("last.seq"))
+    value = F.col("value")
+    if decode_policy == "latin1":
+        text = F.when(F.col("valid"), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1"))
+        # the carriage return before a line feed is part of the line end
+        text = F.when(is_last & ~F.col("finished"), text).otherwise(F.regexp_replace(text, "\r\\z", ""))
+        lines = F.split(text, "\r", -1)
+    else:
+        lines = F.array(decode(value.cast("binary"), decode_policy))
+    lines = F.when(is_last & F.col("finished"), F.concat(lines, F.array(F.lit("")))).otherwise(lines)
+    rows = rows.select("file", "size", "range", "seq", lines.alias("lines"))
+    rows = with_sum_before(rows, F.size("lines").cast("long"), "before")
+    out = rows.select("file", "size", "before", F.posexplode("lines").alias("place", "content"))
+    return out.select(F.col("file").alias("path"), F.col("size").alias("size_bytes"), (F.col("before") + F.col("place") + 1).alias("line"), "content")

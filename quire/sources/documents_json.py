@@ -10,11 +10,11 @@ of any length is never in one task; only the fragments of one element meet in on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import stored
+from quire.sources.ranges import ranged, with_sum_before
 
 DOCUMENT_SCHEMA = T.StructType(
     [
@@ -44,27 +44,11 @@ def _deeper(text: Column) -> Column:
     return (without("}]") - without("{[")).cast("long")
 
 
-def _with_sum_before(fragments: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all earlier fragments of the file."""
-    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    fragments = fragments.withColumn("_value", value)
-    totals = fragments.groupBy("file", "range").agg(F.sum("_value").alias("_total"))
-    base = F.coalesce(F.sum("_total").over(earlier("file").orderBy("range")), F.lit(0))
-    totals = totals.select("file", "range", base.alias("_base"))
-    inside = F.coalesce(F.sum("_value").over(earlier("file", "range").orderBy("seq")), F.lit(0))
-    return stored(fragments.join(totals, ["file", "range"]).withColumn(name, F.col("_base") + inside).drop("_base", "_value"), "json-scan")
-
-
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT_SCHEMA) -> DataFrame:
     """The objects of files that hold one JSON array of objects each, whatever their layout. Elements
     that are no objects are passed over; an object that does not fit ``schema`` gives nulls, as the
     permissive mode of the JSON source does; an empty array gives no rows."""
-    source = spark.read.option("lineSep", "}").text(path)
-    text = source.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
-        F.monotonically_increasing_id().alias("seq"), "value",
-    )
-    text = stored(text, "json-fragments")
+    text = ranged(spark.read.option("lineSep", "}"), path)
     # without escapes every quote opens or closes a string; the pieces between quotes alternate
     pieces = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
     outside = lambda start: F.array_join(F.filter("pieces", lambda _, i: i % 2 == start), " ")
@@ -72,13 +56,13 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType = DOCUM
         "file", "range", "seq", (F.size("pieces") - 1).cast("long").alias("quotes"),
         _deeper(outside(0)).alias("from_outside"), _deeper(outside(1)).alias("from_inside"),
     )
-    marks = _with_sum_before(marks, F.col("quotes"), "quotes_before")
+    marks = with_sum_before(marks, F.col("quotes"), "quotes_before")
     closes = (F.col("quotes_before") + F.col("quotes")) % 2 == 0  # the brace that ends the fragment is no text
     own = F.when(F.col("quotes_before") % 2 == 0, F.col("from_outside")).otherwise(F.col("from_inside"))
     change = own - F.when(closes, 1).otherwise(0)
-    marks = _with_sum_before(marks.select("file", "range", "seq", change.alias("change"), closes.alias("closes")), F.col("change"), "depth")
+    marks = with_sum_before(marks.select("file", "range", "seq", change.alias("change"), closes.alias("closes")), F.col("change"), "depth")
     ends = F.col("closes") & (F.col("depth") + F.col("change") == 1)
-    marks = _with_sum_before(marks.select("file", "range", "seq", ends.alias("ends")), F.col("ends").cast("long"), "element")
+    marks = with_sum_before(marks.select("file", "range", "seq", ends.alias("ends")), F.col("ends").cast("long"), "element")
     parts = text.join(marks, ["file", "range", "seq"]).groupBy("file", "element").agg(
         F.sort_array(F.collect_list(F.struct("range", "seq", "value"))).alias("parts"), F.max("ends").alias("whole")
     )

@@ -98,3 +98,24 @@ def test_json_array_read_by_ranges(spark, tmp_path):
                 assert spark.read.option("lineSep", "}").text(str(root / "one_line.json")).rdd.getNumPartitions() > 20
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_of_large_files_equal_whole_files(spark, tmp_path):
+    """Lines read by ranges are those of the whole-file reader, whatever the border cuts."""
+    root = str(tmp_path / "lines")
+    bodies = {
+        "ends.txt": b"one\ntwo\n", "open.txt": b"one\n\ntwo", "cr.txt": b"a\r\nb\rc\r\n\r", "latin.txt": b"caf\xe9\r\nx\ry\n", "newline.txt": b"\n",
+        "one.txt": "é".encode(), "long.txt": ("日本語😀 " * 50 + "\r\n").encode() * 40 + b"end\r", "bad.txt": (b"\xff\xfe line\n" + "ü".encode() * 300 + b"\n") * 20,
+    }
+    for name, body in bodies.items():
+        _write_bytes(root, name, body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("600", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for policy in corpus.DECODE_POLICIES:
+                whole = {(os.path.basename(r.path), r.size_bytes, i, t) for r in corpus.read_corpus(spark, root, policy).collect() for i, t in enumerate(r.content.split("\n"), 1)}
+                rows = corpus.read_corpus_lines(spark, root, policy).collect()
+                assert {(os.path.basename(r.path), r.size_bytes, r.line, r.content) for r in rows} == whole and len(rows) == len(whole), policy
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
