@@ -4,7 +4,7 @@ A vocabulary whose pre-tokenizer drops white space treats a text as its ASCII wh
 one after another, so each distinct chunk is encoded once per worker by the library and the texts
 are assembled from the cached ids by a ragged gather. Closing punctuation after an ASCII letter is a
 pre-token of its own and A-Z count as a-z, so words are encoded once whatever case or mark they
-come with. Distinct chunks are found by 64-bit hashes of their bytes.
+come with. Distinct chunks are found by 64-bit hashes of their bytes, and a worker knows them by these.
 ``tests/llm`` compares whole texts with the library's own whole-text encoding.
 """
 
@@ -24,7 +24,8 @@ CHUNKS_PER_CALL = 64
 KEEP_CHUNKS = 500_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 1 << 21
-_CLOSING = np.isin(np.arange(256), [ord(c) for c in ".,;:!?|"])
+#: ASCII marks that end a chunk as a pre-token of their own; no special token ends in one of them.
+_CLOSING = np.isin(np.arange(256), [ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
 
@@ -52,7 +53,7 @@ class ChunkEncoder:
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes of chunks, their numbers
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _is_word(self, chunk: str) -> bool:
@@ -85,7 +86,8 @@ class ChunkEncoder:
                 out += [self._whole(c) for c in part]
         return out
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes], hashes: np.ndarray) -> None:
+        """Encodes chunks of these ascending hashes."""
         kinds: tuple[list[str], list[str], list[str]] = [], [], []
         kind = []
         for c in chunks:
@@ -96,11 +98,12 @@ class ChunkEncoder:
         found = [iter([self._merged(w) for w in kinds[0]]), iter(self._of_words(kinds[1])), iter(self._of_chunks(kinds[2]))]
         ids = [next(found[k]) for k in kind]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        base, at = len(self.flat), len(self.index)
+        base, at, place = len(self.flat), len(self.lengths), np.searchsorted(self.known, hashes)
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))])
         self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.index.update(zip(chunks, range(at, at + len(chunks))))
+        self.known = np.insert(self.known, place, hashes)
+        self.known_at = np.insert(self.known_at, place, np.arange(at, at + len(chunks)))
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray):
         """(bytes to encode, start, end of every chunk, number of chunks of each row)."""
@@ -129,15 +132,15 @@ class ChunkEncoder:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > KEEP_CHUNKS:
+        if len(self.known) > KEEP_CHUNKS:
             self._reset()
         data, starts, ends, counts = self._chunks(data, offsets)
-        _, first, inverse = np.unique(C.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        view = memoryview(np.ascontiguousarray(data))
-        chunks = [bytes(view[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if fresh := [c for c in chunks if c not in self.index]:
-            self._learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))[inverse]
+        hashes, first, inverse = np.unique(C.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        fresh = ~np.isin(hashes, self.known, assume_unique=True)
+        if fresh.any():
+            view = memoryview(np.ascontiguousarray(data))
+            self._learn([bytes(view[a:b]) for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())], hashes[fresh])
+        at = self.known_at[np.searchsorted(self.known, hashes)][inverse]
         lengths = self.lengths[at]
         sums = np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]
         return C.ragged_take(self.flat, self.starts[at], lengths), np.diff(np.r_[0, sums])

@@ -482,9 +482,9 @@ def test_chunk_encoder_equals_whole_texts(spark):
 
     rng = random.Random(5)
     rows = [(r[0], r[1]) for r in nasty()] + [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    alphabet = "aZ.É'éß,!|<>😀日1 \t\n\u0301\u00a0Σİ"
+    alphabet = "aZ.É'éß,!|<>😀日1 \t\n\u0301\u00a0Σİ$_*\"-)\u2014"
     rows += [(0, "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))) for _ in range(1500)]
-    rows += [(0, t) for t in ("it's. don't, A<|endoftext|>B <|ENDOFTEXT|> <|endoftext|>.", "ΑΣ ΑΣ. İx", "가 각 ạ́", "a..b.. .a")]
+    rows += [(0, t) for t in ("it's. don't, A<|endoftext|>B <|ENDOFTEXT|> <|endoftext|>.", "ΑΣ ΑΣ. İx", "가 각 ạ́", "a..b.. .a", "it$$$ $$$it $it$s's$ x_y_ a'$ a-'s")]
     ids, lengths = ChunkEncoder(BPE).encode(pa.array([t for _, t in rows], pa.string()))
     ends = np.cumsum(lengths)
     for (_, want), n, end in zip(token_lists(rows), lengths, ends):
