@@ -20,8 +20,8 @@ from quire.llm import common as C
 
 #: Chunks joined into one library call.
 CHUNKS_PER_CALL = 64
-#: Chunks a worker keeps; beyond that the cache starts afresh (bounds memory, not results).
-KEEP_CHUNKS = 500_000
+#: Chunks a worker keeps (about 50 bytes each); beyond that the cache starts afresh (bounds memory, not results).
+KEEP_CHUNKS = 2_000_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 1 << 21
 #: ASCII marks that end a chunk as a pre-token of their own; no special token ends in one of them.
@@ -57,8 +57,8 @@ class ChunkEncoder:
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _is_word(self, chunk: str) -> bool:
-        """Whether the chunk is one pre-token of letters (and, if ASCII, of a-z only)."""
-        return self.direct and chunk.isalpha() and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk))
+        """Whether the chunk is one pre-token of letters."""
+        return self.direct and chunk.isalpha() and unicodedata.is_normalized("NFC", chunk)
 
     def _of_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words of letters beyond ASCII, told apart by the ids that close a word."""
@@ -86,24 +86,28 @@ class ChunkEncoder:
                 out += [self._whole(c) for c in part]
         return out
 
-    def _learn(self, chunks: list[bytes], hashes: np.ndarray) -> None:
-        """Encodes chunks of these ascending hashes."""
-        kinds: tuple[list[str], list[str], list[str]] = [], [], []
-        kind = []
-        for c in chunks:
-            text = c.decode()
-            k = (0 if text.isascii() else 1) if self._is_word(text) else 2
-            kinds[k].append(text)
-            kind.append(k)
-        found = [iter([self._merged(w) for w in kinds[0]]), iter(self._of_words(kinds[1])), iter(self._of_chunks(kinds[2]))]
-        ids = [next(found[k]) for k in kind]
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Encodes the chunks at these spans, which have these ascending hashes."""
+        other = np.r_[0, np.cumsum(~_LETTER[data])]
+        plain = np.full(len(starts), self.direct) & (other[ends] == other[starts])
+        letters, raw = data.tobytes().decode("latin-1"), memoryview(np.ascontiguousarray(data))
+        ids = [self._merged(letters[a:b]) for a, b in zip(starts[plain].tolist(), ends[plain].tolist())]
+        order = [np.flatnonzero(plain)]
+        rest = np.flatnonzero(~plain)
+        chunks = [str(raw[a:b], "utf-8") for a, b in zip(starts[rest].tolist(), ends[rest].tolist())]
+        word = np.fromiter(map(self._is_word, chunks), dtype=bool, count=len(chunks))
+        for which, encoded in ((word, self._of_words), (~word, self._of_chunks)):
+            at = np.flatnonzero(which)
+            ids += encoded([chunks[i] for i in at.tolist()])
+            order.append(rest[at])
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        base, at, place = len(self.flat), len(self.lengths), np.searchsorted(self.known, hashes)
+        base, number = len(self.flat), np.empty(len(ids), np.int64)
+        number[np.concatenate(order)] = np.arange(len(ids)) + len(self.lengths)
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.known_at = np.insert(self.known, place, hashes), np.insert(self.known_at, place, number)
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))])
         self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.known = np.insert(self.known, place, hashes)
-        self.known_at = np.insert(self.known_at, place, np.arange(at, at + len(chunks)))
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray):
         """(bytes to encode, start, end of every chunk, number of chunks of each row)."""
@@ -136,10 +140,12 @@ class ChunkEncoder:
             self._reset()
         data, starts, ends, counts = self._chunks(data, offsets)
         hashes, first, inverse = np.unique(C.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        fresh = ~np.isin(hashes, self.known, assume_unique=True)
+        place = np.searchsorted(self.known, hashes)
+        fresh = np.ones(len(hashes), dtype=bool)
+        inside = place < len(self.known)
+        fresh[inside] = self.known[place[inside]] != hashes[inside]
         if fresh.any():
-            view = memoryview(np.ascontiguousarray(data))
-            self._learn([bytes(view[a:b]) for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())], hashes[fresh])
+            self._learn(data, starts[first[fresh]], ends[first[fresh]], hashes[fresh])
         at = self.known_at[np.searchsorted(self.known, hashes)][inverse]
         lengths = self.lengths[at]
         sums = np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]
