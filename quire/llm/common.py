@@ -269,10 +269,12 @@ def block_of(bounds: list[int]):
     return block
 
 
+def ragged_at(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """s, s + 1, ..., s + n - 1 for each (s, n), one after another."""
+    shift = starts - np.r_[0, np.cumsum(lengths)[:-1]]
+    return np.repeat(shift, lengths) + np.arange(int(lengths.sum()))
+
+
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of flat[s : s + n] for each (s, n)."""
-    total = int(lengths.sum())
-    if not total:
-        return flat[:0]
-    shift = starts - np.r_[0, np.cumsum(lengths)[:-1]]
-    return flat[np.repeat(shift, lengths) + np.arange(total)]
+    return flat[ragged_at(starts, lengths)] if len(lengths) else flat[:0]

@@ -44,6 +44,8 @@ K1, B = 1.2, 0.75
 SHARD_TOKENS, CELLS = 1 << 20, 4
 #: Numbers of a projected document; documents for each cell that its centre is fitted on; rounds.
 DIM, FIT_DOCS, FIT_ROUNDS = 64, 16, 10
+#: Terms projected at once, few enough for a core's cache.
+PROJECT_TERMS = 1 << 13
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -91,8 +93,8 @@ class Index:
             return terms
         starts = self.term_at[terms]
         counts = self.term_at[terms + 1] - starts
-        docs, weights = C.ragged_take(self.docs, starts, counts), C.ragged_take(self.weights, starts, counts)
-        score = np.bincount(docs, weights=weights, minlength=self.n)
+        at = C.ragged_at(starts, counts)
+        score = np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
@@ -232,7 +234,11 @@ def projected(flat: np.ndarray, lengths: np.ndarray, whole: Statistics) -> np.nd
     out = np.zeros((len(lengths), DIM), dtype=np.float32)
     if len(doc):
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        out[doc[first]] = np.add.reduceat(_directions(len(whole.df))[term] * weight[:, None], first, axis=0)
+        edges, directions = np.r_[first, len(doc)], _directions(len(whole.df))
+        for a, b in C.slices(edges, PROJECT_TERMS):
+            part = directions[term[edges[a] : edges[b]]]
+            part *= weight[edges[a] : edges[b], None]
+            out[doc[first[a:b]]] = np.add.reduceat(part, first[a:b] - edges[a], axis=0)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), np.float32(1e-12))
 
 
