@@ -29,6 +29,8 @@ ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed and bytes of texts handled at once; they bound the working arrays, not the texts.
 HASH_BYTES, SLICE_BYTES = 1 << 20, 1 << 22
+#: A group of more bytes gives its freed memory back when it ends.
+TRIM_BYTES = 1 << 20
 _BYTE = np.uint64(0xD6E8FEB86659FD93)
 _BYTE_INVERSE = np.uint64(pow(int(_BYTE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
@@ -60,13 +62,18 @@ def enter(owner: str) -> None:
 def trim() -> None:
     """Unused memory of this process goes back to the system."""
     gc.collect()
+    freed()
+
+
+def freed() -> None:
+    """What the allocators hold unused goes back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not a GNU libc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def worker(owner: str):
-    """For a function that runs in Python workers, on batches or on one group's table."""
+    """For a function that runs in Python workers, on batches, on one group's table or on two."""
 
     def wrap(run):
         if inspect.isgeneratorfunction(run):
@@ -78,11 +85,16 @@ def worker(owner: str):
 
             return batches_run
 
-        def table_run(table: pa.Table) -> pa.Table:
+        def group_run(*tables: pa.Table) -> pa.Table:
             enter(owner)
-            return run(table)
-
-        return table_run
+            out = run(*tables)
+            if sum(t.nbytes for t in tables) > TRIM_BYTES:
+                freed()
+            return out
+
+        if len(inspect.signature(run).parameters) == 1:
+            return lambda table: group_run(table)
+        return lambda left, right: group_run(left, right)
 
     return wrap
 
