@@ -5,10 +5,15 @@ Defined cases are those of the operators; besides, a near-duplicate group keeps
 smallest id (null ids last, then by text hash) and rows equal in id and text count once, rows
 without words are in no group and stay, a document that the passage stage empties goes, and a
 document whose rate rounds to no copies goes.
+
+Stages carry whole documents through Python workers, so they lower the session's
+``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``BATCH_ROWS`` where it is higher.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +24,8 @@ from quire.plans.registry import table
 #: Words in a shingle and the least similarity of near-duplicates, in per cent.
 SHINGLE, SIMILAR = 5, 80
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of a batch between Spark and its Python workers.
+BATCH_ROWS = 1000
 #: Every stage has a brute-force or property test; the mix and the packing have no SQL.
 ORACLE_SQL = None
 
@@ -27,6 +34,20 @@ def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def _small_batches(stage):
+    """The stage, planned and run with batches of at most BATCH_ROWS documents."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
     model = language_id.fit(docs)
@@ -34,6 +55,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.filter(~F.col("rejected")).select(*_columns(docs))
 
 
+@_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     found = ngram_join.jaccard_join(docs, width=SHINGLE, percent=SIMILAR)
@@ -47,6 +69,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.dropDuplicates(["id", "hash"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@_small_batches
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that a smaller document's window already has."""
     out = substring_dedup.remove_repeats(docs).filter("n_removed = 0 or kept <> ''")
@@ -55,12 +78,14 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+@_small_batches
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     out = entropy_mix.mix_sources(docs).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
     out = lexical_pack.pack_documents(docs, public_tokenizers.path(TOKENIZER))
