@@ -98,7 +98,8 @@ def _tile_topk(k: int, metric: str):
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({"query_id": qpdf["query_id"][:0], "key": cpdf["key"][:0], "score": pd.Series([], dtype="float64")})
-        ck_all = _keys(cpdf["key"])
+        # a key's place in key order stands for it: a score matrix of string keys would be gigabytes
+        keys, ck_all = np.unique(_keys(cpdf["key"]), return_inverse=True)
         c_all = _matrix(cpdf["vec"])
         qk_all = _keys(qpdf["query_id"])
         q_all = _matrix(qpdf["vec"])
@@ -125,7 +126,7 @@ def _tile_topk(k: int, metric: str):
                 best_k = np.take_along_axis(all_k, order, axis=1)
             keep = np.isfinite(best_o)
             rows_q = np.broadcast_to(qk[:, None], best_o.shape)[keep]
-            out.append(pd.DataFrame({"query_id": rows_q, "key": best_k[keep], "score": best_s[keep]}))
+            out.append(pd.DataFrame({"query_id": rows_q, "key": keys[best_k[keep]], "score": best_s[keep]}))
         return pd.concat(out, ignore_index=True)
 
     return run

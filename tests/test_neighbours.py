@@ -83,3 +83,22 @@ def test_graph_cases(spark):
     assert graph_ann.search(graph_ann.build(none), none, e.limit(0), q, 3).collect() == []
     one = graph_ann.encode(e.where("vec_id = 302"), "vec_id", "embedding")
     assert [k for k, _ in answers(graph_ann.search(graph_ann.build(one), one, e, q, 3))[85]] == [302]
+
+
+def test_tile_of_string_keys_holds_no_matrix_of_strings():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    vecs = lambda n: list(rng.normal(size=(n, 8)))
+    corpus = pd.DataFrame({"key": [f"/corpus/some/long/folder/name/{i:06d}.txt#0" for i in range(8192)], "vec": vecs(8192)})
+    queries = pd.DataFrame({"query_id": range(256), "vec": vecs(256)})
+    tracemalloc.start()
+    out = knn._tile_topk(5, "l2")(queries, corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = ((np.stack(queries["vec"])[:, None, :] - np.stack(corpus["vec"])[None, :, :]) ** 2).sum(2)
+    want = {(q, corpus["key"][c]) for q in range(256) for c in d[q].argsort()[:5]}
+    assert set(zip(out["query_id"], out["key"])) == want
+    assert peak < 200e6, peak  # strings in the score matrix: 440 MB more
