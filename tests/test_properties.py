@@ -321,3 +321,34 @@ def test_changed_files_feed_the_index(spark, tmp_path):
     later = watch.listing(spark, str(root))
     incremental.index_batch(incremental.change_records(spark, watch.changed_files(later, now), str(root), 2**60), 1, idx, 4)
     assert [r.text for r in incremental.current_chunks(spark, idx).collect()] == ["alpha two"]
+
+
+def test_postings_of_documents_need_no_exchange(spark):
+    from quire.operators import bm25
+
+    rows = [(1, "b a b c a b"), (2, ""), (3, None), (4, "x é x"), (1, "a a a a a z"), (1, "a b b"), (None, "q q"), (None, "q r")]
+    tok = bm25.tokenized(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = bm25.term_frequency(tok)
+    want = [
+        (1, "a", 7, 6), (1, "b", 3, 6), (1, "c", 1, 6), (1, "z", 1, 6), (1, "a", 1, 3), (1, "b", 2, 3), (4, "x", 2, 3), (4, "é", 1, 3), (None, "q", 3, 2), (None, "r", 1, 2)]
+    assert sorted(map(str, found.collect())) == sorted(f"Row(doc_id={d}, term='{t}', tf={n}, doc_len={k})" for d, t, n, k in want)
+    plan = bm25.term_frequency(bm25.tokenized(spark.createDataFrame([(i, f"a b w{i}") for i in range(50)], "doc_id long, text string")))
+    alone = plan._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "LeftAnti" in alone and "Aggregate" not in alone
+
+
+def test_linked_changes_replay_in_a_stream(spark):
+    from quire.operators import changes
+
+    files = spark.createDataFrame([(f"/f{i}", f"text {i}") for i in range(40)], "path string, content string")
+    rows = [(3 * i + n, kind, f"/f{i}" + a, f"/f{i}" + b, None) for i in range(40) for n, (kind, a, b) in enumerate([("copy", "", ".g"), ("move", ".g", ".h"), ("copy", ".g", ".i")])]
+    result, after = changes.apply_path_changes(files, spark.createDataFrame(rows, "change_id long, type string, source string, destination string, target string"))
+    assert [(r.success, r.size) for r in result.orderBy("change_id").limit(3).collect()] == [(True, 6), (True, None), (False, None)]
+    assert sorted(map(tuple, after.collect())) == sorted((f"/f{i}{e}", f"text {i}") for i in range(40) for e in ("", ".h"))
+    # many sets in one batch, each with names of its own
+    import pyarrow as pa
+
+    table = pa.table({"label": ["a", "a", "b"], "change_id": [None, 1, 2], "type": ["file", "copy", "copy"], "source": ["a", "a", "a"], "destination": [None, "x", "y"], "target": pa.nulls(3, pa.string())})
+    out = [r for b in changes._replay(iter(table.to_batches())) for r in b.to_pylist()]
+    assert [(r["change_id"], r["success"]) for r in out if r["change_id"]] == [(1, True), (2, False)]
+    assert sorted(r["path"] for r in out if r["path"]) == ["a", "x"]
