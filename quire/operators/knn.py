@@ -13,7 +13,8 @@ the size of one, grows with the data.
 
 ``pruned_topk`` sends only the tiles that can hold a result: corpus and queries fall into cells around
 pivots, a block of a cell is bounded by its distances from the pivot, and by the triangle inequality
-a tile whose least possible distance exceeds the query block's k-th distance is never sent.
+a tile whose least possible distance exceeds the query block's k-th distance is never sent. Tiles of
+neighbouring blocks are sent together: a row crosses once for all of them.
 
 Metrics: ``cosine`` (inner product of L2-normalised vectors, larger is better; zero
 vectors never match) and ``l2`` (squared Euclidean distance on raw vectors, smaller is
@@ -41,6 +42,8 @@ TIE_DECIMALS = 9
 # Rows of a block in the pruned join, most pivots (one a block up to then; beyond, larger cells are split
 # and prune less) and vectors that each is chosen from; slack of a bound, far above the noise of double arithmetic.
 PIVOTS, SAMPLES, PRUNE_ROWS, SLACK = 1024, 4, 4096, 1e-6
+# Most blocks of either side of the pruned join that are sent together (fewer while that makes too few tasks).
+TOGETHER = 8
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -132,6 +135,22 @@ def _tile_topk(k: int, metric: str):
     return run
 
 
+def _wanted_topk(k: int, metric: str):
+    """The tiles of some query blocks and some corpus blocks that come together: each query block (``qb``) is
+    scored against the corpus blocks (``cb``) that its rows list as ``wanted``, and no others."""
+    tile = _tile_topk(k, metric)
+
+    def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        out = [tile(qpdf[:0], cpdf[:0])]
+        cb = cpdf["cb"].to_numpy()
+        for _, block in qpdf.groupby("qb"):
+            out.append(tile(block, cpdf[np.isin(cb, np.asarray(block["wanted"].iloc[0]))]))
+        out = [x for x in out if len(x)] or out[:1]
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
 def _blocks(n: int, rows_per_block: int, min_blocks: int = 1) -> int:
     return max(min(max(math.ceil(n / rows_per_block), min_blocks), max(n, 1)), 1)
 
@@ -313,7 +332,7 @@ def pruned_topk(
 ) -> tuple[DataFrame, DataFrame]:
     """(what ``topk`` returns, exactly; the tiles (qb, cb) that were sent). The driver holds the pivots
     and four numbers a block."""
-    from quire.session import stored
+    from quire.session import parallelism, stored
 
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -335,11 +354,19 @@ def pruned_topk(
     c = c.join(c_blocks.select("cell", "part", "cb"), ["cell", "part"]).select("key", "vec", "cb")
     q = q.join(q_blocks.select("cell", "part", "qb"), ["cell", "part"]).select("query_id", "vec", "qb")
     blocks = c_blocks.orderBy("cb").toPandas()
+    n_qb, n_cb = q_blocks.count(), len(blocks)
+    together = TOGETHER
+    while together > 1 and math.ceil(n_qb / together) * math.ceil(n_cb / together) < 4 * parallelism(corpus.sparkSession):
+        together //= 2
+    group = lambda b: F.floor(F.col(b) / together)
 
     def scored(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
         tiles = stored(tiles, "knn-tiles")
-        left, right = q.join(tiles, "qb"), c.join(tiles, "cb")
-        partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_tile_topk(k, metric), _result(q, c))
+        # neighbouring blocks travel together, so a row is sent once to all their tiles and gives one partial list
+        tiles_of = tiles.groupBy("qb", group("cb").alias("cg")).agg(F.collect_list("cb").alias("wanted"))
+        left = q.join(tiles_of, "qb").withColumn("qg", group("qb"))
+        right = c.join(tiles.select(group("qb").alias("qg"), "cb").distinct(), "cb").withColumn("cg", group("cb"))
+        partial = left.groupBy("qg", "cg").cogroup(right.groupBy("qg", "cg")).applyInPandas(_wanted_topk(k, metric), _result(q, c))
         return stored(partial, "knn-partial"), tiles
 
     first, sent = scored(q_blocks.mapInPandas(_bounds(k, points, blocks, False), "qb long, cb long"))
