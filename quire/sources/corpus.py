@@ -3,9 +3,14 @@ files of any size as numbered lines, read by byte ranges."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import stored
 from quire.sources.ranges import ranged, with_sum_before
 
 DECODE_POLICIES = ("replace", "latin1", "drop")
@@ -41,6 +46,83 @@ def read_corpus(spark: SparkSession, root: str, decode_policy: str = "replace",
     return out
 
 
+#: Bytes of a chunk of a file between the task that reads it and the one that digests it.
+CHUNK_BYTES = 1 << 20
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins neighbouring lines of a range to chunks of about CHUNK_BYTES, each line with its line feed."""
+
+    def row(key, parts):
+        return pa.RecordBatch.from_pylist([{"file": key[0], "range": key[1], "seq": key[2], "lines": len(parts), "chunk": b"".join(p + b"\n" for p in parts)}], schema=_CHUNK)
+
+    key, parts, size = None, [], 0
+    for batch in batches:
+        for file, start, seq, value in zip(*(batch.column(c).to_pylist() for c in ("file", "range", "seq", "value"))):
+            if key is not None and (key[:2] != (file, start) or size >= CHUNK_BYTES):
+                yield row(key, parts)
+                key, parts, size = None, [], 0
+            key = key or (file, start, seq)
+            parts.append(value)
+            size += len(value) + 1
+    if key is not None:
+        yield row(key, parts)
+
+
+_CHUNK = pa.schema([("file", pa.string()), ("range", pa.int64()), ("seq", pa.int64()), ("lines", pa.int64()), ("chunk", pa.binary())])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """md5 and line count of each file from its chunks in order; a chunk at a time is held. The last line feed
+    is the file's only where the sizes say so; a byte order mark, which the text source leaves out, likewise."""
+
+    def row():
+        return pa.RecordBatch.from_pylist([{"file": file, "lines": lines + (not cut), "md5": md5.hexdigest()}])
+
+    file, md5, lines, left, cut = None, None, 0, 0, False
+    for batch in batches:
+        for name, size, count, chunk in zip(*(batch.column(c) for c in ("file", "size", "lines", "chunk"))):
+            if name.as_py() != file:
+                if file is not None:
+                    yield row()
+                file, md5, lines, cut = name.as_py(), hashlib.md5(usedforsecurity=False), 0, False
+                left = size.as_py()[0]
+                if size.as_py()[1] in (left - 3, left - 2):
+                    md5.update(BOM)
+                    left -= len(BOM)
+            data = memoryview(chunk.as_buffer())
+            cut = len(data) > left  # one line feed more than the file has
+            md5.update(data[:left])
+            left -= min(len(data), left)
+            lines += count.as_py()
+    if file is not None:
+        yield row()
+
+
+BOM = b"\xef\xbb\xbf"
+
+
+def file_digests(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path, size_bytes, line_count, md5) of every file below ``root``: lines as splitting the decoded file at line
+    feeds gives them, md5 of its bytes. Files may be larger than any row: ranges are read apart and joined
+    to chunks, and a file's chunks meet in order in one task, which holds one of them at a time (an md5 is
+    sequential by nature)."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.format("binaryFile").load(root).select("path", F.col("_metadata.file_path").alias("_file"), F.col("length").alias("size_bytes"))
+    rows = reader.option("lineSep", "\n").format("text").load(root).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("value"))
+    chunks = stored(rows.mapInArrow(_chunks, "file string, range long, seq long, lines long, chunk binary"), "file-chunks")
+    read = stored(chunks.groupBy("file").agg(F.sum(F.octet_length("chunk").cast("long")).alias("read")), "file-sizes")
+    sizes = read.join(files, read["file"] == files["_file"]).select("file", F.array("size_bytes", "read").alias("size"))
+    ordered = chunks.join(sizes, "file").repartition("file").sortWithinPartitions("file", "range", "seq")
+    found = ordered.select("file", "size", "lines", "chunk").mapInArrow(_digests, "file string, lines long, md5 string")
+    out = files.join(found, files["_file"] == found["file"], "left")
+    # a file of a byte order mark alone has no chunk: it is one line
+    return out.select("path", "size_bytes", F.coalesce("lines", F.lit(1)).cast("int").alias("line_count"), F.coalesce("md5", F.md5(F.lit(BOM))).alias("md5"))
+
+
 def read_corpus_lines(spark: SparkSession, root: str, decode_policy: str = "replace", glob: str | None = None) -> DataFrame:
     """(path, size_bytes, line from 1, content) of the lines of every file below ``root``, as splitting the decoded
     file at line feeds gives them: a file that ends with one has an empty last line. Files may be larger
@@ -56,9 +138,12 @@ def read_corpus_lines(spark: SparkSession, root: str, decode_policy: str = "repl
     files = rows.groupBy("file").agg(F.min(F.is_valid_utf8("value")).alias("valid"), (read - F.first("size")).alias("over"), last.alias("last"))
     # every line but an unfinished last one has its line feed in the file; a byte order mark is three bytes
     files = files.select("file", "valid", F.col("over").isin(0, -3).alias("finished"), "last")
-    rows = rows.join(files, "file")
+    # one row a range: its first line, the lines of the ranges before it
+    totals = stored(rows.groupBy("file", "range").agg(F.min("seq").alias("from"), F.count(F.lit(1)).alias("n")), "range-lines")
+    files = stored(files, "file-ends")  # small tables by their real size: the lines stay where they are
     if decode_policy == "drop":
-        rows = rows.filter("valid")
+        files = files.filter("valid")
+    rows = rows.join(files, "file")
     is_last = (F.col("range") == F.col("last.range")) & (F.col("seq") == F.col("last.seq"))
     value = F.col("value")
     if decode_policy == "latin1":
@@ -70,6 +155,11 @@ def read_corpus_lines(spark: SparkSession, root: str, decode_policy: str = "repl
         lines = F.array(decode(value.cast("binary"), decode_policy))
     lines = F.when(is_last & F.col("finished"), F.concat(lines, F.array(F.lit("")))).otherwise(lines)
     rows = rows.select("file", "size", "range", "seq", lines.alias("lines"))
-    rows = with_sum_before(rows, F.size("lines").cast("long"), "before")
+    if decode_policy == "latin1":
+        rows = with_sum_before(rows, F.size("lines").cast("long"), "before")
+    else:  # a row of the source is one line, so its place in its range is its number there
+        earlier = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        base = totals.select("file", "range", "from", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+        rows = rows.join(F.broadcast(base), ["file", "range"]).withColumn("before", F.col("base") + F.col("seq") - F.col("from"))
     out = rows.select("file", "size", "before", F.posexplode("lines").alias("place", "content"))
     return out.select(F.col("file").alias("path"), F.col("size").alias("size_bytes"), (F.col("before") + F.col("place") + 1).alias("line"), "content")

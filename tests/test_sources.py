@@ -119,3 +119,25 @@ def test_lines_of_large_files_equal_whole_files(spark, tmp_path):
                 assert {(os.path.basename(r.path), r.size_bytes, r.line, r.content) for r in rows} == whole and len(rows) == len(whole), policy
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_file_digests_read_files_by_ranges(spark, tmp_path):
+    import hashlib
+    import random
+
+    from quire.sources import corpus
+
+    r = random.Random(3)
+    files = {
+        "b": b"x", "c": b"x\n", "d": b"\n", "e": b"\xef\xbb\xbfabc\ndef", "f": b"\xef\xbb\xbfabc\n", "g": bytes(r.randrange(256) for _ in range(40000)),
+        "h": bytes(r.choice(b"ab\n\r\x00") for _ in range(30000)) + b"\n", "i s%20": b"q\r\nz", "j": b"\xef\xbb\xbf", "k": b"\n\n", "l": b"a" * 30000}
+    for name, data in files.items():
+        (tmp_path / f"{name}.bin").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        out = corpus.file_digests(spark, str(tmp_path), glob="*.bin")
+        got = {x.path.rsplit("/", 1)[1][:-4]: (x.size_bytes, x.line_count, x.md5) for x in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(d), d.count(b"\n") + 1, hashlib.md5(d).hexdigest()) for n, d in files.items()}
