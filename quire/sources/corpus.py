@@ -4,7 +4,7 @@ files of any size as numbered lines, read by byte ranges."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,19 +31,20 @@ def decode(content: Column, policy: str) -> Column:
     raise ValueError(f"unknown decode policy {policy!r}; expected one of {DECODE_POLICIES}")
 
 
-def read_corpus(spark: SparkSession, root: str, decode_policy: str = "replace", glob: str | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, decode_policy: str | Sequence[str] = "replace", glob: str | None = None) -> DataFrame:
     """files(path, content, size_bytes, mtime) for every file below ``root`` (recursive;
-    directories are never rows). Each file is one row, so files must fit a task's memory
+    directories are never rows). Several policies give a row and ``policy`` each from one listing and one
+    read. Each file is one row, so files must fit a task's memory
     (Spark caps binaryFile rows at 2 GB)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
-    text = decode(F.col("content"), decode_policy)
-    out = raw.select("path", text.alias("content"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
-    if decode_policy == "drop":
-        out = out.where(F.col("content").isNotNull())
-    return out
+    policies = [decode_policy] if isinstance(decode_policy, str) else list(decode_policy)
+    decoded = [F.struct(F.lit(p).alias("policy"), decode(F.col("content"), p).alias("text")) for p in policies]
+    rows = reader.load(root).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), F.inline(F.array(*decoded)))
+    rows = rows.where((F.col("policy") != "drop") | F.col("text").isNotNull())
+    names = [] if isinstance(decode_policy, str) else ["policy"]
+    return rows.select("path", F.col("text").alias("content"), "size_bytes", "mtime", *names)
 
 
 #: Bytes of a chunk of a file between the task that reads it and the one that digests it.

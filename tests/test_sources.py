@@ -141,3 +141,16 @@ def test_file_digests_read_files_by_ranges(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {n: (len(d), d.count(b"\n") + 1, hashlib.md5(d).hexdigest()) for n, d in files.items()}
+
+
+def test_corpus_under_several_policies_is_one_read(spark, tmp_path):
+    from quire.sources import corpus
+
+    for name, data in {"a": b"x\r\ny", "b": b"caf\xe9\r", "c": "é".encode()}.items():
+        (tmp_path / f"{name}.txt").write_bytes(data)
+    both = corpus.read_corpus(spark, str(tmp_path), corpus.DECODE_POLICIES, glob="*.txt")
+    for policy in corpus.DECODE_POLICIES:
+        alone = corpus.read_corpus(spark, str(tmp_path), policy, glob="*.txt")
+        assert alone.columns == ["path", "content", "size_bytes", "mtime"]
+        assert sorted(both.where(both.policy == policy).drop("policy").collect()) == sorted(alone.collect())
+    assert both._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
