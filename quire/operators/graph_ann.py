@@ -97,24 +97,39 @@ def _block(degree: int, tables: int):
     return run
 
 
+def _ragged(array: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """(the flat values of a list column, the row of each)."""
+    lengths = np.diff(array.offsets.to_numpy())
+    return array.flatten(), np.repeat(np.arange(len(array)), lengths)
+
+
+def _listed(row: np.ndarray, rows: int, **columns: pa.Array) -> dict:
+    """List columns of ``rows`` rows from flat values in ascending order of their row."""
+    offsets = pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32())
+    return {name: pa.ListArray.from_arrays(offsets, x) for name, x in columns.items()}
+
+
 def _merged(degree: int):
     """A node's lists merged, the best ``degree`` kept; entries that its own list did not have."""
 
     def run(batches):
         for batch in batches:
-            keys, sims, fresh = [], [], []
-            for lists in batch["lists"].to_pylist():
-                found: dict[int, float] = {}
-                own: set[int] = set()
-                for x in lists:
-                    found.update(zip(x["keys"], x["sims"]))
-                    if x["own"]:
-                        own.update(x["keys"])
-                best = sorted(found.items(), key=lambda kv: (-kv[1], kv[0]))[:degree]
-                keys.append([k for k, _ in best])
-                sims.append([s for _, s in best])
-                fresh.append(sum(k not in own for k, _ in best))
-            yield pa.RecordBatch.from_pydict({"u": batch["u"], "keys": pa.array(keys, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float32())), "fresh": pa.array(fresh, pa.int64())})
+            n = batch.num_rows
+            if not n:
+                continue
+            lists, row = _ragged(batch["lists"])
+            entry, at = _ragged(lists.field("keys"))
+            key, sim = entry.to_numpy(), lists.field("sims").flatten().to_numpy()
+            own, row = lists.field("own").to_numpy(zero_copy_only=False)[at].astype(bool), row[at]
+            by = np.lexsort((-sim, key, row))
+            key, sim, own, row = key[by], sim[by], own[by], row[by]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, np.int64)
+            own = np.logical_or.reduceat(own, first) if len(first) else own
+            key, sim, row = key[first], sim[first], row[first]
+            by = np.lexsort((key, -sim, row))
+            by = by[np.arange(len(by)) - np.searchsorted(row, row) < degree]  # rows stay in place under this order
+            fresh = np.bincount(row[by], weights=~own[by], minlength=n).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"u": batch["u"], **_listed(row[by], n, keys=pa.array(key[by], pa.int64()), sims=pa.array(sim[by], pa.float32())), "fresh": pa.array(fresh)})
 
     return run
 
@@ -122,23 +137,30 @@ def _merged(degree: int):
 def _told(batches):
     """At a node: for each node that lists it, the members nearer than that node's last neighbour."""
     for batch in batches:
-        out_u, out_k, out_s = [], [], []
-        for members in batch["members"].to_pylist():
-            keys = np.array([m["key"] for m in members])
-            codes = np.frombuffer(b"".join(m["code"] for m in members), dtype=np.int16).reshape(len(keys), -1).astype(np.float32)
-            _, one = np.unique(keys, return_index=True)
-            sims = codes @ codes[one].T
-            for i, m in enumerate(members):
-                if m["last"] is None:
-                    continue
-                near = np.where(keys[one] == m["key"], -np.inf, sims[i])
-                at = np.argsort(-near, kind="stable")[:TOLD]
-                at = at[near[at] > m["last"]]
-                if len(at):
-                    out_u.append(m["key"])
-                    out_k.append(keys[one][at].tolist())
-                    out_s.append(near[at].tolist())
-        yield pa.RecordBatch.from_pydict({"u": pa.array(out_u, pa.int64()), "keys": pa.array(out_k, pa.list_(pa.int64())), "sims": pa.array(out_s, pa.list_(pa.float32()))})
+        members, _ = _ragged(batch["members"])
+        if not len(members):
+            continue
+        edges = batch["members"].offsets.to_numpy() - batch["members"].offsets[0].as_py()
+        keys, codes = members.field("key").to_numpy(), _flat(members.field("code"), np.int16).reshape(len(members), -1).astype(np.float32)
+        last = members.field("last").to_numpy(zero_copy_only=False)  # null: NaN
+        out_u, out_k, out_s, sizes = [], [], [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            back = a + np.flatnonzero(~np.isnan(last[a:b]))
+            one, place = np.unique(keys[a:b], return_index=True)
+            near = codes[back] @ codes[a + place].T
+            near[one == keys[back, None]] = -np.inf
+            at = np.argsort(-near, axis=1, kind="stable")[:, :TOLD]
+            near = np.take_along_axis(near, at, axis=1)
+            good = near > last[back, None]
+            size = good.sum(axis=1)
+            some = size > 0
+            out_u.append(keys[back][some])
+            sizes.append(size[some])
+            out_k.append(one[at[good]])
+            out_s.append(near[good])
+        sizes = np.concatenate(sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(out_u), pa.int64()), **_listed(row, len(sizes), keys=pa.array(np.concatenate(out_k), pa.int64()), sims=pa.array(np.concatenate(out_s), pa.float32()))})
 
 
 _LISTS = "u long, keys array<long>, sims array<float>"
@@ -160,7 +182,7 @@ def encode(corpus: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def build(codes: DataFrame, degree: int = DEGREE, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
-    """(u, keys, codes): the neighbours of every node with their codes, from ``codes(key, code)``."""
+    """(u, keys): the neighbours of every node, from ``codes(key, code)``."""
     n = codes.count()
     bits = max(0, (-(-n // block) - 1).bit_length())
     rows = stored(codes.mapInArrow(_cells(bits, tables), "table int, cell long, key long, code binary"), "graph-cells")
@@ -180,8 +202,8 @@ def build(codes: DataFrame, degree: int = DEGREE, tables: int = TABLES, block: i
         lists = merge(lists.select("u", "keys", "sims").withColumn("own", F.lit(True)).unionByName(told))
         if (lists.agg(F.sum("fresh")).first()[0] or 0) <= SETTLED * degree * n:
             break
-    links = _links(lists, degree).unionByName(far).select("u", "key").distinct().join(codes, "key")
-    return stored(links.groupBy("u").agg(F.collect_list("key").alias("keys"), F.collect_list("code").alias("codes")), "graph")
+    links = _links(lists, degree).unionByName(far).select("u", "key").distinct()
+    return stored(links.groupBy("u").agg(F.collect_list("key").alias("keys")), "graph")
 
 
 def _entered(entries: list[tuple[int, bytes]], breadth: int):
@@ -215,12 +237,8 @@ def _stepped(breadth: int):
                 beam = {k: (s, o) for k, s, o in zip(keys, sims, opened)}
                 front = [i for i, o in enumerate(opened) if not o][:FRONT]  # a beam is in order
                 beam.update((keys[i], (sims[i], True)) for i in front)
-                names, raw = [], []
-                for f in found or []:
-                    names += f["keys"]
-                    raw += f["codes"]
-                if names:
-                    fresh = {k: c for k, c in zip(names, raw) if k not in beam}
+                if found:
+                    fresh = {k: c for k, c in zip(found["keys"], found["codes"]) if k not in beam}
                     if fresh:
                         near = np.frombuffer(b"".join(fresh.values()), dtype=np.int16).reshape(len(fresh), -1).astype(np.float32) @ np.frombuffer(q, dtype=np.float32)
                         beam.update((k, (float(s), False)) for k, s in zip(fresh, near))
@@ -262,7 +280,9 @@ def search(graph: DataFrame, codes: DataFrame, corpus: DataFrame, queries: DataF
             break
         unopened = F.slice(F.filter(F.arrays_zip("keys", "opened"), lambda e: ~e["opened"]), 1, FRONT)
         front = going.select("query_id", F.explode(unopened).alias("e")).select("query_id", F.col("e.keys").alias("u"))
-        found = graph.join(stored(front, "graph-front"), "u").groupBy("query_id").agg(F.collect_list(F.struct("keys", "codes")).alias("found"))
+        # names first, then the codes of those that the queries meet: a round reads each table once, and what moves follows the queries
+        met = graph.join(stored(front, "graph-front"), "u").select("query_id", F.explode("keys").alias("key")).distinct()
+        found = codes.join(stored(met, "graph-met"), "key").groupBy("query_id").agg(F.struct(F.collect_list("key").alias("keys"), F.collect_list("code").alias("codes")).alias("found"))
         beams = stored(going.join(found, "query_id", "left").mapInArrow(_stepped(breadth), state), "graph-beams")
     best = ended.select("query_id", "visited", F.slice("keys", 1, reopen).alias("keys"))
     best = stored(best.select("query_id", "visited", F.size("keys").alias("opened"), F.explode("keys").alias("key")), "graph-candidates")
