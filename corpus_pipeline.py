@@ -62,11 +62,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = found.filter("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
     stay = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     alone = found.filter("class_id is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    stay = common.stored(stay.unionByName(alone).distinct(), "stay")
+    rows_of = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg((F.count(F.lit(1)) > 1).alias("again"))
+    stay = stay.unionByName(alone).distinct().withColumnsRenamed({"_id": "id", "_hash": "hash"})
+    stay = rows_of.join(stay, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")), "left_semi")
+    stay = common.stored(stay, "stay")
     # the documents travel in one struct, so no name of theirs can clash
     rows = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["id", "hash"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    kept = lambda keys: rows.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    # only rows that are equal in id and text cross an exchange to be counted once
+    kept = kept(stay.filter("not again")).unionByName(kept(stay.filter("again")).dropDuplicates(["id", "hash"]))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @_small_batches

@@ -12,7 +12,8 @@ Steps, each a Spark job over written tables:
 1. Nodes: equal sets collapse to one node (64-bit set hash), so copies cost nothing further. A node
    carries a parity sketch of at least four bits an element; sketches of two sets, folded to one
    length, differ in at most as many bits as the sets have differing elements and in hardly fewer,
-   which refutes nearly all false candidates without loss.
+   which refutes nearly all false candidates without loss. Most fall to sketches folded to a quarter
+   already, so whole ones travel with the few pairs and members that are left.
 2. Groups: signatures, packed, are dealt by hash range; those of one set only fall away, and groups
    with the same members collapse.
 3. Rounds: first every node is paired with the most connected member of each of its groups; then
@@ -42,6 +43,8 @@ from quire.llm import common as C
 WIDTH, PERCENT = 4, 85
 #: Sketch bits an element, rounded up to a power of two.
 SKETCH_BITS = 4
+#: A sketch is folded so often for the first look at a pair, at which nearly all false candidates fall away.
+BRIEF = 4
 #: Signatures a task holds before it sends them on (bounds worker memory).
 FLUSH = 1 << 19
 #: Elements of all sets to a hash range of signatures (bounds the task that groups a range).
@@ -213,6 +216,13 @@ def _most(percent: int, a, b):
     return (100 - percent) * (a + b) // (100 + percent)
 
 
+def _brief(batches):
+    """Nodes with their sketches folded to a share, 8 bytes at least."""
+    for batch in batches:
+        short = [folded([x], max(8, len(x) // BRIEF)).tobytes() for x in batch["sketch"].to_pylist()]
+        yield pa.RecordBatch.from_pydict({"node": batch["node"], "n": batch["n"], "sketch": pa.array(short, pa.binary())})
+
+
 def _passing(percent: int):
     """Keeps pairs whose sizes and sketches allow a link."""
 
@@ -234,6 +244,38 @@ def _passing(percent: int):
     return run
 
 
+def _group_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, sketches of one length, components by number) of a group's members."""
+    sketches = table["sketch"].to_pylist()
+    return table["n"].to_numpy(), folded(sketches, min(map(len, sketches))), np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+
+
+def _others(i: int, percent: int, n: np.ndarray, bits: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members of other components that sizes and sketches allow a link with member i, how far each is)."""
+    at = np.flatnonzero(part != part[i])
+    at = at[np.abs(n[at] - n[i]) <= _most(percent, n[at], n[i])]
+    far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    near = far <= _most(percent, n[at], n[i])
+    return at[near], far[near]
+
+
+def _open(percent: int):
+    """Within one group: the members that may link with one of another component. Folded sketches
+    differ in no more bits than whole ones, so no link is lost."""
+
+    @C.worker("ngram_join")
+    def run(table: pa.Table) -> pa.Table:
+        n, bits, part = _group_rows(table)
+        main, kept = int(np.argmax(np.bincount(part))), np.zeros(len(n), dtype=bool)
+        for i in np.flatnonzero(part != main).tolist():
+            at, _ = _others(i, percent, n, bits, part)
+            kept[at] = True
+            kept[i] |= len(at) > 0
+        return table.select(["grp", "node", "component"]).filter(pa.array(kept))
+
+    return run
+
+
 def _compare(percent: int):
     """Within one group: edges between components that sketches allow and nothing refuted. Of a
     member's edges the nearest to each new component counts as a join; further ones go to components
@@ -242,22 +284,15 @@ def _compare(percent: int):
 
     @C.worker("ngram_join")
     def run(table: pa.Table) -> pa.Table:
-        node, n = table["node"].to_numpy(), table["n"].to_numpy()
-        sketches = table["sketch"].to_pylist()
-        bits = folded(sketches, min(map(len, sketches)))
+        node, (n, bits, part) = table["node"].to_numpy(), _group_rows(table)
         refuted = [set(x or ()) for x in table["refuted"].to_pylist()]
-        _, part, size = np.unique(table["component"].to_numpy(), return_inverse=True, return_counts=True)
-        main, joined = int(np.argmax(size)), part.copy()
+        main, joined = int(np.argmax(np.bincount(part))), part.copy()
         out = []
         # Every edge between components has an end outside the largest one.
         for i in np.flatnonzero(part != main).tolist():
-            at = np.flatnonzero(part != part[i])
-            most = _most(percent, n[at], n[i])
-            at = at[np.abs(n[at] - n[i]) <= most]
-            far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near = far <= _most(percent, n[at], n[i])
+            at, far = _others(i, percent, n, bits, part)
             named: set[int] = set()
-            for j in at[near][np.argsort(far[near], kind="stable")].tolist():
+            for j in at[np.argsort(far, kind="stable")].tolist():
                 fresh = joined[j] != joined[i]
                 if (fresh or part[j] in named) and int(node[j]) not in refuted[i] and int(node[i]) not in refuted[j]:
                     out.append((max(node[i], node[j]), min(node[i], node[j])))
@@ -372,8 +407,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weight = groups.join(sizes, "grp").groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = groups.join(weight, "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("hub"))
     pairs = groups.join(hubs, "grp").filter(F.col("node") != F.col("hub.node")).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.max("hub.weight").alias("weight"))
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(percent), "a long, b long, weight long")
+    brief = nodes.select("node", "n", "sketch").mapInArrow(_brief, "node long, n long, sketch binary")
+
+    def passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        side = lambda s: rows.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(percent), "a long, b long, weight long")
+
+    near = passing(C.stored(passing(pairs, brief), "brief"), nodes)
     named = C.stored(near.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "named")
     texts = _texts(groups, nodes, rows)
     checked = found = None
@@ -389,7 +429,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         active = groups.withColumn("component", F.col("node")) if found is None else groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = active.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("grp")
-        active = active.join(spans, "grp", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
+        active = active.join(spans, "grp", "left_semi").select("grp", "node", "component").join(brief, "node")
+        active = C.stored(active.groupBy("grp").applyInArrow(_open(percent), "grp long, node long, component long"), "open")
+        active = active.join(nodes.select("node", "n", "sketch"), "node")
         if checked is None:
             active = active.withColumn("refuted", F.array().cast("array<bigint>"))
         else:

@@ -697,3 +697,23 @@ def test_query_digests(spark):
         t, after = rows[i][1], rows[(i + 1) % len(rows)][1]
         k = len(t) // 4
         assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
+
+
+def test_ngram_join_sends_brief_sketches_first(spark):
+    """Folded sketches refute unrelated pairs and members before whole ones travel, and no linked one."""
+    from quire.llm import ngram_join as N
+
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = [base, np.r_[base[20:], rng.integers(0, 1 << 63, 20, dtype=np.uint64)], *(np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(30))]
+    whole = pa.RecordBatch.from_pydict({
+        "node": pa.array(range(len(sets)), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([N.sketch(s) for s in sets], pa.binary())})
+    brief = next(N._brief([whole]))
+    assert 4 * sum(map(len, brief["sketch"].to_pylist())) == sum(map(len, whole["sketch"].to_pylist()))
+    group = pa.table({"grp": pa.array([7] * len(sets), pa.int64()), "component": whole["node"], **{c: brief[c] for c in ("node", "n", "sketch")}})
+    assert N._open(85)(group)["node"].to_pylist() == [0, 1]
+    at, other = [0] * (len(sets) - 1), list(range(1, len(sets)))
+    pairs = {"a": pa.array(at, pa.int64()), "b": pa.array(other, pa.int64()), "weight": pa.array(at, pa.int64())}
+    for s, side in (("a", at), ("b", other)):
+        pairs |= {f"n_{s}": brief["n"].take(pa.array(side)), f"sketch_{s}": brief["sketch"].take(pa.array(side))}
+    assert [x["b"].to_pylist() for x in N._passing(85)([pa.RecordBatch.from_pydict(pairs)])] == [[1]]

@@ -102,3 +102,16 @@ def test_tile_of_string_keys_holds_no_matrix_of_strings():
     want = {(q, corpus["key"][c]) for q in range(256) for c in d[q].argsort()[:5]}
     assert set(zip(out["query_id"], out["key"])) == want
     assert peak < 200e6, peak  # strings in the score matrix: 440 MB more
+
+
+def test_graph_holds_names_and_lists_merge_in_arrays(spark):
+    """A graph's row is names only; lists of several nodes merge to the best entries of each."""
+    import pyarrow as pa
+
+    e = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1, 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    assert graph_ann.build(graph_ann.encode(e, "vec_id", "embedding")).columns == ["u", "keys"]
+    entry = lambda keys, sims, own: {"keys": keys, "sims": sims, "own": own}
+    kind = pa.list_(pa.struct([("keys", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("own", pa.bool_())]))
+    lists = pa.array([[entry([1, 2], [0.5, 0.25], True), entry([2, 3, 4], [0.25, 0.75, 0.125], False)], [entry([], [], False)], [entry([9], [1.0], False)]], kind)
+    got = [b.to_pylist() for b in graph_ann._merged(2)([pa.RecordBatch.from_pydict({"u": pa.array([5, 6, 7]), "lists": lists}).slice(0)])][0]
+    assert got == [{"u": 5, "keys": [3, 1], "sims": [0.75, 0.5], "fresh": 1}, {"u": 6, "keys": [], "sims": [], "fresh": 0}, {"u": 7, "keys": [9], "sims": [1.0], "fresh": 1}]
