@@ -20,6 +20,8 @@ from quire.llm import common as C
 
 #: Chunks joined into one library call.
 CHUNKS_PER_CALL = 64
+#: Closing marks at the end of a chunk that are stepped over one by one.
+MARKS = 4
 #: Chunks a worker keeps (about 50 bytes each); beyond that the cache starts afresh (bounds memory, not results).
 KEEP_CHUNKS = 2_000_000
 #: Bytes of text encoded at once.
@@ -29,6 +31,30 @@ _CLOSING = np.isin(np.arange(256), [ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
 
+def _before_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where each chunk's last byte that is no closing mark lies; before the chunk without one. Few
+    chunks end in a mark, and few of those in more than ``MARKS``: only these are looked at in full."""
+    last = ends - 1
+    at = np.flatnonzero(_CLOSING[data[last]])
+    for _ in range(MARKS):
+        last[at] -= 1
+        at = at[last[at] >= starts[at]]
+        at = at[_CLOSING[data[last[at]]]]
+    if len(at):
+        last[at] = np.maximum.accumulate(np.where(_CLOSING[data], -1, np.arange(len(data))))[ends[at] - 1]
+    return last
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct hashes, a place of each, each hash's number among them)."""
+    by = np.argsort(hashes)  # any place of a hash does, so the sort need not be stable
+    ordered = hashes[by]
+    fresh = np.r_[True, ordered[1:] != ordered[:-1]] if len(by) else np.zeros(0, bool)
+    inverse = np.empty(len(by), np.int64)
+    inverse[by] = np.cumsum(fresh) - 1
+    return ordered[fresh], by[fresh], inverse
+
+
 class ChunkEncoder:
     """Token ids of texts; ``path`` is the vocabulary file on every machine."""
 
@@ -118,7 +144,7 @@ class ChunkEncoder:
         for at in np.flatnonzero(data == ord("<")):  # special tokens are matched before lower-casing
             w = np.searchsorted(starts, at, side="right") - 1
             low[starts[w] : ends[w]] = data[starts[w] : ends[w]]
-        last = np.maximum.accumulate(np.where(_CLOSING[data], -1, np.arange(len(data))))[ends - 1]
+        last = _before_marks(data, starts, ends)
         cut = (last + 1 < ends) & (last >= starts) & _LETTER[data[last]]
         at = np.flatnonzero(cut)
         new = at + 1
@@ -139,7 +165,7 @@ class ChunkEncoder:
         if len(self.known) > KEEP_CHUNKS:
             self._reset()
         data, starts, ends, counts = self._chunks(data, offsets)
-        hashes, first, inverse = np.unique(C.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, inverse = _distinct(C.span_hashes(data, starts, ends))
         place = np.searchsorted(self.known, hashes)
         fresh = np.ones(len(hashes), dtype=bool)
         inside = place < len(self.known)

@@ -717,3 +717,20 @@ def test_ngram_join_sends_brief_sketches_first(spark):
     for s, side in (("a", at), ("b", other)):
         pairs |= {f"n_{s}": brief["n"].take(pa.array(side)), f"sketch_{s}": brief["sketch"].take(pa.array(side))}
     assert [x["b"].to_pylist() for x in N._passing(85)([pa.RecordBatch.from_pydict(pairs)])] == [[1]]
+
+
+def test_chunks_ends_and_numbers(spark):
+    """Closing marks are stepped over to the byte before them, however many; distinct hashes as ``np.unique`` has them."""
+    from quire.llm import common as C
+    from quire.llm import tokens as T
+
+    texts = ["ab. c!! d", "x" + "." * 9 + " ...... ?", "", ".", "a.b.c-.,;: éé...... " + "-" * 50]
+    data, offsets = C.flat_bytes(pa.array(texts))
+    starts, ends, _ = C.word_spans(data, offsets)
+    want = [max((i for i in range(a, b) if not T._CLOSING[data[i]]), default=None) for a, b in zip(starts, ends)]
+    got = T._before_marks(data, starts, ends)
+    assert [int(x) if x >= a else None for x, a in zip(got, starts)] == want
+    hashes = np.array([5, 1, 5, 2**63 + 1, 1, 0], dtype=np.uint64)
+    known, place, inverse = T._distinct(hashes)
+    assert known.tolist() == np.unique(hashes).tolist() and hashes[place].tolist() == known.tolist() and known[inverse].tolist() == hashes.tolist()
+    assert [len(x) for x in T._distinct(hashes[:0])] == [0, 0, 0]
