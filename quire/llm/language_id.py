@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.llm import common as C
 
@@ -55,34 +56,40 @@ def trigrams(column) -> tuple[np.ndarray, np.ndarray]:
     return C.ragged_take(gram.astype(np.int64), starts, count), np.r_[0, np.cumsum(count)]
 
 
+def _held_out(counts: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mean log-likelihoods of a fold's texts of 50 trigrams or more under the other folds."""
+    other = counts - np.bincount(gram, minlength=BUCKETS)
+    row = np.log(other / other.sum())
+    sums = np.diff(np.r_[0.0, np.cumsum(row[gram])][np.r_[0, np.cumsum(n)]])
+    return sums[n >= 50] / n[n >= 50]
+
+
+def _learnt(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihoods of trigrams in one language's texts, what those texts score held out)."""
+    folds = [trigrams(pa.array(texts[f::FOLDS], pa.large_string())) for f in range(FOLDS)]
+    folds = [(gram.astype(np.uint16), np.diff(offsets)) for gram, offsets in folds]  # there are 2^16 buckets
+    counts = np.ones(BUCKETS)
+    for gram, _ in folds:
+        counts += np.bincount(gram, minlength=BUCKETS)
+    return np.log(counts / counts.sum()).astype(np.float32), np.concatenate([_held_out(counts, gram, n) for gram, n in folds])
+
+
 class TextModel:
     """Log-likelihoods of trigrams for each language and what texts of it score that it has not seen;
     ``unsure`` are the languages with too few of them."""
 
-    def __init__(self, texts: list[str], labels: list[str]) -> None:
+    def __init__(self, learnt: dict[str, tuple[np.ndarray, np.ndarray]], labels: list[str]) -> None:
+        """What ``_learnt`` gives for each language; the label of each row of the sample."""
         self.languages = sorted(set(labels))
-        counts = np.ones((max(1, len(self.languages)), BUCKETS))
-        self.mean, self.sd = np.zeros(len(counts)), np.full(len(counts), np.inf)
+        self.mean, self.sd = np.zeros(max(1, len(self.languages))), np.full(max(1, len(self.languages)), np.inf)
         self.unsure = set()
         for i, l in enumerate(self.languages):
-            gram, offsets = trigrams(pa.array([t for t, x in zip(texts, labels) if x == l], pa.string()))
-            counts[i] += np.bincount(gram, minlength=BUCKETS)
-            n = np.diff(offsets)
-            fold = np.arange(len(n)) % FOLDS
-            usual = np.concatenate([self._held_out(counts[i], gram[np.repeat(fold == f, n)], n[fold == f]) for f in range(FOLDS)])
+            usual = learnt[l][1]
             if len(usual) >= EVIDENCE:
                 self.mean[i], self.sd[i] = usual.mean(), max(0.05, float(usual.std()))
             else:
                 self.unsure.add(l)
-        self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-
-    @staticmethod
-    def _held_out(counts: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Mean log-likelihoods of a fold's texts of 50 trigrams or more under the other folds."""
-        other = counts - np.bincount(gram, minlength=BUCKETS)
-        row = np.log(other / other.sum())
-        sums = np.diff(np.r_[0.0, np.cumsum(row[gram])][np.r_[0, np.cumsum(n)]])
-        return sums[n >= 50] / n[n >= 50]
+        self.table = np.stack([learnt[l][0] for l in self.languages] or [np.full(BUCKETS, -np.log(BUCKETS), np.float32)])
 
     def score(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(mean log-likelihood of each text under each language, number of trigrams)."""
@@ -109,9 +116,19 @@ class TextModel:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+@C.worker("language_id")
+def _language(sample: pa.Table) -> pa.Table:
+    """What one language's rows of the sample teach, in the order of their texts."""
+    logs, usual = _learnt(sorted(sample["t"].to_pylist()))
+    return pa.table({
+        "l": sample["l"].slice(0, 1), "n": pa.array([sample.num_rows], pa.int64()),
+        "table": pa.array([logs.tobytes()], pa.binary()), "usual": pa.array([usual], pa.list_(pa.float64())),
+    })
+
+
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
     """A model from about FIT_ROWS labelled rows of each language, whole texts, by hash of id and
-    text; equal rows count once."""
+    text; equal rows count once. The texts stay in Spark's tasks, a language's in one: the sample is bounded."""
     label = F.col(f"`{label_col}`").alias("l")
     sizes = {r["l"]: r["n"] for r in rows.select(label).filter("l is not null").groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -122,8 +139,12 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     for l, n in sizes.items():
         if n > FIT_ROWS:
             chosen = chosen | ((F.col("l") == l) & (F.col("h") < int(FIT_ROWS / n * (1 << 64)) - (1 << 63)))
-    sample = sorted((r["t"], r["l"]) for r in rows.filter(chosen).dropDuplicates(["h", "l"]).collect())
-    return TextModel([t for t, _ in sample], [l for _, l in sample])
+    # a language's sample is learnt from where its rows are; the driver gets what was learnt
+    sample = rows.filter(chosen).dropDuplicates(["h", "l"]).select("l", "t")
+    kind = StructType([sample.schema["l"], *StructType.fromDDL("n long, table binary, usual array<double>")])
+    found = sample.groupBy("l").applyInArrow(_language, kind).toArrow().to_pylist()  # one row a language
+    learnt = {r["l"]: (np.frombuffer(r["table"], np.float32), np.array(r["usual"])) for r in found}
+    return TextModel(learnt, [r["l"] for r in found for _ in range(r["n"])])
 
 
 def _text_evidence(model: TextModel):

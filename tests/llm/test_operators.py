@@ -3,6 +3,7 @@ nulls, empty and very long texts, ties, repeats, empty tables and clashing extra
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -531,6 +532,28 @@ def test_language_keeps_rare_languages(spark, monkeypatch):
     assert count["es"] == 12 and all(10 <= count[l] <= 60 for l in ("en", "de", "fr"))
 
 
+def test_language_sample_stays_in_tasks(spark, monkeypatch):
+    """The sample's whole texts are counted in tasks, not in the driver's memory."""
+    from quire.llm import language_id as L
+
+    driver, plain = os.getpid(), L.trigrams
+
+    def away(column):
+        assert os.getpid() != driver
+        return plain(column)
+
+    monkeypatch.setattr(L, "trigrams", away)
+    texts = {"aa": [f"abc {i} abd" * 9 for i in range(30)], "bb": [f"xyz {i}" * 9 for i in range(3)], "cc": ["", "z"]}
+    rows = [(i, t, l) for l in texts for i, t in enumerate(texts[l])] + [(9, None, "aa"), (9, "abc", None), (0, texts["aa"][0], "aa")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    monkeypatch.undo()
+    assert model.languages == [*texts] and model.unsure == {"bb", "cc"}
+    for i, l in enumerate(texts):
+        counts = 1.0 + np.bincount(L.trigrams(pa.array(texts[l]))[0], minlength=L.BUCKETS)
+        assert np.array_equal(model.table[i], np.log(counts / counts.sum()).astype(np.float32))
+    assert model.mean[0] < 0 < model.sd[0] < np.inf and not model.mean[1:].any() and np.isinf(model.sd[1:]).all()
+
+
 def test_language_evidence_settles_short_texts(spark):
     from quire.llm import language_id as L
 
