@@ -24,8 +24,7 @@ from quire.plans.registry import table
 #: Words in a shingle and the least similarity of near-duplicates, in per cent.
 SHINGLE, SIMILAR = 5, 80
 TOKENIZER = "word_bpe_49k.json"
-#: Rows of a batch between Spark and its Python workers.
-BATCH_ROWS = 1000
+BATCH_ROWS = common.BATCH_ROWS
 #: Every stage has a brute-force or property test; the mix and the packing have no SQL.
 ORACLE_SQL = None
 
@@ -39,9 +38,7 @@ def _small_batches(stage):
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-            spark.conf.set(name, str(BATCH_ROWS))
+        common.small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -12,6 +12,7 @@ import ctypes
 import gc
 import inspect
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed and bytes of texts handled at once; they bound the working arrays, not the texts.
 HASH_BYTES, SLICE_BYTES = 1 << 20, 1 << 22
+#: Rows of a batch between Spark and its Python workers, for operators that carry whole documents.
+BATCH_ROWS = 1000
 #: A group of more bytes gives its freed memory back when it ends.
 TRIM_BYTES = 1 << 20
 _BYTE = np.uint64(0xD6E8FEB86659FD93)
@@ -39,7 +42,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-_owner, _held = "", []
+_held = []
+
+
+@lru_cache(maxsize=1)
+def _process() -> dict:
+    """What lasts as long as this process. The package's functions are shipped by value, so a task has globals
+    of its own; a cache alone goes by name and is the process's one."""
+    return {"owner": ""}
 
 
 def held_by_worker(clear):
@@ -51,9 +61,9 @@ def held_by_worker(clear):
 def enter(owner: str) -> None:
     """A worker that another operator used before gives that operator's caches and free memory back, so
     a session that runs several operators holds the caches of one."""
-    global _owner
-    if _owner != owner:
-        _owner = owner
+    process = _process()
+    if process["owner"] != owner:
+        process["owner"] = owner
         for clear in _held:
             clear()
         trim()
@@ -99,6 +109,13 @@ def worker(owner: str):
     return wrap
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on at most BATCH_ROWS rows travel at once between Spark and the session's Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` (shared by driver and executors)."""
     return shared_dir(spark, f"llm-{name}")

@@ -1,7 +1,7 @@
 """Lexical retrieval packing: BM25 indexes whose neighbours fill each document's window.
 
-1. Every document is encoded once. Document frequencies, the number of documents and their mean
-   length are counted over all of them (one row a term and task, then one a term).
+1. Every document is encoded once. Document frequencies are counted with it (one row a task, then
+   one a term and task, then one a term); so are the number of documents and their mean length.
 2. Documents are placed by lexical neighbourhood: a document's BM25 weights, projected to ``DIM``
    numbers, fall into the nearest of several cells for each shard. Centres are fitted on a bounded
    sample in hash order; neighbouring cells are chained into shards of ``SHARD_TOKENS`` tokens, and
@@ -12,7 +12,8 @@
    whole corpus, and packs: the first unused document seeds a window; the index returns all unused
    documents that share any of its terms, best first; they fill the window greedily and the one
    that reaches the end is cut there, its rest seeding the next window. Without neighbours left,
-   the next unused document follows. A shard's last window is cut into sequences of powers of two,
+   the next unused document follows. The index drops used documents now and then, as no search
+   returns them. A shard's last window is cut into sequences of powers of two,
    so that no sequence holds padding.
 
 Neighbours are sought within a shard: placement is approximate, scores are those of the whole
@@ -44,6 +45,8 @@ K1, B = 1.2, 0.75
 SHARD_TOKENS, CELLS = 1 << 20, 4
 #: Numbers of a projected document; documents for each cell that its centre is fitted on; rounds.
 DIM, FIT_DOCS, FIT_ROUNDS = 64, 16, 10
+#: Searches after which a shard's index drops the documents used meanwhile.
+FORGET = 16
 #: Terms projected at once, few enough for a core's cache.
 PROJECT_TERMS = 1 << 13
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -86,6 +89,12 @@ class Index:
         self.docs, self.weights = doc[by], weight[by]
         self.term_at = np.r_[0, np.cumsum(np.bincount(term, minlength=len(df)))]
 
+    def forget(self, used: np.ndarray) -> None:
+        """Drops what the index holds of used documents, which no search returns; they can seed on."""
+        stay = ~used[self.docs]
+        self.docs, self.weights = self.docs[stay], self.weights[stay]
+        self.term_at = np.r_[0, np.cumsum(stay)][self.term_at]
+
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties in order."""
         terms = self.terms[self.doc_at[seed] : self.doc_at[seed + 1]]
@@ -104,7 +113,7 @@ def pack(index: Index, lengths: list[int], window: int) -> list[tuple[int, int,
     """Pieces (document, start, length, sequence, offset) that cover every token once."""
     pieces = []
     used = np.zeros(index.n, dtype=bool)
-    sequence, offset, order = 0, 0, iter(range(index.n))
+    sequence, offset, order, searches = 0, 0, iter(range(index.n)), 0
     rest: tuple[int, int] | None = None
 
     def place(doc: int, start: int) -> tuple[int, int] | None:
@@ -127,6 +136,9 @@ def pack(index: Index, lengths: list[int], window: int) -> list[tuple[int, int,
         seed = rest[0]
         rest = place(*rest)
         if rest is None and offset:
+            searches += 1
+            if searches % FORGET == 0:
+                index.forget(used)
             for doc in index.neighbours(seed, used):
                 rest = place(int(doc), 0)
                 if not offset:
@@ -178,21 +190,48 @@ def _shard(whole: Statistics, window: int, end_id: int, kind: str):
 
 
 def _encoded(path: str, kind: str):
+    """Each document's token ids; last, a task's document frequencies by term."""
+
     @C.worker("lexical_pack")
     def run(batches):
+        df = np.zeros(0, np.int64)
         for batch in batches:
             _, offsets = C.flat_bytes(batch["text"])
             for a, b in C.slices(offsets):
                 flat, lengths = encoder(path).encode(batch["text"].slice(a, b - a))
-                ends, flat = np.cumsum(lengths).tolist(), flat.astype(kind)
+                ends, flat = np.cumsum(lengths), flat.astype(kind)
+                df = _added(df, flat, lengths, ends)
+                ends = ends.tolist()
                 yield pa.RecordBatch.from_pydict({
                     "id": batch["id"].slice(a, b - a), "n": pa.array(lengths, pa.int64()),
                     "tokens": pa.array([flat[e - n : e].tobytes() for e, n in zip(ends, lengths.tolist())], pa.binary()),
+                    "df": pa.nulls(b - a, pa.binary()),
                 })
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_pydict({"id": none, "n": none, "tokens": pa.nulls(1, pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
 
     return run
 
 
+def _added(df: np.ndarray, flat: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Document frequencies with those of more documents, few at a time."""
+    for a, b in C.slices(np.r_[0, ends], C.HASH_BYTES // 2):
+        _, term, _ = postings(flat[ends[a] - lengths[a] : ends[b - 1]].astype(np.int64), lengths[a:b])
+        found = np.bincount(term, minlength=len(df))
+        found[: len(df)] += df
+        df = found
+    return df
+
+
+def _frequencies(batches):
+    """The tasks' document frequencies, a row a term."""
+    for batch in batches:
+        for x in batch["df"].to_pylist():
+            df = np.frombuffer(x, dtype=np.int64)
+            term = np.flatnonzero(df)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "df": pa.array(df[term], pa.int64())})
+
+
 def _parts(batch: pa.RecordBatch, kind: str):
     """(from, to, token ids, lengths) of row ranges of a batch, each of bounded size."""
     data, offsets = C.flat_bytes(batch["tokens"])
@@ -201,22 +240,6 @@ def _parts(batch: pa.RecordBatch, kind: str):
         yield a, b, np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), dtype=kind).astype(np.int64), lengths[a:b]
 
 
-def _frequencies(kind: str):
-    @C.worker("lexical_pack")
-    def run(batches):
-        df = np.zeros(0, np.int64)
-        for batch in batches:
-            for _, _, flat, lengths in _parts(batch, kind):
-                _, term, _ = postings(flat, lengths)
-                found = np.bincount(term, minlength=len(df))
-                found[: len(df)] += df
-                df = found
-        term = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "df": pa.array(df[term], pa.int64())})
-
-    return run
-
-
 @lru_cache(maxsize=1)
 def _directions(terms: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((terms, DIM), dtype=np.float32)
@@ -323,16 +346,29 @@ def placed(docs: DataFrame, whole: Statistics, tokens: int, kind: str) -> DataFr
     return docs.withColumn("shard", shard(F.col("cell"), F.xxhash64("id", "tokens"))).drop("cell")
 
 
+@lru_cache(maxsize=2)
+def _id_kind(tokenizer_path: str) -> str:
+    """Type that holds the vocabulary's ids; the driver keeps no vocabulary for it."""
+    from tokenizers import Tokenizer
+
+    kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+    C.freed()
+    return kind
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of all ``docs``: doc_id, start, length, doc_tokens, sequence_id, offset and the
     piece's ids (little-endian unsigned 32-bit)."""
-    kind = "<u2" if encoder(tokenizer_path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    C.small_batches(docs.sparkSession)
+    kind = _id_kind(tokenizer_path)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = C.stored(rows.mapInArrow(_encoded(tokenizer_path, kind), "id long, n long, tokens binary"), "packing-tokens")
+    told = C.stored(rows.mapInArrow(_encoded(tokenizer_path, kind), "id long, n long, tokens binary, df binary"), "packing-tokens")
+    rows = told.filter("df is null").select("id", "n", "tokens")
     total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    df = rows.select("n", "tokens").mapInArrow(_frequencies(kind), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # one row a term
-    counts = np.zeros(1 + max((r["term"] for r in df), default=0), dtype=np.int64)
-    counts[[r["term"] for r in df]] = [r["df"] for r in df]
+    df = told.filter("df is not null").select("df").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row a term
+    term = df["term"].to_numpy()
+    counts = np.zeros(1 + term.max(initial=0), dtype=np.int64)
+    counts[term] = df["df"].to_numpy()
     whole = Statistics(counts, total["docs"], total["tokens"] / max(1, total["docs"]))
     dealt = placed(rows, whole, total["tokens"] + total["docs"], kind)
     return dealt.groupBy("shard").applyInArrow(_shard(whole, window, end_id, kind), SCHEMA)

@@ -669,6 +669,72 @@ def test_worker_gives_memory_back():
     assert tokens.encoder.cache_info().currsize == 0 and lexical_pack._directions.cache_info().currsize == 0
 
 
+def test_worker_keeps_its_caches_between_tasks(spark):
+    """An operator's tasks find what its earlier tasks in the same worker have learnt."""
+    from quire.llm import common, tokens
+
+    @common.worker("keeps")
+    def run(batches):
+        known = tokens.encoder.cache_info().currsize
+        tokens.encoder(BPE)
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "known": [known]})
+
+    got = spark.range(0, 40, 1, 40).mapInArrow(run, "pid long, known long").collect()
+    assert sum(r["known"] == 0 for r in got) <= len({r["pid"] for r in got}) < len(got)
+
+
+def test_packing_forgets_used_documents(monkeypatch):
+    """An index without its used documents finds the same unused ones, with the same scores."""
+    from quire.llm import lexical_pack as L
+
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 40, 300)
+    flat = rng.zipf(1.4, lengths.sum()) % 500
+    monkeypatch.setattr(L, "FORGET", 10**9)
+    want = L.pack(L.Index(flat, lengths), lengths.tolist(), 64)
+    monkeypatch.setattr(L, "FORGET", 3)
+    index = L.Index(flat, lengths)
+    size = len(index.docs)
+    assert L.pack(index, lengths.tolist(), 64) == want and len(index.docs) < size
+
+
+def test_packing_counts_terms_as_it_encodes(spark):
+    """The corpus' document frequencies come with the encoded documents, whatever the batches."""
+    from quire.llm import lexical_pack as L
+
+    texts = [r[1] for r in nasty()]
+    ids = [set(ids[:-1]) for _, ids in token_lists(nasty())]
+    want = Counter(i for x in ids for i in x)
+    for size in (1, 7, 100):
+        table = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+        out = [*L._encoded(BPE, "<u2")(iter(table.to_batches(max_chunksize=size)))]
+        assert sum(b["df"].null_count for b in out) == len(texts) == sum(len(b) for b in out) - 1
+        got = [*L._frequencies(iter(out[-1:]))]
+        assert len(got) == 1 and dict(zip(got[0]["term"].to_pylist(), got[0]["df"].to_pylist())) == want
+
+
+def test_chunk_encoder_tells_latin_words_apart(monkeypatch):
+    """Words of Latin letters go past the library's splitting, odd ones do not; full slots lose no chunk."""
+    from quire.llm import tokens as T
+
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0xC0, 0x250)] + list("abcXYZ") * 30
+    rows = [(0, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(40))) for _ in range(60)]
+    rows += [(0, "a\u00d7b \u00f7 \u0130x \u00e9\u00d7 x\u0130 \u0132\u01c5\u0223 \u0240 \u00b5m \u00aa \u212bx e\u0301 \u00c9\u00c9.")]
+    for bits in (T.SLOT_BITS, 3):
+        monkeypatch.setattr(T, "SLOT_BITS", bits)
+        encoder, ends = T.ChunkEncoder(BPE), 0
+        assert encoder.direct
+        for at in (0, 20, 0):
+            mine = rows[at : at + 41]
+            ids, lengths = encoder.encode(pa.array([t for _, t in mine], pa.string()))
+            ends = np.cumsum(lengths)
+            for (_, want), n, end in zip(token_lists(mine), lengths, ends):
+                assert ids[end - n : end].tolist() == want[:-1]
+        assert len(encoder.known) == (encoder.n_chunks - (encoder.slot_at >= 0).sum())
+
+
 def test_reputation_shrinks_and_blocks(spark):
     from quire.llm import host_reputation as H
 
