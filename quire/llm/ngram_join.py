@@ -22,8 +22,9 @@ Steps, each a Spark job over written tables:
    large-star/small-star rounds. A group whose edge was refuted is compared again without it, until
    none is left. So each link is covered by a path of verified links, and no group emits its pairs.
 
-Hot centres of verification are split by salt. Nothing is capped, and nothing but counts of rows
-reaches the driver.
+Sketches and texts that a round does not ask for stay out of its exchanges: a map of bits of fixed
+size, made of the hashes that are asked for, is sent to them first. Hot centres of verification are
+split by salt. Nothing is capped, and nothing but counts of rows and that map reaches the driver.
 
 Defined cases: null or empty text has an empty set, n_shingles 0, and is its own component; with
 fewer words than n the whole sequence is one element; repeated rows share a component; rows with a
@@ -47,8 +48,11 @@ SKETCH_BITS = 4
 BRIEF = 4
 #: Signatures a task holds before it sends them on (bounds worker memory).
 FLUSH = 1 << 19
-#: Elements of all sets to a hash range of signatures (bounds the task that groups a range).
-RANGE_ELEMENTS = 1 << 19
+#: Elements of all sets to a hash range of signatures (bounds the task that groups a range). A set's name goes
+#: to each range that holds a signature of it, so more ranges mean more bytes a signature.
+RANGE_ELEMENTS = 1 << 21
+#: Bits of the map that keeps out of an exchange what its join does not ask for: 2 MB however many rows ask.
+SLOTS = 1 << 24
 #: Members that one verification group takes before its centre is salted.
 MEMBERS = 500
 #: Bits of a signature that are dropped after ranging; a clash only makes a false candidate.
@@ -365,22 +369,31 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _texts(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of one document of each node that is in a group: all texts cross an exchange
-    once, and the rounds after it read only these. Repeated rows of that document come along."""
-    members = groups.select("node").distinct().join(nodes.select("node", "rep_id", "rep_hash"), "node")
-    # a shuffle at every size: the members grow with the corpus
-    found = docs.join(members.hint("merge"), docs["id"].eqNullSafe(members["rep_id"]) & (docs["text_hash"] == members["rep_hash"]))
-    return C.stored(found.select("node", "text"), "texts")
+def _asked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key``, a hash, may be among those of ``wanted`` (one column), for an exact join to
+    follow. A map of bits goes to the rows, so only these enter the join's exchange; a crowded map lets
+    more of them through and loses none."""
+    slot = F.pmod(F.col(wanted.columns[0]), F.lit(SLOTS))
+    bits = wanted.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_at")).repartition("_bucket")
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    slot = F.pmod(F.col(key), F.lit(SLOTS))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_bucket"))
+    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, ok) of candidate pairs, on the real sets of one document of each node."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, ok) of candidate pairs, on the real sets of one document of each node. Only texts that a pair
+    asks for cross an exchange; repeated rows of that document come along."""
     salts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("members")).select("b", F.ceil(F.col("members") / MEMBERS).alias("salts"))
     member = pairs.join(salts, "b").select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(True).alias("member"), F.col("a").alias("node"))
     centre = salts.select(F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("node"))
     wanted = C.stored(member.unionByName(centre), "wanted")
-    texts = texts.join(wanted.hint("merge"), "node")
+    names = _asked(nodes.select("node", "rep_id", "rep_hash"), "node", wanted.select("node"))
+    wanted = C.stored(wanted.join(names, "node"), "wanted")
+    # a shuffle at every size: the wanted texts grow with the corpus
+    texts = _asked(docs, "text_hash", wanted.select("rep_hash")).join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
     sets = texts.select("centre", "salt", "member", "node", "text").mapInArrow(_sets(width), "centre long, salt long, member boolean, node long, elements binary")
     return sets.groupBy("centre", "salt").applyInArrow(_verify(percent), "a long, b long, ok boolean")
 
@@ -407,31 +420,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weight = groups.join(sizes, "grp").groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = groups.join(weight, "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("hub"))
     pairs = groups.join(hubs, "grp").filter(F.col("node") != F.col("hub.node")).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.max("hub.weight").alias("weight"))
-    brief = nodes.select("node", "n", "sketch").mapInArrow(_brief, "node long, n long, sketch binary")
+
+    def sketches(asked: DataFrame) -> DataFrame:
+        return _asked(nodes.select("node", "n", "sketch"), "node", asked)
+
+    def brief(asked: DataFrame) -> DataFrame:
+        return sketches(asked).mapInArrow(_brief, "node long, n long, sketch binary")
 
     def passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         side = lambda s: rows.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(percent), "a long, b long, weight long")
 
-    near = passing(C.stored(passing(pairs, brief), "brief"), nodes)
+    near = C.stored(passing(pairs, brief(groups.select("node"))), "brief")
+    near = passing(near, sketches(near.select(F.explode(F.array("a", "b")))))
     named = C.stored(near.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "named")
-    texts = _texts(groups, nodes, rows)
     checked = found = None
     while True:
         if named.head(1):
-            now = _verified(named.select("a", "b").distinct(), texts, width, percent)
+            now = _verified(named.select("a", "b").distinct(), nodes, rows, width, percent)
             checked = C.stored(now if checked is None else now.unionByName(checked), "checked")
             bad = checked.filter("not ok").select("a", "b")
             found = C.stored(components(checked.filter("ok").select("a", "b")), "components")
             if "grp" in named.columns:  # only groups with a refuted edge can still hold one
-                groups = groups.join(named.join(bad, ["a", "b"], "left_semi").select("grp").distinct(), "grp", "left_semi")
+                groups = C.stored(groups.join(named.join(bad, ["a", "b"], "left_semi").select("grp").distinct(), "grp", "left_semi"), "groups")
         elif "grp" in named.columns:
             break
         active = groups.withColumn("component", F.col("node")) if found is None else groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = active.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("grp")
-        active = active.join(spans, "grp", "left_semi").select("grp", "node", "component").join(brief, "node")
+        active = active.join(spans, "grp", "left_semi").select("grp", "node", "component").join(brief(groups.select("node")), "node")
         active = C.stored(active.groupBy("grp").applyInArrow(_open(percent), "grp long, node long, component long"), "open")
-        active = active.join(nodes.select("node", "n", "sketch"), "node")
+        active = active.join(sketches(active.select("node")), "node")
         if checked is None:
             active = active.withColumn("refuted", F.array().cast("array<bigint>"))
         else:

@@ -823,3 +823,50 @@ def test_chunks_ends_and_numbers(spark):
     known, place, inverse = T._distinct(hashes)
     assert known.tolist() == np.unique(hashes).tolist() and hashes[place].tolist() == known.tolist() and known[inverse].tolist() == hashes.tolist()
     assert [len(x) for x in T._distinct(hashes[:0])] == [0, 0, 0]
+
+
+def test_ngram_join_exchanges_only_what_is_asked_for(spark, monkeypatch):
+    """The rows that enter an exchange are those asked for and hardly another; a crowded map loses none. What
+    a round verifies reads no text that no pair asks for."""
+    from quire.llm import ngram_join as N
+
+    rng = random.Random(11)
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(4000)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    rows = spark.createDataFrame([(k, f"row {i}") for i, k in enumerate(keys)] + [(None, "null")], "node long, what string")
+    asked = [*keys[:40], *keys[-4:], keys[0]]
+    wanted = spark.createDataFrame([(k,) for k in asked], "key long").repartition(3)
+    got = [r["node"] for r in N._asked(rows, "node", wanted).collect()]
+    assert set(asked) <= set(got) and len(got) == len(set(got)) < 2 * len(asked)
+    assert N._asked(rows, "node", wanted.limit(0)).collect() == []
+    with monkeypatch.context() as m:
+        m.setattr(N, "SLOTS", 16)
+        assert set(asked) <= {r["node"] for r in N._asked(rows, "node", wanted).collect()}
+
+    stored, read = N.C.stored, []
+
+    def spy(df, name):
+        out = stored(df, name)
+        read.append((name, out.columns))
+        return out
+
+    monkeypatch.setattr(N.C, "stored", spy)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(["x", *base[1:]]), *(" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(50))]
+    table = list(enumerate(texts))
+    out = N.jaccard_join(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, out.collect())) == sorted(brute_join(table, 4, 85))
+    assert read and not [name for name, columns in read if "text" in columns]
+
+
+def test_ngram_join_names_a_set_to_few_ranges(spark):
+    """A set's name is sent once for each range, so ranges hold many signatures of a set."""
+    from quire.llm import ngram_join as N
+
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(5000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(rng.choice(vocab) for _ in range(400)) for _ in range(700)])})
+    ranges = -(-100_000_000 // N.RANGE_ELEMENTS)  # the elements of a corpus of half a GB
+    sent = list(N._signature_side(4, 85, ranges)([batch]))
+    bands = N.Bands(85)
+    keys = sum(len(N.signatures(s, bands)) for s in N.sets_of(batch["text"], 4))
+    assert sum(len(x) for b in sent for x in b["nodes"].to_pylist()) < 2.5 * keys
