@@ -158,3 +158,31 @@ def test_cache_stats_ignore_unconfigured_types(spark):
     got = {r.cache_type: (r.files_count, r.total_size_mb, r.oldest, r.ttl_days) for r in cache.stats(entries, cache.cache_config(spark)).collect()}
     assert got["all"] == (1, 1.0, NOW, None) and "sessions" not in got
     assert got["embeddings"] == (1, 1.0, NOW, 7) and got["reranking"] == (0, 0.0, None, 1)
+
+
+def test_change_requests_link_neighbouring_files(spark, registry, tmp_path):
+    import duckdb
+
+    from quire.plans.state_queries import change_requests
+
+    # 5 moves onto 6, 9 has no next file, 13's next one has no path
+    docs = [(i, f"text of {i}" + "x" * i, "en", "s") for i in (4, 5, 6, 7, 8, 9, 13)] + [(14, "no path", None, "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = change_requests(spark, str(tmp_path))
+    per_file = {}
+    for r in asked.collect():
+        per_file.setdefault(r.change_id // 10, []).append(r)
+    assert {i: len(rows) for i, rows in per_file.items()} == dict.fromkeys((4, 5, 6, 7, 8, 9, 13, 14), 5)
+    got = {r.change_id: r for r in registry.QUERIES["apply_path_changes"](spark, str(tmp_path)).collect()}
+    assert (got[51].type, got[51].destination, got[51].success) == ("move", "/corpus/s/en/6.txt", True)
+    # what 6 holds by then is the text of 5
+    assert got[52].size == got[54].size == got[61].size == len("text of 5" + "x" * 5)
+    assert [got[60 + n].success for n in (2, 3, 4, 5)] == [True, False, False, True]
+    assert got[91].destination == "/corpus/s/en/9.txt.g" and got[131].destination == "/corpus/s/en/13.txt.g"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet') WHERE doc_id <> 14")
+    for name in ("apply_path_changes", "apply_path_changes_files"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        cols = df.columns
+        rows = [tuple(r) for r in df.where("path is not null" if "path" in cols else "change_id not between 140 and 149").collect()]
+        assert sorted(rows, key=repr) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({registry.ORACLE[name]})").fetchall(), key=repr)
