@@ -4,9 +4,11 @@ files of any size as numbered lines, read by byte ranges."""
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,67 @@ def read_corpus(spark: SparkSession, root: str, decode_policy: str | Sequence[st
     return rows.select("path", F.col("text").alias("content"), "size_bytes", "mtime", *names)
 
 
+#: Files of one folder that ``write_corpus`` fills.
+FOLDER_FILES = 1000
+
+
+def _local(root: str) -> str | None:
+    """The folder that every process opens as ``root``, if that is a path of the file system itself."""
+    path = root.removeprefix("file:")
+    path = "/" + path.lstrip("/") if path != root and (path[:3] == "///" or path[:2] != "//") else path
+    return path if path[:1] == "/" and path[:2] != "//" else None
+
+
+def _write_files(root: str):
+    """Writes each run of rows of one name as one file, its values as lines; a file appears whole, a task that
+    runs again writes the same names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, folder = TaskContext.get().partitionId(), 0, ""
+        name, lines = None, []
+
+        def write():
+            nonlocal n, folder
+            if n % FOLDER_FILES == 0:
+                folder = os.path.join(root, f"{task:05d}-{n // FOLDER_FILES:05d}")
+                os.makedirs(folder, exist_ok=True)
+            n += 1
+            part = os.path.join(folder, f".{name}.{TaskContext.get().taskAttemptId()}")
+            with open(part, "wb") as f:
+                f.writelines(lines)
+            os.replace(part, os.path.join(folder, f"{name}.txt"))
+
+        for batch in batches:
+            for now, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now != name and name is not None:
+                    write()
+                    lines = []
+                name = now
+                lines += [value or b"", b"\n"]
+        if name is not None:
+            write()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return run
+
+
+def write_corpus(rows: DataFrame, root: str, name: str, value: str) -> None:
+    """Each row's ``value`` (bytes, and a line feed) as a text file of its own below ``root``, whose path has
+    ``<name>=<the row's name>``, a number; rows of one name that are in one task share a file, a line each.
+
+    Where ``root`` is a path that the processes share, tasks write the files themselves, FOLDER_FILES to a
+    folder: Spark's writer makes a folder a file there, starts a process for the mode of each, and moves
+    them all in the driver. Any other store is Spark's to write."""
+    local = _local(root)
+    if local is None:
+        rows.select(name, F.col(value).cast("string").alias("value")).write.partitionBy(name).text(root)
+        return
+    os.makedirs(local, exist_ok=True)
+    named = F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit("null")))
+    ordered = rows.sortWithinPartitions(name).select(named.alias("name"), F.col(value).cast("binary").alias("value"))
+    ordered.mapInArrow(_write_files(local), "files long").agg(F.sum("files")).collect()
+
+
 #: Bytes of a chunk of a file between the task that reads it and the one that digests it.
 CHUNK_BYTES = 1 << 20
 

@@ -154,3 +154,33 @@ def test_corpus_under_several_policies_is_one_read(spark, tmp_path):
         assert alone.columns == ["path", "content", "size_bytes", "mtime"]
         assert sorted(both.where(both.policy == policy).drop("policy").collect()) == sorted(alone.collect())
     assert both._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_corpus_text_files_share_folders(spark, registry, tmp_path, monkeypatch):
+    import hashlib
+
+    from quire.plans import io_queries
+
+    docs = [(i, "plain" if i % 2 else f"caf\u00e9\r\n{i}", "en", "s") for i in range(40)] + [(50, None, "en", "s"), (-7, "minus", "en", "s"), (61, "twice", "en", "s"), (61, "twice", "en", "s"), (None, "no id", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/in/documents.parquet")
+    roots = []
+
+    def found(local):
+        def folder(_spark, name):
+            roots.append(f"file:{tmp_path}/out put/{name}{len(roots)}")
+            return roots[-1] if local else f"{tmp_path}/{name}{len(roots)}"
+
+        monkeypatch.setattr(io_queries, "shared_dir", folder)
+        return sorted(map(tuple, registry.QUERIES["read_corpus_text"](spark, f"{tmp_path}/in").collect()), key=repr)
+
+    got = found(True)
+    files = [os.path.join(at, x) for at, _, names in os.walk(f"{tmp_path}/out put") for x in names]
+    assert len(files) == 44 and len({os.path.dirname(x) for x in files}) <= 8  # a file a document, not a folder a document
+    rows = {(p, i): (n, m) for p, i, n, m in got}
+    assert rows["replace", 61] == (12, hashlib.md5(b"twice\ntwice\n").hexdigest()) and rows["drop", 50] == (1, hashlib.md5(b"\n").hexdigest())
+    assert rows["latin1", 3] == (12, hashlib.md5("plain\ncaf\u00e9\n".encode()).hexdigest()) and ("drop", 3) not in rows and ("drop", -7) in rows and ("replace", None) in rows
+    # a store that only Spark writes to
+    monkeypatch.setattr(corpus, "_local", lambda root: None)
+    assert found(False) == got
+    monkeypatch.undo()
+    assert [corpus._local(x) for x in ("file:///a%20b", "file:/a", "/a b", "file://host/a", "hdfs://host/a", "viewfs:///a", "a")] == ["/a%20b", "/a", "/a b", None, None, None, None]
