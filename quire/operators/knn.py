@@ -38,6 +38,11 @@ QUERY_BLOCK_ROWS = 16384
 CORPUS_BLOCK_ROWS = 65536
 QUERY_CHUNK_ROWS = 1024
 SUB_BLOCK_ROWS = 8192
+# Vectors that are ranked whole for the first k-th score; of the others only those that reach it are.
+FIRST_ROWS = 512
+# Cosines of the others are first worked out in single precision, FEW_ROWS vectors at a time; up to FEW scores
+# of a step that may pass, by the error of such a product, are worked out again.
+FEW_ROWS, FEW = 2048, 1 << 16
 TIE_DECIMALS = 9
 # Rows of a block in the pruned join, most pivots (one a block up to then; beyond, larger cells are split
 # and prune less) and vectors that each is chosen from; slack of a bound, far above the noise of double arithmetic.
@@ -88,6 +93,36 @@ def _select_k(o: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     return sel
 
 
+def _better(q: np.ndarray, c: np.ndarray, near: np.ndarray | None, keys: np.ndarray, metric: str, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Brings into ``best`` (ordering value, score, key; each row's k in order) what of ``c`` comes before a row's
+    last: one comparison a score, and only those that pass it are rounded and sorted. ``near``: cosines
+    of single precision, which leave out what cannot pass."""
+    sign = -1.0 if metric == "cosine" else 1.0
+    best_o, best_s, best_k = best
+    k = best_o.shape[1]
+    last = (best_o[:, -1] + 10.0**-TIE_DECIMALS)[:, None]
+    error = (q.shape[1] + 8) * 2.0**-23  # of a single-precision product of vectors of length 1, at most
+    if near is not None and np.count_nonzero(mask := near >= (-last - error).astype(np.float32)) <= FEW:
+        rows, cols = np.nonzero(mask)
+        s = np.einsum("ij,ij->i", q[rows], c[cols])
+    else:
+        raw = _score_tile(q, c, metric)
+        rows, cols = np.nonzero(sign * raw <= last)
+        s = raw[rows, cols]
+    key, o = keys[cols], sign * np.round(s, TIE_DECIMALS)
+    sooner = (o < best_o[rows, -1]) | ((o == best_o[rows, -1]) & (key < best_k[rows, -1]))
+    if not sooner.any():
+        return
+    hit = np.unique(rows[sooner])
+    rows = np.concatenate([np.repeat(hit, k), rows[sooner]])
+    o, s, key = (np.concatenate([b[hit].ravel(), x[sooner]]) for b, x in ((best_o, o), (best_s, s), (best_k, key)))
+    order = np.lexsort((key, o, rows))
+    starts = np.searchsorted(rows[order], hit)
+    take = order[(starts[:, None] + np.arange(k)).ravel()].reshape(len(hit), k)
+    for b, x in ((best_o, o), (best_s, s), (best_k, key)):
+        b[hit] = x[take]
+
+
 def _key(df: DataFrame, name: str):
     """The key as long if it is a whole number, else as string."""
     return F.col(name).cast("long" if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string")
@@ -108,6 +143,7 @@ def _tile_topk(k: int, metric: str):
         q_all = _matrix(qpdf["vec"])
         if metric == "cosine":
             q_all, c_all = _normalized(q_all), _normalized(c_all)
+        c_few = c_all.astype(np.float32) if metric == "cosine" else None
         sign = -1.0 if metric == "cosine" else 1.0  # select ascending on sign * score
         out = []
         for qlo in range(0, len(qk_all), QUERY_CHUNK_ROWS):
@@ -115,8 +151,13 @@ def _tile_topk(k: int, metric: str):
             best_o = np.full((len(qk), 0), np.inf)  # ordering value: sign * score rounded at 1e-9
             best_s = np.full((len(qk), 0), np.nan)  # raw score, reported
             best_k = np.zeros((len(qk), 0), dtype=ck_all.dtype)
-            for lo in range(0, len(ck_all), SUB_BLOCK_ROWS):
-                ck, c = ck_all[lo : lo + SUB_BLOCK_ROWS], c_all[lo : lo + SUB_BLOCK_ROWS]
+            first, step = max(FIRST_ROWS, k), SUB_BLOCK_ROWS if c_few is None else FEW_ROWS
+            q_few = None if c_few is None else q.astype(np.float32)
+            for lo, hi in [(0, first), *((x, x + step) for x in range(first, len(ck_all), step))]:
+                ck, c = ck_all[lo:hi], c_all[lo:hi]
+                if lo:  # every row has k by now
+                    _better(q, c, None if c_few is None else q_few @ c_few[lo:hi].T, ck, metric, (best_o, best_s, best_k))
+                    continue
                 raw = _score_tile(q, c, metric)
                 o = sign * np.round(raw, TIE_DECIMALS)
                 o = np.where(np.isnan(o), np.inf, o)

@@ -115,3 +115,28 @@ def test_graph_holds_names_and_lists_merge_in_arrays(spark):
     lists = pa.array([[entry([1, 2], [0.5, 0.25], True), entry([2, 3, 4], [0.25, 0.75, 0.125], False)], [entry([], [], False)], [entry([9], [1.0], False)]], kind)
     got = [b.to_pylist() for b in graph_ann._merged(2)([pa.RecordBatch.from_pydict({"u": pa.array([5, 6, 7]), "lists": lists}).slice(0)])][0]
     assert got == [{"u": 5, "keys": [3, 1], "sims": [0.75, 0.5], "fresh": 1}, {"u": 6, "keys": [], "sims": [], "fresh": 0}, {"u": 7, "keys": [9], "sims": [1.0], "fresh": 1}]
+
+
+def test_only_scores_that_reach_the_kth_are_ranked(monkeypatch):
+    """Of a tile of many vectors the first are ranked whole, the others only where a score reaches the k-th; ties go by key."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    c = np.round(rng.normal(size=(6000, 8)), 1)
+    c[3000:5000] = c[:2000]  # copies, and one vector many times
+    c[5000:5900], c[7], c[5990] = c[11], 0.0, np.nan
+    q = np.concatenate([c[[1, 11, 2000]], np.zeros((1, 8)), rng.normal(size=(40, 8))])
+    keys = rng.permutation(6000)
+    seen, select = [], knn._select_k
+    monkeypatch.setattr(knn, "_select_k", lambda o, k_, k: seen.append(o.shape[1]) or select(o, k_, k))
+    monkeypatch.setattr(knn, "FEW", 500)  # both ways, with few and with many that may pass
+    for metric in ("cosine", "l2"):
+        got = knn._tile_topk(5, metric)(pd.DataFrame({"query_id": range(len(q)), "vec": list(q)}), pd.DataFrame({"key": keys, "vec": list(c)}))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = (q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T if metric == "cosine" else -((q[:, None] - c[None]) ** 2).sum(2)
+        want = []
+        for i in range(len(q)):
+            real = np.flatnonzero(np.isfinite(s[i]))
+            want += [(i, keys[j]) for j in real[np.lexsort((keys[real], -np.round(s[i, real], 9)))][:5]]
+        assert list(zip(got["query_id"], got["key"])) == want
+    assert max(seen) <= knn.FIRST_ROWS + 5
